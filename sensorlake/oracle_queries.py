@@ -18,9 +18,9 @@ DUCK_AGG = {
 }
 
 
-def resample_sql(src: str, width: int, aggs: dict[str, str], extra_cols: str = "") -> str:
+def resample_sql(src: str, width: int, aggs: dict[str, str], extra_cols: str = "", rnd: bool = True) -> str:
     """Spine of every channel × bin from the first day's midnight, left-joined to aggregates."""
-    sel = ", ".join(f"round(a.{k}, 6) AS {k}" for k in aggs)
+    sel = ", ".join((f"round(a.{k}, 6) AS {k}" if rnd else f"a.{k} AS {k}") for k in aggs)
     agg = ", ".join(f"{v} AS {k}" for k, v in aggs.items())
     return o.with_ctes(
         f"""SELECT s.channel, o.origin + to_microseconds(s.bin * {width}) AS ts, {sel}{extra_cols}
@@ -50,3 +50,112 @@ SQL["window7d_daily_mean_units"] = o.with_ctes(
     d="SELECT * FROM (" + resample_sql("SELECT * FROM win", RULES["daily"], {"value": DUCK_AGG["mean"]}) + ")",
     c=o.EVENT_CHANNELS_DIM,
 )
+
+
+# --------------------------------------------------------------------------- statistics
+X_DAYS = "date_diff('microsecond', TIMESTAMP '1970-01-01 00:00:00', ts) / 86400000000.0"
+STATS_RAW = f"""SELECT channel, count(*) AS n, count(value) AS n_valid, min(value) AS min, max(value) AS max,
+    avg(value) AS mean, stddev_samp(value) AS std,
+    arg_min(value, (ts, rid)) FILTER (WHERE value IS NOT NULL) AS first,
+    arg_max(value, (ts, rid)) FILTER (WHERE value IS NOT NULL) AS last,
+    covar_pop(value, x) AS cxy, var_pop(x) FILTER (WHERE value IS NOT NULL) AS vx
+  FROM (SELECT *, {X_DAYS} AS x FROM r) GROUP BY channel"""
+STATS = f"""SELECT channel, n, n_valid, min, max, mean, std, first, last,
+    CASE WHEN n > 0 THEN 1.0 - n_valid / n END AS nan_frac, last - first AS drift, max - min AS range,
+    greatest(max - mean, mean - min) AS peak_dev,
+    coalesce(CASE WHEN vx <> 0 THEN cxy / vx END, 0.0) AS slope, n_valid / n AS coverage
+  FROM ({STATS_RAW})"""
+WIDE_LONG_CTES = dict(ew=o.EVENTS_WIDE, r=o.EVENTS_WIDE_LONG)
+
+
+def r6(cols: str) -> str:
+    return ", ".join(f"round({c.strip()}, 6) AS {c.strip()}" for c in cols.split(","))
+
+
+SQL["channel_stats"] = o.with_ctes(
+    f"SELECT channel, n, n_valid, {r6('min, max, mean, std, first, last, nan_frac, drift, range, peak_dev, slope, coverage')} FROM s",
+    **WIDE_LONG_CTES, s=STATS)
+SQL["trend_slope"] = o.with_ctes(
+    f"""SELECT channel, round(coalesce(CASE WHEN vx <> 0 THEN cxy / vx END, 0.0), 6) AS slope, n_valid
+        FROM ({STATS_RAW})""", r=o.EVENTS_LONG)
+SQL["coverage"] = o.with_ctes(
+    "SELECT channel, count(*) AS n, count(value) AS n_valid, round(count(value) / count(*), 6) AS coverage "
+    "FROM r GROUP BY channel", **WIDE_LONG_CTES)
+SQL["channel_card"] = o.with_ctes(
+    f"SELECT channel, {r6('min, max, mean, std, drift, slope, coverage')} FROM s", **WIDE_LONG_CTES, s=STATS)
+SQL["health_summary"] = o.with_ctes(
+    f"""SELECT count(*) AS n_channels, count(DISTINCT family) AS n_families,
+        round(avg(cov) * 100.0, 6) AS avg_coverage_pct,
+        arg_max(channel, (absd, -ordinal)) AS most_drifted, round(max(absd), 6) AS most_drifted_abs,
+        arg_max(channel, (sd, -ordinal)) AS most_volatile, round(max(sd), 6) AS most_volatile_std,
+        arg_min(channel, (cov, ordinal)) AS lowest_coverage, round(min(cov), 6) AS lowest_coverage_frac,
+        CASE WHEN avg(cov) * 100.0 >= 95 THEN 'pos' WHEN avg(cov) * 100.0 >= 85 THEN 'warn' ELSE 'neg' END
+          AS coverage_signal
+      FROM (SELECT s.channel, c.ordinal, c.family, coalesce(abs(s.drift), 0.0) AS absd, coalesce(s.std, 0.0) AS sd,
+                   1.0 - coalesce(s.nan_frac, 1.0) AS cov FROM s JOIN c USING (channel))""",
+    **WIDE_LONG_CTES, s=STATS, c=o.EVENT_CHANNELS_DIM)
+SQL["family_diagnostics"] = o.with_ctes(
+    f"""SELECT family, channel, unit, {r6('min, max, drift, slope, nan_frac')}, rank, rank = 1 AS is_hero
+      FROM (SELECT c.family, s.channel, c.unit, s.min, s.max, s.drift, s.slope, s.nan_frac,
+              row_number() OVER (PARTITION BY c.family ORDER BY abs(s.drift) DESC NULLS LAST, c.ordinal) AS rank
+            FROM s JOIN c USING (channel))""",
+    **WIDE_LONG_CTES, s=STATS, c=o.EVENT_CHANNELS_DIM)
+MEDIAN_STEP = """SELECT quantile_cont(step_us, 0.5) / 60000000.0 AS median_step_min FROM (
+    SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts, rid), ts) AS step_us FROM ew) WHERE step_us IS NOT NULL"""
+SQL["median_step"] = o.with_ctes("SELECT round(median_step_min, 6) AS median_step_min FROM m",
+                                 ew=o.EVENTS_WIDE, m=MEDIAN_STEP)
+SQL["dataset_kpis"] = o.with_ctes(
+    """SELECT round(CASE WHEN n_rows >= 2 THEN date_diff('microsecond', t0, t1) / 86400000000.0 ELSE 0.0 END, 6)
+          AS span_days, round(median_step_min, 6) AS median_step_min, n_rows, n_channels, n_families,
+        round(nan, 6) AS nan_frac, round((1.0 - nan) * 100.0, 6) AS coverage_pct,
+        CASE WHEN (1.0 - nan) * 100.0 >= 95 THEN 'pos' WHEN (1.0 - nan) * 100.0 >= 85 THEN 'warn' ELSE 'neg' END
+          AS coverage_signal
+      FROM (SELECT min(ts) AS t0, max(ts) AS t1, count(*) AS n_rows FROM ew)
+      CROSS JOIN (SELECT CASE WHEN count(*) > 0 THEN 1.0 - count(value) / count(*) ELSE 0.0 END AS nan FROM r)
+      CROSS JOIN (SELECT count(*) AS n_channels, count(DISTINCT family) AS n_families FROM c)
+      CROSS JOIN m""",
+    **WIDE_LONG_CTES, c=o.EVENT_CHANNELS_DIM, m=MEDIAN_STEP)
+SQL["family_counts"] = o.with_ctes(
+    "SELECT family, label, family_rank, count(*) AS n_channels FROM c GROUP BY family, label, family_rank",
+    c=o.EVENT_CHANNELS_DIM)
+SQL["classify"] = o.with_ctes(
+    "SELECT channel, ordinal, family, label, unit, family_rank, idx_in_family FROM c", c=o.EVENT_CHANNELS_DIM)
+SQL["drift_kpis"] = o.with_ctes(
+    """SELECT CASE WHEN nb >= 2 THEN CAST(nb - 1 AS DOUBLE) ELSE 0.0 END AS period_days, nb AS n_daily_rows,
+        st.channel AS steepest_channel, round(st.slope, 6) AS steepest_slope,
+        CASE WHEN abs(st.slope) >= 0.05 THEN 'neg' WHEN abs(st.slope) >= 0.005 THEN 'warn' ELSE 'pos' END
+          AS slope_signal,
+        bd.channel AS biggest_drift_channel, round(bd.drift, 6) AS biggest_drift
+      FROM (SELECT arg_max({'channel': channel, 'slope': slope}, (abs(slope), -ordinal)) AS st,
+                   arg_max({'channel': channel, 'drift': d2}, (abs(d2), -ordinal)) AS bd
+            FROM (SELECT s.*, c.ordinal, CASE WHEN n_valid >= 2 THEN drift ELSE 0.0 END AS d2
+                  FROM s JOIN c USING (channel)))
+      CROSS JOIN (SELECT date_diff('microsecond', CAST(date_trunc('day', min(ts)) AS TIMESTAMP), max(ts))
+                         // 86400000000 + 1 AS nb FROM r)""",
+    r=o.EVENTS_LONG, s=STATS, c=o.EVENT_CHANNELS_DIM)
+SQL["daily_band"] = resample_sql(o.EVENTS_LONG, RULES["daily"],
+                                 {"mean": DUCK_AGG["mean"], "min": DUCK_AGG["min"], "max": DUCK_AGG["max"]})
+SQL["trend_line"] = o.with_ctes(
+    """SELECT d.channel, d.ts, round(d.x, 6) AS x, round(d.value, 6) AS mean, round(p.slope * d.x + p.intercept, 6) AS trend,
+        round(p.slope, 6) AS slope, round(p.intercept, 6) AS intercept, p.slope_rank
+      FROM d JOIN p USING (channel)""",
+    r=o.EVENTS_LONG,
+    d0="SELECT * FROM (" + resample_sql("SELECT * FROM r", RULES["daily"], {"value": DUCK_AGG["mean"]}, rnd=False) + ")",
+    d="SELECT d0.*, date_diff('microsecond', (SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) FROM r), ts)"
+      " / 86400000000.0 AS x FROM d0",
+    sl=f"SELECT channel, coalesce(CASE WHEN vx <> 0 THEN cxy / vx END, 0.0) AS slope FROM ({STATS_RAW})",
+    p0="SELECT d.channel, sl.slope, avg(d.value) - sl.slope * avg(d.x) AS intercept FROM d JOIN sl USING (channel) "
+       "GROUP BY d.channel, sl.slope",
+    p="SELECT *, row_number() OVER (ORDER BY abs(slope) DESC, channel) AS slope_rank FROM p0",
+)
+DEFAULT_CH = """SELECT row_number() OVER (ORDER BY ordinal) AS pick, channel, family, ordinal FROM (
+    SELECT family, arg_min(channel, ordinal) AS channel, min(ordinal) AS ordinal FROM c GROUP BY family)
+  QUALIFY pick <= 4"""
+SQL["default_channels"] = o.with_ctes("SELECT pick, channel, family, CAST(ordinal AS BIGINT) AS ordinal FROM dc",
+                                      c=o.EVENT_CHANNELS_DIM, dc=DEFAULT_CH)
+SQL["selection_kpis"] = o.with_ctes(
+    """SELECT (SELECT count(*) FROM dc) AS n_channels, 'daily' AS rule,
+        date_diff('microsecond', p0, hi) // 86400000000 + 1 AS n_rows, p0 AS period_start,
+        p0 + to_microseconds((date_diff('microsecond', p0, hi) // 86400000000) * 86400000000) AS period_end
+      FROM (SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS p0, max(ts) AS hi FROM ew)""",
+    ew=o.EVENTS_WIDE, c=o.EVENT_CHANNELS_DIM, dc=DEFAULT_CH)

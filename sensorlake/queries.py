@@ -68,3 +68,106 @@ def q_flagship(spark, d):
     names = r.groupBy("channel").agg(F.min("ordinal").alias("ordinal"))
     chans = classify(names).select("channel", "family", "unit")
     return finish(daily.join(F.broadcast(chans), "channel", "left"))
+
+
+# --------------------------------------------------------------------------- statistics
+from sensorlake.operators import channels as ch  # noqa: E402
+from sensorlake.operators import project as pj  # noqa: E402
+from sensorlake.operators import stats as st  # noqa: E402
+from sensorlake.operators import trend as tr  # noqa: E402
+
+
+def event_channels(spark, d) -> DataFrame:
+    return ch.channels_of(fx.events_long(spark, d, with_ordinal=True), ordinal="ordinal")
+
+
+def wide_readings(spark, d) -> DataFrame:
+    """B2 as long readings, missing cells kept."""
+    return pj.unpivot(fx.events_wide(spark, d), fx.EVENT_CHANNEL_NAMES)
+
+
+@register("channel_stats")
+def q_channel_stats(spark, d):
+    return finish(st.channel_stats(wide_readings(spark, d)))
+
+
+@register("trend_slope")
+def q_trend_slope(spark, d):
+    return finish(st.trend_slope(fx.events_long(spark, d)))
+
+
+@register("coverage")
+def q_coverage(spark, d):
+    return finish(st.coverage(wide_readings(spark, d)).withColumn("n", F.col("n").cast("long"))
+                  .withColumn("n_valid", F.col("n_valid").cast("long")))
+
+
+@register("channel_card")
+def q_channel_card(spark, d):
+    return finish(st.channel_card(st.channel_stats(wide_readings(spark, d))))
+
+
+@register("health_summary")
+def q_health(spark, d):
+    s = st.channel_stats(wide_readings(spark, d))
+    return finish(st.health_summary(s, event_channels(spark, d)).withColumn(
+        "n_channels", F.col("n_channels").cast("long")).withColumn("n_families", F.col("n_families").cast("long")))
+
+
+@register("family_diagnostics")
+def q_family_diag(spark, d):
+    s = st.channel_stats(wide_readings(spark, d))
+    return finish(st.family_diagnostics(s, event_channels(spark, d)))
+
+
+@register("dataset_kpis")
+def q_dataset_kpis(spark, d):
+    return finish(st.dataset_kpis(wide_readings(spark, d), event_channels(spark, d), fx.events_wide(spark, d)))
+
+
+@register("median_step")
+def q_median_step(spark, d):
+    return finish(st.median_step(fx.events_wide(spark, d)))
+
+
+@register("family_counts")
+def q_family_counts(spark, d):
+    return finish(ch.family_counts(event_channels(spark, d)).withColumn("family_rank", F.col("family_rank").cast("long")))
+
+
+@register("classify")
+def q_classify(spark, d):
+    c = event_channels(spark, d)
+    return c.select("channel", F.col("ordinal").cast("long").alias("ordinal"), "family", "label", "unit",
+                    F.col("family_rank").cast("long").alias("family_rank"),
+                    F.col("idx_in_family").cast("long").alias("idx_in_family"))
+
+
+@register("drift_kpis")
+def q_drift_kpis(spark, d):
+    r = fx.events_long(spark, d)
+    o, hi = rs.frame_origin(r)
+    nb = rs.micros_between_py(o, hi) // rs.RULES["daily"] + 1
+    return finish(st.drift_kpis(st.channel_stats(r), event_channels(spark, d), nb))
+
+
+@register("trend_line")
+def q_trend_line(spark, d):
+    return finish(tr.trend_line(fx.events_long(spark, d)))
+
+
+@register("daily_band")
+def q_daily_band(spark, d):
+    return finish(rs.daily_band(fx.events_long(spark, d)))
+
+
+@register("default_channels")
+def q_default_channels(spark, d):
+    return ch.default_channels(event_channels(spark, d)).select(
+        F.col("pick").cast("long").alias("pick"), "channel", "family", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@register("selection_kpis")
+def q_selection_kpis(spark, d):
+    picked = [r["channel"] for r in ch.default_channels(event_channels(spark, d)).orderBy("pick").collect()]
+    return finish(rs.selection_kpis(pj.project_channels(fx.events_wide(spark, d), picked), picked, "daily"))
