@@ -41,3 +41,15 @@ def parse_ts(c: Column | str, fmt: str | None = None) -> Column:
     if fmt:
         return F.try_to_timestamp(c.cast("string"), F.lit(fmt)).cast("timestamp_ntz")
     return c.cast("string").try_cast("timestamp_ntz")
+
+
+def ntz_lit(v) -> Column:
+    """Zone-less timestamp literal from a Python datetime / date / ISO text.
+
+    Built from ISO text, so neither the Python process zone nor the session
+    zone can shift it."""
+    if v is None:
+        return F.lit(None).cast("timestamp_ntz")
+    if hasattr(v, "isoformat"):
+        v = v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
+    return F.lit(str(v)).cast("timestamp_ntz")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.functions.timefns import ntz_lit
+
 from sensorlake.functions.numeric import nan_to_null
 from sensorlake.functions.timefns import US_PER_DAY, micros_between
 
@@ -26,11 +28,15 @@ def unpivot(wide: DataFrame, channels: Sequence[str] | None = None, *, index: Se
     """Wide -> long readings; NULL (missing) cells are kept — coverage needs them.
 
     NaN becomes NULL on the way. No shuffle: one input row -> one row per channel.
+    Written as ``inline(array(struct(name, value) …))`` (a generator) rather than
+    ``DataFrame.unpivot``: Spark 4.1's whole-stage codegen fails to compile the
+    Expand node next to large CASE expressions and falls back to slow
+    interpretation; the generator path compiles.
     """
     index = list(index)
     channels = list(channels) if channels is not None else [c for c in wide.columns if c not in index]
-    w = wide.select(*index, *[nan_to_null(c).alias(c) for c in channels])
-    return w.unpivot(index, channels, channel, value)
+    cells = F.array(*[F.struct(F.lit(c).alias(channel), nan_to_null(c).alias(value)) for c in channels])
+    return wide.select(*index, F.inline(cells))
 
 
 def pairwise_complete(wide: DataFrame, x: str, y: str) -> DataFrame:
@@ -42,7 +48,7 @@ def days_axis(df: DataFrame, *, ts: str = "ts", origin=None, out: str = "days")
     """(ts - first ts) in days. ``origin`` defaults to the frame's first ts (one scalar)."""
     if origin is None:
         origin = df.agg(F.min(ts)).first()[0]
-    o = F.lit(origin).cast("timestamp_ntz")
+    o = ntz_lit(origin)
     return df.withColumn(out, micros_between(o, F.col(ts)) / F.lit(float(US_PER_DAY)))
 
 

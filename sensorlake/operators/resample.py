@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorlake.functions.timefns import ntz_lit
+
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ts_micros
 from sensorlake.plans.ranking import BROADCAST_ROWS, exact_percentiles
 
@@ -38,7 +40,7 @@ def frame_origin(df: DataFrame, *, ts: str = "ts"):
 
 
 def with_bin(df: DataFrame, width_us: int, origin, *, ts: str = "ts", out: str = "bin") -> DataFrame:
-    o = F.lit(origin).cast("timestamp_ntz")
+    o = ntz_lit(origin)
     return df.withColumn(out, F.floor(micros_between(o, F.col(ts)) / F.lit(float(width_us))).cast("long"))
 
 
@@ -99,7 +101,7 @@ def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str]
     if fill:
         n_bins = int(micros_between_py(origin, last) // width) + 1
         res = spine(readings, n_bins, keys=keys).join(res, keys + ["bin"], "left")
-    out = res.withColumn(ts, micros_to_ts(ts_micros(F.lit(origin).cast("timestamp_ntz")) + F.col("bin") * F.lit(width)))
+    out = res.withColumn(ts, micros_to_ts(ts_micros(ntz_lit(origin)) + F.col("bin") * F.lit(width)))
     return out.select(*keys, ts, *[F.col(a) for a in aggs])
 
 

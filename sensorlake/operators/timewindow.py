@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.functions.timefns import ntz_lit
+
 # Preset id -> look-back (None = whole recording).
 PRESETS = {
     "24h": dt.timedelta(hours=24),
@@ -51,8 +53,8 @@ def bounds_frame(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: s
     if preset == "custom":
         try:
             f, t = _to_ts(frm), _to_ts(to)
-            lo = F.lit(f).cast("timestamp_ntz") if f is not None else lo
-            hi = F.lit(t).cast("timestamp_ntz") if t is not None else hi
+            lo = ntz_lit(f) if f is not None else lo
+            hi = ntz_lit(t) if t is not None else hi
         except TypeError:
             pass
     elif PRESETS.get(preset) is not None:
@@ -83,7 +85,7 @@ def apply_window(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: s
         lo, hi = window_bounds(src, preset, frm, to, ts=ts)
         if lo is None:
             return df
-        return df.where((F.col(ts) >= F.lit(lo).cast("timestamp_ntz")) & (F.col(ts) <= F.lit(hi).cast("timestamp_ntz")))
+        return df.where((F.col(ts) >= ntz_lit(lo)) & (F.col(ts) <= ntz_lit(hi)))
     b = bounds_frame(src, preset, frm, to, ts=ts, keys=keys)
     return (df.join(F.broadcast(b), list(keys))
             .where((F.col(ts) >= F.col("lo")) & (F.col(ts) <= F.col("hi"))).drop("lo", "hi"))
@@ -95,7 +97,7 @@ def window_share(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: s
     if preset == "all" or (preset not in PRESETS and preset != "custom") or lo is None:
         inw = F.count(F.lit(1))
     else:
-        inw = F.count_if((F.col(ts) >= F.lit(lo).cast("timestamp_ntz")) & (F.col(ts) <= F.lit(hi).cast("timestamp_ntz")))
+        inw = F.count_if((F.col(ts) >= ntz_lit(lo)) & (F.col(ts) <= ntz_lit(hi)))
     label = LABELS.get(preset)
     if label is None:
         label = (f"{lo:%Y-%m-%d %H:%M} → {hi:%Y-%m-%d %H:%M}" if preset == "custom" and lo is not None
@@ -103,4 +105,4 @@ def window_share(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: s
     agg = df.agg(inw.cast("long").alias("n_in_window"), F.count(F.lit(1)).cast("long").alias("n_total"))
     return (agg.withColumn("share_pct", F.col("n_in_window") * 100.0 / F.greatest(F.col("n_total"), F.lit(1)))
             .withColumn("label", F.lit(label))
-            .withColumn("lo", F.lit(lo).cast("timestamp_ntz")).withColumn("hi", F.lit(hi).cast("timestamp_ntz")))
+            .withColumn("lo", ntz_lit(lo)).withColumn("hi", ntz_lit(hi)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorlake.functions.timefns import ntz_lit
+
 from sensorlake.functions.timefns import US_PER_DAY, micros_between
 from sensorlake.operators import resample as rs
 from sensorlake.operators.stats import trend_slope
@@ -22,7 +24,7 @@ def trend_line(readings: DataFrame, *, keys: Sequence[str] = ("channel",), ts: s
     origin, last = rs.frame_origin(readings, ts=ts)
     daily = rs.resample(readings, "daily", "mean", keys=keys, ts=ts, order=order, value=value,
                         origin=origin, last=last)
-    o = F.lit(origin).cast("timestamp_ntz")
+    o = ntz_lit(origin)
     daily = daily.withColumn("x", micros_between(o, F.col(ts)) / F.lit(float(US_PER_DAY)))
     per = daily.groupBy(*keys).agg(F.avg(value).alias("_ym"), F.avg("x").alias("_xm"))
     sl = trend_slope(readings, keys=keys, ts=ts, value=value).drop("n_valid")

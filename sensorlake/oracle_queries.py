@@ -159,3 +159,125 @@ SQL["selection_kpis"] = o.with_ctes(
         p0 + to_microseconds((date_diff('microsecond', p0, hi) // 86400000000) * 86400000000) AS period_end
       FROM (SELECT CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS p0, max(ts) AS hi FROM ew)""",
     ew=o.EVENTS_WIDE, c=o.EVENT_CHANNELS_DIM, dc=DEFAULT_CH)
+
+
+# --------------------------------------------------------------------------- anomalies
+def flags_sql(src: str, window: int, sigma: float, **ctes) -> dict:
+    lo, hi = window // 2, (window - 1) // 2
+    minp = max(5, window // 4)
+    return dict(
+        **ctes,
+        r=src,
+        p="SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts, rid) - 1 AS pos FROM r",
+        f=f"""SELECT *, count(value) OVER w AS cnt, avg(value) OVER w AS mu, stddev_samp(value) OVER w AS sd,
+                 max(value) OVER w AS mx, min(value) OVER w AS mn FROM p
+              WINDOW w AS (PARTITION BY channel ORDER BY pos ROWS BETWEEN {lo} PRECEDING AND {hi} FOLLOWING)""",
+        fl=f"""SELECT channel, ts, rid, value, pos, coalesce(value IS NOT NULL AND cnt >= {minp} AND sd IS NOT NULL
+                 AND mx - mn > 0 AND abs(value - mu) > {float(sigma)} * sd, false) AS is_anomaly FROM f""",
+    )
+
+
+FLAG_OUT = "SELECT channel, ts, rid, round(value, 6) AS value, pos, is_anomaly FROM fl"
+SQL["anomaly_flags"] = o.with_ctes(FLAG_OUT, **flags_sql(o.EVENTS_LONG, 60, 3.0))
+SQL["anomaly_flags_w11_s2"] = o.with_ctes(FLAG_OUT, **flags_sql(o.EVENTS_LONG, 11, 2.0))
+SQL["anomaly_flags_w6_s1_5"] = o.with_ctes(FLAG_OUT, **flags_sql(o.EVENTS_LONG, 6, 1.5))
+SQL["anomaly_flags_wide_w61_s2_5"] = o.with_ctes(FLAG_OUT, **flags_sql("SELECT * FROM wl", 61, 2.5, ew=o.EVENTS_WIDE,
+                                                                       wl=o.EVENTS_WIDE_LONG.replace("FROM ew", "FROM ew")))
+SQL["anomaly_summary"] = o.with_ctes(
+    """SELECT channel, n_valid, n_flagged, round(rate, 6) AS rate,
+        CASE WHEN rate >= 0.05 THEN 'neg' WHEN rate >= 0.01 THEN 'warn' ELSE 'pos' END AS signal
+      FROM (SELECT channel, count(value) AS n_valid, count(*) FILTER (WHERE is_anomaly) AS n_flagged,
+                   count(*) FILTER (WHERE is_anomaly) / greatest(count(value), 1) AS rate FROM fl GROUP BY channel)""",
+    **flags_sql(o.EVENTS_LONG, 60, 3.0))
+SQL["worst_excursion"] = o.with_ctes(
+    """SELECT channel, w.ts AS worst_ts, w.rid AS worst_rid, round(w.value, 6) AS worst_value,
+        round(coalesce(w.deviation, 0.0), 6) AS deviation
+      FROM (SELECT fl.channel, arg_max({'ts': ts, 'rid': rid, 'value': value, 'deviation': value - mu.mu},
+                                       (abs(value - mu.mu), -pos)) FILTER (WHERE is_anomaly) AS w
+            FROM fl JOIN mu USING (channel) GROUP BY fl.channel)""",
+    **flags_sql(o.EVENTS_LONG, 60, 3.0), mu="SELECT channel, avg(value) AS mu FROM fl GROUP BY channel")
+SQL["flagged_first12"] = o.with_ctes(
+    """SELECT channel, rank, ts, rid, round(value, 6) AS value, round(value - mu, 6) AS deviation FROM (
+        SELECT fl.*, mu.mu, row_number() OVER (PARTITION BY fl.channel ORDER BY pos) AS rank
+        FROM fl JOIN mu USING (channel) WHERE is_anomaly) WHERE rank <= 12""",
+    **flags_sql(o.EVENTS_LONG, 11, 2.0), mu="SELECT channel, avg(value) AS mu FROM fl GROUP BY channel")
+
+
+def stride_targets_sql(count_rel: str, n: int, keys: str = "") -> str:
+    """k and target pos per series; count_rel has columns keys..., N."""
+    kc = f"{keys}, " if keys else ""
+    return f"""SELECT {kc}k, CAST(CASE WHEN N <= {n} THEN k WHEN k = {n - 1} THEN N - 1
+                 ELSE floor(CAST(k AS DOUBLE) * (CAST(N - 1 AS DOUBLE) / {float(max(n - 1, 1))})) END AS BIGINT) AS pos
+               FROM (SELECT {kc}N, unnest(range(0, least(N, {n}))) AS k FROM ({count_rel}))"""
+
+
+SQL["anomaly_overlay"] = o.with_ctes(
+    """SELECT channel, pos, ts, rid, round(value, 6) AS value, 'series' AS role FROM fl JOIN t USING (channel, pos)
+       UNION ALL SELECT channel, pos, ts, rid, round(value, 6) AS value, 'anomaly' AS role FROM fl WHERE is_anomaly""",
+    **flags_sql(o.EVENTS_LONG, 60, 3.0),
+    t=stride_targets_sql("SELECT channel, count(*) AS N FROM fl GROUP BY channel", 2000, "channel"))
+
+# --------------------------------------------------------------------------- gaps
+GAP_CTES = dict(
+    **WIDE_LONG_CTES,
+    p="SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts, rid) - 1 AS pos FROM r",
+    m="SELECT *, pos - (row_number() OVER (PARTITION BY channel ORDER BY pos) - 1) AS isl FROM p WHERE value IS NULL",
+    g0="""SELECT channel, min(pos) AS start_pos, max(pos) AS end_pos, count(*) AS n, arg_min(ts, pos) AS start_ts,
+             arg_max(ts, pos) AS end_ts FROM m GROUP BY channel, isl HAVING count(*) >= 3""",
+    g="SELECT *, date_diff('microsecond', start_ts, end_ts) AS dur_us FROM g0",
+    c=o.EVENT_CHANNELS_DIM,
+    dg="""SELECT cv.channel, CAST(c.ordinal AS BIGINT) AS ordinal, c.unit, cv.coverage,
+             coalesce(gl.L.n, 0) AS longest_n, gl.L.start_ts AS longest_at, coalesce(gl.L.dur_us, 0) AS longest_dur_us,
+             coalesce(gl.n_episodes, 0) AS n_episodes
+          FROM (SELECT channel, count(value) / count(*) AS coverage FROM r GROUP BY channel) cv
+          JOIN c USING (channel)
+          LEFT JOIN (SELECT channel, count(*) AS n_episodes,
+                            arg_max({'n': n, 'start_ts': start_ts, 'dur_us': dur_us}, (n, -start_pos)) AS L
+                     FROM g GROUP BY channel) gl USING (channel)""",
+)
+SQL["gap_segments"] = o.with_ctes("SELECT * FROM g", **GAP_CTES)
+SQL["gap_diagnostics"] = o.with_ctes(
+    "SELECT channel, ordinal, unit, round(coverage, 6) AS coverage, longest_n, longest_at, longest_dur_us, n_episodes "
+    "FROM dg", **GAP_CTES)
+SQL["quality_kpis"] = o.with_ctes(
+    """SELECT round(avg(coverage) * 100.0, 6) AS avg_coverage_pct,
+        CASE WHEN avg(coverage) * 100.0 >= 95 THEN 'pos' WHEN avg(coverage) * 100.0 >= 85 THEN 'warn' ELSE 'neg' END
+          AS coverage_signal,
+        arg_min(channel, (coverage, ordinal)) AS lowest_coverage_channel, round(min(coverage), 6) AS lowest_coverage,
+        CASE WHEN min(coverage) < 0.85 THEN 'neg' WHEN min(coverage) < 0.95 THEN 'warn' END AS lowest_signal,
+        arg_max(channel, (longest_n, -ordinal)) AS longest_gap_channel, max(longest_n) AS longest_gap_n,
+        arg_max(longest_dur_us, (longest_n, -ordinal)) AS longest_gap_dur_us,
+        CAST(sum(n_episodes) AS BIGINT) AS total_episodes,
+        arg_max(channel, (n_episodes, -ordinal)) AS most_episodes_channel, max(n_episodes) AS most_episodes
+      FROM dg""", **GAP_CTES)
+SQL["gap_offenders"] = o.with_ctes(
+    """SELECT rank, channel, longest_n, longest_dur_us, n_episodes, round(coverage, 6) AS coverage, n_with_gaps FROM (
+        SELECT *, row_number() OVER (ORDER BY longest_n DESC, ordinal) AS rank,
+               count(*) FILTER (WHERE n_episodes > 0) OVER () AS n_with_gaps FROM dg) WHERE rank <= 5""", **GAP_CTES)
+SQL["gap_timeline"] = o.with_ctes(
+    """SELECT channel, start_pos, round(x0, 6) AS left_pct, round(greatest(0.2, x1 - x0), 6) AS width_pct FROM (
+        SELECT g.channel, g.start_pos, date_diff('microsecond', b.t0, g.start_ts) / b.span * 100.0 AS x0,
+               date_diff('microsecond', b.t0, g.end_ts) / b.span * 100.0 AS x1
+        FROM g CROSS JOIN (SELECT min(ts) AS t0, date_diff('microsecond', min(ts), max(ts)) AS span FROM ew) b
+        WHERE b.span > 0)""", **GAP_CTES)
+SQL["gap_ticks"] = o.with_ctes(
+    """SELECT i AS tick, t0 + to_microseconds(CAST(floor(span * i / 4) AS BIGINT)) AS ts
+       FROM (SELECT min(ts) AS t0, date_diff('microsecond', min(ts), max(ts)) AS span FROM ew) b,
+            (SELECT unnest(range(0, 5)) AS i) WHERE span > 0""", ew=o.EVENTS_WIDE)
+
+# --------------------------------------------------------------------------- down-sampling
+LI_ORDER = "ts, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+SQL["stride_downsample"] = o.with_ctes(
+    f"""SELECT t.k, p.pos, {LI_ORDER}, {r6('l_quantity, l_extendedprice, l_discount, l_tax')}
+        FROM p JOIN t USING (pos)""",
+    lw=o.LINEITEM_WIDE, p=f"SELECT *, row_number() OVER (ORDER BY {LI_ORDER}) - 1 AS pos FROM lw",
+    t=stride_targets_sql("SELECT count(*) AS N FROM lw", 2000))
+SQL["stride_scatter_pairs"] = o.with_ctes(
+    f"""SELECT t.k, p.pos, {LI_ORDER}, {r6('l_quantity, l_extendedprice')} FROM p JOIN t USING (pos)""",
+    lw=o.LINEITEM_WIDE, lm=o.LINEITEM_MASKED,
+    pc="SELECT * FROM lm WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL",
+    p=f"SELECT *, row_number() OVER (ORDER BY {LI_ORDER}) - 1 AS pos FROM pc",
+    t=stride_targets_sql("SELECT count(*) AS N FROM pc", 5000))
+SQL["envelope"] = o.with_ctes(
+    "SELECT ts, rid, round(greatest(" + ", ".join(f"abs(coalesce({b}, 0.0))" for _a, b in o.EVENT_CHANNELS)
+    + "), 6) AS envelope FROM ew", ew=o.EVENTS_WIDE)

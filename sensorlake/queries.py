@@ -171,3 +171,83 @@ def q_default_channels(spark, d):
 def q_selection_kpis(spark, d):
     picked = [r["channel"] for r in ch.default_channels(event_channels(spark, d)).orderBy("pick").collect()]
     return finish(rs.selection_kpis(pj.project_channels(fx.events_wide(spark, d), picked), picked, "daily"))
+
+
+# --------------------------------------------------------------------------- anomalies
+from sensorlake.operators import anomaly as an  # noqa: E402
+from sensorlake.operators import downsample as ds  # noqa: E402
+from sensorlake.operators import gaps as gp  # noqa: E402
+
+N_EVENT_CHANNELS = len(fx.EVENT_CHANNELS) + 1   # proven bound: aliases + unmapped types fall back to their name
+
+
+def _flags(spark, d, window=60, sigma=3.0, wide=False):
+    r = wide_readings(spark, d) if wide else fx.events_long(spark, d)
+    return an.rolling_anomalies(r, window=window, sigma=sigma)
+
+
+def _flag_cols(df):
+    return df.select("channel", "ts", "rid", "value", "pos", "is_anomaly")
+
+
+register("anomaly_flags")(lambda spark, d: finish(_flag_cols(_flags(spark, d))))
+register("anomaly_flags_w11_s2")(lambda spark, d: finish(_flag_cols(_flags(spark, d, 11, 2.0))))
+register("anomaly_flags_w6_s1_5")(lambda spark, d: finish(_flag_cols(_flags(spark, d, 6, 1.5))))
+register("anomaly_flags_wide_w61_s2_5")(lambda spark, d: finish(_flag_cols(_flags(spark, d, 61, 2.5, wide=True))))
+
+
+@register("anomaly_summary")
+def q_anomaly_summary(spark, d):
+    return finish(an.anomaly_summary(_flags(spark, d)).withColumn("n_flagged", F.col("n_flagged").cast("long")))
+
+
+@register("worst_excursion")
+def q_worst(spark, d):
+    return finish(an.worst_excursion(_flags(spark, d), max_series=N_EVENT_CHANNELS))
+
+
+@register("flagged_first12")
+def q_first12(spark, d):
+    return finish(an.flagged_first(_flags(spark, d, 11, 2.0), 12, max_series=N_EVENT_CHANNELS))
+
+
+@register("anomaly_overlay")
+def q_overlay(spark, d):
+    return finish(an.anomaly_overlay(_flags(spark, d), ds.BUDGET_ANOMALY))
+
+
+# --------------------------------------------------------------------------- gaps
+def _gaps(spark, d):
+    return gp.gap_segments(wide_readings(spark, d), max_series=len(fx.EVENT_CHANNELS))
+
+
+def _gap_diag(spark, d):
+    return gp.gap_diagnostics(wide_readings(spark, d), _gaps(spark, d), event_channels(spark, d))
+
+
+register("gap_segments")(lambda spark, d: finish(_gaps(spark, d)))
+register("gap_diagnostics")(lambda spark, d: finish(_gap_diag(spark, d).withColumn("ordinal", F.col("ordinal").cast("long"))))
+register("quality_kpis")(lambda spark, d: finish(gp.quality_kpis(_gap_diag(spark, d))))
+register("gap_offenders")(lambda spark, d: finish(gp.gap_offenders(_gap_diag(spark, d))))
+register("gap_timeline")(lambda spark, d: finish(gp.gap_timeline(_gaps(spark, d), fx.events_wide(spark, d))[0]))
+register("gap_ticks")(lambda spark, d: finish(gp.gap_timeline(_gaps(spark, d), fx.events_wide(spark, d))[1]))
+
+
+# --------------------------------------------------------------------------- down-sampling
+@register("stride_downsample")
+def q_stride(spark, d):
+    s = ds.stride_downsample(fx.lineitem_wide(spark, d), ds.BUDGET_OVERVIEW, order=fx.LINEITEM_ORDER)
+    return finish(s.select("k", "pos", *fx.LINEITEM_ORDER, *fx.LINEITEM_CHANNELS))
+
+
+@register("stride_scatter_pairs")
+def q_stride_scatter(spark, d):
+    """Scatter budget over the pairwise-complete rows of the masked pair."""
+    w = pj.pairwise_complete(fx.lineitem_masked(spark, d), "l_quantity", "l_extendedprice")
+    s = ds.stride_downsample(w, ds.BUDGET_SCATTER, order=fx.LINEITEM_ORDER)
+    return finish(s.select("k", "pos", *fx.LINEITEM_ORDER, "l_quantity", "l_extendedprice"))
+
+
+@register("envelope")
+def q_envelope(spark, d):
+    return finish(ds.envelope(fx.events_wide(spark, d), fx.EVENT_CHANNEL_NAMES).select("ts", "rid", "envelope"))
