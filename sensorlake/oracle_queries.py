@@ -281,3 +281,102 @@ SQL["stride_scatter_pairs"] = o.with_ctes(
 SQL["envelope"] = o.with_ctes(
     "SELECT ts, rid, round(greatest(" + ", ".join(f"abs(coalesce({b}, 0.0))" for _a, b in o.EVENT_CHANNELS)
     + "), 6) AS envelope FROM ew", ew=o.EVENTS_WIDE)
+
+
+# --------------------------------------------------------------------------- correlation
+def corr_sql(rel: str, chans: list[str]) -> str:
+    aggs, cells = [], []
+    for i, a in enumerate(chans):
+        for j in range(i, len(chans)):
+            b = chans[j]
+            xa = a if i == j else f"CASE WHEN {b} IS NOT NULL THEN {a} END"
+            xb = b if i == j else f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+            t = f"p{i}_{j}"
+            aggs.append(f"covar_samp({xa}, {xb}) AS {t}_c, stddev_samp({xa}) AS {t}_sa, "
+                        f"stddev_samp({xb}) AS {t}_sb, count({xa}) AS {t}_n")
+            r = (f"least(1.0, greatest(-1.0, coalesce(CASE WHEN {t}_sa * {t}_sb <> 0 THEN {t}_c / ({t}_sa * {t}_sb) END,"
+                 f" 0.0)))")
+            cells.append(f"SELECT '{a}' AS x, '{b}' AS y, {i} AS x_ord, {j} AS y_ord, {r} AS r, {t}_n AS n FROM g")
+            if i != j:
+                cells.append(f"SELECT '{b}' AS x, '{a}' AS y, {j} AS x_ord, {i} AS y_ord, {r} AS r, {t}_n AS n FROM g")
+    return f"WITH g AS (SELECT {', '.join(aggs)} FROM ({rel}))\n" + " UNION ALL ".join(cells)
+
+
+LI = list(o.LINEITEM_CHANNELS)
+EV = [b for _a, b in o.EVENT_CHANNELS]
+CORR_OUT = "SELECT x, y, CAST(x_ord AS BIGINT) AS x_ord, CAST(y_ord AS BIGINT) AS y_ord, round(r, 6) AS r, n FROM cm"
+SQL["corr_matrix"] = o.with_ctes(CORR_OUT, lw=o.LINEITEM_WIDE, cm=corr_sql("SELECT * FROM lw", LI))
+SQL["corr_matrix_masked"] = o.with_ctes(CORR_OUT, lw=o.LINEITEM_WIDE, lm=o.LINEITEM_MASKED,
+                                        cm=corr_sql("SELECT * FROM lm", LI))
+SQL["corr_matrix_events"] = o.with_ctes(CORR_OUT, ew=o.EVENTS_WIDE, cm=corr_sql("SELECT * FROM ew", EV))
+SQL["corr_kpis"] = o.with_ctes(
+    """SELECT count(*) AS n_pairs, count(*) FILTER (WHERE abs(r) >= 0.7) AS n_strong,
+        arg_max(x, (r, -x_ord, -y_ord)) FILTER (WHERE r > 0) AS top_pos_x,
+        arg_max(y, (r, -x_ord, -y_ord)) FILTER (WHERE r > 0) AS top_pos_y,
+        round(coalesce(max(r) FILTER (WHERE r > 0), 0.0), 6) AS top_pos_r,
+        arg_min(x, (r, x_ord, y_ord)) FILTER (WHERE r < 0) AS top_neg_x,
+        arg_min(y, (r, x_ord, y_ord)) FILTER (WHERE r < 0) AS top_neg_y,
+        round(coalesce(min(r) FILTER (WHERE r < 0), 0.0), 6) AS top_neg_r,
+        round(avg(abs(r)), 6) AS mean_abs_r
+      FROM cm WHERE x_ord < y_ord""",
+    lw=o.LINEITEM_WIDE, lm=o.LINEITEM_MASKED, cm=corr_sql("SELECT * FROM lm", LI))
+FIT_COLS = ("slope, intercept, r, r2, x_mean, y_mean, x_min, x_max, y_min, y_max, fit_y_at_x_min, fit_y_at_x_max")
+
+
+def fit_sql(full: str, fit_rel: str) -> str:
+    return f"""SELECT 'l_quantity' AS x, 'l_extendedprice' AS y, {r6(FIT_COLS)}, n, n_fit FROM (
+        SELECT *, r * r AS r2, slope * x_min + intercept AS fit_y_at_x_min, slope * x_max + intercept AS fit_y_at_x_max
+        FROM (SELECT *, y_mean - slope * x_mean AS intercept FROM (
+            SELECT CASE WHEN var_pop(l_quantity) <> 0 THEN covar_pop(l_extendedprice, l_quantity) / var_pop(l_quantity)
+                   END AS slope,
+                   avg(l_quantity) AS x_mean, avg(l_extendedprice) AS y_mean, min(l_quantity) AS x_min,
+                   max(l_quantity) AS x_max, min(l_extendedprice) AS y_min, max(l_extendedprice) AS y_max,
+                   count(*) AS n_fit FROM ({fit_rel}))
+          CROSS JOIN (SELECT least(1.0, greatest(-1.0, coalesce(CASE WHEN stddev_samp(l_quantity) * stddev_samp(l_extendedprice)
+                         <> 0 THEN covar_samp(l_quantity, l_extendedprice) / (stddev_samp(l_quantity)
+                         * stddev_samp(l_extendedprice)) END, 0.0))) AS r, count(*) AS n FROM ({full}))))"""
+
+
+PC = "SELECT * FROM lm WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL"
+SQL["pair_fit"] = o.with_ctes(fit_sql(PC, PC), lw=o.LINEITEM_WIDE, lm=o.LINEITEM_MASKED)
+SQL["pair_fit_strided"] = o.with_ctes(
+    fit_sql(PC, "SELECT p.* FROM p JOIN t USING (pos)"), lw=o.LINEITEM_WIDE, lm=o.LINEITEM_MASKED,
+    pc=PC, p=f"SELECT *, row_number() OVER (ORDER BY {LI_ORDER}) - 1 AS pos FROM pc",
+    t=stride_targets_sql("SELECT count(*) AS N FROM pc", 5000))
+SQL["time_quartiles"] = o.with_ctes(
+    """SELECT q, count(*) AS n, min(pos) AS pos_lo, max(pos) AS pos_hi, round(avg(l_quantity), 6) AS x_mean,
+         round(avg(l_extendedprice), 6) AS y_mean, min(ts) AS ts_first, max(ts) AS ts_last
+       FROM (SELECT *, (4 * pos + 3) // (SELECT count(*) FROM pc) AS q FROM p) GROUP BY q""",
+    lw=o.LINEITEM_WIDE, lm=o.LINEITEM_MASKED, pc=PC,
+    p=f"SELECT *, row_number() OVER (ORDER BY {LI_ORDER}) - 1 AS pos FROM pc")
+
+# --------------------------------------------------------------------------- distributions
+LI_LONG = " UNION ALL ".join(f"SELECT ts, '{c}' AS channel, {c} AS value FROM lw" for c in LI)
+
+
+def hist_sql(long_rel: str, bins: int = 40) -> str:
+    edge = lambda k: f"CASE WHEN {k} >= {bins} THEN hi ELSE CAST({k} AS DOUBLE) * step + lo END"
+    return f"""WITH v AS (SELECT channel, value FROM ({long_rel}) WHERE value IS NOT NULL),
+      rg0 AS (SELECT channel, min(value) AS lo0, max(value) AS hi0 FROM v GROUP BY channel HAVING count(value) >= 2),
+      rg AS (SELECT channel, CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                    CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi FROM rg0),
+      rs AS (SELECT *, (hi - lo) / {float(bins)} AS step FROM rg),
+      b0 AS (SELECT v.value AS x, rs.*, CAST(floor((v.value - lo) / (hi - lo) * {float(bins)}) AS BIGINT) AS i0
+             FROM v JOIN rs USING (channel)),
+      b1 AS (SELECT *, CASE WHEN i0 = {bins} THEN {bins - 1} ELSE i0 END AS i1 FROM b0),
+      b2 AS (SELECT *, CASE WHEN x < {edge('i1')} THEN i1 - 1 ELSE i1 END AS i2 FROM b1),
+      b3 AS (SELECT *, CASE WHEN x >= {edge('i2 + 1')} AND i2 <> {bins - 1} THEN i2 + 1 ELSE i2 END AS bin FROM b2),
+      cnt AS (SELECT channel, bin, count(*) AS count FROM b3 GROUP BY channel, bin),
+      sp AS (SELECT rs.*, unnest(range(0, {bins})) AS bin FROM rs)
+    SELECT sp.channel, sp.bin, round(({edge('sp.bin')} + {edge('sp.bin + 1')}) / 2.0, 6) AS center,
+           coalesce(cnt.count, 0) AS count
+    FROM sp LEFT JOIN cnt ON sp.channel = cnt.channel AND sp.bin = cnt.bin"""
+
+
+SQL["histogram_40"] = o.with_ctes("SELECT * FROM h", lw=o.LINEITEM_WIDE, h=hist_sql(LI_LONG))
+SQL["histogram_40_events"] = o.with_ctes("SELECT * FROM h", **WIDE_LONG_CTES, h=hist_sql("SELECT * FROM r"))
+BOX = """SELECT channel, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1,
+    round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3,
+    round(max(value), 6) AS max FROM lr GROUP BY channel"""
+SQL["box_summary"] = o.with_ctes(BOX, lw=o.LINEITEM_WIDE, lr=LI_LONG)
+SQL["box_summary_events"] = o.with_ctes(BOX, **WIDE_LONG_CTES, lr="SELECT * FROM r")

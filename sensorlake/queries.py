@@ -251,3 +251,75 @@ def q_stride_scatter(spark, d):
 @register("envelope")
 def q_envelope(spark, d):
     return finish(ds.envelope(fx.events_wide(spark, d), fx.EVENT_CHANNEL_NAMES).select("ts", "rid", "envelope"))
+
+
+# --------------------------------------------------------------------------- correlation (A12–A16), distributions
+from sensorlake.operators import corr as cr  # noqa: E402
+from sensorlake.operators import dist as di  # noqa: E402
+
+PAIR = ("l_quantity", "l_extendedprice")
+
+
+@register("corr_matrix")
+def q_corr(spark, d):
+    return finish(cr.corr_matrix(fx.lineitem_wide(spark, d), fx.LINEITEM_CHANNELS)
+                  .withColumn("x_ord", F.col("x_ord").cast("long")).withColumn("y_ord", F.col("y_ord").cast("long")))
+
+
+@register("corr_matrix_masked")
+def q_corr_masked(spark, d):
+    return finish(cr.corr_matrix(fx.lineitem_masked(spark, d), fx.LINEITEM_CHANNELS)
+                  .withColumn("x_ord", F.col("x_ord").cast("long")).withColumn("y_ord", F.col("y_ord").cast("long")))
+
+
+@register("corr_matrix_events")
+def q_corr_events(spark, d):
+    """Channels that never share a row: every off-diagonal pair is undefined -> 0."""
+    return finish(cr.corr_matrix(fx.events_wide(spark, d), fx.EVENT_CHANNEL_NAMES)
+                  .withColumn("x_ord", F.col("x_ord").cast("long")).withColumn("y_ord", F.col("y_ord").cast("long")))
+
+
+@register("corr_kpis")
+def q_corr_kpis(spark, d):
+    return finish(cr.corr_kpis(cr.corr_matrix(fx.lineitem_masked(spark, d), fx.LINEITEM_CHANNELS)))
+
+
+@register("pair_fit")
+def q_pair_fit(spark, d):
+    return finish(cr.pair_fit(fx.lineitem_masked(spark, d), *PAIR))
+
+
+@register("pair_fit_strided")
+def q_pair_fit_strided(spark, d):
+    w = fx.lineitem_masked(spark, d)
+    sample = ds.stride_downsample(pj.pairwise_complete(w, *PAIR), ds.BUDGET_SCATTER, order=fx.LINEITEM_ORDER)
+    return finish(cr.pair_fit(w, *PAIR, sample=sample))
+
+
+@register("time_quartiles")
+def q_time_quartiles(spark, d):
+    return finish(cr.time_quartiles(fx.lineitem_masked(spark, d), *PAIR, order=fx.LINEITEM_ORDER))
+
+
+def lineitem_readings(spark, d):
+    return pj.unpivot(fx.lineitem_wide(spark, d), fx.LINEITEM_CHANNELS, index=fx.LINEITEM_ORDER)
+
+
+@register("histogram_40")
+def q_hist(spark, d):
+    return finish(di.histogram(lineitem_readings(spark, d), max_series=len(fx.LINEITEM_CHANNELS)))
+
+
+@register("histogram_40_events")
+def q_hist_events(spark, d):
+    return finish(di.histogram(wide_readings(spark, d), max_series=len(fx.EVENT_CHANNELS)))
+
+
+@register("box_summary")
+def q_box(spark, d):
+    return finish(di.box_summary(lineitem_readings(spark, d)))
+
+
+@register("box_summary_events")
+def q_box_events(spark, d):
+    return finish(di.box_summary(wide_readings(spark, d)))
