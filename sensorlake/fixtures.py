@@ -79,3 +79,10 @@ def orders_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.lit("o_totalprice").alias("channel"), F.col("o_orderdate").alias("ts"),
                     F.col("o_orderkey").alias("rid"), nan_to_null("o_totalprice").alias("value"))
+
+
+def load_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 load records: one record per user, samples in (ts, event_id) order, load = value."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.col("user_id").alias("record_id"), "ts", F.col("event_id").alias("rid"),
+                     nan_to_null("value").alias("load"))

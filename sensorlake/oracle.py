@@ -75,3 +75,5 @@ EVENT_CHANNELS_DIM = channels_sql(
 
 def with_ctes(body: str, **ctes: str) -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes.items()) + "\n" + body
+
+LOAD_RECORDS = ("SELECT user_id AS record_id, ts, event_id AS rid, " + nn("value") + " AS load FROM events")

@@ -380,3 +380,53 @@ BOX = """SELECT channel, round(min(value), 6) AS min, round(quantile_cont(value,
     round(max(value), 6) AS max FROM lr GROUP BY channel"""
 SQL["box_summary"] = o.with_ctes(BOX, lw=o.LINEITEM_WIDE, lr=LI_LONG)
 SQL["box_summary_events"] = o.with_ctes(BOX, **WIDE_LONG_CTES, lr="SELECT * FROM r")
+
+
+# --------------------------------------------------------------------------- load events
+REC_CTES = dict(
+    lr=o.LOAD_RECORDS,
+    p="SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ts, rid) - 1 AS pos FROM lr",
+    pk="""SELECT record_id, count(*) AS n, max(abs(load)) AS peak, arg_max(pos, (abs(load), -pos)) AS peak_pos
+          FROM p GROUP BY record_id""",
+)
+
+
+def event_window_sql(pct: float, bpct: float, minbuf: int, run: int) -> str:
+    ctes = dict(REC_CTES)
+    ctes["q"] = f"SELECT p.*, pk.n, pk.peak, pk.peak_pos, abs(load) > pk.peak * {float(pct)} AS above FROM p JOIN pk USING (record_id)"
+    ctes["g"] = """SELECT record_id, any_value(n) AS n, any_value(peak) AS peak, any_value(peak_pos) AS peak_pos,
+        count(*) FILTER (WHERE above) AS n_above, min(pos) FILTER (WHERE above) AS first_above,
+        max(pos) FILTER (WHERE above) AS last_above FROM q GROUP BY record_id"""
+    if run > 0:
+        ctes["b"] = ("SELECT *, pos - (row_number() OVER (PARTITION BY record_id ORDER BY pos) - 1) AS k "
+                     "FROM q WHERE NOT above")
+        ctes["isl"] = (f"SELECT record_id, min(pos) AS i_start, max(pos) AS i_end, any_value(peak_pos) AS peak_pos "
+                       f"FROM b GROUP BY record_id, k HAVING count(*) >= {run}")
+        ctes["e"] = """SELECT record_id, min(i_start) FILTER (WHERE i_start > peak_pos) AS e_end,
+                         max(i_end) FILTER (WHERE i_end < peak_pos) AS e_start FROM isl GROUP BY record_id"""
+        ctes["w"] = ("SELECT g.*, coalesce(e.e_start, 0) AS lo, coalesce(e.e_end, n - 1) AS hi "
+                     "FROM g LEFT JOIN e USING (record_id)")
+    else:
+        ctes["w"] = "SELECT g.*, first_above AS lo, last_above AS hi FROM g"
+    return o.with_ctes(
+        f"""SELECT record_id, n, peak_pos,
+              CASE WHEN peak <= 0 OR n_above < 5 THEN 0 ELSE greatest(0, lo - buf) END AS start,
+              CASE WHEN peak <= 0 OR n_above < 5 THEN n ELSE least(n, hi + buf) END AS "end"
+            FROM (SELECT *, greatest({minbuf}, CAST(floor(CAST(hi - lo AS DOUBLE) * {float(bpct)}) AS BIGINT)) AS buf
+                  FROM w)""", **ctes)
+
+
+SQL["event_window"] = event_window_sql(0.05, 0.15, 10, 0)
+SQL["event_window_run"] = event_window_sql(0.3, 0.15, 10, 2)
+SQL["zero_crossing"] = o.with_ctes(
+    """SELECT record_id, n, peak_pos, CASE WHEN n < 3 OR peak_pos >= n - 1 THEN NULL
+         ELSE coalesce(cr, am) END AS unload_pos
+       FROM (SELECT record_id, any_value(n) AS n, any_value(peak_pos) AS peak_pos,
+                    min(pos) FILTER (WHERE pos + 1 < n AND sign(velocity) <> sign(nxt)) AS cr,
+                    arg_min(pos, (abs(velocity), pos)) AS am
+             FROM (SELECT v.*, pk.n, pk.peak_pos FROM v JOIN pk USING (record_id)) WHERE pos >= peak_pos
+             GROUP BY record_id)""",
+    **REC_CTES,
+    v0="""SELECT *, CASE WHEN pos = 0 THEN 0.0 ELSE load - lag(load) OVER (PARTITION BY record_id ORDER BY pos) END
+             AS velocity FROM p""",
+    v="SELECT *, lead(velocity) OVER (PARTITION BY record_id ORDER BY pos) AS nxt FROM v0")

@@ -323,3 +323,17 @@ def q_box(spark, d):
 @register("box_summary_events")
 def q_box_events(spark, d):
     return finish(di.box_summary(wide_readings(spark, d)))
+
+
+# --------------------------------------------------------------------------- load events
+from sensorlake.operators import events as evo  # noqa: E402
+
+
+def _records(spark, d):
+    return evo.positions(fx.load_records(spark, d))
+
+
+register("event_window")(lambda spark, d: finish(evo.event_window(_records(spark, d))))
+register("event_window_run")(lambda spark, d: finish(
+    evo.event_window(_records(spark, d), threshold_pct=0.3, contiguous_run=2)))
+register("zero_crossing")(lambda spark, d: finish(evo.zero_crossing(evo.with_velocity(_records(spark, d)))))
