@@ -430,3 +430,82 @@ SQL["zero_crossing"] = o.with_ctes(
     v0="""SELECT *, CASE WHEN pos = 0 THEN 0.0 ELSE load - lag(load) OVER (PARTITION BY record_id ORDER BY pos) END
              AS velocity FROM p""",
     v="SELECT *, lead(velocity) OVER (PARTITION BY record_id ORDER BY pos) AS nxt FROM v0")
+
+
+# --------------------------------------------------------------------------- windows, projections, browsing
+EW_COLS = "ts, rid, " + ", ".join(f"round({b}, 6) AS {b}" for _a, b in o.EVENT_CHANNELS)
+
+
+def window_sql(interval: str) -> str:
+    return o.with_ctes(f"SELECT {EW_COLS} FROM ew CROSS JOIN b WHERE ew.ts >= b.lo AND ew.ts <= b.hi",
+                       ew=o.EVENTS_WIDE,
+                       b=f"SELECT greatest(min(ts), max(ts) - INTERVAL {interval}) AS lo, max(ts) AS hi FROM ew")
+
+
+SQL["window_24h"] = window_sql("24 HOUR")
+SQL["window_7d"] = window_sql("7 DAY")
+SQL["window_30d"] = window_sql("30 DAY")
+SQL["window_custom"] = o.with_ctes(
+    f"SELECT {EW_COLS} FROM ew WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 23:59:59'",
+    ew=o.EVENTS_WIDE)
+SQL["window_bounds_7d"] = o.with_ctes(
+    "SELECT greatest(min(ts), max(ts) - INTERVAL 7 DAY) AS lo, max(ts) AS hi FROM r", r=o.EVENTS_LONG)
+SQL["window_share_7d"] = o.with_ctes(
+    """SELECT count(*) FILTER (WHERE ts >= b.lo AND ts <= b.hi) AS n_in_window, count(*) AS n_total,
+        round(count(*) FILTER (WHERE ts >= b.lo AND ts <= b.hi) * 100.0 / greatest(count(*), 1), 6) AS share_pct,
+        'Last 7d' AS label, any_value(b.lo) AS lo, any_value(b.hi) AS hi
+      FROM ew CROSS JOIN b""",
+    ew=o.EVENTS_WIDE, b="SELECT greatest(min(ts), max(ts) - INTERVAL 7 DAY) AS lo, max(ts) AS hi FROM ew")
+SQL["window_share_custom"] = o.with_ctes(
+    """SELECT count(*) FILTER (WHERE ts >= lo AND ts <= hi) AS n_in_window, count(*) AS n_total,
+        round(count(*) FILTER (WHERE ts >= lo AND ts <= hi) * 100.0 / greatest(count(*), 1), 6) AS share_pct,
+        '2024-01-10 00:00 → 2024-01-12 23:59' AS label, any_value(lo) AS lo, any_value(hi) AS hi
+      FROM ew CROSS JOIN (SELECT TIMESTAMP '2024-01-10 00:00:00' AS lo, TIMESTAMP '2024-01-12 23:59:59' AS hi)""",
+    ew=o.EVENTS_WIDE)
+SQL["project_channels"] = o.with_ctes("SELECT ts, rid, round(LVDT1, 6) AS LVDT1, round(VWP1, 6) AS VWP1 FROM ew",
+                                      ew=o.EVENTS_WIDE)
+SQL["unpivot"] = o.with_ctes("SELECT ts, rid, channel, round(value, 6) AS value FROM r", **WIDE_LONG_CTES)
+SQL["days_axis"] = o.with_ctes(
+    "SELECT ts, rid, round(date_diff('microsecond', (SELECT min(ts) FROM ew), ts) / 86400000000.0, 6) AS days FROM ew",
+    ew=o.EVENTS_WIDE)
+SQL["scale_unit"] = o.with_ctes(
+    "SELECT r.channel, r.ts, r.rid, round(r.value * CASE WHEN c.unit = 'mm' THEN 1000.0 ELSE 1.0 END, 6) AS value "
+    "FROM r JOIN c USING (channel)", r=o.EVENTS_LONG, c=o.EVENT_CHANNELS_DIM)
+SQL["axis_route"] = o.with_ctes(
+    """SELECT pick, channel, unit, axis, y_left, coalesce(y_right, '') AS y_right, n_left, n_right FROM (
+        SELECT *, arg_min(CASE WHEN axis = 'right' THEN unit END, CASE WHEN axis = 'right' THEN pick END) OVER () AS y_right,
+               count(*) FILTER (WHERE axis = 'left') OVER () AS n_left,
+               count(*) FILTER (WHERE axis = 'right') OVER () AS n_right
+        FROM (SELECT *, CASE WHEN unit = y_left THEN 'left' ELSE 'right' END AS axis FROM (
+              SELECT dc.pick - 1 AS pick, c.channel, c.unit, arg_min(c.unit, dc.pick) OVER () AS y_left
+              FROM dc JOIN c USING (channel))))""",
+    c=o.EVENT_CHANNELS_DIM, dc=DEFAULT_CH)
+EV_OUT = "event_id, ts, user_id, event_type, round(value, 6) AS value, props"
+SQL["row_search"] = (f"SELECT {EV_OUT} FROM events WHERE "
+                     + " AND ".join("(" + " OR ".join(
+                         f"regexp_matches(coalesce(CAST({c} AS VARCHAR), 'nan'), '{n}', 'i')"
+                         for c in ("event_id", "user_id", "event_type", "props")) + ")" for n in ("CLICK", "7")))
+SQL["row_search_literal"] = (f"SELECT {EV_OUT} FROM events WHERE "
+                             + "(contains(lower(coalesce(event_type, 'nan')), '\"k\":') "
+                               "OR contains(lower(coalesce(props, 'nan')), '\"k\":')) AND "
+                             + "(contains(lower(coalesce(event_type, 'nan')), '1') OR contains(lower(coalesce(props, 'nan')), '1'))")
+SQL["sort_ts"] = o.with_ctes(f"SELECT {EW_COLS} FROM ew ORDER BY ts, rid", ew=o.EVENTS_WIDE)
+SQL["head_n"] = o.with_ctes(f"SELECT {EW_COLS} FROM ew ORDER BY ts, rid LIMIT 100", ew=o.EVENTS_WIDE)
+
+
+def page_sql(rel: str, page: int, cols: str, size: int = 20) -> str:
+    return o.with_ctes(
+        f"""SELECT pos + 1 AS row_num, pg AS page, pages AS total_pages, total AS total_rows, {cols}
+            FROM (SELECT *, row_number() OVER (ORDER BY ts, rid) - 1 AS pos FROM src) CROSS JOIN m
+            WHERE pos >= (pg - 1) * {size} AND pos < least(pg * {size}, total)""",
+        src=rel,
+        m0=f"SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / {float(size)}) AS BIGINT)) AS pages FROM src",
+        m=f"SELECT total, pages, greatest(1, least({page}, pages)) AS pg FROM m0")
+
+
+SQL["page_rows"] = page_sql(o.EVENTS_WIDE, 3, EW_COLS)
+SQL["page_rows_last"] = page_sql(o.EVENTS_WIDE, 10 ** 9, EW_COLS)
+SQL["page_rows_search"] = page_sql(
+    "SELECT event_id AS rid, ts, user_id, event_type, value, props FROM events "
+    "WHERE regexp_matches(coalesce(event_type, 'nan'), 'view', 'i')", 2,
+    "rid, ts, user_id, event_type, round(value, 6) AS value, props")

@@ -337,3 +337,109 @@ register("event_window")(lambda spark, d: finish(evo.event_window(_records(spark
 register("event_window_run")(lambda spark, d: finish(
     evo.event_window(_records(spark, d), threshold_pct=0.3, contiguous_run=2)))
 register("zero_crossing")(lambda spark, d: finish(evo.zero_crossing(evo.with_velocity(_records(spark, d)))))
+
+
+# --------------------------------------------------------------------------- windows, projections, browsing
+from sensorlake.operators import browse as br  # noqa: E402
+
+CUSTOM_FROM, CUSTOM_TO = "2024-01-10", "2024-01-12"
+
+
+def _wide_out(df):
+    return finish(df)
+
+
+for _p in ("24h", "7d", "30d"):
+    register(f"window_{_p}")((lambda p: lambda spark, d: _wide_out(tw.apply_window(fx.events_wide(spark, d), p)))(_p))
+
+
+@register("window_custom")
+def q_window_custom(spark, d):
+    f, t = tw.custom_range(CUSTOM_FROM, CUSTOM_TO)
+    return _wide_out(tw.apply_window(fx.events_wide(spark, d), "custom", f, t))
+
+
+@register("window_bounds_7d")
+def q_window_bounds(spark, d):
+    return tw.bounds_frame(fx.events_long(spark, d), "7d")
+
+
+@register("window_share_7d")
+def q_window_share(spark, d):
+    return finish(tw.window_share(fx.events_wide(spark, d), "7d"))
+
+
+@register("window_share_custom")
+def q_window_share_custom(spark, d):
+    f, t = tw.custom_range(CUSTOM_FROM, CUSTOM_TO)
+    return finish(tw.window_share(fx.events_wide(spark, d), "custom", f, t))
+
+
+@register("project_channels")
+def q_project(spark, d):
+    return finish(pj.project_channels(fx.events_wide(spark, d), ["LVDT1", "VWP1"]))
+
+
+@register("unpivot")
+def q_unpivot(spark, d):
+    return finish(wide_readings(spark, d))
+
+
+@register("days_axis")
+def q_days_axis(spark, d):
+    return finish(pj.days_axis(fx.events_wide(spark, d)).select("ts", "rid", "days"))
+
+
+@register("scale_unit")
+def q_scale_unit(spark, d):
+    """Displacement channels shown in µm: factor 1000 where the unit is mm."""
+    r = fx.events_long(spark, d)
+    c = event_channels(spark, d).select("channel", F.when(F.col("unit") == "mm", 1000.0).otherwise(1.0).alias("factor"))
+    return finish(pj.scale_unit(r.join(F.broadcast(c), "channel"), "factor").drop("factor"))
+
+
+@register("axis_route")
+def q_axis_route(spark, d):
+    c = event_channels(spark, d)
+    picked = [r["channel"] for r in ch.default_channels(c).orderBy("pick").collect()]
+    return ch.axis_route(c, picked).withColumn("pick", F.col("pick").cast("long"))
+
+
+@register("row_search")
+def q_row_search(spark, d):
+    ev = fx.table(spark, d, "events")
+    return finish(br.row_search(ev, "CLICK 7", columns=["event_id", "user_id", "event_type", "props"]))
+
+
+@register("row_search_literal")
+def q_row_search_literal(spark, d):
+    ev = fx.table(spark, d, "events")
+    return finish(br.row_search(ev, '"k": 1', columns=["event_type", "props"], regex=False))
+
+
+@register("sort_ts")
+def q_sort_ts(spark, d):
+    return finish(br.sort_ts(fx.events_wide(spark, d)))
+
+
+@register("head_n")
+def q_head(spark, d):
+    return finish(br.head_n(fx.events_wide(spark, d), 100))
+
+
+@register("page_rows")
+def q_page(spark, d):
+    return finish(br.page_rows(fx.events_wide(spark, d), 3))
+
+
+@register("page_rows_last")
+def q_page_last(spark, d):
+    """A page past the end is clamped to the last page."""
+    return finish(br.page_rows(fx.events_wide(spark, d), 10 ** 9))
+
+
+@register("page_rows_search")
+def q_page_search(spark, d):
+    ev = fx.table(spark, d, "events")
+    hits = br.row_search(ev, "view", columns=["event_type"]).withColumnRenamed("event_id", "rid")
+    return finish(br.page_rows(hits, 2))
