@@ -509,3 +509,71 @@ SQL["page_rows_search"] = page_sql(
     "SELECT event_id AS rid, ts, user_id, event_type, value, props FROM events "
     "WHERE regexp_matches(coalesce(event_type, 'nan'), 'view', 'i')", 2,
     "rid, ts, user_id, event_type, round(value, 6) AS value, props")
+
+
+# --------------------------------------------------------------------------- sources, sinks, catalog
+from sensorlake.functions.numeric import NUMBER_PATTERN  # noqa: E402
+
+
+def coerce_sql(x: str) -> str:
+    return f"CASE WHEN regexp_matches(trim({x}), '{NUMBER_PATTERN}') THEN TRY_CAST(trim({x}) AS DOUBLE) END"
+
+
+SQL["scan_parquet"] = "SELECT event_id, ts, user_id, event_type, round(value, 6) AS value, props FROM events"
+SQL["coerce_numeric"] = (f"SELECT event_id, round({coerce_sql('props')}, 6) AS props_num, "
+                         f"round({coerce_sql(chr(39) + chr(39) + ' || regexp_extract(props, ' + chr(39) + '[0-9]+' + chr(39) + ')')}, 6) AS digits_num, "
+                         f"round({coerce_sql('CAST(value AS VARCHAR)')}, 6) AS value_num FROM events")
+SQL["parse_ts"] = ("SELECT event_id, TRY_CAST(CAST(ts AS VARCHAR) AS TIMESTAMP) AS ts_parsed, "
+                   "TRY_CAST(props AS TIMESTAMP) AS junk_parsed FROM events")
+SQL["load_readings"] = o.with_ctes(f"SELECT {EW_COLS} FROM ew", ew=o.EVENTS_WIDE)
+SQL["roundtrip_parquet"] = SQL["load_readings"]
+SQL["ingest_csv"] = SQL["load_readings"]
+SQL["ingest_pipeline"] = ("SELECT 'events_wide_2024' AS table_name, 'events wide 2024.csv' AS source_filename, "
+                          "count(*) AS row_count, CAST(7 AS BIGINT) AS column_count, "
+                          "'ts,rid," + ",".join(b for _a, b in o.EVENT_CHANNELS) + "' AS column_names FROM events")
+SQL["describe_schema"] = """SELECT column_name AS name, CAST(ordinal_position - 1 AS BIGINT) AS ordinal,
+    data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT', 'HUGEINT') OR data_type LIKE 'DECIMAL%'
+      AS is_numeric,
+    data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' AS is_temporal
+  FROM information_schema.columns WHERE table_name = 'events'"""
+SQL["row_count"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations").split())
+SQL["custom_sql"] = o.with_ctes("SELECT channel, count(*) AS n, round(avg(value), 6) AS mean FROM r GROUP BY channel",
+                                r=o.EVENTS_LONG)
+
+
+def dataset_name_sql(x: str) -> str:
+    s = f"regexp_replace({x}, '[^A-Za-z0-9_]+', '_', 'g')"
+    s = f"regexp_replace({s}, '_+', '_', 'g')"
+    s = f"regexp_replace({s}, '^_+|_+$', '', 'g')"
+    s = f"(CASE WHEN length({s}) = 0 THEN 'table' ELSE {s} END)"
+    s = f"(CASE WHEN regexp_matches({s}, '^[0-9]') THEN '_' || {s} ELSE {s} END)"
+    return f"lower({s})"
+
+
+SQL["dataset_name"] = f"SELECT page_id, {dataset_name_sql('url')} AS table_name FROM pages"
+SQL["catalog_latest"] = o.with_ctes(
+    """SELECT table_name, source_filename, parquet_path, ingested_at, rank, rank = 1 AS is_active FROM (
+        SELECT *, row_number() OVER (ORDER BY ingested_at DESC, table_name DESC) AS rank FROM (
+          SELECT table_name, arg_max(source_filename, ingested_at) AS source_filename,
+                 arg_max(parquet_path, ingested_at) AS parquet_path, max(ingested_at) AS ingested_at
+          FROM cat GROUP BY table_name))""",
+    cat=f"""SELECT {dataset_name_sql('props')} AS table_name, event_type || '.csv' AS source_filename,
+              '/data/' || CAST(event_id AS VARCHAR) || '.parquet' AS parquet_path, ts AS ingested_at FROM events""")
+LISTING = ("SELECT table_name, column_name, ordinal_position AS ordinal FROM information_schema.columns WHERE table_name IN ("
+           + ", ".join(f"'{t}'" for t in ("region nation customer supplier part orders lineitem events documents "
+                                          "embeddings pages benchmark labels conversations").split()) + ")")
+_CANDS = ["timestamp", "time", "date", "datetime", "ts", "column0"]
+_EXACT = "CASE " + " ".join(f"WHEN lower(column_name) = '{c}' THEN {i}" for i, c in enumerate(_CANDS)) + " END"
+_SUB = "CASE " + " ".join(f"WHEN contains(lower(column_name), '{c}') THEN {100 + i}" for i, c in enumerate(_CANDS)) + " END"
+SQL["pick_time_col"] = o.with_ctes(
+    """SELECT table_name, arg_min(column_name, (score, ordinal)) AS time_column,
+        CASE WHEN min(score) < 100 THEN 'exact' WHEN min(score) < 1000 THEN 'substring' ELSE 'first' END AS rule
+      FROM (SELECT *, coalesce(""" + _EXACT + ", " + _SUB + """, 1000) AS score FROM ls) GROUP BY table_name""",
+    ls=LISTING)
+SQL["normalise_headers"] = o.with_ctes(
+    """SELECT table_name, CAST(ordinal AS BIGINT) AS ordinal,
+        CASE WHEN length(trim(column_name)) = 0 OR starts_with(lower(trim(column_name)), 'unnamed:')
+             THEN CASE WHEN ordinal = 1 THEN 'timestamp' ELSE 'col_' || CAST(ordinal - 1 AS VARCHAR) END
+             ELSE trim(column_name) END AS name FROM ls""", ls=LISTING)

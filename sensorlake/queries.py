@@ -443,3 +443,143 @@ def q_page_search(spark, d):
     ev = fx.table(spark, d, "events")
     hits = br.row_search(ev, "view", columns=["event_type"]).withColumnRenamed("event_id", "rid")
     return finish(br.page_rows(hits, 2))
+
+
+# --------------------------------------------------------------------------- sources, sinks, catalog
+import uuid  # noqa: E402
+
+from sensorlake.functions.numeric import coerce_numeric  # noqa: E402
+from sensorlake.functions.timefns import parse_ts  # noqa: E402
+from sensorlake.session import ensure_checkpoint_dir  # noqa: E402
+from sensorlake.sources import catalog as cg  # noqa: E402
+from sensorlake.sources import files as fl  # noqa: E402
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
+          "benchmark labels conversations").split()
+
+
+def scratch(spark, tag: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sensorlake-scratch/{tag}-{uuid.uuid4().hex}"
+
+
+def _wide_typed(df):
+    return finish(df.select("ts", F.col("rid").cast("long").alias("rid"),
+                            *[F.col(c).cast("double").alias(c) for c in fx.EVENT_CHANNEL_NAMES]))
+
+
+@register("scan_parquet")
+def q_scan(spark, d):
+    return finish(fl.scan_parquet(spark, f"{d}/events.parquet"))
+
+
+@register("coerce_numeric")
+def q_coerce(spark, d):
+    ev = fx.table(spark, d, "events")
+    return finish(ev.select("event_id", coerce_numeric("props").alias("props_num"),
+                            coerce_numeric(F.regexp_extract("props", r"[0-9]+", 0)).alias("digits_num"),
+                            coerce_numeric(F.col("value").cast("string")).alias("value_num")))
+
+
+@register("parse_ts")
+def q_parse_ts(spark, d):
+    ev = fx.table(spark, d, "events")
+    return ev.select("event_id", parse_ts(F.col("ts").cast("string")).alias("ts_parsed"),
+                     parse_ts("props").alias("junk_parsed"))
+
+
+@register("load_readings")
+def q_load(spark, d):
+    w = fx.events_wide(spark, d)
+    text = w.select(*[F.col(c).cast("string").alias(c) for c in w.columns])
+    frame, _kind = fl.load_readings(text, "ts")
+    return _wide_typed(frame)
+
+
+@register("roundtrip_parquet")
+def q_roundtrip(spark, d):
+    dest = fl.write_parquet(fx.events_wide(spark, d), scratch(spark, "parquet"))
+    return finish(fl.scan_parquet(spark, dest))
+
+
+@register("ingest_csv")
+def q_ingest_csv(spark, d):
+    dest = fl.export_csv(fx.events_wide(spark, d), scratch(spark, "csv"))
+    raw = fl.read_delimited(spark, dest + "/*.csv")
+    frame, _kind = fl.load_readings(raw, "ts")
+    return _wide_typed(frame)
+
+
+@register("ingest_pipeline")
+def q_ingest_pipeline(spark, d):
+    src = fl.export_csv(fx.events_wide(spark, d), scratch(spark, "src") + "/events wide 2024.csv", single_file=True)
+    data, row = cg.ingest_file(spark, src, scratch(spark, "ingest"))
+    return row.select("table_name", "source_filename", "row_count", F.col("column_count").cast("long").alias("column_count"),
+                      F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("column_names"))
+
+
+@register("describe_schema")
+def q_describe(spark, d):
+    s = cg.describe_schema(fx.table(spark, d, "events"))
+    return s.select("name", F.col("ordinal").cast("long").alias("ordinal"), "is_numeric", "is_temporal")
+
+
+@register("row_count")
+def q_row_count(spark, d):
+    parts = [cg.row_count(fx.table(spark, d, t)).select(F.lit(t).alias("table_name"), "row_count") for t in TABLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("custom_sql")
+def q_custom_sql(spark, d):
+    cg.register_view(fx.events_long(spark, d), "sensorlake_readings")
+    return cg.custom_sql(spark, "SELECT channel, count(*) AS n, round(avg(value), 6) AS mean "
+                                "FROM sensorlake_readings GROUP BY channel")
+
+
+@register("dataset_name")
+def q_dataset_name(spark, d):
+    return fx.table(spark, d, "pages").select("page_id", cg.dataset_name("url").alias("table_name"))
+
+
+def _catalog_from_events(spark, d):
+    ev = fx.table(spark, d, "events")
+    return ev.select(cg.dataset_name("props").alias("table_name"),
+                     F.concat(F.col("event_type"), F.lit(".csv")).alias("source_filename"),
+                     F.concat(F.lit("/data/"), F.col("event_id").cast("string"), F.lit(".parquet")).alias("parquet_path"),
+                     F.col("ts").alias("ingested_at"))
+
+
+@register("catalog_latest")
+def q_catalog_latest(spark, d):
+    return cg.catalog_latest(_catalog_from_events(spark, d))
+
+
+def _schema_listing(spark, d):
+    rows = []
+    for t in TABLES:
+        for i, f in enumerate(fx.table(spark, d, t).schema.fields):
+            rows.append((t, f.name, i + 1))
+    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int")
+
+
+@register("pick_time_col")
+def q_pick_time_col(spark, d):
+    return ch.pick_time_column(_schema_listing(spark, d))
+
+
+@register("normalise_headers")
+def q_normalise_headers(spark, d):
+    s = _schema_listing(spark, d)
+    return s.select("table_name", F.col("ordinal").cast("long").alias("ordinal"),
+                    fl.normalise_header_col("column_name", F.col("ordinal") - 1).alias("name"))
+
+
+@register("list_views")
+def q_list_views(spark, d):
+    for t in ("events", "orders", "lineitem"):
+        cg.register_view(fx.table(spark, d, t), f"sensorlake_view_{t}")
+    return cg.list_views(spark, "sensorlake_view_")
