@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlake.operators.stats import ANOMALY_NEG, ANOMALY_WARN, signal_high_bad
-from sensorlake.plans.ranking import halo_window, with_position
+from sensorlake.plans.ranking import halo_method, halo_window, pos_method, with_position
 
 
 def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3.0,
                       keys: Sequence[str] = ("channel",), order: Sequence[str] = ("ts", "rid"),
-                      value: str = "value", method: str = "chunk", chunk: int | None = None,
+                      value: str = "value", method: str = "auto", chunk: int | None = None,
                       max_series: int | None = None) -> DataFrame:
     """Adds ``pos`` and ``is_anomaly``: |x − μ| > σ·sd over the centred frame
     [pos − window//2, pos + (window−1)//2] (missing samples take up places),
@@ -26,8 +26,8 @@ def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3
     are all equal never flags (guards float noise in avg/stddev). Missing
     samples, window < 5, sigma <= 0 -> False."""
     keys, order = list(keys), list(order)
-    pos_method = "window" if method == "plain" else "range"
-    p = with_position(readings, keys, order, method=pos_method, max_series=max_series)
+    pm = pos_method(method)
+    p = with_position(readings, keys, order, method=pm, max_series=max_series)
     if window < 5 or sigma <= 0:
         return p.withColumn("is_anomaly", F.lit(False))
     lo, hi = window // 2, (window - 1) // 2
@@ -35,7 +35,7 @@ def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3
     v = F.col(value)
     h = halo_window(p, keys, "pos", lo, hi, {
         "_cnt": F.count(v), "_mu": F.avg(v), "_sd": F.stddev_samp(v), "_mx": F.max(v), "_mn": F.min(v)},
-        chunk=chunk, method="plain" if method == "plain" else "chunk")
+        chunk=chunk, method=halo_method(method))
     flag = (v.isNotNull() & (F.col("_cnt") >= minp) & F.col("_sd").isNotNull()
             & ((F.col("_mx") - F.col("_mn")) > 0)
             & (F.abs(v - F.col("_mu")) > F.lit(float(sigma)) * F.col("_sd")))

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import with_position
+from sensorlake.plans.ranking import pos_method, with_position
 
 PAGE_SIZE = 20  # fixed value: rows per page
 
@@ -57,14 +57,14 @@ def page_bounds(total: int, page: int, size: int = PAGE_SIZE) -> tuple[int, int,
 
 
 def page_rows(df: DataFrame, page: int, *, size: int = PAGE_SIZE, order: Sequence[str] = ("ts", "rid"),
-              method: str = "range") -> DataFrame:
+              method: str = "auto") -> DataFrame:
     """Rows of one page with their 1-based row number and page metadata.
 
     Positions come from the distributed ranking, so a deep page costs the same
     as the first (no offset scan through one task)."""
     total = df.count()
     p, pages, start, end = page_bounds(total, page, size)
-    pos = with_position(df, [], list(order), method="window" if method == "plain" else "range")
+    pos = with_position(df, [], list(order), method=pos_method(method))
     rows = pos.where((F.col("pos") >= start) & (F.col("pos") < end))
     return rows.select(
         (F.col("pos") + 1).alias("row_num"), F.lit(p).cast("long").alias("page"),

@@ -39,11 +39,14 @@ def histogram(readings: DataFrame, bins: int = HIST_BINS, *, keys: Sequence[str]
 
     b = v.join(side, keys)
     i0 = ((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))).cast("long")
-    i0 = F.when(i0 == bins, F.lit(bins - 1)).otherwise(i0)
-    b = b.withColumn("_i", i0)
-    b = b.withColumn("_i", F.when(x < edge(F.col("_i")), F.col("_i") - 1).otherwise(F.col("_i")))
-    b = b.withColumn("_i", F.when((x >= edge(F.col("_i") + 1)) & (F.col("_i") != bins - 1), F.col("_i") + 1)
-                     .otherwise(F.col("_i")))
+    b = b.withColumn("_i0", F.least(i0, F.lit(bins - 1)))
+    # numpy's two fix-ups in one step: after a decrement the increment test is
+    # x >= edge(i0), already false, so the two cases never combine.
+    i = (F.when(x < edge(F.col("_i0")), F.col("_i0") - 1)
+         .when((x >= edge(F.col("_i0") + 1)) & (F.col("_i0") != bins - 1), F.col("_i0") + 1)
+         .otherwise(F.col("_i0")))
+    # non-null: keeps the optimizer from inferring (and inlining) an IS NOT NULL filter
+    b = b.withColumn("_i", F.coalesce(i, F.lit(-1).cast("long")))
     counts = b.groupBy(*keys, F.col("_i").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spine = rng.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     out = spine.join(counts, keys + ["bin"], "left")
@@ -52,7 +55,7 @@ def histogram(readings: DataFrame, bins: int = HIST_BINS, *, keys: Sequence[str]
 
 
 def box_summary(readings: DataFrame, *, keys: Sequence[str] = ("channel",), value: str = "value",
-                method: str = "range") -> DataFrame:
+                method: str = "auto") -> DataFrame:
     """Per series: min, q1, median, q3, max (linear interpolation, exact).
     Series without any valid value are kept with NULLs."""
     keys = list(keys)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import BROADCAST_ROWS, with_position
+from sensorlake.plans.ranking import BROADCAST_ROWS, pos_method, with_position
 
 # Point budgets of the original charts.
 BUDGET_OVERVIEW = 2000
@@ -50,9 +50,9 @@ def stride_pick(df: DataFrame, n: int, *, keys: Sequence[str] = (), pos: str = "
 
 
 def stride_downsample(df: DataFrame, n: int, *, keys: Sequence[str] = (), order: Sequence[str] = ("ts", "rid"),
-                      method: str = "range", max_series: int | None = None) -> DataFrame:
+                      method: str = "auto", max_series: int | None = None) -> DataFrame:
     """Uniform-stride pick of n of N rows per series in ``order`` (adds pos, k)."""
-    p = with_position(df, list(keys), list(order), method="window" if method == "plain" else "range",
+    p = with_position(df, list(keys), list(order), method=pos_method(method),
                       max_series=max_series)
     return stride_pick(p, n, keys=keys, max_series=max_series)
 

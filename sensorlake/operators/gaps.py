@@ -17,18 +17,18 @@ from sensorlake.functions.timefns import ntz_lit
 
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ts_micros
 from sensorlake.operators.stats import COVERAGE_POS, COVERAGE_WARN, signal_high_good
-from sensorlake.plans.ranking import with_position
+from sensorlake.plans.ranking import pos_method, with_position
 
 MIN_GAP_SAMPLES = 3  # fixed value: shorter missing runs are not outages
 
 
 def gap_segments(readings: DataFrame, *, min_len: int = MIN_GAP_SAMPLES, keys: Sequence[str] = ("channel",),
                  order: Sequence[str] = ("ts", "rid"), ts: str = "ts", value: str = "value",
-                 method: str = "range", max_series: int | None = None) -> DataFrame:
+                 method: str = "auto", max_series: int | None = None) -> DataFrame:
     """One row per run of ≥ min_len consecutive missing samples:
     keys, start_pos, end_pos, start_ts, end_ts, n, dur_us (= end_ts − start_ts)."""
     keys, order = list(keys), list(order)
-    m = "window" if method == "plain" else "range"
+    m = pos_method(method)
     p = with_position(readings.select(*keys, *order, value), keys, order, method=m, max_series=max_series)
     miss = p.where(F.col(value).isNull()).select(*keys, ts, "pos")
     mp = with_position(miss, keys, ["pos"], pos="mpos", method=m, max_series=max_series)

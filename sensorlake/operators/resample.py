@@ -72,7 +72,7 @@ def spine(readings: DataFrame, n_bins: int, *, keys: Sequence[str] = ("channel",
 def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str] = ("mean",), *,
                   keys: Sequence[str] = ("channel",), ts: str = "ts", order: Sequence[str] = ("ts", "rid"),
                   value: str = "value", origin=None, last=None, fill: bool = True,
-                  median_method: str = "range") -> DataFrame:
+                  median_method: str = "auto") -> DataFrame:
     """Several aggregates per (series, bin): columns keys + [ts] + aggs.
 
     Unknown rule or "raw" -> the readings themselves (column ``value`` per agg);

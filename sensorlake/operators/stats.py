@@ -149,22 +149,22 @@ def drift_kpis(stats: DataFrame, channels: DataFrame, n_daily_bins: int | Column
 
 
 def median_step(frame: DataFrame, *, order: Sequence[str] = ("ts", "rid"), ts: str = "ts",
-                keys: Sequence[str] = (), method: str = "range") -> DataFrame:
+                keys: Sequence[str] = (), method: str = "auto") -> DataFrame:
     """Median gap between consecutive samples of the frame, in minutes (exact).
 
     Previous-row time via positions + a 1-row halo (no single-partition lag),
     then the distributed exact median of the micro-second gaps.
     """
-    from sensorlake.plans.ranking import exact_percentiles, halo_window, with_position
+    from sensorlake.plans.ranking import exact_percentiles, halo_method, halo_window, pct_method, pos_method, with_position
     from sensorlake.functions.timefns import micros_between
     keys = list(keys)
     f = frame.select(*keys, *order)
-    p = with_position(f, keys, list(order), method="window" if method == "plain" else "range")
+    p = with_position(f, keys, list(order), method=pos_method(method))
     h = halo_window(p, keys, "pos", 1, 0, {"_prev": F.min_by(F.col(ts), F.col("pos"))},
-                    method="plain" if method == "plain" else "chunk")
+                    method=halo_method(method))
     d = h.where(F.col("pos") > 0).withColumn("step_us", micros_between(F.col("_prev"), F.col(ts)).cast("double"))
     m = exact_percentiles(d, keys, "step_us", [0.5], names=["median_us"],
-                          method="builtin" if method == "plain" else "range")
+                          method=pct_method(method))
     return m.select(*keys, (F.col("median_us") / 60e6).alias("median_step_min"))
 
 

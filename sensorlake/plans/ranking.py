@@ -36,6 +36,16 @@ from pyspark.sql import types as T
 # Broadcast the (bucket, series) offset table only under this row bound.
 BROADCAST_ROWS = 2_000_000
 SAMPLE_PER_BUCKET = 64
+# method="auto": inputs of at most this many rows (all series together) take the
+# single-window path — one task then holds at most this many rows, a bounded
+# amount; larger inputs take the distributed path.
+SMALL_ROWS = 2_000_000
+
+
+def small_input(df: DataFrame, limit: int | None = None) -> bool:
+    """True when ``df`` has at most ``limit`` rows (stops counting past the limit)."""
+    limit = SMALL_ROWS if limit is None else limit
+    return df.limit(limit + 1).count() <= limit
 
 
 def _parts(df: DataFrame, partitions: int | None) -> int:
@@ -101,17 +111,19 @@ def range_buckets(df: DataFrame, cols: Sequence[str], partitions: int | None = N
 
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, pos: str = "pos",
-                  method: str = "range", partitions: int | None = None,
+                  method: str = "auto", partitions: int | None = None,
                   max_series: int | None = None) -> DataFrame:
     """Add ``pos`` = 0-based rank of the row inside its series by ``order``.
 
     ``order`` must be a total order within a series (e.g. ts, rid).
-    ``method="window"`` is the plain single-partition-per-series path used
-    to cross-check the distributed one on small data.
+    ``method``: "range" (distributed), "window" (one window per series: the
+    small-data path, also used to cross-check), "auto" (by input size).
     ``max_series`` is a proven upper bound on the number of series (e.g. the
     number of channel columns); it allows broadcasting the offset table.
     """
     keys, order = list(keys), list(order)
+    if method == "auto":
+        method = "window" if small_input(df) else "range"
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(pos, (F.row_number().over(w) - 1).cast("long"))
@@ -162,16 +174,19 @@ def halo_window(df: DataFrame, keys: Sequence[str], pos: str, lo: int, hi: int,
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
                       names: Sequence[str] | None = None, partitions: int | None = None,
-                      max_groups: int | None = None, method: str = "range") -> DataFrame:
+                      max_groups: int | None = None, method: str = "auto") -> DataFrame:
     """Exact percentiles (linear interpolation, as numpy / SQL quantile_cont).
 
     Returns one row per group that has at least one non-NULL ``value`` with
     columns ``keys + names``. ``method="builtin"`` uses Spark's ``percentile``
-    aggregate (one hash map of all distinct values per group: small data only).
+    aggregate (one hash map of all distinct values per group: small data only);
+    "range" is distributed; "auto" picks by input size.
     """
     keys = list(keys)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     v = df.where(F.col(value).isNotNull())
+    if method == "auto":
+        method = "builtin" if small_input(v) else "range"
     if method == "builtin":
         return v.groupBy(*keys).agg(*[
             F.percentile(F.col(value), F.lit(float(p))).alias(n) for p, n in zip(probs, names)])
@@ -213,3 +228,16 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         (F.col(f"_{n}_v0") + F.col(f"_{n}_f") * (F.col(f"_{n}_v1") - F.col(f"_{n}_v0"))).alias(n)
         for n in names])
     return out
+
+
+# Operator-level switch: "auto" (by size), "plain" (one window per series), "distributed".
+def pos_method(m: str) -> str:
+    return {"plain": "window", "distributed": "range"}.get(m, "auto")
+
+
+def pct_method(m: str) -> str:
+    return {"plain": "builtin", "distributed": "range"}.get(m, "auto")
+
+
+def halo_method(m: str) -> str:
+    return "plain" if m == "plain" else "chunk"
