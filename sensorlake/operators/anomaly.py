@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlake.operators.stats import ANOMALY_NEG, ANOMALY_WARN, signal_high_bad
-from sensorlake.plans.ranking import halo_method, halo_window, pos_method, with_position
+from sensorlake.plans.ranking import halo_method, pos_method, rolling_stats, with_position
 
 
 def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3.0,
@@ -33,13 +33,12 @@ def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3
     lo, hi = window // 2, (window - 1) // 2
     minp = max(5, window // 4)
     v = F.col(value)
-    h = halo_window(p, keys, "pos", lo, hi, {
-        "_cnt": F.count(v), "_mu": F.avg(v), "_sd": F.stddev_samp(v), "_mx": F.max(v), "_mn": F.min(v)},
-        chunk=chunk, method=halo_method(method))
-    flag = (v.isNotNull() & (F.col("_cnt") >= minp) & F.col("_sd").isNotNull()
-            & ((F.col("_mx") - F.col("_mn")) > 0)
-            & (F.abs(v - F.col("_mu")) > F.lit(float(sigma)) * F.col("_sd")))
-    return h.withColumn("is_anomaly", F.coalesce(flag, F.lit(False))).drop("_cnt", "_mu", "_sd", "_mx", "_mn")
+    h = rolling_stats(p, keys, "pos", value, lo, hi, chunk=chunk, method=halo_method(method), prefix="_r")
+    flag = (v.isNotNull() & (F.col("_r_cnt") >= minp) & F.col("_r_sd").isNotNull()
+            & ((F.col("_r_max") - F.col("_r_min")) > 0)
+            & (F.abs(v - F.col("_r_mean")) > F.lit(float(sigma)) * F.col("_r_sd")))
+    return h.withColumn("is_anomaly", F.coalesce(flag, F.lit(False))).drop(
+        "_r_cnt", "_r_mean", "_r_sd", "_r_max", "_r_min")
 
 
 def anomaly_summary(flags: DataFrame, *, keys: Sequence[str] = ("channel",), value: str = "value") -> DataFrame:

@@ -241,3 +241,100 @@ def pct_method(m: str) -> str:
 
 def halo_method(m: str) -> str:
     return "plain" if m == "plain" else "chunk"
+
+
+def _shift(c: Column, k: int, w: Window) -> Column:
+    """Value k rows ahead (k > 0) / behind (k < 0) in the window order."""
+    if k == 0:
+        return c
+    return F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+
+
+def _replicate(df: DataFrame, pos: str, lo: int, hi: int, c: int) -> DataFrame:
+    own = F.floor(F.col(pos) / c)
+    first = F.greatest(F.lit(0), F.floor((F.col(pos) - hi) / c))
+    last = F.floor((F.col(pos) + lo) / c)
+    return (df.withColumn("_own", own.cast("long"))
+            .withColumn("_chunk", F.explode(F.sequence(first.cast("long"), last.cast("long")))))
+
+
+# Frames of at most this many rows use Spark's sliding frame (O(n·w), cheap for
+# short frames); longer frames use the O(n log w) running-sum / doubling form.
+SLIDING_MAX_ROWS = 128
+
+
+def rolling_stats(df: DataFrame, keys: Sequence[str], pos: str, value: str, lo: int, hi: int, *,
+                  chunk: int | None = None, method: str = "chunk", prefix: str = "_r",
+                  algorithm: str = "auto") -> DataFrame:
+    """Adds count / mean / stddev_samp / max / min of ``value`` over the rows
+    with position in [pos − lo, pos + hi] of the same series, in O(n log w).
+
+    Spark's bounded sliding frames re-aggregate the whole frame for every row
+    (O(n·w)); here instead, inside each chunk partition:
+    * count, sum and sum of squares are differences of running sums read with
+      ``lead``/``lag`` (values centred on the chunk mean, for precision);
+    * max and min come from a doubling table (block maxima of 2^j rows), two
+      overlapping blocks covering the frame, and prefix / suffix maxima where the
+      frame is cut by the series start or end.
+    Output columns: {prefix}_cnt, _mean, _sd, _max, _min.
+    ``algorithm``: "sliding" (Spark frame), "log" (above), "auto" (by frame length)."""
+    keys = list(keys)
+    if algorithm == "sliding" or (algorithm == "auto" and lo + hi + 1 <= SLIDING_MAX_ROWS):
+        v = F.col(value)
+        return halo_window(df, keys, pos, lo, hi, {
+            f"{prefix}_cnt": F.count(v), f"{prefix}_mean": F.avg(v), f"{prefix}_sd": F.stddev_samp(v),
+            f"{prefix}_max": F.max(v), f"{prefix}_min": F.min(v)}, chunk=chunk, method=method)
+    if method == "plain":
+        base, part = df, keys
+    else:
+        base = _replicate(df, pos, lo, hi, chunk or chunk_size(lo, hi))
+        part = keys + ["_chunk"]
+    w_ord = Window.partitionBy(*part).orderBy(pos)
+    w_run = w_ord.rowsBetween(Window.unboundedPreceding, 0)
+    w_all = Window.partitionBy(*part)
+    w_rev = Window.partitionBy(*part).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col(value)
+    t = base.withColumn("_K", F.avg(v).over(w_all))
+    d = v - F.col("_K")
+    t = (t.withColumn("_c", F.count(v).over(w_run))
+         .withColumn("_s", F.coalesce(F.sum(d).over(w_run), F.lit(0.0)))
+         .withColumn("_q", F.coalesce(F.sum(d * d).over(w_run), F.lit(0.0))))
+    # frame sums: cum(pos+hi) - cum(pos-lo-1); beyond the series end cum stays at its last value
+    has_lo = _shift(F.col(pos), -lo, w_ord).isNotNull()
+    has_hi = _shift(F.col(pos), hi, w_ord).isNotNull()
+    t = t.withColumn("_hl", has_lo).withColumn("_hh", has_hi)
+    for c in ("_c", "_s", "_q"):
+        tot = F.max(F.col(c)).over(w_all) if c == "_c" else F.last(F.col(c)).over(
+            w_ord.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        up = F.coalesce(_shift(F.col(c), hi, w_ord), tot)
+        down = F.coalesce(_shift(F.col(c), -(lo + 1), w_ord), F.lit(0) if c == "_c" else F.lit(0.0))
+        t = t.withColumn(c + "f", up - down)
+    n = F.col("_cf")
+    mean = F.col("_K") + F.col("_sf") / n
+    var = (F.col("_qf") - F.col("_sf") * F.col("_sf") / n) / (n - 1)
+    t = (t.withColumn(f"{prefix}_cnt", n)
+         .withColumn(f"{prefix}_mean", F.when(n > 0, mean))
+         .withColumn(f"{prefix}_sd", F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))))
+    # sliding max / min: doubling table M_j(i) = max over [i, i + 2^j - 1] (max and min per level together)
+    L = lo + hi + 1
+    k = L.bit_length() - 1
+    t = t.withColumn("_a0", v).withColumn("_b0", v)
+    for j in range(k):
+        t = t.select("*", F.greatest(F.col(f"_a{j}"), _shift(F.col(f"_a{j}"), 1 << j, w_ord)).alias(f"_a{j + 1}"),
+                     F.least(F.col(f"_b{j}"), _shift(F.col(f"_b{j}"), 1 << j, w_ord)).alias(f"_b{j + 1}"))
+    t = t.select("*", F.max(v).over(w_run).alias("_pa"), F.min(v).over(w_run).alias("_pb"))
+    t = t.select("*", F.max(v).over(w_rev).alias("_sa"), F.min(v).over(w_rev).alias("_sb"))
+    sel = []
+    for fn, blk, pre, suf, whole, out in ((F.greatest, f"_a{k}", "_pa", "_sa", F.max(v), f"{prefix}_max"),
+                                          (F.least, f"_b{k}", "_pb", "_sb", F.min(v), f"{prefix}_min")):
+        inner = fn(_shift(F.col(blk), -lo, w_ord), _shift(F.col(blk), hi - (1 << k) + 1, w_ord))
+        sel.append(F.when(F.col("_hl") & F.col("_hh"), inner)
+                   .when(F.col("_hh"), _shift(F.col(pre), hi, w_ord))
+                   .when(F.col("_hl"), _shift(F.col(suf), -lo, w_ord))
+                   .otherwise(whole.over(w_all)).alias(out))
+    t = t.select("*", *sel)
+    t = t.drop(*[f"_a{j}" for j in range(k + 1)], *[f"_b{j}" for j in range(k + 1)], "_pa", "_pb", "_sa", "_sb")
+    t = t.drop("_K", "_c", "_s", "_q", "_cf", "_sf", "_qf", "_hl", "_hh")
+    if method != "plain":
+        t = t.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk")
+    return t
