@@ -1,0 +1 @@
+from oracle_check import compare, duck  # noqa: F401
