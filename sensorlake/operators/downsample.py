@@ -62,3 +62,153 @@ def envelope(wide: DataFrame, channels: Sequence[str], *, out: str = "envelope")
     parts: list[Column] = [F.abs(F.coalesce(F.col(c), F.lit(0.0))) for c in channels]
     e = parts[0] if len(parts) == 1 else F.greatest(*parts)
     return wide.withColumn(out, e)
+
+
+# ---------------------------------------------------------------------------- LTTB (D3)
+# Largest-Triangle-Three-Buckets (Steinarsson, 2013) on (row position, y):
+# keep rows 0 and N−1; split rows 1..N−2 into n_out−2 buckets like
+# numpy.array_split (the first (N−2) mod (n_out−2) buckets one row longer);
+# walk the buckets in order, picking in each the point with the largest
+# triangle against the previous pick and the next bucket's mean (first on ties).
+#
+# At scale: the area is |linear| in the candidate point, so its maximum over a
+# bucket lies on the bucket's convex hull. Stage 1 reduces every bucket to its
+# hull vertices + sums (sub-buckets of ≤ SUB_BUCKET rows, then per bucket: all
+# groups bounded); stage 2 runs the sequential walk per series on those few
+# candidates only.
+SUB_BUCKET = 100_000
+
+
+def _hull_keep(x, y):
+    """Mask of convex-hull vertices (both chains, collinear points dropped); x ascending."""
+    import numpy as np
+    n = len(x)
+    keep = np.zeros(n, dtype=bool)
+    if n <= 2:
+        keep[:] = True
+        return keep
+    for sign in (1.0, -1.0):
+        st: list[int] = []
+        for i in range(n):
+            while len(st) >= 2:
+                o, a = st[-2], st[-1]
+                cross = (x[a] - x[o]) * (y[i] - y[o]) - (y[a] - y[o]) * (x[i] - x[o])
+                if sign * cross >= 0:
+                    st.pop()
+                else:
+                    break
+            st.append(i)
+        keep[st] = True
+    return keep
+
+
+def _hulls_pdf(pdf):
+    """Hull vertices of every bucket present in one sub-chunk (stage 1).
+
+    Vectorised prefilter first: a point strictly inside the quadrilateral of
+    its bucket's leftmost, lowest, rightmost and highest points is not a hull
+    vertex; the exact monotone chain then runs on the few survivors."""
+    import numpy as np
+    pdf = pdf.sort_values(["b", "x"], kind="mergesort").reset_index(drop=True)
+    b = pdf["b"].to_numpy()
+    x = pdf["x"].to_numpy(dtype=float)
+    y = pdf["y"].to_numpy(dtype=float)
+    n = len(pdf)
+    if n == 0:
+        return pdf
+    starts = np.r_[0, np.flatnonzero(np.diff(b)) + 1]
+    ends = np.r_[starts[1:], n]
+    gid = np.repeat(np.arange(len(starts)), ends - starts)
+    grp = pdf.assign(_g=gid).groupby("_g")["y"]
+    lo_i = grp.idxmin().to_numpy()[gid]
+    hi_i = grp.idxmax().to_numpy()[gid]
+    first_i = starts[gid]
+    last_i = ends[gid] - 1
+    inside = np.ones(n, dtype=bool)
+    for a, c in ((first_i, lo_i), (lo_i, last_i), (last_i, hi_i), (hi_i, first_i)):
+        cross = (x[c] - x[a]) * (y - y[a]) - (y[c] - y[a]) * (x - x[a])
+        inside &= cross > 0
+    cand = np.flatnonzero(~inside)
+    keep = np.zeros(n, dtype=bool)
+    cb = b[cand]
+    cuts = np.flatnonzero(np.diff(cb)) + 1
+    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(cand)]):
+        idx = cand[lo:hi]
+        keep[idx[_hull_keep(x[idx], y[idx])]] = True
+    return pdf[keep]
+
+
+def _lttb_walk(pdf, n_out: int):
+    """Sequential LTTB over the candidates of one series (stage 2)."""
+    import numpy as np
+    import pandas as pd
+    first = pdf[pdf["b"] == -1].iloc[0]
+    last = pdf[pdf["b"] == n_out - 2].iloc[0]
+    cand = pdf[(pdf["b"] >= 0) & (pdf["b"] < n_out - 2)].sort_values(["b", "x"], kind="mergesort")
+    means = cand.groupby("b")[["mx", "my"]].first()
+    groups = {b: g for b, g in cand.groupby("b", sort=True)}
+    ax, ay = float(first["x"]), float(first["y"])
+    picked = [int(first["x"])]
+    for b in range(n_out - 2):
+        if b + 1 < n_out - 2:
+            cx, cy = float(means.loc[b + 1, "mx"]), float(means.loc[b + 1, "my"])
+        else:
+            cx, cy = float(last["x"]), float(last["y"])
+        g = groups[b]
+        bx, by = g["x"].to_numpy(dtype=float), g["y"].to_numpy(dtype=float)
+        area = 0.5 * np.abs((ax - cx) * (by - ay) - (ax - bx) * (cy - ay))
+        i = int(np.argmax(area))
+        ax, ay = bx[i], by[i]
+        picked.append(int(bx[i]))
+    picked.append(int(last["x"]))
+    keys = [c for c in pdf.columns if c not in ("b", "x", "y", "mx", "my")]
+    out = pd.DataFrame({"k": np.arange(len(picked), dtype="int64"), "pos": np.array(picked, dtype="int64")})
+    for kcol in keys:
+        out.insert(0, kcol, pdf[kcol].iloc[0])
+    return out
+
+
+def lttb_positions(df: DataFrame, n_out: int, *, keys: Sequence[str] = (), pos: str = "pos",
+                   y: str = "y", max_series: int | None = None) -> DataFrame:
+    """Positions picked by LTTB per series: (keys, k, pos). N ≤ n_out -> every row.
+
+    ``df`` carries 0-based contiguous positions ``pos`` per series and the value ``y``
+    (missing -> 0, as the envelope does)."""
+    keys = list(keys)
+    if n_out < 3:
+        raise ValueError("n_out must be >= 3")
+    B = n_out - 2
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_N"))
+    side = F.broadcast(counts) if (not keys or (max_series is not None and max_series <= BROADCAST_ROWS)) else counts
+    base = df.select(*keys, F.col(pos).cast("long").alias("x"),
+                     F.coalesce(F.col(y), F.lit(0.0)).cast("double").alias("y"))
+    if keys:
+        t = base.join(side, keys)
+    else:
+        row = counts.first()                 # one series: its length is one scalar
+        t = base.withColumn("_N", F.lit(row["_N"] if row is not None else 0).cast("long"))
+    small = t.where(F.col("_N") <= n_out).select(*keys, F.col("x").alias("k"), F.col("x").alias("pos"))
+    big = t.where(F.col("_N") > n_out)
+    m = F.col("_N") - 2
+    q = F.floor(m / F.lit(B)).cast("long")
+    r = (m - q * F.lit(B)).cast("long")
+    i = F.col("x") - 1
+    b = (F.when(F.col("x") == 0, F.lit(-1))
+         .when(F.col("x") == F.col("_N") - 1, F.lit(B))
+         .when(i < r * (q + 1), F.floor(i / (q + 1)))
+         .otherwise(r + F.floor((i - r * (q + 1)) / q))).cast("long")
+    big = big.withColumn("b", b).withColumn("_sb", F.floor(F.col("x") / F.lit(SUB_BUCKET)).cast("long"))
+    sums = big.groupBy(*keys, "b").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    hschema = big.select(*keys, "b", "_sb", "x", "y").schema
+    # one pandas call per (series, sub-chunk of ≤ SUB_BUCKET rows); a bucket cut by a
+    # chunk border yields two candidate sets — a superset of its hull, still exact
+    h1 = big.select(*keys, "b", "_sb", "x", "y").groupBy(*keys, "_sb").applyInPandas(_hulls_pdf, hschema)
+    cand = h1.drop("_sb").join(sums, keys + ["b"])
+    cschema = cand.select(*keys, "b", "x", "y", "mx", "my").schema
+    out_schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
+                           + ["k long", "pos long"])
+    walked = (cand.select(*[f.name for f in cschema.fields]).groupBy(*keys)
+              .applyInPandas(lambda pdf: _lttb_walk(pdf, n_out), out_schema) if keys else
+              cand.select(*[f.name for f in cschema.fields]).withColumn("_g", F.lit(0)).groupBy("_g")
+              .applyInPandas(lambda pdf: _lttb_walk(pdf.drop(columns=["_g"]), n_out), out_schema))
+    return walked.unionByName(small)

@@ -583,3 +583,17 @@ def q_list_views(spark, d):
     for t in ("events", "orders", "lineitem"):
         cg.register_view(fx.table(spark, d, t), f"sensorlake_view_{t}")
     return cg.list_views(spark, "sensorlake_view_")
+
+
+# --------------------------------------------------------------------------- LTTB (D3, D4) — rows-only check + numpy test
+from sensorlake.plans.ranking import with_position  # noqa: E402
+
+
+@register("lttb_downsample")
+def q_lttb(spark, d):
+    """Joint LTTB of the four lineitem channels: envelope max|y| over channels,
+    1,500 points (the per-series budget), same rows for every channel."""
+    w = ds.envelope(fx.lineitem_wide(spark, d), fx.LINEITEM_CHANNELS)
+    p = with_position(w, [], fx.LINEITEM_ORDER)
+    picked = ds.lttb_positions(p, ds.BUDGET_BROWSER, y="envelope")
+    return finish(p.join(picked, "pos").select("k", "pos", *fx.LINEITEM_ORDER, *fx.LINEITEM_CHANNELS, "envelope"))

@@ -136,3 +136,38 @@ def test_event_window_and_zero_crossing(spark):
         for rec, load in loads.items():
             vel = np.concatenate([[0.0], np.diff(load)])
             assert zc[rec] == zero_cross_ref(load, vel), rec
+
+
+def lttb_ref(y, n_out):
+    """Own restatement of LTTB on (index, y) with array_split buckets."""
+    n = len(y)
+    if n <= n_out:
+        return list(range(n))
+    pts = np.column_stack([np.arange(n, dtype=float), y])
+    bins = np.array_split(pts[1:n - 1], n_out - 2)
+    out = [0]
+    a = pts[0]
+    for i, b in enumerate(bins):
+        c = bins[i + 1].mean(axis=0) if i + 1 < len(bins) else pts[n - 1]
+        area = 0.5 * np.abs((a[0] - c[0]) * (b[:, 1] - a[1]) - (a[0] - b[:, 0]) * (c[1] - a[1]))
+        j = int(np.argmax(area))
+        out.append(int(b[j, 0]))
+        a = b[j]
+    out.append(n - 1)
+    return out
+
+
+@pytest.mark.parametrize("n,n_out", [(50, 60), (1000, 37), (5003, 100), (20000, 1500)])
+def test_lttb_vs_reference(spark, n, n_out):
+    from sensorlake.operators import downsample as ds
+    rng = np.random.default_rng(n)
+    y = np.cumsum(rng.normal(0, 1, n))
+    y[n // 3] += 40.0                                        # a spike LTTB must keep
+    rows = [("s", i, float(v)) for i, v in enumerate(y)] + [("t", i, float(-v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "series string, pos long, y double")
+    got = ds.lttb_positions(df, n_out, keys=["series"])
+    for name, sign in (("s", 1.0), ("t", -1.0)):
+        picked = [r["pos"] for r in got.where(F.col("series") == name).orderBy("k").collect()]
+        assert picked == lttb_ref(sign * y, n_out)
+    single = ds.lttb_positions(df.where("series = 's'").drop("series"), n_out)
+    assert [r["pos"] for r in single.orderBy("k").collect()] == lttb_ref(y, n_out)
