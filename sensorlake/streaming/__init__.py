@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The original application has no streaming path (its "stream" is a chunked file
+copy during upload), so no Structured Streaming operators are provided. Batch
+operators run unchanged on micro-batches via ``foreachBatch`` if needed.
+"""
