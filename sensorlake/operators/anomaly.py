@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlake.operators.stats import ANOMALY_NEG, ANOMALY_WARN, signal_high_bad
-from sensorlake.plans.ranking import halo_method, pos_method, rolling_stats, with_position
+from sensorlake.plans.ranking import BROADCAST_ROWS, halo_method, pos_method, rolling_stats, with_position
 
 
 def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3.0,
@@ -48,46 +48,71 @@ def anomaly_summary(flags: DataFrame, *, keys: Sequence[str] = ("channel",), val
     return g.withColumn("signal", signal_high_bad(F.col("rate"), ANOMALY_NEG, ANOMALY_WARN))
 
 
-def _with_series_mean(flags: DataFrame, keys: list[str], value: str, max_series: int | None) -> DataFrame:
-    mu = flags.groupBy(*keys).agg(F.avg(value).alias("mu"))
+def _with_series_mean(flags: DataFrame, keys: list[str], value: str, max_series: int | None,
+                      readings: DataFrame | None = None) -> DataFrame:
+    """Join the series mean. Taken from ``readings`` when given (a cheap scan)
+    instead of re-running the rolling pipeline behind ``flags``."""
+    src = readings if readings is not None else flags
+    mu = src.groupBy(*keys).agg(F.avg(value).alias("mu"))
     if max_series is not None:
         mu = F.broadcast(mu)          # one row per series, bounded by the channel count
     return flags.join(mu, keys)
 
 
 def worst_excursion(flags: DataFrame, *, keys: Sequence[str] = ("channel",), ts: str = "ts", rid: str = "rid",
-                    value: str = "value", max_series: int | None = None) -> DataFrame:
+                    value: str = "value") -> DataFrame:
     """Per series: the flagged sample farthest from the series mean (first on ties)
-    and its signed deviation; no flags -> NULL time and deviation 0."""
+    and its signed deviation; no flags -> NULL time and deviation 0.
+
+    One aggregation: the farthest flagged value from the mean is the largest or
+    the smallest flagged value, so the mean and both candidates (first on ties)
+    come from the same pass."""
     keys = list(keys)
-    f = _with_series_mean(flags, keys, value, max_series)
-    dev = F.col(value) - F.col("mu")
-    best = F.max_by(F.struct(F.col(ts).alias("ts"), F.col(rid).alias("rid"), F.col(value).alias("value"),
-                             dev.alias("deviation")),
-                    F.when(F.col("is_anomaly"), F.struct(F.abs(dev), -F.col("pos"))))
-    g = f.groupBy(*keys).agg(best.alias("w"))
+    fl = F.col("is_anomaly")
+    row = F.struct(F.col(ts).alias("ts"), F.col(rid).alias("rid"), F.col(value).alias("value"), F.col("pos").alias("pos"))
+    g = flags.groupBy(*keys).agg(
+        F.avg(value).alias("mu"),
+        F.max_by(row, F.when(fl, F.struct(F.col(value), -F.col("pos")))).alias("hi"),
+        F.min_by(row, F.when(fl, F.struct(F.col(value), F.col("pos")))).alias("lo"))
+    dh = F.col("hi.value") - F.col("mu")
+    dl = F.col("lo.value") - F.col("mu")
+    pick_hi = (F.abs(dh) > F.abs(dl)) | ((F.abs(dh) == F.abs(dl)) & (F.col("hi.pos") <= F.col("lo.pos")))
+    w = F.when(F.col("hi").isNull(), F.lit(None)).when(pick_hi, F.col("hi")).otherwise(F.col("lo"))
+    g = g.withColumn("w", w)
     return g.select(*keys, F.col("w.ts").alias("worst_ts"), F.col("w.rid").alias("worst_rid"),
                     F.col("w.value").alias("worst_value"),
-                    F.coalesce(F.col("w.deviation"), F.lit(0.0)).alias("deviation"))
+                    F.coalesce(F.col("w.value") - F.col("mu"), F.lit(0.0)).alias("deviation"))
 
 
 def flagged_first(flags: DataFrame, n: int = 12, *, keys: Sequence[str] = ("channel",), ts: str = "ts",
-                  rid: str = "rid", value: str = "value", max_series: int | None = None) -> DataFrame:
+                  rid: str = "rid", value: str = "value", max_series: int | None = None,
+                  readings: DataFrame | None = None) -> DataFrame:
     """First ``n`` flagged samples per series with value and deviation from the
     series mean (ranked window -> per-partition top-n before the shuffle)."""
     keys = list(keys)
-    f = _with_series_mean(flags, keys, value, max_series).where(F.col("is_anomaly"))
+    f = flags.where(F.col("is_anomaly"))
     w = Window.partitionBy(*keys).orderBy("pos")
     f = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    f = _with_series_mean(f, keys, value, max_series, readings if readings is not None else flags)
     return f.select(*keys, F.col("rank").cast("long").alias("rank"), ts, rid, value,
                     (F.col(value) - F.col("mu")).alias("deviation"))
 
 
 def anomaly_overlay(flags: DataFrame, n: int = 2000, *, keys: Sequence[str] = ("channel",),
-                    ts: str = "ts", rid: str = "rid", value: str = "value") -> DataFrame:
-    """Chart rows: the uniform stride of ``n`` samples plus every flagged sample."""
-    from sensorlake.operators.downsample import stride_pick
+                    ts: str = "ts", rid: str = "rid", value: str = "value",
+                    readings: DataFrame | None = None, max_series: int | None = None) -> DataFrame:
+    """Chart rows: the uniform stride of ``n`` samples plus every flagged sample
+    (a row in both sets appears once per role). One pass over ``flags``; the
+    series lengths come from ``readings`` when given."""
+    from sensorlake.operators.downsample import stride_targets
     keys = list(keys)
-    s = stride_pick(flags, n, keys=keys, pos="pos").select(*keys, "pos", ts, rid, value).withColumn("role", F.lit("series"))
-    a = flags.where(F.col("is_anomaly")).select(*keys, "pos", ts, rid, value).withColumn("role", F.lit("anomaly"))
-    return s.unionByName(a)
+    src = readings if readings is not None else flags
+    counts = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
+    t = stride_targets(counts, n, keys=keys).withColumn("_tgt", F.lit(True))
+    if not keys or (max_series is not None and max_series * n <= BROADCAST_ROWS):
+        t = F.broadcast(t)
+    j = flags.join(t.drop("k"), keys + ["pos"], "left")
+    roles = F.array_compact(F.array(F.when(F.col("_tgt"), F.lit("series")),
+                                    F.when(F.col("is_anomaly"), F.lit("anomaly"))))
+    return (j.where(F.col("_tgt").isNotNull() | F.col("is_anomaly"))
+            .select(*keys, "pos", ts, rid, value, F.explode(roles).alias("role")))

@@ -50,6 +50,64 @@ def corr_matrix(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
     return g.select(F.inline(F.array(*cells)))
 
 
+# Above this many channels the pair expressions (4 aggregates per pair) are
+# replaced by per-partition cross-product sums (``corr_matrix_wide``).
+PAIR_EXPR_MAX_CHANNELS = 40
+
+
+def corr_matrix_auto(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
+    return (corr_matrix(wide, channels) if len(channels) <= PAIR_EXPR_MAX_CHANNELS
+            else corr_matrix_wide(wide, channels))
+
+
+def corr_matrix_wide(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
+    """Same result as ``corr_matrix`` for many channels.
+
+    Pass 1: global mean per channel (one aggregate). Pass 2: every partition
+    centres its rows on those means and emits, per channel pair, the
+    pairwise-complete sums n, Σx, Σy, Σx², Σy², Σxy as masked matrix products
+    (MᵀM, XᵀM, X²ᵀM, XᵀX with numpy); one ``groupBy(pair).sum`` combines them.
+    Rows per partition out: k²; no row ever leaves its partition."""
+    import numpy as np
+    import pandas as pd
+    ch = list(channels)
+    k = len(ch)
+    means_row = wide.agg(*[F.avg(c).alias(c) for c in ch]).first()
+    mu = np.array([0.0 if means_row[c] is None else float(means_row[c]) for c in ch])
+
+    def sums(it):
+        acc = None
+        for pdf in it:
+            x = pdf[ch].to_numpy(dtype=float) - mu
+            m = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x, nan=0.0)
+            part = (m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x)
+            acc = part if acc is None else tuple(a + b for a, b in zip(acc, part))
+        if acc is None:
+            return
+        n, sx, sxx, sxy = acc
+        ii, jj = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+        yield pd.DataFrame({"i": ii.ravel(), "j": jj.ravel(), "n": n.ravel(),
+                            "sx": sx.ravel(), "sy": sx.T.ravel(), "sxx": sxx.ravel(), "syy": sxx.T.ravel(),
+                            "sxy": sxy.ravel()})
+
+    schema = "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double"
+    part = wide.select(*[F.col(c).cast("double").alias(c) for c in ch]).mapInPandas(sums, schema)
+    g = part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / (n - 1)
+    vx = (F.col("sxx") - F.col("sx") * F.col("sx") / n) / (n - 1)
+    vy = (F.col("syy") - F.col("sy") * F.col("sy") / n) / (n - 1)
+    den = F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))
+    r = F.when(n >= 2, F.try_divide(cov, den))
+    r = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.coalesce(r, F.lit(0.0))))
+    names = F.array(*[F.lit(c) for c in ch])
+    return g.select(F.element_at(names, (F.col("i") + 1).cast("int")).alias("x"),
+                    F.element_at(names, (F.col("j") + 1).cast("int")).alias("y"),
+                    F.col("i").cast("int").alias("x_ord"), F.col("j").cast("int").alias("y_ord"),
+                    r.alias("r"), n.cast("long").alias("n"))
+
+
 def corr_kpis(matrix: DataFrame) -> DataFrame:
     """Upper triangle: #pairs, #|r| ≥ 0.7, strongest positive / negative pair
     (ties -> first in row-major order), mean |r|."""

@@ -36,10 +36,12 @@ def stride_targets(counts: DataFrame, n: int, *, keys: Sequence[str] = (), count
 
 
 def stride_pick(df: DataFrame, n: int, *, keys: Sequence[str] = (), pos: str = "pos",
-                max_series: int | None = None) -> DataFrame:
-    """Rows of ``df`` (which carries positions) at the stride targets, with ``k``."""
+                max_series: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Rows of ``df`` (which carries positions) at the stride targets, with ``k``.
+    ``counts`` (keys, N): series lengths, e.g. from the un-positioned input (cheaper)."""
     keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
     t = stride_targets(counts, n, keys=keys)
     # the target table holds at most n rows per series: broadcast when the series count is bounded
     if max_series is not None and max_series * n <= BROADCAST_ROWS or not keys:
@@ -54,7 +56,8 @@ def stride_downsample(df: DataFrame, n: int, *, keys: Sequence[str] = (), order:
     """Uniform-stride pick of n of N rows per series in ``order`` (adds pos, k)."""
     p = with_position(df, list(keys), list(order), method=pos_method(method),
                       max_series=max_series)
-    return stride_pick(p, n, keys=keys, max_series=max_series)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))      # from the input: no second ranking
+    return stride_pick(p, n, keys=keys, max_series=max_series, counts=counts)
 
 
 def envelope(wide: DataFrame, channels: Sequence[str], *, out: str = "envelope") -> DataFrame:

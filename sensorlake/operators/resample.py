@@ -17,9 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorlake.functions.timefns import ntz_lit
-
-from sensorlake.functions.timefns import micros_between, micros_to_ts, ts_micros
+from sensorlake.functions.timefns import micros_between, micros_to_ts, ntz_lit, ts_micros
 from sensorlake.plans.ranking import BROADCAST_ROWS, exact_percentiles
 
 # Resample rule id -> bin width in micro-seconds ("raw" = no resample).
@@ -56,13 +54,45 @@ def _agg_expr(agg: str, value: str, order: Sequence[str]):
     }[agg]
 
 
-def spine(readings: DataFrame, n_bins: int, *, keys: Sequence[str] = ("channel",)) -> DataFrame:
-    """Every (series, bin) pair for bin in [0, n_bins): channel index × bin from one range."""
+# Series lists up to this size travel as literals; larger ones use a join.
+SPINE_LITERAL_SERIES = 10_000
+
+
+def frame_scan(df: DataFrame, *, ts: str = "ts", keys: Sequence[str] = ("channel",)):
+    """One aggregate: (midnight of the first day, last ts, series list or None).
+
+    The series list (one entry per channel — schema-sized metadata) is only
+    returned when it has at most SPINE_LITERAL_SERIES entries."""
+    keys = list(keys)
+    cols = [F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("o"), F.max(ts).alias("hi")]
+    if keys:
+        k = F.struct(*keys)
+        cols += [F.count_distinct(k).alias("n"),
+                 F.slice(F.collect_set(k), 1, SPINE_LITERAL_SERIES + 1).alias("s")]
+    r = df.agg(*cols).first()
+    series = None
+    if keys and r["n"] <= SPINE_LITERAL_SERIES:
+        series = sorted(tuple(x) for x in r["s"])
+    return r["o"], r["hi"], series
+
+
+def spine(readings: DataFrame, n_bins: int, *, keys: Sequence[str] = ("channel",), series=None) -> DataFrame:
+    """Every (series, bin) pair for bin in [0, n_bins), generated by one ``spark.range``.
+
+    With a known series list the key is read from a literal array (no join);
+    otherwise series are numbered and joined back (broadcast when bounded)."""
     keys = list(keys)
+    spark = readings.sparkSession
+    if series is not None:
+        n_ch = len(series)
+        grid = spark.range(0, max(n_ch, 1) * max(n_bins, 0)) if n_ch else spark.range(0)
+        ci = (F.col("id") / F.lit(n_bins)).cast("int")
+        cols = [F.element_at(F.array(*[F.lit(s[j]) for s in series]), ci + 1).alias(k) for j, k in enumerate(keys)]
+        return grid.select(*cols, (F.col("id") % F.lit(n_bins)).alias("bin"))
     chan = readings.select(*keys).distinct()
     chan = chan.withColumn("_ci", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
     n_ch = chan.count()
-    grid = readings.sparkSession.range(0, max(n_ch, 1) * max(n_bins, 0))
+    grid = spark.range(0, max(n_ch, 1) * max(n_bins, 0))
     grid = grid.select((F.col("id") / F.lit(n_bins)).cast("long").alias("_ci"),
                        (F.col("id") % F.lit(n_bins)).alias("bin"))
     side = F.broadcast(chan) if n_ch <= BROADCAST_ROWS else chan
@@ -83,8 +113,9 @@ def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str]
     width = RULES.get(rule.lower()) if isinstance(rule, str) else None
     if width is None:
         return readings.select(*keys, ts, *[F.col(value).alias(a) for a in aggs])
-    if origin is None or last is None:
-        o, hi = frame_origin(readings, ts=ts)
+    series = None
+    if origin is None or last is None or fill:
+        o, hi, series = frame_scan(readings, ts=ts, keys=keys)
         origin = origin if origin is not None else o
         last = last if last is not None else hi
     if origin is None:
@@ -100,7 +131,7 @@ def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str]
         res = med if res is None else res.join(med, keys + ["bin"], "left")
     if fill:
         n_bins = int(micros_between_py(origin, last) // width) + 1
-        res = spine(readings, n_bins, keys=keys).join(res, keys + ["bin"], "left")
+        res = spine(readings, n_bins, keys=keys, series=series).join(res, keys + ["bin"], "left")
     out = res.withColumn(ts, micros_to_ts(ts_micros(ntz_lit(origin)) + F.col("bin") * F.lit(width)))
     return out.select(*keys, ts, *[F.col(a) for a in aggs])
 

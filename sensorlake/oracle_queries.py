@@ -308,6 +308,7 @@ CORR_OUT = "SELECT x, y, CAST(x_ord AS BIGINT) AS x_ord, CAST(y_ord AS BIGINT) A
 SQL["corr_matrix"] = o.with_ctes(CORR_OUT, lw=o.LINEITEM_WIDE, cm=corr_sql("SELECT * FROM lw", LI))
 SQL["corr_matrix_masked"] = o.with_ctes(CORR_OUT, lw=o.LINEITEM_WIDE, lm=o.LINEITEM_MASKED,
                                         cm=corr_sql("SELECT * FROM lm", LI))
+SQL["corr_matrix_wide"] = SQL["corr_matrix_masked"]
 SQL["corr_matrix_events"] = o.with_ctes(CORR_OUT, ew=o.EVENTS_WIDE, cm=corr_sql("SELECT * FROM ew", EV))
 SQL["corr_kpis"] = o.with_ctes(
     """SELECT count(*) AS n_pairs, count(*) FILTER (WHERE abs(r) >= 0.7) AS n_strong,

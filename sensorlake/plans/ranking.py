@@ -260,7 +260,7 @@ def _replicate(df: DataFrame, pos: str, lo: int, hi: int, c: int) -> DataFrame:
 
 # Frames of at most this many rows use Spark's sliding frame (O(n·w), cheap for
 # short frames); longer frames use the O(n log w) running-sum / doubling form.
-SLIDING_MAX_ROWS = 128
+SLIDING_MAX_ROWS = 96
 
 
 def rolling_stats(df: DataFrame, keys: Sequence[str], pos: str, value: str, lo: int, hi: int, *,

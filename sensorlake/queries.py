@@ -203,17 +203,19 @@ def q_anomaly_summary(spark, d):
 
 @register("worst_excursion")
 def q_worst(spark, d):
-    return finish(an.worst_excursion(_flags(spark, d), max_series=N_EVENT_CHANNELS))
+    return finish(an.worst_excursion(_flags(spark, d)))
 
 
 @register("flagged_first12")
 def q_first12(spark, d):
-    return finish(an.flagged_first(_flags(spark, d, 11, 2.0), 12, max_series=N_EVENT_CHANNELS))
+    return finish(an.flagged_first(_flags(spark, d, 11, 2.0), 12, max_series=N_EVENT_CHANNELS,
+                                   readings=fx.events_long(spark, d)))
 
 
 @register("anomaly_overlay")
 def q_overlay(spark, d):
-    return finish(an.anomaly_overlay(_flags(spark, d), ds.BUDGET_ANOMALY))
+    return finish(an.anomaly_overlay(_flags(spark, d), ds.BUDGET_ANOMALY, readings=fx.events_long(spark, d),
+                                     max_series=N_EVENT_CHANNELS))
 
 
 # --------------------------------------------------------------------------- gaps
@@ -279,6 +281,13 @@ def q_corr_events(spark, d):
                   .withColumn("x_ord", F.col("x_ord").cast("long")).withColumn("y_ord", F.col("y_ord").cast("long")))
 
 
+@register("corr_matrix_wide")
+def q_corr_wide(spark, d):
+    """The many-channel form (per-partition cross-products) on the masked table."""
+    return finish(cr.corr_matrix_wide(fx.lineitem_masked(spark, d), fx.LINEITEM_CHANNELS)
+                  .withColumn("x_ord", F.col("x_ord").cast("long")).withColumn("y_ord", F.col("y_ord").cast("long")))
+
+
 @register("corr_kpis")
 def q_corr_kpis(spark, d):
     return finish(cr.corr_kpis(cr.corr_matrix(fx.lineitem_masked(spark, d), fx.LINEITEM_CHANNELS)))

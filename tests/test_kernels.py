@@ -171,3 +171,24 @@ def test_lttb_vs_reference(spark, n, n_out):
         assert picked == lttb_ref(sign * y, n_out)
     single = ds.lttb_positions(df.where("series = 's'").drop("series"), n_out)
     assert [r["pos"] for r in single.orderBy("k").collect()] == lttb_ref(y, n_out)
+
+
+def test_corr_wide_vs_pandas(spark):
+    from sensorlake.operators import corr as cr
+    rng = np.random.default_rng(7)
+    k, n = 45, 400
+    base = rng.normal(0, 1, (n, 1))
+    x = base * rng.uniform(-1, 1, k) + rng.normal(0, 1, (n, k)) + 100.0
+    x[rng.random((n, k)) < 0.15] = np.nan
+    x[:, 3] = 7.0                                      # constant channel -> 0, also on the diagonal
+    cols = [f"c{i}" for i in range(k)]
+    pdf = pd.DataFrame(x, columns=cols)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(),
+                               ", ".join(f"{c} double" for c in cols))
+    want = pdf.corr().fillna(0.0)
+    for fn in (cr.corr_matrix_wide, cr.corr_matrix_auto):
+        got = {(r["x"], r["y"]): r["r"] for r in fn(df, cols).collect()}
+        assert len(got) == k * k
+        for a in cols:
+            for b in cols:
+                assert got[(a, b)] == pytest.approx(want.loc[a, b], abs=1e-9), (a, b)
