@@ -102,17 +102,21 @@ def spine(readings: DataFrame, n_bins: int, *, keys: Sequence[str] = ("channel",
 def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str] = ("mean",), *,
                   keys: Sequence[str] = ("channel",), ts: str = "ts", order: Sequence[str] = ("ts", "rid"),
                   value: str = "value", origin=None, last=None, fill: bool = True,
-                  median_method: str = "auto") -> DataFrame:
+                  median_method: str = "auto", frame_keys: Sequence[str] = ()) -> DataFrame:
     """Several aggregates per (series, bin): columns keys + [ts] + aggs.
 
     Unknown rule or "raw" -> the readings themselves (column ``value`` per agg);
-    unknown aggregate names fall back to mean.
+    unknown aggregate names fall back to mean. ``frame_keys`` (e.g. dataset_id,
+    also listed in ``keys``): each recording gets its own origin and spine.
     """
     keys, order = list(keys), list(order)
     aggs = [a if a in AGGS else "mean" for a in aggs]
     width = RULES.get(rule.lower()) if isinstance(rule, str) else None
     if width is None:
         return readings.select(*keys, ts, *[F.col(value).alias(a) for a in aggs])
+    if frame_keys:
+        return _resample_frames(readings, width, aggs, keys=keys, ts=ts, order=order, value=value,
+                                fill=fill, median_method=median_method, frame_keys=list(frame_keys))
     series = None
     if origin is None or last is None or fill:
         o, hi, series = frame_scan(readings, ts=ts, keys=keys)
@@ -136,6 +140,33 @@ def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str]
     return out.select(*keys, ts, *[F.col(a) for a in aggs])
 
 
+def _resample_frames(readings: DataFrame, width: int, aggs: list[str], *, keys: list[str], ts: str,
+                     order: list[str], value: str, fill: bool, median_method: str,
+                     frame_keys: list[str]) -> DataFrame:
+    """Many recordings at once: per-recording origin (one row per recording,
+    broadcast), bins relative to it, spine per series by ``sequence``."""
+    fr = readings.groupBy(*frame_keys).agg(
+        F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("_o"), F.max(ts).alias("_hi"))
+    fr = F.broadcast(fr.withColumn("_nb", F.floor(micros_between(F.col("_o"), F.col("_hi")) / F.lit(float(width)))
+                                   .cast("long") + 1))
+    valid = readings.where(F.col(value).isNotNull()).join(fr, frame_keys)
+    valid = valid.withColumn("bin", F.floor(micros_between(F.col("_o"), F.col(ts)) / F.lit(float(width))).cast("long"))
+    plain = [a for a in dict.fromkeys(aggs) if a != "median"]
+    res = None
+    if plain:
+        res = valid.groupBy(*keys, "bin").agg(*[_agg_expr(a, value, order).alias(a) for a in plain])
+    if "median" in aggs:
+        med = exact_percentiles(valid, keys + ["bin"], value, [0.5], names=["median"], method=median_method)
+        res = med if res is None else res.join(med, keys + ["bin"], "left")
+    if fill:
+        sp = (readings.select(*keys).distinct().join(fr, frame_keys)
+              .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))))
+        res = sp.select(*keys, "bin").join(res, keys + ["bin"], "left")
+    res = res.join(fr.select(*frame_keys, "_o"), frame_keys)
+    out = res.withColumn(ts, micros_to_ts(ts_micros(F.col("_o")) + F.col("bin") * F.lit(width)))
+    return out.select(*keys, ts, *[F.col(a) for a in aggs])
+
+
 def micros_between_py(a, b) -> int:
     d = b - a
     return (d.days * 86_400 + d.seconds) * 1_000_000 + d.microseconds

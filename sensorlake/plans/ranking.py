@@ -179,14 +179,18 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
 
     Returns one row per group that has at least one non-NULL ``value`` with
     columns ``keys + names``. ``method="builtin"`` uses Spark's ``percentile``
-    aggregate (one hash map of all distinct values per group: small data only);
-    "range" is distributed; "auto" picks by input size.
+    aggregate (one hash map of the distinct values per group, combined map-side);
+    "range" is distributed; "auto" takes "builtin" while the distinct
+    (group, value) pairs are at most SMALL_ROWS.
     """
     keys = list(keys)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     v = df.where(F.col(value).isNotNull())
     if method == "auto":
-        method = "builtin" if small_input(v) else "range"
+        # Spark's percentile keeps one count per distinct value of a group: its
+        # memory is bounded by the distinct (group, value) pairs, not by rows.
+        distinct = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+        method = "builtin" if small_input(distinct) else "range"
     if method == "builtin":
         return v.groupBy(*keys).agg(*[
             F.percentile(F.col(value), F.lit(float(p))).alias(n) for p, n in zip(probs, names)])

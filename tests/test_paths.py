@@ -63,3 +63,27 @@ def test_gaps_equal(spark, sf001):
     a = gp.gap_segments(r, method="distributed").collect()
     b = gp.gap_segments(r, method="plain").collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 0
+
+
+def test_many_recordings_at_once(spark, sf001):
+    """keys=[dataset_id, channel]: one call equals separate calls per recording."""
+    from sensorlake.operators import anomaly as an
+    from sensorlake.operators import resample as rs
+    from sensorlake.operators import stats as st
+    a = fx.events_long(spark, sf001)
+    b = fx.orders_series(spark, sf001)
+    both = a.withColumn("dataset_id", F.lit("ev")).unionByName(b.withColumn("dataset_id", F.lit("or")))
+    k = ["dataset_id", "channel"]
+
+    def rows(df, cols):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*cols).collect())
+
+    for ds_id, single in (("ev", a), ("or", b)):
+        one = both.where(F.col("dataset_id") == ds_id)
+        got = rs.resample(both, "weekly", "mean", keys=k, frame_keys=["dataset_id"]).where(F.col("dataset_id") == ds_id)
+        assert rows(got, ["channel", "ts", "value"]) == rows(rs.resample(single, "weekly", "mean"), ["channel", "ts", "value"])
+        s1 = st.channel_stats(both, keys=k).where(F.col("dataset_id") == ds_id)
+        assert rows(s1, ["channel", "n", "mean", "slope"]) == rows(st.channel_stats(single), ["channel", "n", "mean", "slope"])
+        f1 = an.rolling_anomalies(both, keys=k, method="distributed").where(F.col("dataset_id") == ds_id)
+        f2 = an.rolling_anomalies(one, keys=k, method="plain")
+        assert rows(f1, ["channel", "rid", "pos", "is_anomaly"]) == rows(f2, ["channel", "rid", "pos", "is_anomaly"])
