@@ -110,9 +110,43 @@ def range_buckets(df: DataFrame, cols: Sequence[str], partitions: int | None = N
     return tree(0, len(bounds)).cast("int")
 
 
+# Target rows per (series, bucket) piece of the time-bucket ranking.
+BUCKET_ROWS = 1_000_000
+# Sampled value buckets are capped here (the binary search is a CASE tree).
+MAX_SAMPLED_BUCKETS = 4096
+
+
+def time_buckets(df: DataFrame, keys: Sequence[str], first: str, *, bucket_rows: int | None = None,
+                 max_series: int | None = None) -> DataFrame:
+    """Adds ``_b``: floor((t − t_first) / W) per series, t = the first order column
+    as a number (timestamps in micro-seconds), W = span · bucket_rows / rows of
+    the series. Pure arithmetic — deterministic, O(1) per row, any number of
+    buckets; equal t always share a bucket. Series stats are one aggregate
+    (one row per series, broadcast when the series count is bounded)."""
+    keys = list(keys)
+    bucket_rows = bucket_rows or BUCKET_ROWS
+    t = _sortable(df, first).cast("double")
+    st = df.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_n"))
+    st = st.withColumn("_w", F.greatest(F.lit(1e-9), (F.col("_t1") - F.col("_t0") + 1.0)
+                                        * F.lit(float(bucket_rows)) / F.col("_n")))
+    st = st.select(*keys, "_t0", "_w")
+    bounded = max_series is not None and max_series <= BROADCAST_ROWS
+    if keys:
+        out = df.join(F.broadcast(st) if bounded else st, keys)
+    else:
+        r = st.first()
+        out = df.withColumn("_t0", F.lit(r["_t0"] if r else 0.0)).withColumn("_w", F.lit(r["_w"] if r else 1.0))
+    b = F.floor((t - F.col("_t0")) / F.col("_w"))
+    return out.withColumn("_b", F.coalesce(b, F.lit(-1)).cast("long")).drop("_t0", "_w")
+
+
+def _time_orderable(df: DataFrame, c: str) -> bool:
+    return isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType))
+
+
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, pos: str = "pos",
                   method: str = "auto", partitions: int | None = None,
-                  max_series: int | None = None) -> DataFrame:
+                  max_series: int | None = None, bucket_rows: int | None = None) -> DataFrame:
     """Add ``pos`` = 0-based rank of the row inside its series by ``order``.
 
     ``order`` must be a total order within a series (e.g. ts, rid).
@@ -127,14 +161,18 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, p
     if method == "window":
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(pos, (F.row_number().over(w) - 1).cast("long"))
-    p = _parts(df, partitions)
-    b = df.withColumn("_b", range_buckets(df, keys + order, p))
+    p = min(_parts(df, partitions), MAX_SAMPLED_BUCKETS)
+    if _time_orderable(df, order[0]):
+        b = time_buckets(df, keys, order[0], bucket_rows=bucket_rows, max_series=max_series)
+        bound = None       # buckets grow with the data: the offset table is joined, not broadcast
+    else:
+        b = df.withColumn("_b", range_buckets(df, keys + order, p))
+        bound = None if max_series is None else p + max_series
     seg = b.groupBy("_b", *keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")).drop("_n")
     local = Window.partitionBy("_b", *keys).orderBy(*order)
     ranked = b.withColumn("_loc", F.row_number().over(local) - 1)
-    bound = None if max_series is None else p + max_series
     out = _join_small(ranked, seg, ["_b", *keys], bound)
     return out.withColumn(pos, (F.col("_off") + F.col("_loc")).cast("long")).drop("_b", "_loc", "_off")
 
@@ -195,7 +233,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         return v.groupBy(*keys).agg(*[
             F.percentile(F.col(value), F.lit(float(p))).alias(n) for p, n in zip(probs, names)])
 
-    p_n = _parts(df, partitions)
+    p_n = min(_parts(df, partitions), MAX_SAMPLED_BUCKETS)
     # 1. collapse duplicates (partial aggregation before the shuffle)
     d = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     # 2. deterministic value-order buckets (bounds sampled from the raw rows)

@@ -32,7 +32,9 @@ def pandas_flags(y, window, sigma):
 
 @pytest.mark.parametrize("window,sigma", [(5, 1.5), (6, 1.0), (11, 2.0), (60, 2.0), (201, 1.5)])
 @pytest.mark.parametrize("method", ["plain", "distributed"])
-def test_rolling_anomalies_vs_pandas(spark, window, sigma, method):
+def test_rolling_anomalies_vs_pandas(spark, window, sigma, method, monkeypatch):
+    from sensorlake.plans import ranking
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 53)
     rng = np.random.default_rng(window)
     y = rng.normal(0, 1, 700)
     y[rng.random(700) < 0.1] = np.nan
@@ -113,7 +115,9 @@ def zero_cross_ref(load, vel):
     return p + (int(c[0]) if len(c) else int(np.argmin(np.abs(tail))))
 
 
-def test_event_window_and_zero_crossing(spark):
+def test_event_window_and_zero_crossing(spark, monkeypatch):
+    from sensorlake.plans import ranking
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 11)
     rng = np.random.default_rng(3)
     rows, loads = [], {}
     for rec in range(40):

@@ -13,15 +13,39 @@ def ev(spark, sf001):
     return fx.events_long(spark, sf001)
 
 
-def test_positions_equal(spark, ev):
-    a = with_position(ev, ["channel"], ["ts", "rid"], method="range", partitions=13)
+@pytest.fixture
+def tiny_buckets(monkeypatch):
+    """Force many buckets per series so every border case is exercised."""
+    from sensorlake.plans import ranking
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 37)
+
+
+@pytest.mark.parametrize("rows", [37, 1000, 10 ** 6])
+def test_positions_equal(spark, ev, rows):
+    a = with_position(ev, ["channel"], ["ts", "rid"], method="range", bucket_rows=rows)
     b = with_position(ev, ["channel"], ["ts", "rid"], method="window")
     bad = a.join(b.withColumnRenamed("pos", "pos2"), ["channel", "rid"]).where("pos <> pos2").count()
     assert bad == 0 and a.count() == b.count()
 
 
+def test_positions_ties_and_sampled_buckets(spark, sf001):
+    """lineitem ship dates: ~24 rows per timestamp; ties broken by the tie order."""
+    li = fx.lineitem_wide(spark, sf001)
+    order = fx.LINEITEM_ORDER
+    a = with_position(li, [], order, method="range", bucket_rows=500)
+    b = with_position(li, [], order, method="window")
+    key = order[1:]
+    assert a.join(b.withColumnRenamed("pos", "pos2"), key).where("pos <> pos2").count() == 0
+    # a non-time first order column takes the sampled-bounds buckets
+    s = li.select(F.col("l_orderkey").cast("string").alias("k"), "l_linenumber", "l_partkey", "l_suppkey")
+    c = with_position(s, [], ["k", "l_linenumber", "l_partkey", "l_suppkey"], method="range", partitions=13)
+    d = with_position(s, [], ["k", "l_linenumber", "l_partkey", "l_suppkey"], method="window")
+    assert c.join(d.withColumnRenamed("pos", "pos2"), ["k", "l_linenumber", "l_partkey", "l_suppkey"]) \
+        .where("pos <> pos2").count() == 0
+
+
 def test_positions_single_series(spark, ev):
-    a = with_position(ev, [], ["ts", "rid"], method="range", partitions=7)
+    a = with_position(ev, [], ["ts", "rid"], method="range", bucket_rows=100)
     assert sorted(r["pos"] for r in a.select("pos").collect()) == list(range(ev.count()))
 
 
@@ -57,7 +81,7 @@ def test_percentiles_equal(spark, ev):
         assert a[k] == pytest.approx(b[k])
 
 
-def test_gaps_equal(spark, sf001):
+def test_gaps_equal(spark, sf001, tiny_buckets):
     from sensorlake.operators import gaps as gp
     r = wide_readings(spark, sf001)
     a = gp.gap_segments(r, method="distributed").collect()
@@ -65,7 +89,7 @@ def test_gaps_equal(spark, sf001):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 0
 
 
-def test_many_recordings_at_once(spark, sf001):
+def test_many_recordings_at_once(spark, sf001, tiny_buckets):
     """keys=[dataset_id, channel]: one call equals separate calls per recording."""
     from sensorlake.operators import anomaly as an
     from sensorlake.operators import resample as rs
