@@ -215,40 +215,47 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
                       max_groups: int | None = None, method: str = "auto") -> DataFrame:
     """Exact percentiles (linear interpolation, as numpy / SQL quantile_cont).
 
-    Returns one row per group that has at least one non-NULL ``value`` with
-    columns ``keys + names``. ``method="builtin"`` uses Spark's ``percentile``
-    aggregate (one hash map of the distinct values per group, combined map-side);
-    "range" is distributed; "auto" takes "builtin" while the distinct
-    (group, value) pairs are at most SMALL_ROWS.
+    Returns one row per group with columns ``keys + names`` (NULL where a
+    group has no valid value). ``method``: "builtin" (Spark's ``percentile``, for
+    cross-checks), "window" (weighted ranks over the distinct values, one window
+    per group), "range" (distributed value buckets), "auto" ("window" while the
+    distinct (group, value) pairs are at most SMALL_ROWS, else "range").
     """
     keys = list(keys)
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     v = df.where(F.col(value).isNotNull())
-    if method == "auto":
-        # Spark's percentile keeps one count per distinct value of a group: its
-        # memory is bounded by the distinct (group, value) pairs, not by rows.
-        distinct = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-        method = "builtin" if small_input(distinct) else "range"
     if method == "builtin":
         return v.groupBy(*keys).agg(*[
             F.percentile(F.col(value), F.lit(float(p))).alias(n) for p, n in zip(probs, names)])
-
-    p_n = min(_parts(df, partitions), MAX_SAMPLED_BUCKETS)
-    # 1. collapse duplicates (partial aggregation before the shuffle)
-    d = v.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    # 2. deterministic value-order buckets (bounds sampled from the raw rows)
-    bcol = range_buckets(v, keys + [value], p_n)
-    r = d.withColumn("_b", bcol)
-    # weighted rank inside a (bucket, group) piece — bounded by one bucket
-    wl = Window.partitionBy("_b", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_lcum", F.coalesce(F.sum("_w").over(wl), F.lit(0)).cast("long"))
-    seg = d.withColumn("_b", bcol).groupBy("_b", *keys).agg(F.sum("_w").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    seg = (seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
-           .withColumn("_tot", F.sum("_n").over(whole).cast("long")).drop("_n"))
-    bound = None if max_groups is None else p_n + max_groups
-    r = _join_small(r, seg, ["_b", *keys], bound)
+    # 1. collapse duplicates (partial aggregation before the shuffle); a group's
+    #    missing values become one (key, NULL) row of weight 0, which keeps
+    #    all-missing groups in the output (with NULL percentiles)
+    d = (df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+         .withColumn("_w", F.when(F.col(value).isNotNull(), F.col("_w")).otherwise(F.lit(0)).cast("long")))
+    if method == "auto":
+        # bounded by distinct (group, value) pairs, not by rows (rows bound them too)
+        method = "window" if (small_input(v) or small_input(d)) else "range"
+    if method == "window":
+        # weighted ranks with one window per group over the distinct values
+        wl = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        r = (d.withColumn("_off", F.lit(0).cast("long"))
+             .withColumn("_lcum", F.coalesce(F.sum("_w").over(wl), F.lit(0)).cast("long"))
+             .withColumn("_tot", F.sum("_w").over(Window.partitionBy(*keys)).cast("long")))
+    else:
+        p_n = min(_parts(df, partitions), MAX_SAMPLED_BUCKETS)
+        # 2. deterministic value-order buckets (bounds sampled from the raw rows)
+        bcol = F.when(F.col(value).isNull(), F.lit(0)).otherwise(range_buckets(v, keys + [value], p_n))
+        r = d.withColumn("_b", bcol)
+        # weighted rank inside a (bucket, group) piece — bounded by one bucket
+        wl = Window.partitionBy("_b", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        r = r.withColumn("_lcum", F.coalesce(F.sum("_w").over(wl), F.lit(0)).cast("long"))
+        seg = d.withColumn("_b", bcol).groupBy("_b", *keys).agg(F.sum("_w").alias("_n"))
+        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*keys)
+        seg = (seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
+               .withColumn("_tot", F.sum("_n").over(whole).cast("long")).drop("_n"))
+        bound = None if max_groups is None else p_n + max_groups
+        r = _join_small(r, seg, ["_b", *keys], bound)
     r = r.withColumn("_lo", (F.col("_off") + F.col("_lcum")))           # first rank held by the value
     r = r.withColumn("_hi", F.col("_lo") + F.col("_w") - 1)             # last rank held by the value
     aggs, keep = [], None
@@ -265,7 +272,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
              .withColumn(f"_{n}_f", h - F.floor(h)))
         aggs += [F.max(f"_{n}_v0").alias(f"_{n}_v0"), F.max(f"_{n}_v1").alias(f"_{n}_v1"),
                  F.max(f"_{n}_f").alias(f"_{n}_f")]
-    small = r.where(keep).groupBy(*keys).agg(*aggs)
+    small = r.where(keep | F.col(value).isNull()).groupBy(*keys).agg(*aggs)
     out = small.select(*keys, *[
         (F.col(f"_{n}_v0") + F.col(f"_{n}_f") * (F.col(f"_{n}_v1") - F.col(f"_{n}_v0"))).alias(n)
         for n in names])
