@@ -63,9 +63,9 @@ def family_rank_case(fam_col: str) -> str:
 
 def channels_sql(src: str) -> str:
     """Channels dimension from a (channel, ordinal) relation."""
-    return f"""SELECT channel, ordinal, family, {family_attr_case('family', 1)} AS label,
-        {family_attr_case('family', 2)} AS unit, {family_rank_case('family')} AS family_rank,
-        CAST(row_number() OVER (PARTITION BY family ORDER BY ordinal) - 1 AS INTEGER) AS idx_in_family
+    return f"""SELECT channel, CAST(ordinal AS BIGINT) AS ordinal, family, {family_attr_case('family', 1)} AS label,
+        {family_attr_case('family', 2)} AS unit, CAST({family_rank_case('family')} AS BIGINT) AS family_rank,
+        CAST(row_number() OVER (PARTITION BY family ORDER BY ordinal) - 1 AS BIGINT) AS idx_in_family
       FROM (SELECT channel, ordinal, {family_case('channel')} AS family FROM ({src}))"""
 
 
