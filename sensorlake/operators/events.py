@@ -13,13 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import halo_method, halo_window, pos_method, with_position
+from sensorlake.plans.ranking import halo_method, halo_window, materialize, pos_method, resolve_method, with_position
 
 
 def positions(records: DataFrame, *, record: str = "record_id", order: Sequence[str] = ("ts", "rid"),
               method: str = "auto", max_series: int | None = None) -> DataFrame:
-    return with_position(records, [record], list(order), method=pos_method(method),
-                         max_series=max_series)
+    """Records with ``pos``; on the distributed path the result is checkpointed,
+    since the landmark operators read it several times."""
+    m = resolve_method(records, method)
+    p = with_position(records, [record], list(order), method=m, max_series=max_series)
+    return materialize(p, m)
 
 
 def with_velocity(p: DataFrame, *, record: str = "record_id", load: str = "load", out: str = "velocity",

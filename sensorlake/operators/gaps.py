@@ -17,7 +17,7 @@ from sensorlake.functions.timefns import ntz_lit
 
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ts_micros
 from sensorlake.operators.stats import COVERAGE_POS, COVERAGE_WARN, signal_high_good
-from sensorlake.plans.ranking import pos_method, with_position
+from sensorlake.plans.ranking import materialize, resolve_method, with_position
 
 MIN_GAP_SAMPLES = 3  # fixed value: shorter missing runs are not outages
 
@@ -28,9 +28,11 @@ def gap_segments(readings: DataFrame, *, min_len: int = MIN_GAP_SAMPLES, keys: S
     """One row per run of ≥ min_len consecutive missing samples:
     keys, start_pos, end_pos, start_ts, end_ts, n, dur_us (= end_ts − start_ts)."""
     keys, order = list(keys), list(order)
-    m = pos_method(method)
-    p = with_position(readings.select(*keys, *order, value), keys, order, method=m, max_series=max_series)
-    miss = p.where(F.col(value).isNull()).select(*keys, ts, "pos")
+    src = readings.select(*keys, *order, value)
+    m = resolve_method(src, method)
+    p = with_position(src, keys, order, method=m, max_series=max_series)
+    # the missing rows are ranked a second time (three passes): read them from a checkpoint
+    miss = materialize(p.where(F.col(value).isNull()).select(*keys, ts, "pos"), m)
     mp = with_position(miss, keys, ["pos"], pos="mpos", method=m, max_series=max_series)
     runs = (mp.groupBy(*keys, (F.col("pos") - F.col("mpos")).alias("_isl"))
             .agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n"),

@@ -155,14 +155,17 @@ def median_step(frame: DataFrame, *, order: Sequence[str] = ("ts", "rid"), ts: s
     Previous-row time via positions + a 1-row halo (no single-partition lag),
     then the distributed exact median of the micro-second gaps.
     """
-    from sensorlake.plans.ranking import exact_percentiles, halo_method, halo_window, pct_method, pos_method, with_position
+    from sensorlake.plans.ranking import (exact_percentiles, halo_window, materialize, pct_method, resolve_method,
+                                          with_position)
     from sensorlake.functions.timefns import micros_between
     keys = list(keys)
     f = frame.select(*keys, *order)
-    p = with_position(f, keys, list(order), method=pos_method(method))
+    pm = resolve_method(f, method)
+    p = with_position(f, keys, list(order), method=pm)
     h = halo_window(p, keys, "pos", 1, 0, {"_prev": F.min_by(F.col(ts), F.col("pos"))},
-                    method=halo_method(method))
+                    method="plain" if pm == "window" else "chunk")
     d = h.where(F.col("pos") > 0).withColumn("step_us", micros_between(F.col("_prev"), F.col(ts)).cast("double"))
+    d = materialize(d.select(*keys, "step_us"), pm)     # the percentile passes read it several times
     m = exact_percentiles(d, keys, "step_us", [0.5], names=["median_us"],
                           method=pct_method(method))
     return m.select(*keys, (F.col("median_us") / 60e6).alias("median_step_min"))

@@ -387,3 +387,25 @@ def rolling_stats(df: DataFrame, keys: Sequence[str], pos: str, value: str, lo:
     if method != "plain":
         t = t.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk")
     return t
+
+
+def resolve_method(df: DataFrame, method: str) -> str:
+    """Operator switch -> "window" (one window per series) or "range" (distributed)."""
+    m = pos_method(method)
+    if m == "auto":
+        m = "window" if small_input(df) else "range"
+    return m
+
+
+def materialize(df: DataFrame, method: str) -> DataFrame:
+    """Cut the lineage of a result that is read several times (distributed path only).
+
+    Reliable ``checkpoint`` into the session's shared ``spark.checkpoint.dir``
+    (never a local checkpoint): later passes read the written result instead of
+    re-running the ranking pipeline, and a lost executor does not force a
+    recomputation from the source. The small-input path stays lazy."""
+    if method != "range":
+        return df
+    from sensorlake.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -595,7 +595,7 @@ def q_list_views(spark, d):
 
 
 # --------------------------------------------------------------------------- LTTB (D3, D4) — rows-only check + numpy test
-from sensorlake.plans.ranking import with_position  # noqa: E402
+from sensorlake.plans.ranking import materialize, resolve_method, with_position  # noqa: E402
 
 
 @register("lttb_downsample")
@@ -603,6 +603,7 @@ def q_lttb(spark, d):
     """Joint LTTB of the four lineitem channels: envelope max|y| over channels,
     1,500 points (the per-series budget), same rows for every channel."""
     w = ds.envelope(fx.lineitem_wide(spark, d), fx.LINEITEM_CHANNELS)
-    p = with_position(w, [], fx.LINEITEM_ORDER)
+    m = resolve_method(w, "auto")
+    p = materialize(with_position(w, [], fx.LINEITEM_ORDER, method=m), m)   # read by two stages
     picked = ds.lttb_positions(p, ds.BUDGET_BROWSER, y="envelope")
     return finish(p.join(picked, "pos").select("k", "pos", *fx.LINEITEM_ORDER, *fx.LINEITEM_CHANNELS, "envelope"))
