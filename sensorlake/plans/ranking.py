@@ -233,8 +233,11 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     d = (df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
          .withColumn("_w", F.when(F.col(value).isNotNull(), F.col("_w")).otherwise(F.lit(0)).cast("long")))
     if method == "auto":
-        # bounded by distinct (group, value) pairs, not by rows (rows bound them too)
-        method = "window" if (small_input(v) or small_input(d)) else "range"
+        # bounded by distinct (group, value) pairs, not by rows (rows bound them too);
+        # only a choice between two exact paths, so one pass with an estimate will do
+        r0 = v.agg(F.count(F.lit(1)).alias("n"),
+                   F.approx_count_distinct(F.struct(*keys, value), 0.05).alias("nd")).first()
+        method = "window" if (r0["n"] <= SMALL_ROWS or r0["nd"] <= SMALL_ROWS // 2) else "range"
     if method == "window":
         # weighted ranks with one window per group over the distinct values
         wl = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -256,9 +259,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
                .withColumn("_tot", F.sum("_n").over(whole).cast("long")).drop("_n"))
         bound = None if max_groups is None else p_n + max_groups
         r = _join_small(r, seg, ["_b", *keys], bound)
-    r = r.withColumn("_lo", (F.col("_off") + F.col("_lcum")))           # first rank held by the value
-    r = r.withColumn("_hi", F.col("_lo") + F.col("_w") - 1)             # last rank held by the value
-    aggs, keep = [], None
+    lo = F.col("_off") + F.col("_lcum")                  # first rank held by the value
+    hi = lo + F.col("_w") - 1                            # last rank held by the value
+    r = r.select(*keys, value, "_tot", lo.alias("_lo"), hi.alias("_hi"))
+    aggs, keep, cols = [], None, []
     for p, n in zip(probs, names):
         h = (F.col("_tot") - 1).cast("double") * F.lit(float(p))
         k0 = F.floor(h).cast("long")
@@ -267,12 +271,12 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
         has1 = (F.col("_lo") <= k1) & (k1 <= F.col("_hi"))
         cond = has0 | has1
         keep = cond if keep is None else (keep | cond)
-        r = (r.withColumn(f"_{n}_v0", F.when(has0, F.col(value)))
-             .withColumn(f"_{n}_v1", F.when(has1, F.col(value)))
-             .withColumn(f"_{n}_f", h - F.floor(h)))
+        cols += [F.when(has0, F.col(value)).alias(f"_{n}_v0"), F.when(has1, F.col(value)).alias(f"_{n}_v1"),
+                 (h - F.floor(h)).alias(f"_{n}_f")]
         aggs += [F.max(f"_{n}_v0").alias(f"_{n}_v0"), F.max(f"_{n}_v1").alias(f"_{n}_v1"),
                  F.max(f"_{n}_f").alias(f"_{n}_f")]
-    small = r.where(keep | F.col(value).isNull()).groupBy(*keys).agg(*aggs)
+    r = r.where(keep | F.col(value).isNull()).select(*keys, *cols)
+    small = r.groupBy(*keys).agg(*aggs)
     out = small.select(*keys, *[
         (F.col(f"_{n}_v0") + F.col(f"_{n}_f") * (F.col(f"_{n}_v1") - F.col(f"_{n}_v0"))).alias(n)
         for n in names])

@@ -22,6 +22,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("SENSORLAKE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no Python call-site capture per column function (several JVM round trips
+        # each while a plan is built); errors still carry the Spark-side context
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
