@@ -59,20 +59,17 @@ SPINE_LITERAL_SERIES = 10_000
 
 
 def frame_scan(df: DataFrame, *, ts: str = "ts", keys: Sequence[str] = ("channel",)):
-    """One aggregate: (midnight of the first day, last ts, series list or None).
-
-    The series list (one entry per channel — schema-sized metadata) is only
-    returned when it has at most SPINE_LITERAL_SERIES entries."""
+    """(midnight of the first day, last ts, series list or None): one single-row
+    aggregate, and the distinct series (channels — metadata-sized) fetched with
+    a limit, so at most SPINE_LITERAL_SERIES + 1 rows reach the driver; past
+    that the spine joins instead."""
     keys = list(keys)
-    cols = [F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("o"), F.max(ts).alias("hi")]
-    if keys:
-        k = F.struct(*keys)
-        cols += [F.count_distinct(k).alias("n"),
-                 F.slice(F.collect_set(k), 1, SPINE_LITERAL_SERIES + 1).alias("s")]
-    r = df.agg(*cols).first()
+    r = df.agg(F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("o"), F.max(ts).alias("hi")).first()
     series = None
-    if keys and r["n"] <= SPINE_LITERAL_SERIES:
-        series = sorted(tuple(x) for x in r["s"])
+    if keys:
+        rows = df.select(*keys).distinct().limit(SPINE_LITERAL_SERIES + 1).collect()
+        if len(rows) <= SPINE_LITERAL_SERIES:
+            series = sorted(tuple(x) for x in rows)
     return r["o"], r["hi"], series
 
 

@@ -67,7 +67,7 @@ def q_flagship(spark, d):
     daily = rs.resample(win, "daily", "mean")
     names = r.groupBy("channel").agg(F.min("ordinal").alias("ordinal"))
     chans = classify(names).select("channel", "family", "unit")
-    return finish(daily.join(F.broadcast(chans), "channel", "left"))
+    return finish(daily.join(chans, "channel", "left"))          # both sides: one row per channel (×day)
 
 
 # --------------------------------------------------------------------------- statistics

@@ -108,6 +108,9 @@ def test_many_recordings_at_once(spark, sf001, tiny_buckets):
         assert rows(got, ["channel", "ts", "value"]) == rows(rs.resample(single, "weekly", "mean"), ["channel", "ts", "value"])
         s1 = st.channel_stats(both, keys=k).where(F.col("dataset_id") == ds_id)
         assert rows(s1, ["channel", "n", "mean", "slope"]) == rows(st.channel_stats(single), ["channel", "n", "mean", "slope"])
+        from sensorlake.operators import timewindow as tw
+        w1 = tw.apply_window(both, "7d", keys=["dataset_id"], max_recordings=2).where(F.col("dataset_id") == ds_id)
+        assert rows(w1, ["channel", "rid"]) == rows(tw.apply_window(single, "7d"), ["channel", "rid"])
         f1 = an.rolling_anomalies(both, keys=k, method="distributed").where(F.col("dataset_id") == ds_id)
         f2 = an.rolling_anomalies(one, keys=k, method="plain")
         assert rows(f1, ["channel", "rid", "pos", "is_anomaly"]) == rows(f2, ["channel", "rid", "pos", "is_anomaly"])
