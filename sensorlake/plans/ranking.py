@@ -116,13 +116,24 @@ BUCKET_ROWS = 1_000_000
 MAX_SAMPLED_BUCKETS = 4096
 
 
+_SUB_BITS = 12      # bits per refinement level inside the bucket key
+_MAX_LEVELS = 3
+
+
 def time_buckets(df: DataFrame, keys: Sequence[str], first: str, *, bucket_rows: int | None = None,
-                 max_series: int | None = None) -> DataFrame:
+                 max_series: int | None = None, refine: bool | str = "auto") -> DataFrame:
     """Adds ``_b``: floor((t − t_first) / W) per series, t = the first order column
     as a number (timestamps in micro-seconds), W = span · bucket_rows / rows of
     the series. Pure arithmetic — deterministic, O(1) per row, any number of
     buckets; equal t always share a bucket. Series stats are one aggregate
-    (one row per series, broadcast when the series count is bounded)."""
+    (one row per series, broadcast when the series count is bounded).
+
+    Bursty series (most rows in a short time) overfill some buckets. With
+    ``refine`` ("auto") every bucket holding more than 4 × bucket_rows is cut
+    again by the same arithmetic at width W · bucket_rows / rows-in-bucket, and
+    again (up to 3 levels) while a piece still overflows; levels are packed as
+    b · 4096 + s (s in 0..4095), so bucket order stays time order. Each level
+    costs one count of the overflowing buckets; none when nothing overflows."""
     keys = list(keys)
     bucket_rows = bucket_rows or BUCKET_ROWS
     t = _sortable(df, first).cast("double")
@@ -137,7 +148,32 @@ def time_buckets(df: DataFrame, keys: Sequence[str], first: str, *, bucket_rows:
         r = st.first()
         out = df.withColumn("_t0", F.lit(r["_t0"] if r else 0.0)).withColumn("_w", F.lit(r["_w"] if r else 1.0))
     b = F.floor((t - F.col("_t0")) / F.col("_w"))
-    return out.withColumn("_b", F.coalesce(b, F.lit(-1)).cast("long")).drop("_t0", "_w")
+    out = out.withColumn("_b", F.coalesce(b, F.lit(-1)).cast("long"))
+    if refine is False:
+        return out.drop("_t0", "_w")
+    # start of the row's current bucket and its width, for the next cut
+    out = out.withColumn("_s0", F.col("_t0") + F.col("_b").cast("double") * F.col("_w"))
+    top = (1 << _SUB_BITS) - 1
+    for _level in range(_MAX_LEVELS):
+        seg = out.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
+        big = seg.where((F.col("_c") > 4 * bucket_rows) & (F.col("_b") >= 0)).select(*keys, "_b", "_c")
+        n_big = big.count()
+        if n_big == 0:
+            break
+        side = F.broadcast(big) if n_big <= BROADCAST_ROWS else big
+        out = out.join(side, keys + ["_b"], "left")
+        w2 = F.col("_w") * F.lit(float(bucket_rows)) / F.col("_c")
+        sub = F.least(F.greatest(F.floor((t - F.col("_s0")) / w2) + 1, F.lit(0)), F.lit(top)).cast("long")
+        hit = F.col("_c").isNotNull()
+        out = (out.withColumn("_sub", F.when(hit, sub).otherwise(F.lit(0).cast("long")))
+               .withColumn("_s0", F.when(hit, F.col("_s0") + (F.col("_sub") - 1).cast("double") * w2)
+                           .otherwise(F.col("_s0")))
+               .withColumn("_w", F.when(hit, w2).otherwise(F.col("_w")))
+               .withColumn("_b", F.col("_b") * F.lit(1 << _SUB_BITS) + F.col("_sub"))
+               .drop("_c", "_sub"))
+        if refine is not True and refine != "auto":
+            break
+    return out.drop("_t0", "_w", "_s0")
 
 
 def _time_orderable(df: DataFrame, c: str) -> bool:

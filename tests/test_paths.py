@@ -114,3 +114,25 @@ def test_many_recordings_at_once(spark, sf001, tiny_buckets):
         f1 = an.rolling_anomalies(both, keys=k, method="distributed").where(F.col("dataset_id") == ds_id)
         f2 = an.rolling_anomalies(one, keys=k, method="plain")
         assert rows(f1, ["channel", "rid", "pos", "is_anomaly"]) == rows(f2, ["channel", "rid", "pos", "is_anomaly"])
+
+
+def test_bursty_series_refined(spark):
+    """90 % of the rows in 1 % of the time: the second bucket level keeps pieces small
+    and positions stay exact."""
+    import datetime as dt
+    from sensorlake.plans import ranking
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(300):                                   # sparse: one per hour
+        rows.append(("c", t0 + dt.timedelta(hours=i), i))
+    for i in range(3000):                                  # burst: one per 100 ms
+        rows.append(("c", t0 + dt.timedelta(hours=100, milliseconds=100 * i), 10_000 + i))
+    df = spark.createDataFrame(rows, "channel string, ts timestamp_ntz, rid long")
+    b = ranking.time_buckets(df, ["channel"], "ts", bucket_rows=50)
+    biggest = b.groupBy("_b").count().agg(F.max("count")).first()[0]
+    assert biggest <= 4 * 50
+    plain = ranking.time_buckets(df, ["channel"], "ts", bucket_rows=50, refine=False)
+    assert plain.groupBy("_b").count().agg(F.max("count")).first()[0] > 4 * 50
+    a = with_position(df, ["channel"], ["ts", "rid"], method="range", bucket_rows=50)
+    w = with_position(df, ["channel"], ["ts", "rid"], method="window")
+    assert a.join(w.withColumnRenamed("pos", "pos2"), ["channel", "rid"]).where("pos <> pos2").count() == 0
