@@ -137,43 +137,46 @@ def time_buckets(df: DataFrame, keys: Sequence[str], first: str, *, bucket_rows:
     keys = list(keys)
     bucket_rows = bucket_rows or BUCKET_ROWS
     t = _sortable(df, first).cast("double")
-    st = df.groupBy(*keys).agg(F.min(t).alias("_t0"), F.max(t).alias("_t1"), F.count(F.lit(1)).alias("_n"))
-    st = st.withColumn("_w", F.greatest(F.lit(1e-9), (F.col("_t1") - F.col("_t0") + 1.0)
-                                        * F.lit(float(bucket_rows)) / F.col("_n")))
-    st = st.select(*keys, "_t0", "_w")
+    finite = F.when(F.abs(t) < F.lit(float("inf")), t)          # ±inf must not stretch the span
+    st = df.groupBy(*keys).agg(F.min(finite).alias("_tb_t0"), F.max(finite).alias("_tb_t1"), F.count(F.lit(1)).alias("_tb_n"))
+    st = st.withColumn("_tb_w", F.greatest(F.lit(1e-9), (F.col("_tb_t1") - F.col("_tb_t0") + 1.0)
+                                        * F.lit(float(bucket_rows)) / F.col("_tb_n")))
+    st = st.select(*keys, "_tb_t0", "_tb_w")
     bounded = max_series is not None and max_series <= BROADCAST_ROWS
     if keys:
         out = df.join(F.broadcast(st) if bounded else st, keys)
     else:
         r = st.first()
-        out = df.withColumn("_t0", F.lit(r["_t0"] if r else 0.0)).withColumn("_w", F.lit(r["_w"] if r else 1.0))
-    b = F.floor((t - F.col("_t0")) / F.col("_w"))
+        out = df.withColumn("_tb_t0", F.lit(r["_tb_t0"] if r else 0.0)).withColumn("_tb_w", F.lit(r["_tb_w"] if r else 1.0))
+    # clamped: +inf lands in the last bucket, -inf before the first (order kept)
+    b = F.floor(F.least(F.greatest((t - F.col("_tb_t0")) / F.col("_tb_w"), F.lit(-1e15)), F.lit(1e15)))
     out = out.withColumn("_b", F.coalesce(b, F.lit(-1)).cast("long"))
     if refine is False:
-        return out.drop("_t0", "_w")
+        return out.drop("_tb_t0", "_tb_w")
     # start of the row's current bucket and its width, for the next cut
-    out = out.withColumn("_s0", F.col("_t0") + F.col("_b").cast("double") * F.col("_w"))
+    out = out.withColumn("_tb_s0", F.col("_tb_t0") + F.col("_b").cast("double") * F.col("_tb_w"))
     top = (1 << _SUB_BITS) - 1
     for _level in range(_MAX_LEVELS):
-        seg = out.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-        big = seg.where((F.col("_c") > 4 * bucket_rows) & (F.col("_b") >= 0)).select(*keys, "_b", "_c")
+        seg = out.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_tb_c"))
+        big = seg.where((F.col("_tb_c") > 4 * bucket_rows) & (F.col("_b") >= 0)).select(*keys, "_b", "_tb_c")
         n_big = big.count()
         if n_big == 0:
             break
         side = F.broadcast(big) if n_big <= BROADCAST_ROWS else big
         out = out.join(side, keys + ["_b"], "left")
-        w2 = F.col("_w") * F.lit(float(bucket_rows)) / F.col("_c")
-        sub = F.least(F.greatest(F.floor((t - F.col("_s0")) / w2) + 1, F.lit(0)), F.lit(top)).cast("long")
-        hit = F.col("_c").isNotNull()
-        out = (out.withColumn("_sub", F.when(hit, sub).otherwise(F.lit(0).cast("long")))
-               .withColumn("_s0", F.when(hit, F.col("_s0") + (F.col("_sub") - 1).cast("double") * w2)
-                           .otherwise(F.col("_s0")))
-               .withColumn("_w", F.when(hit, w2).otherwise(F.col("_w")))
-               .withColumn("_b", F.col("_b") * F.lit(1 << _SUB_BITS) + F.col("_sub"))
-               .drop("_c", "_sub"))
+        w2 = F.col("_tb_w") * F.lit(float(bucket_rows)) / F.col("_tb_c")
+        ratio = F.least(F.greatest((t - F.col("_tb_s0")) / w2, F.lit(-1.0)), F.lit(float(top)))
+        sub = F.least(F.greatest(F.floor(ratio) + 1, F.lit(0)), F.lit(top)).cast("long")
+        hit = F.col("_tb_c").isNotNull()
+        out = (out.withColumn("_tb_sub", F.when(hit, sub).otherwise(F.lit(0).cast("long")))
+               .withColumn("_tb_s0", F.when(hit, F.col("_tb_s0") + (F.col("_tb_sub") - 1).cast("double") * w2)
+                           .otherwise(F.col("_tb_s0")))
+               .withColumn("_tb_w", F.when(hit, w2).otherwise(F.col("_tb_w")))
+               .withColumn("_b", F.col("_b") * F.lit(1 << _SUB_BITS) + F.col("_tb_sub"))
+               .drop("_tb_c", "_tb_sub"))
         if refine is not True and refine != "auto":
             break
-    return out.drop("_t0", "_w", "_s0")
+    return out.drop("_tb_t0", "_tb_w", "_tb_s0")
 
 
 def _time_orderable(df: DataFrame, c: str) -> bool:
@@ -282,13 +285,18 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
              .withColumn("_tot", F.sum("_w").over(Window.partitionBy(*keys)).cast("long")))
     else:
         p_n = min(_parts(df, partitions), MAX_SAMPLED_BUCKETS)
-        # 2. deterministic value-order buckets (bounds sampled from the raw rows)
-        bcol = F.when(F.col(value).isNull(), F.lit(0)).otherwise(range_buckets(v, keys + [value], p_n))
-        r = d.withColumn("_b", bcol)
+        # 2. deterministic value-order buckets over the distinct values: arithmetic
+        #    (refined where values crowd) for numbers, sampled bounds otherwise
+        if _time_orderable(d, value):
+            db = materialize(time_buckets(d, keys, value, max_series=max_groups), "range")
+        else:
+            bcol = F.when(F.col(value).isNull(), F.lit(0)).otherwise(range_buckets(v, keys + [value], p_n))
+            db = d.withColumn("_b", bcol)
+        r = db
         # weighted rank inside a (bucket, group) piece — bounded by one bucket
         wl = Window.partitionBy("_b", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         r = r.withColumn("_lcum", F.coalesce(F.sum("_w").over(wl), F.lit(0)).cast("long"))
-        seg = d.withColumn("_b", bcol).groupBy("_b", *keys).agg(F.sum("_w").alias("_n"))
+        seg = db.groupBy("_b", *keys).agg(F.sum("_w").alias("_n"))
         before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         whole = Window.partitionBy(*keys)
         seg = (seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
