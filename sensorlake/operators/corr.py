@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.plans.ranking import pos_method, with_position
+from sensorlake.functions.shipping import by_value
+
+by_value(__name__)      # pandas-UDF helpers travel with the task
 
 
 def _pair_cols(a: str, b: str):

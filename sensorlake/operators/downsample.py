@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.plans.ranking import BROADCAST_ROWS, pos_method, with_position
+from sensorlake.functions.shipping import by_value
+
+by_value(__name__)      # pandas-UDF helpers travel with the task
 
 # Point budgets of the original charts.
 BUDGET_OVERVIEW = 2000
