@@ -158,3 +158,14 @@ def test_e16_paging(spark):
     last = br.page_rows(r, 99).collect()
     assert [x["row_num"] for x in last] == [41, 42, 43, 44, 45] and last[0]["total_pages"] == 3
     assert br.page_rows(r.limit(0), 1).count() == 0
+
+
+def test_synthetic_recording(spark):
+    from sensorlake.sources.files import synthetic_recording
+    df = synthetic_recording(spark, 7 * 24 * 60, seed=3)
+    assert df.columns == ["timestamp", "LVDT1", "Tilt1", "Thermocouple1"]
+    r = df.agg(F.count("*").alias("n"), F.avg("Thermocouple1").alias("t"), F.avg("LVDT1").alias("l"),
+               F.min("timestamp").alias("t0"), F.max("timestamp").alias("t1"), F.avg("Tilt1").alias("g")).first()
+    assert r["n"] == 10080 and abs(r["t"] - 22.0) < 0.05 and abs(r["l"] - 5.0) < 0.01
+    assert abs(r["g"] - (-0.475)) < 0.002
+    assert r["t0"] == T0 and r["t1"] == T0 + dt.timedelta(minutes=10079)
