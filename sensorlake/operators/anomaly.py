@@ -51,7 +51,7 @@ def anomaly_summary(flags: DataFrame, *, keys: Sequence[str] = ("channel",), val
 def _with_series_mean(flags: DataFrame, keys: list[str], value: str, max_series: int | None,
                       readings: DataFrame | None = None) -> DataFrame:
     """Join the series mean. Taken from ``readings`` when given (a cheap scan)
-    instead of re-running the rolling pipeline behind ``flags``."""
+    instead of re-running the rolling computation behind ``flags``."""
     src = readings if readings is not None else flags
     mu = src.groupBy(*keys).agg(F.avg(value).alias("mu"))
     if max_series is not None:

@@ -529,7 +529,7 @@ SQL["parse_ts"] = ("SELECT event_id, TRY_CAST(CAST(ts AS VARCHAR) AS TIMESTAMP)
 SQL["load_readings"] = o.with_ctes(f"SELECT {EW_COLS} FROM ew", ew=o.EVENTS_WIDE)
 SQL["roundtrip_parquet"] = SQL["load_readings"]
 SQL["ingest_csv"] = SQL["load_readings"]
-SQL["ingest_pipeline"] = ("SELECT 'events_wide_2024' AS table_name, 'events wide 2024.csv' AS source_filename, "
+SQL["ingest_file"] = ("SELECT 'events_wide_2024' AS table_name, 'events wide 2024.csv' AS source_filename, "
                           "count(*) AS row_count, CAST(7 AS BIGINT) AS column_count, "
                           "'ts,rid," + ",".join(b for _a, b in o.EVENT_CHANNELS) + "' AS column_names FROM events")
 SQL["describe_schema"] = """SELECT column_name AS name, CAST(ordinal_position - 1 AS BIGINT) AS ordinal,

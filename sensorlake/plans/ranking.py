@@ -450,7 +450,7 @@ def materialize(df: DataFrame, method: str) -> DataFrame:
 
     Reliable ``checkpoint`` into the session's shared ``spark.checkpoint.dir``
     (never a local checkpoint): later passes read the written result instead of
-    re-running the ranking pipeline, and a lost executor does not force a
+    re-running the ranking plan, and a lost executor does not force a
     recomputation from the source. The small-input path stays lazy."""
     if method != "range":
         return df

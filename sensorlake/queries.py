@@ -519,8 +519,8 @@ def q_ingest_csv(spark, d):
     return _wide_typed(frame)
 
 
-@register("ingest_pipeline")
-def q_ingest_pipeline(spark, d):
+@register("ingest_file")
+def q_ingest_file_query(spark, d):
     src = fl.export_csv(fx.events_wide(spark, d), scratch(spark, "src") + "/events wide 2024.csv", single_file=True)
     data, row = cg.ingest_file(spark, src, scratch(spark, "ingest"))
     return row.select("table_name", "source_filename", "row_count", F.col("column_count").cast("long").alias("column_count"),
