@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ntz_lit, ts_micros
@@ -86,8 +86,8 @@ def spine(readings: DataFrame, n_bins: int, *, keys: Sequence[str] = ("channel",
         ci = (F.col("id") / F.lit(n_bins)).cast("int")
         cols = [F.element_at(F.array(*[F.lit(s[j]) for s in series]), ci + 1).alias(k) for j, k in enumerate(keys)]
         return grid.select(*cols, (F.col("id") % F.lit(n_bins)).alias("bin"))
-    chan = readings.select(*keys).distinct()
-    chan = chan.withColumn("_ci", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+    from sensorlake.plans.ranking import with_position
+    chan = with_position(readings.select(*keys).distinct(), [], keys, pos="_ci")   # distributed beyond 2M series
     n_ch = chan.count()
     grid = spark.range(0, max(n_ch, 1) * max(n_bins, 0))
     grid = grid.select((F.col("id") / F.lit(n_bins)).cast("long").alias("_ci"),

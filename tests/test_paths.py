@@ -144,3 +144,12 @@ def test_bursty_series_refined(spark):
     a = with_position(df, ["channel"], ["ts", "rid"], method="range", bucket_rows=50)
     w = with_position(df, ["channel"], ["ts", "rid"], method="window")
     assert a.join(w.withColumnRenamed("pos", "pos2"), ["channel", "rid"]).where("pos <> pos2").count() == 0
+
+
+def test_spine_join_path_equals_literal(spark, ev, monkeypatch):
+    from sensorlake.operators import resample as rs
+    a = rs.resample(ev, "daily", "mean").collect()
+    monkeypatch.setattr(rs, "SPINE_LITERAL_SERIES", 0)          # force numbering + join
+    b = rs.resample(ev, "daily", "mean").collect()
+    key = lambda r: (r["channel"], r["ts"])
+    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str) and len(a) == 150
