@@ -174,20 +174,23 @@ def median_step(frame: DataFrame, *, order: Sequence[str] = ("ts", "rid"), ts: s
 def dataset_kpis(readings: DataFrame, channels: DataFrame, frame: DataFrame, *, ts: str = "ts",
                  order: Sequence[str] = ("ts", "rid"), value: str = "value") -> DataFrame:
     """Dataset context: span days, median step (min), #channels, #families,
-    cell-level missing share, coverage % and its signal. One recording."""
-    span = frame.agg(F.min(ts).alias("t0"), F.max(ts).alias("t1"), F.count(F.lit(1)).alias("n_rows"))
+    cell-level missing share, coverage % and its signal. One recording.
+
+    One aggregate over the readings; the frame's row count, the channel /
+    family counts and the median step are single values added as literals
+    (no join between the one-row results)."""
     from sensorlake.functions.timefns import micros_between
-    cells = readings.agg(F.count(F.lit(1)).alias("cells"), F.count(value).alias("present"))
-    fams = channels.agg(F.count(F.lit(1)).alias("n_channels"), F.count_distinct("family").alias("n_families"))
-    med = median_step(frame, order=order, ts=ts)
-    # all four inputs are single-row aggregates; combine them column-wise
-    row = (span.withColumn("_k", F.lit(1)).join(cells.withColumn("_k", F.lit(1)), "_k")
-           .join(fams.withColumn("_k", F.lit(1)), "_k").join(med.withColumn("_k", F.lit(1)), "_k", "left"))
+    n_rows = frame.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    fam = channels.agg(F.count(F.lit(1)).alias("c"), F.count_distinct("family").alias("f")).first()
+    med = median_step(frame, order=order, ts=ts).first()
+    med_v = med["median_step_min"] if med is not None else None
+    g = readings.agg(F.min(ts).alias("t0"), F.max(ts).alias("t1"),
+                     F.count(F.lit(1)).alias("cells"), F.count(value).alias("present"))
     nan = F.when(F.col("cells") > 0, 1.0 - F.col("present") / F.col("cells")).otherwise(F.lit(0.0))
-    return row.select(
-        F.when(F.col("n_rows") >= 2, micros_between(F.col("t0"), F.col("t1")) / F.lit(float(US_PER_DAY)))
+    return g.select(
+        F.when(F.lit(n_rows) >= 2, micros_between(F.col("t0"), F.col("t1")) / F.lit(float(US_PER_DAY)))
         .otherwise(F.lit(0.0)).alias("span_days"),
-        F.col("median_step_min"), F.col("n_rows").cast("long").alias("n_rows"),
-        F.col("n_channels").cast("long").alias("n_channels"), F.col("n_families").cast("long").alias("n_families"),
+        F.lit(med_v).cast("double").alias("median_step_min"), F.lit(n_rows).cast("long").alias("n_rows"),
+        F.lit(fam["c"]).cast("long").alias("n_channels"), F.lit(fam["f"]).cast("long").alias("n_families"),
         nan.alias("nan_frac"), ((1.0 - nan) * 100.0).alias("coverage_pct"),
         signal_high_good((1.0 - nan) * 100.0, COVERAGE_POS, COVERAGE_WARN).alias("coverage_signal"))
