@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from sensorlake.llm.decontaminate import scan_for_items
 from sensorlake.llm.exact_dedup import flag_exact
+from sensorlake.llm.language import UNKNOWN, held_out, identify, learn
+from sensorlake.llm.near_dedup import near_duplicates
+from sensorlake.llm.packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +32,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_exact(_table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), learn(docs), out="language")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"),
+                        F.coalesce("language.lang", F.lit(UNKNOWN)).alias("lang_pred"), "language.score")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_packing": op7_packing,
+    "op8_language": op8_language,
 }
