@@ -33,6 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The rows of a grouping behind an exchange of their own.
+
+    A join on the grouping's key then shuffles both sides, and Spark can split a hot key of the
+    other side (it cannot where the grouping's own exchange serves the join).
+    """
+    return df.hint("rebalance")
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Bound an Arrow batch by rows and, where Spark has the setting, by bytes.
 

@@ -5,9 +5,8 @@ at least twice. Pass two tests every row: a row is possibly repeated only if all
 cells were met twice; such rows alone are shuffled and grouped by SHA-256. All other
 rows are certainly unique and pass straight through.
 
-The filter has at most ``MAX_CELLS`` cells, whatever the input: it is kept as words of
-64 cells, so its broadcast has ``MAX_CELLS / 64`` rows at most. A fuller filter lets
-more unique rows into the grouping; the result stays the same.
+The filter has at most ``MAX_CELLS`` cells, whatever the input (see ``bloom``). A fuller
+filter lets more unique rows into the grouping; the result stays the same.
 
 Defined results: null text counts as empty; of equal texts the largest doc_id stays
 (a null id is smaller than any other); of repeated rows with equal id and text one
@@ -16,34 +15,17 @@ is kept; empty input gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.llm.bloom import MAX_CELLS, cells_for, packed, probe, two_cells
 from sensorlake.llm.common import hidden, same, written
 
-#: Filter cells: 16 for each row, up to this many (2^24 cells, 2^18 words of 64).
-MAX_CELLS = 1 << 24
-CELLS_PER_ROW = 16
 
-
-def _filter_cells(rows: int, max_cells: int) -> int:
-    cells = 1 << 10
-    while cells < min(rows * CELLS_PER_ROW, max_cells):
-        cells *= 2
-    return cells
-
-
-def _cells(h: str, cells: int) -> list[Column]:
-    """Two cells of a 64-bit hash, from disjoint bits."""
-    return [F.pmod(F.col(h), F.lit(cells)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(cells))]
-
-
-def _twice_words(hashes: DataFrame, cells: int) -> DataFrame:
-    """Cells met by two rows or more, packed in words: (word, bits)."""
-    return (hashes.select(F.explode(F.array(*_cells("h", cells))).alias("cell"))
-            .groupBy("cell").count().where("count > 1")
-            .select(F.shiftright("cell", 6).alias("word"), F.expr("shiftleft(1L, cast(cell & 63 as int))").alias("bit"))
-            .groupBy("word").agg(F.bit_or("bit").alias("bits")))
+def _met_twice(hashes: DataFrame, cells: int) -> DataFrame:
+    """The filter of cells that two rows or more met."""
+    return packed(hashes.select(F.explode(F.array(*two_cells("h", cells))).alias("cell"))
+                  .groupBy("cell").count().where("count > 1"))
 
 
 def flag_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -52,17 +34,12 @@ def flag_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     hashes = own.select(F.xxhash64("t").alias("h"))
-    cells = _filter_cells(hashes.count(), max_cells)
-    words = written(_twice_words(hashes, cells), "repeated-cells")
+    cells = cells_for(hashes.count(), max_cells)
+    words = written(_met_twice(hashes, cells), "repeated-cells")
 
     rows = own.select("doc_id", F.unhex(F.sha2("t", 256)).alias("sha"), F.xxhash64("t").alias("h"))
-    for k, cell in enumerate(_cells("h", cells)):
-        # at most MAX_CELLS / 64 rows, so the broadcast has a fixed bound
-        part = F.broadcast(words.select(F.col("word").alias(f"w{k}"), F.col("bits").alias(f"b{k}")))
-        rows = rows.withColumn(f"c{k}", cell).join(part, F.shiftright(f"c{k}", 6) == F.col(f"w{k}"), "left")
-    hit = [F.coalesce(F.expr(f"shiftright(b{k}, cast(c{k} & 63 as int)) & 1L"), F.lit(0)) == 1 for k in (0, 1)]
     # ids and digests only, written once: the texts are hashed once and read again by nobody
-    rows = written(rows.select("doc_id", "sha", (hit[0] & hit[1]).alias("maybe")), "digests")
+    rows = written(probe(rows, "h", words, cells, "maybe").select("doc_id", "sha", "maybe"), "digests")
 
     alone = rows.where("NOT maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
