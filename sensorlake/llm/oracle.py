@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sensorlake.llm.secret_links import ACCESS, ASSIGN, BARE, ENDPOINT, HEX, KEY_ID
+
 # words of op1: A-Z folded, then runs of digits, a-z and everything beyond ASCII
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS1 = "regexp_extract_all(" + _LOW + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -26,13 +28,116 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
+OP2 = r"""
+WITH l0 AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+                   unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, text, line, k,
+             [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END
+              FOR t IN regexp_split_to_array(line, '[ \t\x0B\f\r]+') IF t <> ''] AS w FROM l0),
+long AS (SELECT DISTINCT doc_id, text, w, list_slice(w, 1, 3) AS head FROM l WHERE len(w) >= 3),
+leaf AS (SELECT len(w) AS n, head FROM long GROUP BY 1, 2 HAVING count(*) >= 10),
+near AS (SELECT long.* FROM long JOIN leaf ON leaf.n = len(long.w) AND leaf.head = long.head),
+dl AS (SELECT w, head, count(*) AS docs FROM near GROUP BY w, head),
+tok AS (SELECT w, head, docs, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS c FROM dl),
+con AS (SELECT len(w) AS n, head, p, c FROM tok GROUP BY 1, 2, 3, 4 HAVING sum(docs) >= 10),
+tpl AS (SELECT tok.w, list(coalesce(con.c, '<*>') ORDER BY tok.p) AS t,
+               avg(CASE WHEN coalesce(con.c, '<*>') <> '<*>' THEN 1.0 ELSE 0.0 END) AS share
+        FROM tok LEFT JOIN con ON con.n = len(tok.w) AND con.head = tok.head AND con.p = tok.p AND con.c = tok.c
+        GROUP BY tok.w),
+held AS (SELECT near.doc_id, near.text, near.w, tpl.t FROM near JOIN tpl ON near.w = tpl.w WHERE share >= 0.7),
+often AS (SELECT t FROM (SELECT DISTINCT doc_id, text, t FROM held) GROUP BY t HAVING count(*) >= 10),
+rec AS (SELECT DISTINCT doc_id, text, w FROM held JOIN often USING (t)),
+f AS (SELECT l.doc_id, l.text, l.line, l.k, len(l.w) AS n, rec.w IS NOT NULL AS r
+      FROM l LEFT JOIN rec ON rec.doc_id = l.doc_id AND rec.text = l.text AND rec.w = l.w),
+g AS (SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN r THEN 1 ELSE 0 END) AS n_recurring, sum(n) AS words,
+             coalesce(sum(n) FILTER (r), 0) AS gone, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT r), '') AS clean,
+             any_value(text) AS text
+      FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_recurring, 0) AS BIGINT) AS n_recurring,
+       CAST(CASE WHEN gone <= 0.5 * words THEN n_recurring ELSE 0 END AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN n_recurring > 0 AND gone <= 0.5 * words THEN clean ELSE d.text END) AS clean_sha256
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+OP3 = r"""
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r
+           FROM pages),
+p AS (SELECT page_id, url, r,
+             coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')
+               AS host,
+             coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+c AS (SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/$', '')
+        || coalesce('?' || nullif(array_to_string(list_sort(
+             [q FOR q IN string_split(regexp_extract(r, '^[^?#]*\?([^#]*)', 1), '&')
+              IF q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|ref|gclid|fbclid)(=|$)')]), '&'), ''), '') AS key FROM p),
+bad AS (SELECT DISTINCT key FROM c
+        WHERE list_has_any(string_split(host, '.'),
+                           ['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])),
+rules AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(h, pre, ruling)),
+best AS (SELECT page_id, max_by(h || pre, length(h || pre)) AS rule, max_by(ruling, length(h || pre)) AS ruling
+         FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) GROUP BY page_id)
+SELECT c.page_id, host, path, rule, coalesce(ruling, CASE WHEN bad.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN best USING (page_id) LEFT JOIN bad USING (key)
+"""
+
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS b FROM pages),
+q AS (SELECT *, sha256(t) AS s, min(page_id) OVER (PARTITION BY t) AS least FROM p)
+SELECT page_id, b AS payload_bytes, s AS payload_digest,
+       CASE WHEN b >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 100 AND page_id <> least THEN least END AS refers_to
+FROM q
+"""
+
 OP5 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+def _kind(rank: int, kind: str, pattern: str, part: str, where: str = "true") -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, '{part}' AS part, e - length(m) AS s, e FROM (
+      SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM (
+        SELECT doc_id, unnest(regexp_extract_all(t, '(?s)(.*?)({quoted})', 1)) AS g,
+               unnest(regexp_extract_all(t, '(?s)(.*?)({quoted})', 2)) AS m,
+               unnest(range(len(regexp_extract_all(t, '(?s)(.*?)({quoted})', 1)))) AS k
+        FROM d WHERE regexp_matches(t, '{quoted}'))) WHERE {where}"""
+
+
+_ASSIGN9 = "regexp_extract(m, '^" + ASSIGN.replace("'", "''") + "', 2)"
+OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_kind(0, 'assign', ASSIGN, 'secret', f'length({_ASSIGN9}) >= 8')}
+  UNION ALL {_kind(1, 'access', ACCESS, 'id')} UNION ALL {_kind(2, 'hex', HEX, 'secret')}),
+bare AS ({_kind(4, 'bare', BARE, 'secret',
+                "regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')")}),
+weak AS ({_kind(3, 'key_id', KEY_ID, 'id')}
+  UNION ALL SELECT bare.* FROM bare ANTI JOIN base ON bare.doc_id = base.doc_id AND base.s < bare.e AND bare.s < base.e
+  UNION ALL {_kind(5, 'endpoint', ENDPOINT, 'endpoint')}),
+need AS (SELECT * FROM (VALUES ('key_id', 'secret'), ('bare', 'id'), ('endpoint', 'id'), ('endpoint', 'secret')) t(kind, need)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+lacks AS (SELECT w.doc_id, w.kind, w.s FROM weak w JOIN need n USING (kind)
+          ANTI JOIN every o ON o.doc_id = w.doc_id AND o.part = n.need AND abs(o.s - w.s) <= 200),
+linked AS (SELECT w.* FROM weak w ANTI JOIN lacks l ON l.doc_id = w.doc_id AND l.kind = w.kind AND l.s = w.s),
+b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c,
+             count(*) FILTER (kind = 'hex') AS h,
+             string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) AS spans
+      FROM base GROUP BY doc_id),
+f AS (SELECT doc_id, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, rank) AS spans
+      FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n FROM linked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(f.spans, '') AS spans, coalesce(n, 0) AS n_linked
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
 SQL = {
     "op1_decontaminate": OP1,
+    "op2_line_templates": OP2,
+    "op3_url_filter": OP3,
+    "op4_warc": OP4,
     "op5_exact_dedup": OP5,
+    "op9_secrets": OP9,
 }

@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from sensorlake.llm.decontaminate import scan_for_items
 from sensorlake.llm.exact_dedup import flag_exact
+from sensorlake.llm.line_templates import flag_lines
 from sensorlake.llm.language import UNKNOWN, held_out, identify, learn
 from sensorlake.llm.near_dedup import near_duplicates
 from sensorlake.llm.packing import pack
+from sensorlake.llm.secret_links import find_secrets, report
+from sensorlake.llm.url_filter import filter_urls, host_of
+from sensorlake.llm.warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +32,30 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("found.n_hit") > 0).alias("contaminated"))
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = flag_lines(docs, out="lines")
+    clean = F.coalesce("lines.clean", "text")
+    return found.select("doc_id", "lines.n_lines", "lines.n_recurring", "lines.n_dropped",
+                        F.sha2(clean, 256).alias("clean_sha256"))
+
+
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"),
+             ("net/es/", "block"), ("net/fr/", "block")]
+# fixed values: host labels whose pages make up the list of unwanted URLs
+UNWANTED_HOSTS = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.arrays_overlap(F.split(host_of(F.col("url")), r"\."), F.array(*map(F.lit, UNWANTED_HOSTS))))
+    return filter_urls(pages, URL_RULES, listed, out="f").select("page_id", "f.host", "f.path", "f.rule", "f.verdict")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages")).drop("complete")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flag_exact(_table(spark, sf_dir, "documents"))
 
@@ -47,10 +75,18 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce("language.lang", F.lit(UNKNOWN)).alias("lang_pred"), "language.score")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_line_templates": op2_line_templates,
+    "op3_url_filter": op3_url_filter,
+    "op4_warc": op4_warc,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_near_dedup": op6_near_dedup,
     "op7_packing": op7_packing,
     "op8_language": op8_language,
+    "op9_secrets": op9_secrets,
 }
