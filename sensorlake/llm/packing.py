@@ -45,7 +45,7 @@ DEPTH = 3
 GRID = 64
 #: Pieces numbered together, and left-over pieces packed together.
 BUCKET_ROWS = 20_000
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 
 
 # --------------------------------------------------------------------------- tokens and pieces
