@@ -14,6 +14,8 @@ from sensorlake.llm.line_templates import flag_lines
 from sensorlake.llm.language import UNKNOWN, held_out, identify, learn
 from sensorlake.llm.near_dedup import near_duplicates
 from sensorlake.llm.packing import pack
+from sensorlake.llm.personal_data import find_personal
+from sensorlake.llm.personal_data import learn as learn_personal
 from sensorlake.llm.secret_links import find_secrets, report
 from sensorlake.llm.url_filter import filter_urls, host_of
 from sensorlake.llm.warc import round_trip
@@ -79,6 +81,14 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal(docs, learn_personal(docs), out="p")
+    return found.select("doc_id", "p.n_email", "p.n_ip", "p.n_card", "p.n_phone",
+                        F.sha2(F.array_join("p.base", ","), 256).alias("base_sha256"),
+                        F.array_join("p.spans", ",").alias("spans"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_templates": op2_line_templates,
@@ -89,4 +99,5 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_language": op8_language,
     "op9_secrets": op9_secrets,
+    "op10_personal_data": op10_personal_data,
 }
