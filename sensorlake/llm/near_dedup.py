@@ -14,8 +14,9 @@ Verification: pairs in a band are confirmed on the full shingle sets. Equal sets
 one node from the start. Links are found in waves, so that no group is expanded
 into all its pairs: first every set against the smallest set it shares a band with;
 then, in bands that still hold several components, all against one member of the
-smallest; at last, in what is left, every member outside the largest component against
-all members of other components, in blocks of bounded size. Pairs within one component
+smallest; at last, in what is left, every member outside a band's largest component against
+all members of other components, in blocks of bounded size that carry the sets: pairs are
+compared inside a block and only links come out. Pairs within one component
 need no more links, so no link between components is lost.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.functions.shipping import by_value
-from sensorlake.llm.common import (SPACED_WORD, Words, bound_batches, constants, hidden, mix, runs_of_documents, same,
+from sensorlake.llm.common import (SPACED_WORD, Words, apart, bound_batches, constants, hidden, mix, runs_of_documents, same,
                                    utf8, written)
 from sensorlake.llm.components import connected
 
@@ -46,7 +47,7 @@ COORDINATES = 256
 MISS = 1e-4
 SHINGLE = 5
 #: Members of a block in the last wave, on either side.
-BLOCK = 256
+BLOCK = 512
 
 _SHIFT = constants(SHINGLE, 11)
 _ROUND = constants(2 * COORDINATES, 13)
@@ -136,14 +137,24 @@ def _sketches(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 sid.append(None), bands.append(None), small.append(None)
                 continue
             s = sketch(a)
-            sid.append(_identity(a)), bands.append(_band_keys(s, rows).view(np.int64))
+            sid.append(_identity(a)), bands.append(_band_keys(s, rows).tobytes())
             small.append((s & np.uint64(255)).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("d"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()),
-             pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())],
+             pa.array(bands, pa.binary()), pa.array(small, pa.binary())],
             ["d", "n", "sid", "bands", "sketch"])
 
 
+def _band_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (key, sid) for each band of a set."""
+    for batch in batches:
+        keys = [np.frombuffer(b.as_buffer(), np.int64) for b in batch.column("bands")]
+        of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), batch.column("sid").take(pa.array(of))],
+            ["key", "sid"])
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sid, body = [], []
@@ -152,62 +163,87 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(body, pa.binary())], ["sid", "body"])
 
 
+def _linked_pair(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def _linked(percent: int):
     @F.arrow_udf("boolean")
     def linked(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x, y):
-            a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-            if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                out.append(False)
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= percent * (len(a) + len(b) - both))
-        return pa.array(out, pa.bool_())
+        return pa.array([_linked_pair(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent)
+                         for p, q in zip(x, y)], pa.bool_())
     return linked
 
 
-def _plausible(percent: int):
-    """Pairs (q, s) of a block whose sketches agree in nearly ``percent`` of the coordinates.
+def _block_links(percent: int):
+    """Links between components in a block of one band: queries against the others.
 
-    The limit is six standard deviations below the expected agreement.
+    Pairs whose sketches agree in nearly ``percent`` of the coordinates (six standard deviations below the
+    expected agreement) are confirmed on the full sets, each in the first band that both are in, most alike
+    first. Components that a confirmed link has joined need no other link, so at most one link for
+    each component comes out.
     """
     share = percent / 100
     least = int(COORDINATES * share - 6 * (COORDINATES * share * (1 - share)) ** 0.5)
 
-    def pairs(block: pd.DataFrame) -> pd.DataFrame:
+    def links(block: pd.DataFrame) -> pd.DataFrame:
         q, s = block[block["query"]], block[~block["query"]]
-        out_a, out_b = [], []
+        out_a, out_b, root = [], [], {}
+
+        def find(x: bytes) -> bytes:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
         if len(q) and len(s):
-            all_s = np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), -1)
-            sid, label = s["sid"].to_numpy(), s["label"].to_numpy()
-            for own, own_label, row in zip(q["sid"], q["label"], q["sketch"]):
-                near = (all_s == np.frombuffer(row, np.uint8)).sum(axis=1) >= least
-                for k in np.flatnonzero(near):
-                    if label[k] != own_label:
-                        out_a.append(max(own, sid[k])), out_b.append(min(own, sid[k]))
+            key = block["key"].iloc[0]
+            near = np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), -1)
+            bands = np.stack([np.frombuffer(x, np.int64) for x in s["bands"]])
+            sid, label, body = (s[c].to_numpy() for c in ("sid", "label", "body"))
+            pairs = []
+            for k, (own, row, keys) in enumerate(zip(q["label"], q["sketch"], q["bands"])):
+                alike = (near == np.frombuffer(row, np.uint8)).sum(axis=1)
+                at = np.flatnonzero(alike >= least)
+                if len(at):
+                    equal = bands[at] == np.frombuffer(keys, np.int64)
+                    first = bands[at, equal.argmax(axis=1)] == key
+                    pairs += [(-int(alike[x]), k, int(x)) for x in at[first] if label[x] != own]
+            q_sid, q_label, q_body = (q[c].to_numpy() for c in ("sid", "label", "body"))
+            for _, k, x in sorted(pairs):
+                one, two = find(q_label[k]), find(label[x])
+                if one != two and _linked_pair(np.frombuffer(q_body[k], np.uint64), np.frombuffer(body[x], np.uint64), percent):
+                    root[max(one, two)] = min(one, two)
+                    out_a.append(max(q_sid[k], sid[x])), out_b.append(min(q_sid[k], sid[x]))
         return pd.DataFrame({"a": out_a, "b": out_b})
-    return pairs
+    return links
 
 
-def _last_pairs(left: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components in bands (key, sid, label) that hold several."""
+def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """Links between components in bands (key, sid, label) that hold several."""
     by_label = left.groupBy("key", "label").agg(F.count("*").alias("n"))
     per_key = by_label.groupBy(F.col("key").alias("k")).agg(
         F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"))
-    rows = (left.join(per_key, F.col("key") == F.col("k"))
+    own = left.select("sid").distinct()
+    content = (own.join(sets.select(F.col("sid").alias("s"), "sketch", "bands"), F.col("sid") == F.col("s")).drop("s")
+               .join(bodies.select(F.col("sid").alias("s"), "body"), F.col("sid") == F.col("s"))
+               .select("s", "sketch", F.col("bands").alias("band_keys"), "body"))
+    rows = (left.join(apart(per_key), F.col("key") == F.col("k"))
             .select("key", "sid", "label", "total", (F.col("total") - F.col("most.n")).alias("few"),
                     (F.col("label") != F.col("most.label")).alias("outside"))
-            .join(sketches.select(F.col("sid").alias("s"), "sketch"), F.col("sid") == F.col("s")).drop("s"))
+            .join(written(content, "contents"), F.col("sid") == F.col("s")).drop("s"))
     blocks = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("few", "total")]
-    own = [F.pmod(F.xxhash64("sid", F.lit(x)), n).cast("int") for x, n in enumerate(blocks)]
-    q = rows.where("outside").withColumn("i", own[0]).withColumn(
+    part = [F.pmod(F.xxhash64("sid", F.lit(x)), n).cast("int") for x, n in enumerate(blocks)]
+    # one copy of a member for each block it meets on the other side
+    q = rows.where("outside").withColumn("i", part[0]).withColumn(
         "j", F.explode(F.sequence(F.lit(0), blocks[1] - 1))).withColumn("query", F.lit(True))
-    s = rows.withColumn("j", own[1]).withColumn(
+    s = rows.withColumn("j", part[1]).withColumn(
         "i", F.explode(F.sequence(F.lit(0), blocks[0] - 1))).withColumn("query", F.lit(False))
-    cols = ["key", "i", "j", "query", "sid", "label", "sketch"]
+    cols = ["key", "i", "j", "query", "sid", "label", "sketch", F.col("band_keys").alias("bands"), "body"]
     return (q.select(cols).unionByName(s.select(cols)).groupBy("key", "i", "j")
-            .applyInPandas(_plausible(percent), "a binary, b binary").distinct())
+            .applyInPandas(_block_links(percent), "a binary, b binary").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -217,16 +253,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     id_type = own.schema["d"].dataType.simpleString()
     every = written(own.mapInArrow(
-        partial(_sketches, band_rows(percent)), f"d {id_type}, n long, sid binary, bands array<long>, sketch binary"), "sketches")
+        partial(_sketches, band_rows(percent)), f"d {id_type}, n long, sid binary, bands binary, sketch binary"), "sketches")
 
     # one node for each distinct set; of its documents the one with the smallest id stands for it
     sets = written(every.where("sid IS NOT NULL").groupBy("sid").agg(
         F.min("d").alias("d"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "sets")
-    members = sets.select(F.explode("bands").alias("key"), "sid")
+    members = sets.mapInArrow(_band_members, "key long, sid binary")
     shared = members.groupBy(F.col("key").alias("k")).agg(F.min("sid").alias("least"), F.count("*").alias("c")).where(
         "c > 1")
-    bands = written(members.join(shared, F.col("key") == F.col("k")).select("key", "sid", "least"), "bands")
-    sketches = sets.select("sid", "sketch")
+    bands = written(members.join(apart(shared), F.col("key") == F.col("k")).select("key", "sid", "least"), "bands")
 
     # full sets of those that share a band with another
     needed = bands.select("sid").distinct().join(sets.select("sid", "d"), "sid").select(
@@ -243,27 +278,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = bands.groupBy(F.col("sid").alias("a")).agg(F.min("least").alias("b")).where("a != b")
     tried = written(confirmed(first), "tried")
+    links = tried.where("ok").select("a", "b")
     for wave in ("star", "blocks"):
-        found = connected(tried.where("ok").select("a", "b"))
-        label = bands.join(found, F.col("sid") == F.col("node"), "left").select(
-            "key", "sid", F.coalesce("root", "sid").alias("label"))
-        label = written(label, "labels")
+        found = connected(links)
+        label = written(bands.join(found, F.col("sid") == F.col("node"), "left").select(
+            "key", "sid", F.coalesce("root", "sid").alias("label")), "labels")
         several = label.groupBy(F.col("key").alias("k")).agg(
             F.min(F.struct("label", "sid")).alias("m"), F.max("label").alias("top")).where("m.label != top")
-        left = label.join(several, F.col("key") == F.col("k"))
+        left = label.join(apart(several), F.col("key") == F.col("k"))
         if wave == "star":
             pairs = left.where("label != m.label").select(
                 F.greatest("sid", "m.sid").alias("a"), F.least("sid", "m.sid").alias("b")).distinct()
+            more = confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")).where("ok").select("a", "b")
         else:
-            pairs = _last_pairs(left.select("key", "sid", "label"), sketches, percent)
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = written(tried.unionByName(confirmed(pairs)), "tried")
-    found = connected(tried.where("ok").select("a", "b"))
+            more = _last_links(left.select("key", "sid", "label"), sets, bodies, percent)
+        links = written(links.unionByName(more), "confirmed")
+    found = connected(links)
 
     node = sets.select("sid", "d").join(found, F.col("sid") == F.col("node"), "left").select(
         "sid", F.coalesce("root", "sid").alias("root"), "d")
     least = node.groupBy(F.col("root").alias("r")).agg(F.min("d").alias("component"))
-    of_set = node.join(least, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "component")
+    of_set = node.join(apart(least), F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "component")
     full = every.where("sid IS NOT NULL").select("d", "n", "sid").join(of_set, F.col("sid") == F.col("s")).select(
         "d", "n", "component")
     empty = every.where("sid IS NULL").select("d", "n", F.col("d").alias("component"))
