@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.llm.bloom import MAX_CELLS, cells_for, packed, probe, two_cells
-from sensorlake.llm.common import hidden, same, written
+from sensorlake.llm.common import apart, hidden, same, written
 
 
 def _met_twice(hashes: DataFrame, cells: int) -> DataFrame:
@@ -48,7 +48,7 @@ def flag_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = rows.where("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("n"))
     group = (rows.where("maybe").groupBy(F.col("sha").alias("s"))
              .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-    again = (each.join(group, F.col("sha") == F.col("s"))
+    again = (each.join(apart(group), F.col("sha") == F.col("s"))
              .select("doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), "sha")
              .select("doc_id", "keep_id", "group_size",
                      (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)).alias("kept"), "sha"))
