@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.llm.bloom import cells_for, filter_of, probe
-from sensorlake.llm.common import hidden, same, written
+from sensorlake.llm.common import apart, hidden, same, written
 
 MIN_DOCS = 10
 MIN_CONSTANT = 0.7
@@ -66,12 +66,12 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = written(probe(lines, "leaf", words, cells, "may").where("may").select(
         "d", "th", "leaf", F.xxhash64("m").alias("mh"), "m"), "lines")
 
-    distinct = near.groupBy("leaf", "mh").agg(F.first("m").alias("m"), F.count_distinct("d", "th").alias("n"))
+    distinct = near.groupBy("leaf", "mh").agg(F.first("m").alias("m"), F.count_distinct(F.struct("d", "th")).alias("n"))
     distinct = written(distinct, "distinct-lines")
     tokens = distinct.select("leaf", "mh", "n", F.posexplode(F.split("m", " ")).alias("pos", "token"))
     constant = (tokens.groupBy(F.col("leaf").alias("l"), F.col("pos").alias("p"), F.col("token").alias("c"))
                 .agg(F.sum("n").alias("met")).where(F.col("met") >= min_docs).drop("met"))
-    template = (tokens.join(constant, (F.col("leaf") == F.col("l")) & (F.col("pos") == F.col("p"))
+    template = (tokens.join(apart(constant), (F.col("leaf") == F.col("l")) & (F.col("pos") == F.col("p"))
                             & (F.col("token") == F.col("c")), "left")
                 .groupBy("leaf", "mh")
                 .agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("c", F.lit(FIELD)).alias("c")))).alias("w"),
@@ -84,7 +84,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         template, (F.col("mh") == F.col("line")) & (F.col("leaf") == F.col("of_leaf"))).select("d", "th", "mh", "template")
     often = (held.select("d", "th", "template").distinct().groupBy(F.col("template").alias("often")).count()
              .where(F.col("count") >= min_docs).select("often"))
-    return held.join(often, F.col("template") == F.col("often")).groupBy("d", "th").agg(
+    return held.join(apart(often), F.col("template") == F.col("often")).groupBy("d", "th").agg(
         F.collect_set("mh").alias("recurring"))
 
 
@@ -100,15 +100,16 @@ def flag_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probed = hidden(df, "line_probe")
     df = probe(df.withColumn(probed, F.xxhash64(key, th)), probed, words, cells, may).drop(probed)
     # only documents that may hold a recurring line are shuffled
-    named = flags.select(F.col("d").alias("flag_d"), F.col("th").alias("flag_th"), F.col("recurring").alias("flag_r"))
-    hit = df.where(may).join(named, same(key, "flag_d") & (F.col(th) == F.col("flag_th")), "left")
-    hit = hit.withColumn("flag_r", F.coalesce("flag_r", F.array().cast("array<long>")))
+    fd, ft, fr = (hidden(df, x) for x in ("flag_d", "flag_th", "flag_r"))
+    named = flags.select(F.col("d").alias(fd), F.col("th").alias(ft), F.col("recurring").alias(fr))
+    hit = df.where(may).join(named, same(key, fd) & (F.col(th) == F.col(ft)), "left")
+    hit = hit.withColumn(fr, F.coalesce(fr, F.array().cast("array<long>")))
 
     text = F.col(text_col)
     lines, masked = hidden(hit, "own_lines"), hidden(hit, "own_masked")
     hit = hit.withColumn(lines, F.split(text, "\n")).withColumn(masked, _masked(text))
     pairs = F.arrays_zip(F.col(lines).alias("line"), F.col(masked).alias("m"))
-    kept = F.filter(pairs, lambda x: ~F.array_contains("flag_r", F.xxhash64(x["m"])))
+    kept = F.filter(pairs, lambda x: ~F.array_contains(fr, F.xxhash64(x["m"])))
     n_words = _words(F.col(masked))
     left = hidden(hit, "own_left")
     hit = hit.withColumn(left, kept)
