@@ -8,7 +8,8 @@ n times with u different bytes escapes with probability u / (n + u)). The sum
 over a text is its exact code length under that language; the shortest code wins.
 
 Bytes are mapped to 64 symbols: the 62 most frequent bytes of the training
-texts, one symbol for every other byte, and white space and text start as one.
+texts, one symbol for every other byte (which byte it is costs the same in every
+language), and white space and text start as one.
 So the trees up to order two are dense tables of at most 64^3 entries, and
 the longest contexts are the distinct symbol quadruples of the training texts.
 
@@ -39,9 +40,13 @@ by_value(__name__)
 DOCS_PER_LANGUAGE = 1000
 MAX_TRAIN_CHARS = 20_000
 SYMBOLS = 64
+RARE = 1
 #: Bytes scored at a time.
 PIECE = 1 << 19
 UNKNOWN = "und"
+#: Bits a byte beyond which a text is in no learned language (a random byte costs 8, learned text under 4).
+MAX_BITS = 7.0
+SHORT = 64
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
                        T.StructField("bits_per_byte", T.DoubleType())])
@@ -51,7 +56,7 @@ _SPACE = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
 
 def _symbol_map(frequent: list[int]) -> np.ndarray:
     """Symbol of each byte: 0 white space, 1 rare bytes, 2 and up the frequent ones."""
-    table = np.ones(256, np.uint8)
+    table = np.full(256, RARE, np.uint8)
     for k, b in enumerate(frequent[:SYMBOLS - 2]):
         table[b] = k + 2
     table[_SPACE] = 0
@@ -103,7 +108,7 @@ class Trees:
         for k, lang in enumerate(langs):
             g, n = counts[lang]
             triples = np.bincount(g % SYMBOLS ** 3, n, SYMBOLS ** 3).reshape(shape)
-            cost, _ = self._order(np.full(SYMBOLS, 8.0), triples.sum(axis=(0, 1)).reshape(1, -1))
+            cost, _ = self._order(np.full(SYMBOLS, np.log2(SYMBOLS)), triples.sum(axis=(0, 1)).reshape(1, -1))
             cost, _ = self._order(cost.ravel(), triples.sum(axis=0))
             cost, _ = self._order(cost.ravel(), triples.reshape(-1, SYMBOLS))
             self.cost3[:, k] = cost.ravel()
@@ -116,6 +121,10 @@ class Trees:
                 hit = -np.log2(seen / (total + kinds)[grams // SYMBOLS])
             self.escape3[:, k] = escape
             self.cost4[:, k] = np.where(seen > 0, hit, escape[grams // SYMBOLS] + self.cost3[grams % SYMBOLS ** 3, k])
+        # the symbol of rare bytes also says which byte it is
+        which = np.log2(max(1, int((symbols == RARE).sum())))
+        self.cost3[RARE::SYMBOLS] += which
+        self.cost4[grams % SYMBOLS == RARE] += which
 
     @staticmethod
     def _order(shorter: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,9 +253,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(written(training_rows(docs, id_col, text_col, lang_col, ~held_out(id_col), **how), "language-sample"))
 
 
-def drop_unknown(docs: DataFrame, trees: Trees, text_col: str = "text", max_bits: float = 6.0) -> DataFrame:
+def drop_unknown(docs: DataFrame, trees: Trees, text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
     """``docs`` without texts in no learned language: no letter at all, or a best code longer
-    than ``max_bits`` a byte (texts of a learned language take well under 4)."""
+    than ``max_bits`` a byte. Texts of under ``SHORT`` bytes tell too little for the second test."""
     name = hidden(docs, "language")
     df = identify(docs, trees, text_col, name)
-    return df.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.bits_per_byte") <= max_bits)).drop(name)
+    return df.where((F.col(f"{name}.lang") != UNKNOWN) & (
+        (F.octet_length(text_col) < SHORT) | (F.col(f"{name}.bits_per_byte") <= max_bits))).drop(name)
