@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.llm.common import hidden
+
 #: Cells at most: 2^24 cells are 2^18 words, about 4 MB.
 MAX_CELLS = 1 << 24
 CELLS_PER_ENTRY = 16
@@ -41,10 +43,11 @@ def filter_of(hashes: DataFrame, h: str, cells: int) -> DataFrame:
 
 def probe(df: DataFrame, h: str, words: DataFrame, cells: int, out: str) -> DataFrame:
     """``df`` with a boolean column: both cells of column ``h`` are set."""
+    names = {x: hidden(df, f"{out}_{x}") for x in ("c0", "w0", "b0", "c1", "w1", "b1")}
+    hit = F.lit(True)
     for k, cell in enumerate(two_cells(h, cells)):
-        part = F.broadcast(words.select(F.col("word").alias(f"{out}_w{k}"), F.col("bits").alias(f"{out}_b{k}")))
-        df = df.withColumn(f"{out}_c{k}", cell).join(
-            part, F.shiftright(f"{out}_c{k}", 6) == F.col(f"{out}_w{k}"), "left")
-    hit = [F.coalesce(F.expr(f"shiftright({out}_b{k}, cast({out}_c{k} & 63 as int)) & 1L"), F.lit(0)) == 1
-           for k in (0, 1)]
-    return df.withColumn(out, hit[0] & hit[1]).drop(*[f"{out}_{x}{k}" for x in "cwb" for k in (0, 1)])
+        c, w, b = (names[f"{x}{k}"] for x in "cwb")
+        part = F.broadcast(words.select(F.col("word").alias(w), F.col("bits").alias(b)))
+        df = df.withColumn(c, cell).join(part, F.shiftright(c, 6) == F.col(w), "left")
+        hit = hit & (F.coalesce(F.expr(f"shiftright(`{b}`, cast(`{c}` & 63 as int)) & 1L"), F.lit(0)) == 1)
+    return df.withColumn(out, hit).drop(*names.values())

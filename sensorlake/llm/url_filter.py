@@ -83,26 +83,26 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: Data
     ``rules``: (host/path, verdict); the longest wins, of equally long ones that with the
     longer host, then block. ``listed``: a table of URLs, of any size.
     """
-    names = {x: hidden(pages, f"url_{x}") for x in ("host", "path", "key", "may", "block", "listed")}
+    names = {x: hidden(pages, f"url_{x}") for x in ("host", "path", "key", "may", "block", "listed", "on_list", "word")}
     own = written(listed.select(canonical(F.col(listed_col)).alias("key")).where("key IS NOT NULL").distinct(), "listed-urls")
     table, blocks = blocked_filter(own, "key", max_blocks)
     table = written(table, "url-blocks")
     url = F.col(url_col)
     df = pages.withColumns({names["host"]: host_of(url), names["path"]: path_of(url), names["key"]: canonical(url)})
     # at most ``max_blocks`` rows, so the broadcast has a fixed bound
-    probe = F.broadcast(table.select(F.col("block").alias("bloom_block"),
-                                     *[F.col(f"w{k}").alias(f"bloom_{k}") for k in range(WORDS)]))
+    probe = F.broadcast(table.select(F.col("block").alias(names["block"]),
+                                     *[F.col(f"w{k}").alias(f"{names['word']}{k}") for k in range(WORDS)]))
     bits = _block_bits(F.xxhash64(F.lit("bits"), F.col(names["key"])))
     met = F.lit(True)
     for k in range(WORDS):
-        met = met & (F.col(f"bloom_{k}").bitwiseAND(bits[k]) != 0)
+        met = met & (F.col(f"{names['word']}{k}").bitwiseAND(bits[k]) != 0)
     cols = [*pages.columns, names["host"], names["path"], names["key"]]
-    df = (df.join(probe, F.pmod(F.xxhash64(names["key"]), F.lit(blocks)) == F.col("bloom_block"), "left")
+    df = (df.join(probe, F.pmod(F.xxhash64(names["key"]), F.lit(blocks)) == F.col(names["block"]), "left")
           .withColumn(names["may"], F.coalesce(met & F.col(names["key"]).isNotNull(), F.lit(False))))
     # only possible hits are shuffled
     hit = df.where(names["may"]).select(cols).join(
-        own.select(F.col("key").alias("listed_key")), F.col(names["key"]) == F.col("listed_key"), "left")
-    both = hit.withColumn(names["listed"], F.col("listed_key").isNotNull()).select(*cols, names["listed"]).unionByName(
+        own.select(F.col("key").alias(names["on_list"])), F.col(names["key"]) == F.col(names["on_list"]), "left")
+    both = hit.withColumn(names["listed"], F.col(names["on_list"]).isNotNull()).select(*cols, names["listed"]).unionByName(
         df.where(~F.col(names["may"])).select(cols).withColumn(names["listed"], F.lit(False)))
 
     rule, verdict = F, F

@@ -25,6 +25,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from sensorlake.functions.shipping import by_value
 from sensorlake.llm.bloom import cells_for, packed, probe, two_cells
@@ -186,7 +187,7 @@ def unchunked(body: bytes) -> bytes | None:
         at += size + 2
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _payload(blocks: pa.Array) -> pa.Array:
     out = []
     for block in blocks:
