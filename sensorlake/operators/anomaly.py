@@ -1,8 +1,7 @@
 """Rolling mean ± Nσ anomaly flags and their summaries.
 
-The centred frame of ``window`` samples is evaluated with positions and a
-chunk halo (``sensorlake.plans.ranking``), so one long channel is processed by
-many tasks; ``method="plain"`` is the one-window-per-channel path for small data.
+The centred frame of ``window`` samples is evaluated over positions in chunks
+(``sensorlake.plans.ranking``), so one long channel is processed by many tasks.
 """
 
 from __future__ import annotations
@@ -13,27 +12,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlake.operators.stats import ANOMALY_NEG, ANOMALY_WARN, signal_high_bad
-from sensorlake.plans.ranking import BROADCAST_ROWS, halo_method, pos_method, rolling_stats, with_position
+from sensorlake.plans.ranking import rolling_stats, small_side, with_position
 
 
 def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3.0,
                       keys: Sequence[str] = ("channel",), order: Sequence[str] = ("ts", "rid"),
-                      value: str = "value", method: str = "auto", chunk: int | None = None,
-                      max_series: int | None = None) -> DataFrame:
+                      value: str = "value", chunk: int | None = None) -> DataFrame:
     """Adds ``pos`` and ``is_anomaly``: |x − μ| > σ·sd over the centred frame
     [pos − window//2, pos + (window−1)//2] (missing samples take up places),
     needing at least max(5, window//4) present values. A frame whose values
     are all equal never flags (guards float noise in avg/stddev). Missing
-    samples, window < 5, sigma <= 0 -> False."""
+    samples, window < 5, sigma <= 0 -> False. Infinite values are in no frame, but are
+    themselves tested."""
     keys, order = list(keys), list(order)
-    pm = pos_method(method)
-    p = with_position(readings, keys, order, method=pm, max_series=max_series)
+    p = with_position(readings, keys, order)
     if window < 5 or sigma <= 0:
         return p.withColumn("is_anomaly", F.lit(False))
     lo, hi = window // 2, (window - 1) // 2
     minp = max(5, window // 4)
     v = F.col(value)
-    h = rolling_stats(p, keys, "pos", value, lo, hi, chunk=chunk, method=halo_method(method), prefix="_r")
+    h = rolling_stats(p, keys, "pos", value, lo, hi, chunk=chunk, prefix="_r")
     flag = (v.isNotNull() & (F.col("_r_cnt") >= minp) & F.col("_r_sd").isNotNull()
             & ((F.col("_r_max") - F.col("_r_min")) > 0)
             & (F.abs(v - F.col("_r_mean")) > F.lit(float(sigma)) * F.col("_r_sd")))
@@ -48,15 +46,12 @@ def anomaly_summary(flags: DataFrame, *, keys: Sequence[str] = ("channel",), val
     return g.withColumn("signal", signal_high_bad(F.col("rate"), ANOMALY_NEG, ANOMALY_WARN))
 
 
-def _with_series_mean(flags: DataFrame, keys: list[str], value: str, max_series: int | None,
-                      readings: DataFrame | None = None) -> DataFrame:
+def _with_series_mean(flags: DataFrame, keys: list[str], value: str, readings: DataFrame | None = None) -> DataFrame:
     """Join the series mean. Taken from ``readings`` when given (a cheap scan)
     instead of re-running the rolling computation behind ``flags``."""
     src = readings if readings is not None else flags
     mu = src.groupBy(*keys).agg(F.avg(value).alias("mu"))
-    if max_series is not None:
-        mu = F.broadcast(mu)          # one row per series, bounded by the channel count
-    return flags.join(mu, keys)
+    return flags.join(small_side(mu), keys)
 
 
 def worst_excursion(flags: DataFrame, *, keys: Sequence[str] = ("channel",), ts: str = "ts", rid: str = "rid",
@@ -85,22 +80,21 @@ def worst_excursion(flags: DataFrame, *, keys: Sequence[str] = ("channel",), ts:
 
 
 def flagged_first(flags: DataFrame, n: int = 12, *, keys: Sequence[str] = ("channel",), ts: str = "ts",
-                  rid: str = "rid", value: str = "value", max_series: int | None = None,
-                  readings: DataFrame | None = None) -> DataFrame:
+                  rid: str = "rid", value: str = "value", readings: DataFrame | None = None) -> DataFrame:
     """First ``n`` flagged samples per series with value and deviation from the
     series mean (ranked window -> per-partition top-n before the shuffle)."""
     keys = list(keys)
     f = flags.where(F.col("is_anomaly"))
     w = Window.partitionBy(*keys).orderBy("pos")
     f = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    f = _with_series_mean(f, keys, value, max_series, readings if readings is not None else flags)
+    f = _with_series_mean(f, keys, value, readings if readings is not None else flags)
     return f.select(*keys, F.col("rank").cast("long").alias("rank"), ts, rid, value,
                     (F.col(value) - F.col("mu")).alias("deviation"))
 
 
 def anomaly_overlay(flags: DataFrame, n: int = 2000, *, keys: Sequence[str] = ("channel",),
                     ts: str = "ts", rid: str = "rid", value: str = "value",
-                    readings: DataFrame | None = None, max_series: int | None = None) -> DataFrame:
+                    readings: DataFrame | None = None) -> DataFrame:
     """Chart rows: the uniform stride of ``n`` samples plus every flagged sample
     (a row in both sets appears once per role). One pass over ``flags``; the
     series lengths come from ``readings`` when given."""
@@ -108,9 +102,7 @@ def anomaly_overlay(flags: DataFrame, n: int = 2000, *, keys: Sequence[str] = ("
     keys = list(keys)
     src = readings if readings is not None else flags
     counts = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
-    t = stride_targets(counts, n, keys=keys).withColumn("_tgt", F.lit(True))
-    if not keys or (max_series is not None and max_series * n <= BROADCAST_ROWS):
-        t = F.broadcast(t)
+    t = small_side(stride_targets(counts, n, keys=keys).withColumn("_tgt", F.lit(True)))
     j = flags.join(t.drop("k"), keys + ["pos"], "left")
     roles = F.array_compact(F.array(F.when(F.col("_tgt"), F.lit("series")),
                                     F.when(F.col("is_anomaly"), F.lit("anomaly"))))

@@ -10,13 +10,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import pos_method, with_position
+from sensorlake.plans.ranking import with_position
 
 PAGE_SIZE = 20  # fixed value: rows per page
 
 
 def _needle_rx(n: str, regex: bool) -> str:
-    return "(?i)" + (n if regex else re.escape(n))
+    return "(?iu)" + (n if regex else re.escape(n))
 
 
 def row_search(df: DataFrame, query: str | None, *, columns: Sequence[str] | None = None,
@@ -24,8 +24,7 @@ def row_search(df: DataFrame, query: str | None, *, columns: Sequence[str] | Non
     """Rows where EVERY whitespace-separated needle matches (case-insensitive,
     a regex unless ``regex=False``) at least one column's text. Missing cells
     read as 'nan'. Blank query -> all rows. One filter, no shuffle."""
-    q = (query or "").strip()
-    needles = [n for n in q.split() if n.strip()]
+    needles = (query or "").split()
     if not needles:
         return df
     cols = list(columns) if columns is not None else df.columns
@@ -56,15 +55,14 @@ def page_bounds(total: int, page: int, size: int = PAGE_SIZE) -> tuple[int, int,
     return p, pages, start, min(start + size, total)
 
 
-def page_rows(df: DataFrame, page: int, *, size: int = PAGE_SIZE, order: Sequence[str] = ("ts", "rid"),
-              method: str = "auto") -> DataFrame:
+def page_rows(df: DataFrame, page: int, *, size: int = PAGE_SIZE, order: Sequence[str] = ("ts", "rid")) -> DataFrame:
     """Rows of one page with their 1-based row number and page metadata.
 
-    Positions come from the distributed ranking, so a deep page costs the same
-    as the first (no offset scan through one task)."""
+    Only the pieces of the order that the page touches are sorted, so a deep page costs
+    the same as the first."""
     total = df.count()
     p, pages, start, end = page_bounds(total, page, size)
-    pos = with_position(df, [], list(order), method=pos_method(method))
+    pos = with_position(df, [], list(order), only=lambda first, stop: (first < end) & (stop > start))
     rows = pos.where((F.col("pos") >= start) & (F.col("pos") < end))
     return rows.select(
         (F.col("pos") + 1).alias("row_num"), F.lit(p).cast("long").alias("page"),

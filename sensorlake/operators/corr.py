@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import pos_method, with_position
+from sensorlake.plans.ranking import with_position
 from sensorlake.functions.shipping import by_value
 
 by_value(__name__)      # pandas-UDF helpers travel with the task
@@ -159,12 +159,12 @@ def pair_fit(wide: DataFrame, x: str, y: str, *, sample: DataFrame | None = None
 
 
 def time_quartiles(wide: DataFrame, x: str, y: str, *, order: Sequence[str] = ("ts", "rid"),
-                   ts: str = "ts", method: str = "auto") -> DataFrame:
+                   ts: str = "ts") -> DataFrame:
     """Split the pair cloud into 4 slices in time order: rows [(q·n)//4, ((q+1)·n)//4).
     q = (4·pos + 3) div n (not ntile, which puts the remainder first).
     One row per non-empty quartile with count, means and time span."""
     full = wide.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    p = with_position(full, [], list(order), method=pos_method(method))
+    p = with_position(full, [], list(order))
     n = full.count()
     q = F.floor((F.col("pos") * 4 + 3) / F.lit(max(n, 1))).cast("long")
     return (p.withColumn("q", q).groupBy("q")

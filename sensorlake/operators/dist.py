@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import BROADCAST_ROWS, exact_percentiles, pct_method
+from sensorlake.plans.ranking import exact_percentiles, small_side
 
 HIST_BINS = 40  # fixed value: bins of the original histogram
 
 
 def histogram(readings: DataFrame, bins: int = HIST_BINS, *, keys: Sequence[str] = ("channel",),
-              value: str = "value", max_series: int | None = None) -> DataFrame:
+              value: str = "value") -> DataFrame:
     """Per series: bin, center, count for ``bins`` equal-width bins over
     [min, max] (last bin closed, empty bins kept; min == max widens by ±0.5;
     fewer than 2 valid values -> no rows).
@@ -31,7 +31,7 @@ def histogram(readings: DataFrame, bins: int = HIST_BINS, *, keys: Sequence[str]
            .withColumn("_hi", F.when(same, F.col("_hi0") + 0.5).otherwise(F.col("_hi0")))
            .withColumn("_step", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))))
     rng = rng.select(*keys, "_lo", "_hi", "_step")
-    side = F.broadcast(rng) if (max_series is not None and max_series <= BROADCAST_ROWS) else rng
+    side = small_side(rng)
     x = F.col(value)
 
     def edge(k):
@@ -54,17 +54,11 @@ def histogram(readings: DataFrame, bins: int = HIST_BINS, *, keys: Sequence[str]
     return out.select(*keys, "bin", center.alias("center"), F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"))
 
 
-def box_summary(readings: DataFrame, *, keys: Sequence[str] = ("channel",), value: str = "value",
-                method: str = "auto") -> DataFrame:
+def box_summary(readings: DataFrame, *, keys: Sequence[str] = ("channel",), value: str = "value") -> DataFrame:
     """Per series: min, q1, median, q3, max (linear interpolation, exact).
     Series without any valid value are kept with NULLs."""
     keys = list(keys)
-    if method == "plain":      # cross-check path: Spark's own aggregates
-        mm = readings.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"))
-        q = exact_percentiles(readings, keys, value, [0.25, 0.5, 0.75], names=["q1", "median", "q3"],
-                              method="builtin")
-        return mm.join(q, keys, "left").select(*keys, "min", "q1", "median", "q3", "max")
     # min and max are the ranks 0 and n-1: one pass for all five numbers
     q = exact_percentiles(readings, keys, value, [0.0, 0.25, 0.5, 0.75, 1.0],
-                          names=["min", "q1", "median", "q3", "max"], method=pct_method(method))
+                          names=["min", "q1", "median", "q3", "max"])
     return q.select(*keys, "min", "q1", "median", "q3", "max")

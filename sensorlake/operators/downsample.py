@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import BROADCAST_ROWS, pos_method, with_position
+from sensorlake.plans.ranking import small_side, with_position
 from sensorlake.functions.shipping import by_value
 
 by_value(__name__)      # pandas-UDF helpers travel with the task
@@ -39,28 +39,23 @@ def stride_targets(counts: DataFrame, n: int, *, keys: Sequence[str] = (), count
 
 
 def stride_pick(df: DataFrame, n: int, *, keys: Sequence[str] = (), pos: str = "pos",
-                max_series: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+                counts: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` (which carries positions) at the stride targets, with ``k``.
     ``counts`` (keys, N): series lengths, e.g. from the un-positioned input (cheaper)."""
     keys = list(keys)
     if counts is None:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))
-    t = stride_targets(counts, n, keys=keys)
-    # the target table holds at most n rows per series: broadcast when the series count is bounded
-    if max_series is not None and max_series * n <= BROADCAST_ROWS or not keys:
-        t = F.broadcast(t)
+    t = small_side(stride_targets(counts, n, keys=keys))     # at most n rows per series
     if pos != "pos":
         t = t.withColumnRenamed("pos", pos)
     return df.join(t, keys + [pos])
 
 
-def stride_downsample(df: DataFrame, n: int, *, keys: Sequence[str] = (), order: Sequence[str] = ("ts", "rid"),
-                      method: str = "auto", max_series: int | None = None) -> DataFrame:
+def stride_downsample(df: DataFrame, n: int, *, keys: Sequence[str] = (), order: Sequence[str] = ("ts", "rid")) -> DataFrame:
     """Uniform-stride pick of n of N rows per series in ``order`` (adds pos, k)."""
-    p = with_position(df, list(keys), list(order), method=pos_method(method),
-                      max_series=max_series)
+    p = with_position(df, list(keys), list(order))
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))      # from the input: no second ranking
-    return stride_pick(p, n, keys=keys, max_series=max_series, counts=counts)
+    return stride_pick(p, n, keys=keys, counts=counts)
 
 
 def envelope(wide: DataFrame, channels: Sequence[str], *, out: str = "envelope") -> DataFrame:
@@ -174,8 +169,7 @@ def _lttb_walk(pdf, n_out: int):
     return out
 
 
-def lttb_positions(df: DataFrame, n_out: int, *, keys: Sequence[str] = (), pos: str = "pos",
-                   y: str = "y", max_series: int | None = None) -> DataFrame:
+def lttb_positions(df: DataFrame, n_out: int, *, keys: Sequence[str] = (), pos: str = "pos", y: str = "y") -> DataFrame:
     """Positions picked by LTTB per series: (keys, k, pos). N ≤ n_out -> every row.
 
     ``df`` carries 0-based contiguous positions ``pos`` per series and the value ``y``
@@ -185,11 +179,10 @@ def lttb_positions(df: DataFrame, n_out: int, *, keys: Sequence[str] = (), pos:
         raise ValueError("n_out must be >= 3")
     B = n_out - 2
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_N"))
-    side = F.broadcast(counts) if (not keys or (max_series is not None and max_series <= BROADCAST_ROWS)) else counts
     base = df.select(*keys, F.col(pos).cast("long").alias("x"),
                      F.coalesce(F.col(y), F.lit(0.0)).cast("double").alias("y"))
     if keys:
-        t = base.join(side, keys)
+        t = base.join(small_side(counts), keys)
     else:
         row = counts.first()                 # one series: its length is one scalar
         t = base.withColumn("_N", F.lit(row["_N"] if row is not None else 0).cast("long"))

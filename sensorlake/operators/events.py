@@ -13,23 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import halo_method, halo_window, materialize, pos_method, resolve_method, with_position
+from sensorlake.plans.ranking import halo_window, materialize, small_side, with_position
 
 
-def positions(records: DataFrame, *, record: str = "record_id", order: Sequence[str] = ("ts", "rid"),
-              method: str = "auto", max_series: int | None = None) -> DataFrame:
-    """Records with ``pos``; on the distributed path the result is checkpointed,
-    since the landmark operators read it several times."""
-    m = resolve_method(records, method)
-    p = with_position(records, [record], list(order), method=m, max_series=max_series)
-    return materialize(p, m)
+def positions(records: DataFrame, *, record: str = "record_id", order: Sequence[str] = ("ts", "rid")) -> DataFrame:
+    """Records with ``pos``, checkpointed: the landmark operators read it several times."""
+    return materialize(with_position(records, [record], list(order)))
 
 
-def with_velocity(p: DataFrame, *, record: str = "record_id", load: str = "load", out: str = "velocity",
-                  method: str = "auto") -> DataFrame:
+def with_velocity(p: DataFrame, *, record: str = "record_id", load: str = "load", out: str = "velocity") -> DataFrame:
     """velocity = load − previous load in the record (0 at the first sample); 1-row halo."""
-    h = halo_window(p, [record], "pos", 1, 0, {"_prev": F.min_by(F.col(load), F.col("pos"))},
-                    method=halo_method(method))
+    h = halo_window(p, [record], "pos", 1, 0, {"_prev": F.min_by(F.col(load), F.col("pos"))})
     return h.withColumn(out, F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(F.col(load) - F.col("_prev"))).drop("_prev")
 
 
@@ -41,8 +35,7 @@ def _peak(p: DataFrame, record: str, load: str) -> DataFrame:
 
 
 def event_window(p: DataFrame, *, record: str = "record_id", load: str = "load", threshold_pct: float = 0.05,
-                 buffer_pct: float = 0.15, min_buffer: int = 10, contiguous_run: int = 0,
-                 method: str = "auto", max_series: int | None = None) -> DataFrame:
+                 buffer_pct: float = 0.15, min_buffer: int = 10, contiguous_run: int = 0) -> DataFrame:
     """(start, end) sample indices of the load event per record (``p`` carries ``pos``).
 
     Above = |load| > threshold_pct·max|load|. Fewer than 5 above, or no load -> (0, n).
@@ -52,8 +45,7 @@ def event_window(p: DataFrame, *, record: str = "record_id", load: str = "load",
     else 0). Then a buffer max(min_buffer, int((end−start)·buffer_pct)) is added,
     clipped to [0, n]."""
     pk = _peak(p, record, load)
-    side = F.broadcast(pk) if max_series is not None else pk
-    q = p.join(side, record).withColumn("_above", F.abs(F.col(load)) > F.col("peak") * F.lit(float(threshold_pct)))
+    q = p.join(small_side(pk), record).withColumn("_above", F.abs(F.col(load)) > F.col("peak") * F.lit(float(threshold_pct)))
     g = q.groupBy(record).agg(
         F.first("n").alias("n"), F.first("peak").alias("peak"), F.first("peak_pos").alias("peak_pos"),
         F.count_if("_above").alias("n_above"),
@@ -61,8 +53,7 @@ def event_window(p: DataFrame, *, record: str = "record_id", load: str = "load",
         F.max(F.when(F.col("_above"), F.col("pos"))).alias("last_above"))
     if contiguous_run > 0:
         below = q.where(~F.col("_above")).select(record, "pos", "peak_pos")
-        m = pos_method(method)
-        bp = with_position(below, [record], ["pos"], pos="_bpos", method=m, max_series=max_series)
+        bp = with_position(below, [record], ["pos"], pos="_bpos")
         isl = (bp.groupBy(record, (F.col("pos") - F.col("_bpos")).alias("_k"))
                .agg(F.min("pos").alias("i_start"), F.max("pos").alias("i_end"), F.count(F.lit(1)).alias("i_len"),
                     F.first("peak_pos").alias("peak_pos")))
@@ -82,16 +73,13 @@ def event_window(p: DataFrame, *, record: str = "record_id", load: str = "load",
                     F.when(whole, F.col("n")).otherwise(F.least(F.col("n"), hi + buf)).cast("long").alias("end"))
 
 
-def zero_crossing(p: DataFrame, *, record: str = "record_id", load: str = "load", velocity: str = "velocity",
-                  method: str = "auto", max_series: int | None = None) -> DataFrame:
+def zero_crossing(p: DataFrame, *, record: str = "record_id", load: str = "load", velocity: str = "velocity") -> DataFrame:
     """Index where velocity changes sign (−, 0, + are three signs) at or after the
     load peak: first i ≥ peak with sign(v[i]) ≠ sign(v[i+1]); none -> first index of
     min |v| from the peak on; fewer than 3 samples or peak at the end -> NULL."""
     pk = _peak(p, record, load)
-    side = F.broadcast(pk) if max_series is not None else pk
-    h = halo_window(p, [record], "pos", 0, 1, {"_next": F.max_by(F.col(velocity), F.col("pos"))},
-                    method=halo_method(method))
-    q = h.join(side, record).where(F.col("pos") >= F.col("peak_pos"))
+    h = halo_window(p, [record], "pos", 0, 1, {"_next": F.max_by(F.col(velocity), F.col("pos"))})
+    q = h.join(small_side(pk), record).where(F.col("pos") >= F.col("peak_pos"))
     nxt_ok = F.col("pos") + 1 < F.col("n")
     cross = nxt_ok & (F.signum(F.col(velocity)) != F.signum(F.col("_next")))
     g = q.groupBy(record).agg(

@@ -17,23 +17,21 @@ from sensorlake.functions.timefns import ntz_lit
 
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ts_micros
 from sensorlake.operators.stats import COVERAGE_POS, COVERAGE_WARN, signal_high_good
-from sensorlake.plans.ranking import materialize, resolve_method, with_position
+from sensorlake.plans.ranking import materialize, small_side, with_position
 
 MIN_GAP_SAMPLES = 3  # fixed value: shorter missing runs are not outages
 
 
 def gap_segments(readings: DataFrame, *, min_len: int = MIN_GAP_SAMPLES, keys: Sequence[str] = ("channel",),
-                 order: Sequence[str] = ("ts", "rid"), ts: str = "ts", value: str = "value",
-                 method: str = "auto", max_series: int | None = None) -> DataFrame:
+                 order: Sequence[str] = ("ts", "rid"), ts: str = "ts", value: str = "value") -> DataFrame:
     """One row per run of ≥ min_len consecutive missing samples:
     keys, start_pos, end_pos, start_ts, end_ts, n, dur_us (= end_ts − start_ts)."""
     keys, order = list(keys), list(order)
     src = readings.select(*keys, *order, value)
-    m = resolve_method(src, method)
-    p = with_position(src, keys, order, method=m, max_series=max_series)
+    p = with_position(src, keys, order)
     # the missing rows are ranked a second time (three passes): read them from a checkpoint
-    miss = materialize(p.where(F.col(value).isNull()).select(*keys, ts, "pos"), m)
-    mp = with_position(miss, keys, ["pos"], pos="mpos", method=m, max_series=max_series)
+    miss = materialize(p.where(F.col(value).isNull()).select(*keys, ts, "pos"))
+    mp = with_position(miss, keys, ["pos"], pos="mpos")
     runs = (mp.groupBy(*keys, (F.col("pos") - F.col("mpos")).alias("_isl"))
             .agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n"),
                  F.min_by(ts, "pos").alias("start_ts"), F.max_by(ts, "pos").alias("end_ts")))
@@ -51,7 +49,7 @@ def gap_diagnostics(readings: DataFrame, gaps: DataFrame, channels: DataFrame, *
         F.count(F.lit(1)).alias("n_episodes"),
         F.max_by(F.struct("n", "start_ts", "dur_us"), F.struct(F.col("n"), -F.col("start_pos"))).alias("L"))
     dims = channels.select(*keys, "ordinal", "unit")
-    out = cov.join(F.broadcast(dims), keys).join(g, keys, "left")
+    out = cov.join(small_side(dims), keys).join(g, keys, "left")
     return out.select(*keys, "ordinal", "unit", "coverage",
                       F.coalesce(F.col("L.n"), F.lit(0)).cast("long").alias("longest_n"),
                       F.col("L.start_ts").alias("longest_at"),

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ntz_lit, ts_micros
-from sensorlake.plans.ranking import BROADCAST_ROWS, exact_percentiles
+from sensorlake.plans.ranking import exact_percentiles, small_side
 
 # Resample rule id -> bin width in micro-seconds ("raw" = no resample).
 RULES = {
@@ -54,52 +54,16 @@ def _agg_expr(agg: str, value: str, order: Sequence[str]):
     }[agg]
 
 
-# Series lists up to this size travel as literals; larger ones use a join.
-SPINE_LITERAL_SERIES = 10_000
-
-
-def frame_scan(df: DataFrame, *, ts: str = "ts", keys: Sequence[str] = ("channel",)):
-    """(midnight of the first day, last ts, series list or None): one single-row
-    aggregate, and the distinct series (channels — metadata-sized) fetched with
-    a limit, so at most SPINE_LITERAL_SERIES + 1 rows reach the driver; past
-    that the spine joins instead."""
-    keys = list(keys)
-    r = df.agg(F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("o"), F.max(ts).alias("hi")).first()
-    series = None
-    if keys:
-        rows = df.select(*keys).distinct().limit(SPINE_LITERAL_SERIES + 1).collect()
-        if len(rows) <= SPINE_LITERAL_SERIES:
-            series = sorted(tuple(x) for x in rows)
-    return r["o"], r["hi"], series
-
-
-def spine(readings: DataFrame, n_bins: int, *, keys: Sequence[str] = ("channel",), series=None) -> DataFrame:
-    """Every (series, bin) pair for bin in [0, n_bins), generated by one ``spark.range``.
-
-    With a known series list the key is read from a literal array (no join);
-    otherwise series are numbered and joined back (broadcast when bounded)."""
-    keys = list(keys)
-    spark = readings.sparkSession
-    if series is not None:
-        n_ch = len(series)
-        grid = spark.range(0, max(n_ch, 1) * max(n_bins, 0)) if n_ch else spark.range(0)
-        ci = (F.col("id") / F.lit(n_bins)).cast("int")
-        cols = [F.element_at(F.array(*[F.lit(s[j]) for s in series]), ci + 1).alias(k) for j, k in enumerate(keys)]
-        return grid.select(*cols, (F.col("id") % F.lit(n_bins)).alias("bin"))
-    from sensorlake.plans.ranking import with_position
-    chan = with_position(readings.select(*keys).distinct(), [], keys, pos="_ci")   # distributed beyond 2M series
-    n_ch = chan.count()
-    grid = spark.range(0, max(n_ch, 1) * max(n_bins, 0))
-    grid = grid.select((F.col("id") / F.lit(n_bins)).cast("long").alias("_ci"),
-                       (F.col("id") % F.lit(n_bins)).alias("bin"))
-    side = F.broadcast(chan) if n_ch <= BROADCAST_ROWS else chan
-    return grid.join(side, "_ci").drop("_ci")
+def spine(readings: DataFrame, n_bins: int, *, keys: Sequence[str] = ("channel",)) -> DataFrame:
+    """Every (series, bin) pair for bin in [0, n_bins): each series (one row) repeated by a generator."""
+    return readings.select(*keys).distinct().withColumn(
+        "bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(n_bins) - 1).cast("long"))))
 
 
 def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str] = ("mean",), *,
                   keys: Sequence[str] = ("channel",), ts: str = "ts", order: Sequence[str] = ("ts", "rid"),
                   value: str = "value", origin=None, last=None, fill: bool = True,
-                  median_method: str = "auto", frame_keys: Sequence[str] = ()) -> DataFrame:
+                  frame_keys: Sequence[str] = ()) -> DataFrame:
     """Several aggregates per (series, bin): columns keys + [ts] + aggs.
 
     Unknown rule or "raw" -> the readings themselves (column ``value`` per agg);
@@ -113,10 +77,9 @@ def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str]
         return readings.select(*keys, ts, *[F.col(value).alias(a) for a in aggs])
     if frame_keys:
         return _resample_frames(readings, width, aggs, keys=keys, ts=ts, order=order, value=value,
-                                fill=fill, median_method=median_method, frame_keys=list(frame_keys))
-    series = None
-    if origin is None or last is None or fill:
-        o, hi, series = frame_scan(readings, ts=ts, keys=keys)
+                                fill=fill, frame_keys=list(frame_keys))
+    if origin is None or last is None:
+        o, hi = frame_origin(readings, ts=ts)
         origin = origin if origin is not None else o
         last = last if last is not None else hi
     if origin is None:
@@ -128,24 +91,23 @@ def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str]
     if plain:
         res = valid.groupBy(*keys, "bin").agg(*[_agg_expr(a, value, order).alias(a) for a in plain])
     if "median" in aggs:
-        med = exact_percentiles(valid, keys + ["bin"], value, [0.5], names=["median"], method=median_method)
+        med = exact_percentiles(valid, keys + ["bin"], value, [0.5], names=["median"])
         res = med if res is None else res.join(med, keys + ["bin"], "left")
     if fill:
         n_bins = int(micros_between_py(origin, last) // width) + 1
-        res = spine(readings, n_bins, keys=keys, series=series).join(res, keys + ["bin"], "left")
+        res = spine(readings, n_bins, keys=keys).join(res, keys + ["bin"], "left")
     out = res.withColumn(ts, micros_to_ts(ts_micros(ntz_lit(origin)) + F.col("bin") * F.lit(width)))
     return out.select(*keys, ts, *[F.col(a) for a in aggs])
 
 
 def _resample_frames(readings: DataFrame, width: int, aggs: list[str], *, keys: list[str], ts: str,
-                     order: list[str], value: str, fill: bool, median_method: str,
-                     frame_keys: list[str]) -> DataFrame:
+                     order: list[str], value: str, fill: bool, frame_keys: list[str]) -> DataFrame:
     """Many recordings at once: per-recording origin (one row per recording,
     broadcast), bins relative to it, spine per series by ``sequence``."""
     fr = readings.groupBy(*frame_keys).agg(
         F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("_o"), F.max(ts).alias("_hi"))
-    fr = F.broadcast(fr.withColumn("_nb", F.floor(micros_between(F.col("_o"), F.col("_hi")) / F.lit(float(width)))
-                                   .cast("long") + 1))
+    fr = small_side(fr.withColumn("_nb", F.floor(micros_between(F.col("_o"), F.col("_hi")) / F.lit(float(width)))
+                                  .cast("long") + 1))
     valid = readings.where(F.col(value).isNotNull()).join(fr, frame_keys)
     valid = valid.withColumn("bin", F.floor(micros_between(F.col("_o"), F.col(ts)) / F.lit(float(width))).cast("long"))
     plain = [a for a in dict.fromkeys(aggs) if a != "median"]
@@ -153,7 +115,7 @@ def _resample_frames(readings: DataFrame, width: int, aggs: list[str], *, keys:
     if plain:
         res = valid.groupBy(*keys, "bin").agg(*[_agg_expr(a, value, order).alias(a) for a in plain])
     if "median" in aggs:
-        med = exact_percentiles(valid, keys + ["bin"], value, [0.5], names=["median"], method=median_method)
+        med = exact_percentiles(valid, keys + ["bin"], value, [0.5], names=["median"])
         res = med if res is None else res.join(med, keys + ["bin"], "left")
     if fill:
         sp = (readings.select(*keys).distinct().join(fr, frame_keys)

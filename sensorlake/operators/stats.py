@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlake.functions.timefns import US_PER_DAY, ts_micros
+from sensorlake.plans.ranking import small_side
 
 # Signal thresholds.
 COVERAGE_POS, COVERAGE_WARN = 95.0, 85.0          # percent
@@ -101,7 +102,7 @@ def channel_card(stats: DataFrame, *, keys: Sequence[str] = ("channel",)) -> Dat
 def health_summary(stats: DataFrame, channels: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Dataset health: avg coverage, most drifted / volatile, lowest coverage (ties -> first column)."""
     keys = list(keys)
-    s = stats.join(F.broadcast(channels.select(*keys, "channel", "ordinal", "family")), keys + ["channel"])
+    s = stats.join(small_side(channels.select(*keys, "channel", "ordinal", "family")), keys + ["channel"])
     absd = F.coalesce(F.abs(F.col("drift")), F.lit(0.0))
     sd = F.coalesce(F.col("std"), F.lit(0.0))
     cov = 1.0 - F.coalesce(F.col("nan_frac"), F.lit(1.0))
@@ -122,7 +123,7 @@ def health_summary(stats: DataFrame, channels: DataFrame, *, keys: Sequence[str]
 def family_diagnostics(stats: DataFrame, channels: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """Channels of each family ranked by |drift| (missing drift last, then column order); hero = rank 1."""
     keys = list(keys)
-    s = stats.join(F.broadcast(channels.select(*keys, "channel", "ordinal", "family", "unit")), keys + ["channel"])
+    s = stats.join(small_side(channels.select(*keys, "channel", "ordinal", "family", "unit")), keys + ["channel"])
     w = Window.partitionBy(*keys, "family").orderBy(F.abs(F.col("drift")).desc_nulls_last(), F.col("ordinal"))
     s = s.withColumn("rank", F.row_number().over(w).cast("long"))
     return s.select(*keys, "family", "channel", "unit", "min", "max", "drift", "slope", "nan_frac", "rank",
@@ -132,7 +133,7 @@ def family_diagnostics(stats: DataFrame, channels: DataFrame, *, keys: Sequence[
 def drift_kpis(stats: DataFrame, channels: DataFrame, n_daily_bins: int | Column, *, keys: Sequence[str] = ()) -> DataFrame:
     """Period (days, first->last daily bin), #daily rows, steepest |slope|, biggest |drift|."""
     keys = list(keys)
-    s = stats.join(F.broadcast(channels.select(*keys, "channel", "ordinal")), keys + ["channel"])
+    s = stats.join(small_side(channels.select(*keys, "channel", "ordinal")), keys + ["channel"])
     d2 = F.when(F.col("n_valid") >= 2, F.col("drift")).otherwise(F.lit(0.0))
     nb = n_daily_bins if isinstance(n_daily_bins, Column) else F.lit(int(n_daily_bins))
     g = s.groupBy(*keys).agg(
@@ -149,25 +150,21 @@ def drift_kpis(stats: DataFrame, channels: DataFrame, n_daily_bins: int | Column
 
 
 def median_step(frame: DataFrame, *, order: Sequence[str] = ("ts", "rid"), ts: str = "ts",
-                keys: Sequence[str] = (), method: str = "auto") -> DataFrame:
+                keys: Sequence[str] = ()) -> DataFrame:
     """Median gap between consecutive samples of the frame, in minutes (exact).
 
     Previous-row time via positions + a 1-row halo (no single-partition lag),
     then the distributed exact median of the micro-second gaps.
     """
-    from sensorlake.plans.ranking import (exact_percentiles, halo_window, materialize, pct_method, resolve_method,
-                                          with_position)
+    from sensorlake.plans.ranking import exact_percentiles, halo_window, materialize, with_position
     from sensorlake.functions.timefns import micros_between
     keys = list(keys)
     f = frame.select(*keys, *order)
-    pm = resolve_method(f, method)
-    p = with_position(f, keys, list(order), method=pm)
-    h = halo_window(p, keys, "pos", 1, 0, {"_prev": F.min_by(F.col(ts), F.col("pos"))},
-                    method="plain" if pm == "window" else "chunk")
+    p = with_position(f, keys, list(order))
+    h = halo_window(p, keys, "pos", 1, 0, {"_prev": F.min_by(F.col(ts), F.col("pos"))})
     d = h.where(F.col("pos") > 0).withColumn("step_us", micros_between(F.col("_prev"), F.col(ts)).cast("double"))
-    d = materialize(d.select(*keys, "step_us"), pm)     # the percentile passes read it several times
-    m = exact_percentiles(d, keys, "step_us", [0.5], names=["median_us"],
-                          method=pct_method(method))
+    d = materialize(d.select(*keys, "step_us"))     # the percentile passes read it several times
+    m = exact_percentiles(d, keys, "step_us", [0.5], names=["median_us"])
     return m.select(*keys, (F.col("median_us") / 60e6).alias("median_step_min"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.functions.timefns import ntz_lit
+from sensorlake.plans.ranking import small_side
 
 # Preset id -> look-back (None = whole recording).
 PRESETS = {
@@ -71,14 +72,12 @@ def window_bounds(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts:
 
 
 def apply_window(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: str = "ts",
-                 anchor: DataFrame | None = None, keys: Sequence[str] = (),
-                 max_recordings: int | None = None) -> DataFrame:
+                 anchor: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Rows with lo <= ts <= hi. ``all`` is the identity.
 
     One recording: the bounds are collected as two literals, so the range
     reaches the Parquet scan as a pushed filter. Many recordings (``keys``):
-    the per-recording bounds table (one row per recording) is joined —
-    broadcast when ``max_recordings`` bounds its size.
+    the per-recording bounds table (one row per recording) is joined.
     """
     if preset == "all" or (preset not in PRESETS and preset != "custom"):
         return df
@@ -89,9 +88,7 @@ def apply_window(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: s
             return df
         return df.where((F.col(ts) >= ntz_lit(lo)) & (F.col(ts) <= ntz_lit(hi)))
     b = bounds_frame(src, preset, frm, to, ts=ts, keys=keys)
-    if max_recordings is not None and max_recordings <= 2_000_000:
-        b = F.broadcast(b)
-    return (df.join(b, list(keys))
+    return (df.join(small_side(b), list(keys))
             .where((F.col(ts) >= F.col("lo")) & (F.col(ts) <= F.col("hi"))).drop("lo", "hi"))
 
 

@@ -12,6 +12,7 @@ from sensorlake.functions.timefns import ntz_lit
 from sensorlake.functions.timefns import US_PER_DAY, micros_between
 from sensorlake.operators import resample as rs
 from sensorlake.operators.stats import trend_slope
+from sensorlake.plans.ranking import small_side
 
 
 def trend_line(readings: DataFrame, *, keys: Sequence[str] = ("channel",), ts: str = "ts",
@@ -31,7 +32,7 @@ def trend_line(readings: DataFrame, *, keys: Sequence[str] = ("channel",), ts: s
     per = (per.join(sl, keys).withColumn("intercept", F.col("_ym") - F.col("slope") * F.col("_xm")))
     per = per.withColumn("slope_rank", F.row_number().over(
         Window.orderBy(F.abs(F.col("slope")).desc(), *keys)).cast("long"))
-    out = daily.join(F.broadcast(per), keys)
+    out = daily.join(small_side(per), keys)
     return out.select(*keys, ts, "x", F.col(value).alias("mean"),
                       (F.col("slope") * F.col("x") + F.col("intercept")).alias("trend"),
                       "slope", "intercept", "slope_rank")

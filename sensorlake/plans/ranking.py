@@ -1,459 +1,332 @@
 """Order-dependent building blocks that never put one series into one task.
 
-A window ``partitionBy(channel).orderBy(ts)`` sends a whole channel to one task;
-one channel may hold a third of a 100 TB table. The helpers here split every
-series across many tasks instead:
-
-``range_buckets``  a deterministic bucket number that cuts the global order
-    (keys, order) into ~P even pieces: bounds come from one seeded sample
-    (≤ 64·P rows on the driver), the bucket is a binary search over them
-    written as a nested CASE (log2 P comparisons per row). Because the bucket
-    is a pure function of the row, every consumer and every retry agrees.
-
-``with_position``  exact 0-based position of each row inside its series:
-    rank inside the (bucket, series) piece + rows of the same series in
-    earlier buckets (a running sum over a table of ≤ P + series rows,
-    joined back — broadcast when the series count is bounded).
-
-``halo_window``  a rows frame [-lo, +hi] over positions, computed per chunk
-    of C positions; rows near a chunk edge are copied to the neighbour chunk.
-    Exact; each task holds at most C + lo + hi rows.
-
-``exact_percentiles``  exact linear-interpolation percentiles per group:
-    duplicates are pre-aggregated (a stuck sensor value collapses to one row),
-    weighted ranks are computed like positions, and only the rows holding the
-    needed ranks survive.
+A window ``partitionBy(channel).orderBy(ts)`` sends a whole channel to one task; one
+channel may hold a third of a 100 TB table. Here every series is cut into pieces first:
+
+``pieces``  cells of the first order column on one even grid over the frame, counted per
+    (series, cell). A piece with too many rows is cut again on its own extent, as often as
+    needed; where all its rows share one value, the next order column takes over. The rule is
+    arithmetic on the row's own columns, so every consumer and every retry agrees, and the
+    (series, piece) counts are a small table.
+
+``with_position``  0-based position of each row in its series: rank inside the piece + rows
+    of the series in earlier pieces (a running sum over the count table). ``only`` restricts the
+    work to pieces that hold wanted positions.
+
+``halo_window``  a rows frame [-lo, +hi] over positions, per chunk of C positions; rows near a
+    chunk's edge are copied to the neighbour chunk. Each task holds at most C + lo + hi rows.
+
+``rolling_stats``  count, mean, standard deviation, max and min of a rows frame of any length, O(1)
+    a row: running aggregates forward and backward inside blocks as long as the frame, of which
+    every frame needs exactly one of each.
+
+``exact_percentiles``  a value grid per group narrows down to the cells that hold the wanted ranks;
+    only their rows are ranked. Exact for any distribution.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Broadcast the (bucket, series) offset table only under this row bound.
-BROADCAST_ROWS = 2_000_000
-SAMPLE_PER_BUCKET = 64
-# method="auto": inputs of at most this many rows (all series together) take the
-# single-window path — one task then holds at most this many rows, a bounded
-# amount; larger inputs take the distributed path.
-SMALL_ROWS = 2_000_000
+from sensorlake.session import ensure_checkpoint_dir
 
+#: Rows of a piece, about; a piece of more than four times as many is cut again.
+BUCKET_ROWS = 250_000
+#: A table of at most so many narrow rows (some MB) is broadcast, a longer one joined by shuffle.
+BROADCAST_ROWS = 50_000
+#: Values over more binary magnitudes than this are cut by magnitude first.
+MAGNITUDES = 8
+#: Cells a group is cut into when percentiles are narrowed down; beyond so many magnitudes, by magnitude.
+VALUE_CELLS = 1024
+VALUE_MAGNITUDES = 64
 
-def small_input(df: DataFrame, limit: int | None = None) -> bool:
-    """True when ``df`` has at most ``limit`` rows (stops counting past the limit)."""
-    limit = SMALL_ROWS if limit is None else limit
-    return df.limit(limit + 1).count() <= limit
+_INF = float("inf")
 
 
-def _parts(df: DataFrame, partitions: int | None) -> int:
-    if partitions:
-        return int(partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that is read several times: a reliable ``checkpoint`` in the
+    folder of ``spark.checkpoint.dir``, shared by all executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows, marked for broadcast if that is few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str], bounded_rows: int | None) -> DataFrame:
-    """Join a per-(bucket, series) table; broadcast only with a proven row bound."""
-    if bounded_rows is not None and bounded_rows <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on=on, how="inner")
+def small_side(df: DataFrame) -> DataFrame:
+    """A table of about one narrow row a series, made once and marked for broadcast if it proves to have few
+    rows; otherwise a shuffled join follows, in which Spark may split hot keys of the other side."""
+    made = materialize(df)
+    return bounded(made, made.count())
 
 
-def _sortable(df: DataFrame, c: str) -> Column:
-    """Comparable form of a column: timestamps as epoch micro-seconds."""
+# --------------------------------------------------------------------------- pieces
+def _numbers(df: DataFrame, c: str) -> list[Column]:
+    """Column ``c`` as numbers in the same order: micro-seconds, days, the number itself, or for text
+    its first 18 bytes, six at a time."""
     t = df.schema[c].dataType
     if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                                F.col(c).cast("timestamp_ntz"))
+        return [F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                                 F.col(c).cast("timestamp_ntz"))]
     if isinstance(t, T.DateType):
-        return F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")
-    return F.col(c)
-
-
-def range_buckets(df: DataFrame, cols: Sequence[str], partitions: int | None = None,
-                  seed: int = 7) -> Column:
-    """Bucket-number column (0..B-1) that splits the order ``cols`` into even pieces."""
-    cols = list(cols)
-    p = _parts(df, partitions)
-    key = F.struct(*[_sortable(df, c).alias(f"k{i}") for i, c in enumerate(cols)])
-    if p <= 1:
-        return F.lit(0).cast("int")
-    n = df.count()
-    if n == 0:
-        return F.lit(0).cast("int")
-    frac = min(1.0, 1.5 * p * SAMPLE_PER_BUCKET / n)
-    sample = (df.sample(False, frac, seed).select(key.alias("k")).where(F.col("k").isNotNull())
-              .orderBy("k").collect())
-    m = len(sample)
-    bounds = []
-    for i in range(1, p):
-        if m == 0:
-            break
-        b = tuple(sample[min(m - 1, (i * m) // p)]["k"])
-        if not bounds or b != bounds[-1]:
-            bounds.append(b)
-    if not bounds:
-        return F.lit(0).cast("int")
-    fields = [f"k{i}" for i in range(len(cols))]
-
-    def lit_struct(b):
-        return F.struct(*[F.lit(v).alias(f) for v, f in zip(b, fields)])
-
-    def tree(lo: int, hi: int) -> Column:   # bucket index in [lo, hi]; bounds[lo..hi-1] split it
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2              # rows >= bounds[mid-1] go right
-        return F.when(key < lit_struct(bounds[mid - 1]), tree(lo, mid - 1)).otherwise(tree(mid, hi))
-
-    return tree(0, len(bounds)).cast("int")
-
-
-# Target rows per (series, bucket) piece of the time-bucket ranking.
-BUCKET_ROWS = 1_000_000
-# Sampled value buckets are capped here (the binary search is a CASE tree).
-MAX_SAMPLED_BUCKETS = 4096
-
-
-_SUB_BITS = 12      # bits per refinement level inside the bucket key
-_MAX_LEVELS = 3
-
-
-def time_buckets(df: DataFrame, keys: Sequence[str], first: str, *, bucket_rows: int | None = None,
-                 max_series: int | None = None, refine: bool | str = "auto") -> DataFrame:
-    """Adds ``_b``: floor((t − t_first) / W) per series, t = the first order column
-    as a number (timestamps in micro-seconds), W = span · bucket_rows / rows of
-    the series. Pure arithmetic — deterministic, O(1) per row, any number of
-    buckets; equal t always share a bucket. Series stats are one aggregate
-    (one row per series, broadcast when the series count is bounded).
-
-    Bursty series (most rows in a short time) overfill some buckets. With
-    ``refine`` ("auto") every bucket holding more than 4 × bucket_rows is cut
-    again by the same arithmetic at width W · bucket_rows / rows-in-bucket, and
-    again (up to 3 levels) while a piece still overflows; levels are packed as
-    b · 4096 + s (s in 0..4095), so bucket order stays time order. Each level
-    costs one count of the overflowing buckets; none when nothing overflows."""
-    keys = list(keys)
-    bucket_rows = bucket_rows or BUCKET_ROWS
-    t = _sortable(df, first).cast("double")
-    finite = F.when(F.abs(t) < F.lit(float("inf")), t)          # ±inf must not stretch the span
-    st = df.groupBy(*keys).agg(F.min(finite).alias("_tb_t0"), F.max(finite).alias("_tb_t1"), F.count(F.lit(1)).alias("_tb_n"))
-    st = st.withColumn("_tb_w", F.greatest(F.lit(1e-9), (F.col("_tb_t1") - F.col("_tb_t0") + 1.0)
-                                        * F.lit(float(bucket_rows)) / F.col("_tb_n")))
-    st = st.select(*keys, "_tb_t0", "_tb_w")
-    bounded = max_series is not None and max_series <= BROADCAST_ROWS
-    if keys:
-        out = df.join(F.broadcast(st) if bounded else st, keys)
-    else:
-        r = st.first()
-        out = df.withColumn("_tb_t0", F.lit(r["_tb_t0"] if r else 0.0)).withColumn("_tb_w", F.lit(r["_tb_w"] if r else 1.0))
-    # clamped: +inf lands in the last bucket, -inf before the first (order kept)
-    b = F.floor(F.least(F.greatest((t - F.col("_tb_t0")) / F.col("_tb_w"), F.lit(-1e15)), F.lit(1e15)))
-    out = out.withColumn("_b", F.coalesce(b, F.lit(-1)).cast("long"))
-    if refine is False:
-        return out.drop("_tb_t0", "_tb_w")
-    # start of the row's current bucket and its width, for the next cut
-    out = out.withColumn("_tb_s0", F.col("_tb_t0") + F.col("_b").cast("double") * F.col("_tb_w"))
-    top = (1 << _SUB_BITS) - 1
-    for _level in range(_MAX_LEVELS):
-        seg = out.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_tb_c"))
-        big = seg.where((F.col("_tb_c") > 4 * bucket_rows) & (F.col("_b") >= 0)).select(*keys, "_b", "_tb_c")
-        n_big = big.count()
-        if n_big == 0:
-            break
-        side = F.broadcast(big) if n_big <= BROADCAST_ROWS else big
-        out = out.join(side, keys + ["_b"], "left")
-        w2 = F.col("_tb_w") * F.lit(float(bucket_rows)) / F.col("_tb_c")
-        ratio = F.least(F.greatest((t - F.col("_tb_s0")) / w2, F.lit(-1.0)), F.lit(float(top)))
-        sub = F.least(F.greatest(F.floor(ratio) + 1, F.lit(0)), F.lit(top)).cast("long")
-        hit = F.col("_tb_c").isNotNull()
-        out = (out.withColumn("_tb_sub", F.when(hit, sub).otherwise(F.lit(0).cast("long")))
-               .withColumn("_tb_s0", F.when(hit, F.col("_tb_s0") + (F.col("_tb_sub") - 1).cast("double") * w2)
-                           .otherwise(F.col("_tb_s0")))
-               .withColumn("_tb_w", F.when(hit, w2).otherwise(F.col("_tb_w")))
-               .withColumn("_b", F.col("_b") * F.lit(1 << _SUB_BITS) + F.col("_tb_sub"))
-               .drop("_tb_c", "_tb_sub"))
-        if refine is not True and refine != "auto":
-            break
-    return out.drop("_tb_t0", "_tb_w", "_tb_s0")
+        return [F.datediff(F.col(c), F.lit("1970-01-01").cast("date")).cast("long")]
+    if isinstance(t, T.StringType):
+        body = F.rpad(F.hex(F.encode(F.col(c), "UTF-8")), 36, "0")
+        return [F.conv(F.substring(body, 1 + 12 * k, 12), 16, 10).cast("long") for k in range(3)]
+    return [F.col(c)]
 
 
-def _time_orderable(df: DataFrame, c: str) -> bool:
-    return isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType))
+def _kind(x: Column) -> Column:
+    """Place of what an even grid cannot hold: null -2, -inf -1, a number 0, +inf 1, NaN 2."""
+    d = x.cast("double")
+    return (F.when(x.isNull(), -2).when(F.isnan(d), 2).when(d == _INF, 1).when(d == -_INF, -1).otherwise(0)).cast("int")
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, pos: str = "pos",
-                  method: str = "auto", partitions: int | None = None,
-                  max_series: int | None = None, bucket_rows: int | None = None) -> DataFrame:
-    """Add ``pos`` = 0-based rank of the row inside its series by ``order``.
-
-    ``order`` must be a total order within a series (e.g. ts, rid).
-    ``method``: "range" (distributed), "window" (one window per series: the
-    small-data path, also used to cross-check), "auto" (by input size).
-    ``max_series`` is a proven upper bound on the number of series (e.g. the
-    number of channel columns); it allows broadcasting the offset table.
-    """
-    keys, order = list(keys), list(order)
-    if method == "auto":
-        method = "window" if small_input(df) else "range"
-    if method == "window":
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(pos, (F.row_number().over(w) - 1).cast("long"))
-    p = min(_parts(df, partitions), MAX_SAMPLED_BUCKETS)
-    if _time_orderable(df, order[0]):
-        b = time_buckets(df, keys, order[0], bucket_rows=bucket_rows, max_series=max_series)
-        bound = None       # buckets grow with the data: the offset table is joined, not broadcast
-    else:
-        b = df.withColumn("_b", range_buckets(df, keys + order, p))
-        bound = None if max_series is None else p + max_series
-    seg = b.groupBy("_b", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")).drop("_n")
-    local = Window.partitionBy("_b", *keys).orderBy(*order)
-    ranked = b.withColumn("_loc", F.row_number().over(local) - 1)
-    out = _join_small(ranked, seg, ["_b", *keys], bound)
-    return out.withColumn(pos, (F.col("_off") + F.col("_loc")).cast("long")).drop("_b", "_loc", "_off")
+def _scale(x: Column) -> Column:
+    """Sign and binary magnitude of a number as one integer in the same order."""
+    size = F.floor(F.log2(F.abs(x.cast("double")))).cast("long") + 1100
+    return F.when(x > 0, size).when(x < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
-def chunk_size(lo: int, hi: int, base: int = 100_000) -> int:
-    return max(base, 10 * (lo + hi + 1))
+def _cell(x: Column, lo: Column, hi: Column, cells: Column, most: int = 4096) -> Column:
+    """Cell of a number: by magnitude where [lo, hi] spans over ``most``, else on an even grid; what is no
+    number before and behind. In the order of the numbers, so that equal ones share a cell."""
+    span = hi.cast("double") - lo.cast("double")
+    at = F.floor((x.cast("double") - lo.cast("double")) / span * cells.cast("double"))
+    even = F.when(span > 0, F.least(F.greatest(at, F.lit(0)), cells - 1)).otherwise(F.lit(0))
+    magnitudes = _scale(hi) - _scale(lo)
+    wide = (magnitudes > most) | (span == _INF)
+    kind = _kind(x)
+    return (F.when(kind == 0, F.when(wide, _scale(x) - _scale(lo)).otherwise(even)).when(kind < 0, kind)
+            .otherwise(F.when(wide, magnitudes + 1).otherwise(cells) + kind).cast("long"))
 
 
-def halo_window(df: DataFrame, keys: Sequence[str], pos: str, lo: int, hi: int,
-                aggs: dict[str, Column], *, chunk: int | None = None,
-                method: str = "chunk") -> DataFrame:
-    """Add one column per ``aggs`` entry, each evaluated over the rows whose
-    position lies in [pos - lo, pos + hi] of the same series.
+def _extent(x: Column, name: str) -> list[Column]:
+    number = F.when(_kind(x) == 0, x)
+    return [F.min(number).alias(f"{name}_lo"), F.max(number).alias(f"{name}_hi"),
+            F.min(_kind(x)).alias(f"{name}_k0"), F.max(_kind(x)).alias(f"{name}_k1")]
 
-    ``aggs`` maps output name -> window-able aggregate Column (e.g. F.avg('v')).
-    ``method="plain"`` uses one window per series (small-data path).
-    """
-    keys = list(keys)
-    if method == "plain":
-        w = Window.partitionBy(*keys).orderBy(pos).rangeBetween(-lo, hi)
-        out = df
-        for name, agg in aggs.items():
-            out = out.withColumn(name, agg.over(w))
-        return out
-    c = chunk or chunk_size(lo, hi)
-    own = F.floor(F.col(pos) / c)
-    first = F.greatest(F.lit(0), F.floor((F.col(pos) - hi) / c))
-    last = F.floor((F.col(pos) + lo) / c)
-    rep = (df.withColumn("_own", own.cast("long"))
-           .withColumn("_chunk", F.explode(F.sequence(first.cast("long"), last.cast("long")))))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rangeBetween(-lo, hi)
-    out = rep
-    for name, agg in aggs.items():
-        out = out.withColumn(name, agg.over(w))
-    return out.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk")
 
+def pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_rows: int | None = None
+           ) -> tuple[DataFrame, list[str], DataFrame]:
+    """(rows with piece columns, the piece columns in order, the table of pieces with their counts ``_n``).
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
-                      names: Sequence[str] | None = None, partitions: int | None = None,
-                      max_groups: int | None = None, method: str = "auto") -> DataFrame:
-    """Exact percentiles (linear interpolation, as numpy / SQL quantile_cont).
-
-    Returns one row per group with columns ``keys + names`` (NULL where a
-    group has no valid value). ``method``: "builtin" (Spark's ``percentile``, for
-    cross-checks), "window" (weighted ranks over the distinct values, one window
-    per group), "range" (distributed value buckets), "auto" ("window" while the
-    distinct (group, value) pairs are at most SMALL_ROWS, else "range").
+    A piece of over four times ``bucket_rows`` rows is left whole only if its rows are equal in every
+    order column (text: in the first 18 bytes).
     """
-    keys = list(keys)
-    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    v = df.where(F.col(value).isNotNull())
-    if method == "builtin":
-        return v.groupBy(*keys).agg(*[
-            F.percentile(F.col(value), F.lit(float(p))).alias(n) for p, n in zip(probs, names)])
-    # 1. collapse duplicates (partial aggregation before the shuffle); a group's
-    #    missing values become one (key, NULL) row of weight 0, which keeps
-    #    all-missing groups in the output (with NULL percentiles)
-    d = (df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-         .withColumn("_w", F.when(F.col(value).isNotNull(), F.col("_w")).otherwise(F.lit(0)).cast("long")))
-    if method == "auto":
-        # bounded by distinct (group, value) pairs, not by rows (rows bound them too);
-        # only a choice between two exact paths, so one pass with an estimate will do
-        r0 = v.agg(F.count(F.lit(1)).alias("n"),
-                   F.approx_count_distinct(F.struct(*keys, value), 0.05).alias("nd")).first()
-        method = "window" if (r0["n"] <= SMALL_ROWS or r0["nd"] <= SMALL_ROWS // 2) else "range"
-    if method == "window":
-        # weighted ranks with one window per group over the distinct values
-        wl = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        r = (d.withColumn("_off", F.lit(0).cast("long"))
-             .withColumn("_lcum", F.coalesce(F.sum("_w").over(wl), F.lit(0)).cast("long"))
-             .withColumn("_tot", F.sum("_w").over(Window.partitionBy(*keys)).cast("long")))
-    else:
-        p_n = min(_parts(df, partitions), MAX_SAMPLED_BUCKETS)
-        # 2. deterministic value-order buckets over the distinct values: arithmetic
-        #    (refined where values crowd) for numbers, sampled bounds otherwise
-        if _time_orderable(d, value):
-            db = materialize(time_buckets(d, keys, value, max_series=max_groups), "range")
-        else:
-            bcol = F.when(F.col(value).isNull(), F.lit(0)).otherwise(range_buckets(v, keys + [value], p_n))
-            db = d.withColumn("_b", bcol)
-        r = db
-        # weighted rank inside a (bucket, group) piece — bounded by one bucket
-        wl = Window.partitionBy("_b", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        r = r.withColumn("_lcum", F.coalesce(F.sum("_w").over(wl), F.lit(0)).cast("long"))
-        seg = db.groupBy("_b", *keys).agg(F.sum("_w").alias("_n"))
-        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        whole = Window.partitionBy(*keys)
-        seg = (seg.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
-               .withColumn("_tot", F.sum("_n").over(whole).cast("long")).drop("_n"))
-        bound = None if max_groups is None else p_n + max_groups
-        r = _join_small(r, seg, ["_b", *keys], bound)
-    lo = F.col("_off") + F.col("_lcum")                  # first rank held by the value
-    hi = lo + F.col("_w") - 1                            # last rank held by the value
-    r = r.select(*keys, value, "_tot", lo.alias("_lo"), hi.alias("_hi"))
-    aggs, keep, cols = [], None, []
-    for p, n in zip(probs, names):
-        h = (F.col("_tot") - 1).cast("double") * F.lit(float(p))
-        k0 = F.floor(h).cast("long")
-        k1 = F.least(k0 + 1, F.col("_tot") - 1)
-        has0 = (F.col("_lo") <= k0) & (k0 <= F.col("_hi"))
-        has1 = (F.col("_lo") <= k1) & (k1 <= F.col("_hi"))
-        cond = has0 | has1
-        keep = cond if keep is None else (keep | cond)
-        cols += [F.when(has0, F.col(value)).alias(f"_{n}_v0"), F.when(has1, F.col(value)).alias(f"_{n}_v1"),
-                 (h - F.floor(h)).alias(f"_{n}_f")]
-        aggs += [F.max(f"_{n}_v0").alias(f"_{n}_v0"), F.max(f"_{n}_v1").alias(f"_{n}_v1"),
-                 F.max(f"_{n}_f").alias(f"_{n}_f")]
-    r = r.where(keep | F.col(value).isNull()).select(*keys, *cols)
-    small = r.groupBy(*keys).agg(*aggs)
-    out = small.select(*keys, *[
-        (F.col(f"_{n}_v0") + F.col(f"_{n}_f") * (F.col(f"_{n}_v1") - F.col(f"_{n}_v0"))).alias(n)
-        for n in names])
-    return out
-
-
-# Operator-level switch: "auto" (by size), "plain" (one window per series), "distributed".
-def pos_method(m: str) -> str:
-    return {"plain": "window", "distributed": "range"}.get(m, "auto")
-
-
-def pct_method(m: str) -> str:
-    return {"plain": "builtin", "distributed": "range"}.get(m, "auto")
-
+    keys, size = list(keys), bucket_rows or BUCKET_ROWS
+    numbers = [x for c in order for x in _numbers(df, c)]
+    first = numbers[0]
+    frame = df.agg(F.count(F.lit(1)).alias("n"), *_extent(first, "x")).first()
+    cells = F.lit(max(1, -(-frame["n"] // size))).cast("long")
+    lo, hi = F.lit(frame["x_lo"]), F.lit(frame["x_hi"])
+    path = ["_b0"]
+    even = _cell(first, lo, hi, cells) if frame["x_lo"] is not None else _kind(first).cast("long")
+    rows = df.withColumn("_b0", even)
+
+    def count(r: DataFrame) -> DataFrame:
+        return r.groupBy(*keys, *path).agg(F.count(F.lit(1)).alias("_n"),
+                                           *[c for j, x in enumerate(numbers) for c in _extent(x, f"_x{j}")])
+
+    table = materialize(count(rows))
+    while True:
+        splits = [(F.col(f"_x{j}_lo") < F.col(f"_x{j}_hi")) | (F.col(f"_x{j}_k0") < F.col(f"_x{j}_k1"))
+                  for j in range(len(numbers))]
+        by = reduce(lambda a, j: a.when(splits[j], j), range(len(numbers)), F)
+        over = table.where(F.col("_n") > 4 * size).withColumn("_j", by).where(F.col("_j").isNotNull())
+        n_over = over.count()
+        if not n_over:
+            break
+        over = over.select(*keys, *path, "_j", F.ceil(F.col("_n") / size).cast("long").alias("_cells"),
+                           *[f"_x{j}_{e}" for j in range(len(numbers)) for e in ("lo", "hi")])
+        level = f"_b{len(path)}"
+        cell = reduce(lambda a, j: a.when(F.col("_j") == j, _cell(
+            numbers[j], F.col(f"_x{j}_lo"), F.col(f"_x{j}_hi"), F.col("_cells"), MAGNITUDES)), range(len(numbers)), F)
+        rows = (rows.join(bounded(over, n_over), [*keys, *path], "left")
+                .withColumn(level, F.coalesce(cell.otherwise(None), F.lit(0)).cast("long"))
+                .drop("_j", "_cells", *[f"_x{j}_{e}" for j in range(len(numbers)) for e in ("lo", "hi")]))
+        before, path = path, [*path, level]
+        kept = table.join(over.select(*keys, *before), [*keys, *before], "left_anti").withColumn(level, F.lit(0).cast("long"))
+        again = count(rows.join(bounded(over.select(*keys, *before), n_over), [*keys, *before], "left_semi"))
+        table = materialize(kept.select(again.columns).unionByName(again))
+    return rows, path, table.select(*keys, *path, "_n")
 
-def halo_method(m: str) -> str:
-    return "plain" if m == "plain" else "chunk"
 
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, pos: str = "pos",
+                  bucket_rows: int | None = None, only: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Add ``pos``: the 0-based rank of the row in its series by ``order``.
 
-def _shift(c: Column, k: int, w: Window) -> Column:
-    """Value k rows ahead (k > 0) / behind (k < 0) in the window order."""
-    if k == 0:
-        return c
-    return F.lead(c, k).over(w) if k > 0 else F.lag(c, -k).over(w)
+    ``order`` must be a total order within a series (e.g. ts, rid), and the keys not null. ``only``: a condition
+    on (first position, end) of a piece; rows of other pieces are left out before any sort.
+    """
+    keys, order = list(keys), list(order)
+    rows, path, table = pieces(df, keys, order, bucket_rows)
+    earlier = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
+    table = table.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long"))
+    if only is not None:
+        table = materialize(table.where(only(F.col("_before"), F.col("_before") + F.col("_n"))))
+        rows = rows.join(small_side(table.select(*keys, *path)), [*keys, *path], "left_semi")
+    inside = Window.partitionBy(*keys, *path).orderBy(*order)
+    ranked = rows.withColumn("_inside", F.row_number().over(inside) - 1)
+    return (ranked.join(table.drop("_n"), [*keys, *path])
+            .withColumn(pos, (F.col("_before") + F.col("_inside")).cast("long")).drop("_inside", "_before", *path)
+            .select(*df.columns, pos))
+
+
+# --------------------------------------------------------------------------- frames over positions
+def chunk_size(lo: int, hi: int, base: int = 100_000) -> int:
+    return max(base, 10 * (lo + hi + 1))
 
 
-def _replicate(df: DataFrame, pos: str, lo: int, hi: int, c: int) -> DataFrame:
-    own = F.floor(F.col(pos) / c)
-    first = F.greatest(F.lit(0), F.floor((F.col(pos) - hi) / c))
-    last = F.floor((F.col(pos) + lo) / c)
-    return (df.withColumn("_own", own.cast("long"))
-            .withColumn("_chunk", F.explode(F.sequence(first.cast("long"), last.cast("long")))))
+def _copied(df: DataFrame, pos: str, lo: int, hi: int, chunk: int) -> DataFrame:
+    """Rows with ``_chunk``: their own, and neighbours whose frames reach them; ``_own`` marks the first."""
+    first = F.greatest(F.lit(0), F.floor((F.col(pos) - hi) / chunk)).cast("long")
+    last = F.floor((F.col(pos) + lo) / chunk).cast("long")
+    own = F.floor(F.col(pos) / chunk).cast("long")
+    return df.withColumn("_chunk", F.explode(F.sequence(first, last))).withColumn("_own", own == F.col("_chunk"))
 
 
-# Frames of at most this many rows use Spark's sliding frame (O(n·w), cheap for
-# short frames); longer frames use the O(n log w) running-sum / doubling form.
-SLIDING_MAX_ROWS = 96
+def halo_window(df: DataFrame, keys: Sequence[str], pos: str, lo: int, hi: int, aggs: dict[str, Column], *,
+                chunk: int | None = None) -> DataFrame:
+    """Add one column per ``aggs`` entry, each evaluated over the rows whose position lies in
+    [pos - lo, pos + hi] of the same series. For short frames: the work is O(frame) a row."""
+    out = _copied(df, pos, lo, hi, chunk or chunk_size(lo, hi))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(pos).rangeBetween(-lo, hi)
+    for name, agg in aggs.items():
+        out = out.withColumn(name, agg.over(w))
+    return out.where("_own").drop("_own", "_chunk")
 
 
 def rolling_stats(df: DataFrame, keys: Sequence[str], pos: str, value: str, lo: int, hi: int, *,
-                  chunk: int | None = None, method: str = "chunk", prefix: str = "_r",
-                  algorithm: str = "auto") -> DataFrame:
-    """Adds count / mean / stddev_samp / max / min of ``value`` over the rows
-    with position in [pos − lo, pos + hi] of the same series, in O(n log w).
-
-    Spark's bounded sliding frames re-aggregate the whole frame for every row
-    (O(n·w)); here instead, inside each chunk partition:
-    * count, sum and sum of squares are differences of running sums read with
-      ``lead``/``lag`` (values centred on the chunk mean, for precision);
-    * max and min come from a doubling table (block maxima of 2^j rows), two
-      overlapping blocks covering the frame, and prefix / suffix maxima where the
-      frame is cut by the series start or end.
-    Output columns: {prefix}_cnt, _mean, _sd, _max, _min.
-    ``algorithm``: "sliding" (Spark frame), "log" (above), "auto" (by frame length)."""
-    keys = list(keys)
-    if algorithm == "sliding" or (algorithm == "auto" and lo + hi + 1 <= SLIDING_MAX_ROWS):
-        v = F.col(value)
-        return halo_window(df, keys, pos, lo, hi, {
-            f"{prefix}_cnt": F.count(v), f"{prefix}_mean": F.avg(v), f"{prefix}_sd": F.stddev_samp(v),
-            f"{prefix}_max": F.max(v), f"{prefix}_min": F.min(v)}, chunk=chunk, method=method)
-    if method == "plain":
-        base, part = df, keys
-    else:
-        base = _replicate(df, pos, lo, hi, chunk or chunk_size(lo, hi))
-        part = keys + ["_chunk"]
-    w_ord = Window.partitionBy(*part).orderBy(pos)
-    w_run = w_ord.rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*part)
-    w_rev = Window.partitionBy(*part).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col(value)
-    t = base.withColumn("_K", F.avg(v).over(w_all))
-    d = v - F.col("_K")
-    t = (t.withColumn("_c", F.count(v).over(w_run))
-         .withColumn("_s", F.coalesce(F.sum(d).over(w_run), F.lit(0.0)))
-         .withColumn("_q", F.coalesce(F.sum(d * d).over(w_run), F.lit(0.0))))
-    # frame sums: cum(pos+hi) - cum(pos-lo-1); beyond the series end cum stays at its last value
-    has_lo = _shift(F.col(pos), -lo, w_ord).isNotNull()
-    has_hi = _shift(F.col(pos), hi, w_ord).isNotNull()
-    t = t.withColumn("_hl", has_lo).withColumn("_hh", has_hi)
-    for c in ("_c", "_s", "_q"):
-        tot = F.max(F.col(c)).over(w_all) if c == "_c" else F.last(F.col(c)).over(
-            w_ord.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        up = F.coalesce(_shift(F.col(c), hi, w_ord), tot)
-        down = F.coalesce(_shift(F.col(c), -(lo + 1), w_ord), F.lit(0) if c == "_c" else F.lit(0.0))
-        t = t.withColumn(c + "f", up - down)
-    n = F.col("_cf")
-    mean = F.col("_K") + F.col("_sf") / n
-    var = (F.col("_qf") - F.col("_sf") * F.col("_sf") / n) / (n - 1)
-    t = (t.withColumn(f"{prefix}_cnt", n)
-         .withColumn(f"{prefix}_mean", F.when(n > 0, mean))
-         .withColumn(f"{prefix}_sd", F.when(n >= 2, F.sqrt(F.greatest(var, F.lit(0.0))))))
-    # sliding max / min: doubling table M_j(i) = max over [i, i + 2^j - 1] (max and min per level together)
-    L = lo + hi + 1
-    k = L.bit_length() - 1
-    t = t.withColumn("_a0", v).withColumn("_b0", v)
-    for j in range(k):
-        t = t.select("*", F.greatest(F.col(f"_a{j}"), _shift(F.col(f"_a{j}"), 1 << j, w_ord)).alias(f"_a{j + 1}"),
-                     F.least(F.col(f"_b{j}"), _shift(F.col(f"_b{j}"), 1 << j, w_ord)).alias(f"_b{j + 1}"))
-    t = t.select("*", F.max(v).over(w_run).alias("_pa"), F.min(v).over(w_run).alias("_pb"))
-    t = t.select("*", F.max(v).over(w_rev).alias("_sa"), F.min(v).over(w_rev).alias("_sb"))
-    sel = []
-    for fn, blk, pre, suf, whole, out in ((F.greatest, f"_a{k}", "_pa", "_sa", F.max(v), f"{prefix}_max"),
-                                          (F.least, f"_b{k}", "_pb", "_sb", F.min(v), f"{prefix}_min")):
-        inner = fn(_shift(F.col(blk), -lo, w_ord), _shift(F.col(blk), hi - (1 << k) + 1, w_ord))
-        sel.append(F.when(F.col("_hl") & F.col("_hh"), inner)
-                   .when(F.col("_hh"), _shift(F.col(pre), hi, w_ord))
-                   .when(F.col("_hl"), _shift(F.col(suf), -lo, w_ord))
-                   .otherwise(whole.over(w_all)).alias(out))
-    t = t.select("*", *sel)
-    t = t.drop(*[f"_a{j}" for j in range(k + 1)], *[f"_b{j}" for j in range(k + 1)], "_pa", "_pb", "_sa", "_sb")
-    t = t.drop("_K", "_c", "_s", "_q", "_cf", "_sf", "_qf", "_hl", "_hh")
-    if method != "plain":
-        t = t.filter(F.col("_own") == F.col("_chunk")).drop("_own", "_chunk")
-    return t
-
-
-def resolve_method(df: DataFrame, method: str) -> str:
-    """Operator switch -> "window" (one window per series) or "range" (distributed)."""
-    m = pos_method(method)
-    if m == "auto":
-        m = "window" if small_input(df) else "range"
-    return m
-
-
-def materialize(df: DataFrame, method: str) -> DataFrame:
-    """Cut the lineage of a result that is read several times (distributed path only).
-
-    Reliable ``checkpoint`` into the session's shared ``spark.checkpoint.dir``
-    (never a local checkpoint): later passes read the written result instead of
-    re-running the ranking plan, and a lost executor does not force a
-    recomputation from the source. The small-input path stays lazy."""
-    if method != "range":
-        return df
-    from sensorlake.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+                  chunk: int | None = None, prefix: str = "_r") -> DataFrame:
+    """Adds count / mean / stddev_samp / max / min ({prefix}_cnt, _mean, _sd, _max, _min) of ``value`` over the
+    rows with position in [pos - lo, pos + hi] of the same series.
+
+    The series is cut into blocks of w = lo + hi + 1 positions. A frame is the rest of one block from
+    pos - lo on and the start of the next up to pos + hi: the running aggregates backward at the one and
+    forward at the other, merged pairwise (means and squared deviations, no differences of sums).
+    Missing and infinite values are not in any frame."""
+    keys, w = list(keys), lo + hi + 1
+    size = max(1, -(-(chunk or chunk_size(lo, hi)) // w)) * w          # whole blocks
+    x = F.when(F.abs(F.col(value)) < _INF, F.col(value))
+    # a neighbour's whole block comes along, so that its running aggregates are complete
+    t = _copied(df, pos, w, w, size).withColumn("_x", x).withColumn("_block", F.floor(F.col(pos) / w))
+    part = [*keys, "_chunk"]
+    up = Window.partitionBy(*part, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*part, "_block").orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
+
+    def running(over) -> Column:
+        v = F.col("_x")
+        return F.struct(F.col("_block").alias("block"), F.count(v).over(over).alias("n"), F.avg(v).over(over).alias("mean"),
+                        (F.var_pop(v).over(over) * F.count(v).over(over)).alias("dev"),
+                        F.max(v).over(over).alias("max"), F.min(v).over(over).alias("min"))
+
+    t = t.withColumn("_down", running(down)).withColumn("_up", running(up))
+    along = Window.partitionBy(*part).orderBy(pos)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.lag("_down", lo).over(along) if lo else F.col("_down")
+    tail = F.lead("_up", hi).over(along) if hi else F.col("_up")
+    t = (t.withColumn("_head", head).withColumn("_tail", tail).withColumn("_end", F.last("_up").over(whole)))
+    # the frame may run over the series' end
+    t = t.withColumn("_cut", F.col("_tail").isNull()).withColumn("_tail", F.coalesce("_tail", "_end"))
+    one = F.col("_head.block") == F.col("_tail.block")
+    # the frame in one block: from the series' start, to its end, or a whole block
+    alone = (F.when(F.col("_head").isNull(), F.col("_tail")).when(one & F.col("_cut"), F.col("_head")).when(one, F.col("_tail")))
+    t = t.withColumn("_alone", alone)
+    a, b = F.col("_head"), F.col("_tail")
+    n = a["n"] + b["n"]
+    gap = b["mean"] - a["mean"]
+    both = F.struct(F.lit(0).cast("long").alias("block"), n.alias("n"),
+                    F.coalesce(a["mean"] + gap * b["n"] / n, a["mean"], b["mean"]).alias("mean"),
+                    (F.coalesce(a["dev"], F.lit(0.0)) + F.coalesce(b["dev"], F.lit(0.0))
+                     + F.coalesce(gap * gap * a["n"] * b["n"] / n, F.lit(0.0))).alias("dev"),
+                    F.greatest(a["max"], b["max"]).alias("max"), F.least(a["min"], b["min"]).alias("min"))
+    t = t.withColumn("_f", F.when(F.col("_alone").isNotNull(), F.col("_alone")).otherwise(both)).where("_own")
+    f = F.col("_f")
+    return (t.withColumn(f"{prefix}_cnt", f["n"]).withColumn(f"{prefix}_mean", F.when(f["n"] > 0, f["mean"]))
+            .withColumn(f"{prefix}_sd", F.when(f["n"] >= 2, F.sqrt(f["dev"] / (f["n"] - 1))))
+            .withColumn(f"{prefix}_max", f["max"]).withColumn(f"{prefix}_min", f["min"])
+            .drop("_chunk", "_own", "_x", "_block", "_down", "_up", "_head", "_tail", "_end", "_cut", "_alone", "_f"))
+
+
+# --------------------------------------------------------------------------- percentiles
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
+                      names: Sequence[str] | None = None, bucket_rows: int | None = None) -> DataFrame:
+    """Exact percentiles (linear interpolation, as numpy / SQL quantile_cont), one row per group: ``keys + names``
+    (NULL where a group has no valid value). NaN counts as missing.
+
+    Groups of many rows are narrowed down: counts per cell of an even grid between the group's least and
+    greatest value tell which cells hold the wanted ranks; only those cells' rows go on, and a cell that still
+    has too many different places is cut again. What is left is collapsed to (value, count) and ranked."""
+    keys, size = list(keys), bucket_rows or BUCKET_ROWS
+    names = list(names or [f"p{int(round(p * 100))}" for p in probs])
+    v = F.col(value).cast("double")
+    rows = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"))
+    groups = rows.select(*keys).distinct() if keys else None
+    rows = rows.where("_v IS NOT NULL")
+
+    number = F.when(F.abs("_v") < _INF, F.col("_v"))
+    path = ["_b0"]
+    rows = rows.withColumn("_b0", F.lit(0).cast("long"))
+    extent = [F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi"),
+              F.min("_v").alias("_min"), F.max("_v").alias("_max")]
+    # pieces in play: their rows, the rows of the group below them, and the group's total
+    table = rows.groupBy(*keys, *path).agg(*extent).withColumn("_before", F.lit(0).cast("long")).withColumn("_total", F.col("_n"))
+    table = materialize(table)
+    while True:
+        over = table.where((F.col("_n") > size) & (F.col("_min") < F.col("_max")))
+        n_over = over.count()
+        if not n_over:
+            break
+        level, old = f"_b{len(path)}", path
+        side = bounded(over.select(*keys, *old, F.col("_lo").alias("_l"), F.col("_hi").alias("_h")), n_over)
+        cell = _cell(F.col("_v"), F.col("_l"), F.col("_h"), F.lit(VALUE_CELLS).cast("long"), VALUE_MAGNITUDES)
+        cut = rows.join(side, [*keys, *old], "left").withColumn(
+            level, F.when(F.col("_l").isNull() & F.col("_h").isNull(), F.lit(0).cast("long")).otherwise(cell)).drop("_l", "_h")
+        path = [*old, level]
+        mark = over.select(*keys, *old, F.col("_before").alias("_base"), F.col("_total").alias("_all"))
+        found = cut.groupBy(*keys, *path).agg(*extent).join(bounded(mark, n_over), [*keys, *old])
+        below = Window.partitionBy(*keys, *old).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn("_before", (F.col("_base") + F.coalesce(F.sum("_n").over(below), F.lit(0))).cast("long")).withColumn(
+            "_total", F.col("_all")).drop("_base", "_all")
+        found = found.where(_holds(probs, F.col("_before"), F.col("_before") + F.col("_n") - 1))
+        rest = table.join(over.select(*keys, *old), [*keys, *old], "left_anti").withColumn(level, F.lit(0).cast("long"))
+        table = materialize(rest.select(found.columns).unionByName(found))
+        rows = cut.join(small_side(table.select(*keys, *path)), [*keys, *path], "left_semi")
+
+    counted = rows.groupBy(*keys, *path, "_v").agg(F.count(F.lit(1)).alias("_w"))
+    counted = counted.join(table.select(*keys, *path, "_before", "_total"), [*keys, *path])
+    inside = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    lo = F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0))
+    ranked = counted.select(*keys, "_v", "_total", lo.alias("_lo"), (lo + F.col("_w") - 1).alias("_hi"))
+    ranked = ranked.where(_holds(probs, F.col("_lo"), F.col("_hi")))
+    aggs = []
+    for p, n in zip(probs, names):
+        k0, k1, share = _ranks(p)
+        for tag, k in (("0", k0), ("1", k1)):
+            aggs.append(F.max(F.when((F.col("_lo") <= k) & (k <= F.col("_hi")), F.col("_v"))).alias(f"{n}_{tag}"))
+        aggs.append(F.max(share).alias(f"{n}_s"))
+    found = ranked.groupBy(*keys).agg(*aggs).select(*keys, *[
+        F.when(F.col(f"{n}_0") == F.col(f"{n}_1"), F.col(f"{n}_0")).otherwise(
+            F.col(f"{n}_0") + F.col(f"{n}_s") * (F.col(f"{n}_1") - F.col(f"{n}_0"))).alias(n) for n in names])
+    return groups.join(found, keys, "left") if keys else found
+
+
+def _ranks(p: float) -> tuple[Column, Column, Column]:
+    """The two ranks that a percentile lies between, and how far."""
+    h = (F.col("_total") - 1).cast("double") * F.lit(float(p))
+    k0 = F.floor(h).cast("long")
+    return k0, F.least(k0 + 1, F.col("_total") - 1), h - F.floor(h)
+
+
+def _holds(probs: Sequence[float], lo: Column, hi: Column) -> Column:
+    """Whether ranks lo .. hi hold one that is wanted."""
+    wanted = [k for p in probs for k in _ranks(p)[:2]]
+    return reduce(lambda a, b: a | b, [(lo <= k) & (k <= hi) for k in wanted])

@@ -178,9 +178,6 @@ from sensorlake.operators import anomaly as an  # noqa: E402
 from sensorlake.operators import downsample as ds  # noqa: E402
 from sensorlake.operators import gaps as gp  # noqa: E402
 
-N_EVENT_CHANNELS = len(fx.EVENT_CHANNELS) + 1   # proven bound: aliases + unmapped types fall back to their name
-
-
 def _flags(spark, d, window=60, sigma=3.0, wide=False):
     r = wide_readings(spark, d) if wide else fx.events_long(spark, d)
     return an.rolling_anomalies(r, window=window, sigma=sigma)
@@ -208,19 +205,17 @@ def q_worst(spark, d):
 
 @register("flagged_first12")
 def q_first12(spark, d):
-    return finish(an.flagged_first(_flags(spark, d, 11, 2.0), 12, max_series=N_EVENT_CHANNELS,
-                                   readings=fx.events_long(spark, d)))
+    return finish(an.flagged_first(_flags(spark, d, 11, 2.0), 12, readings=fx.events_long(spark, d)))
 
 
 @register("anomaly_overlay")
 def q_overlay(spark, d):
-    return finish(an.anomaly_overlay(_flags(spark, d), ds.BUDGET_ANOMALY, readings=fx.events_long(spark, d),
-                                     max_series=N_EVENT_CHANNELS))
+    return finish(an.anomaly_overlay(_flags(spark, d), ds.BUDGET_ANOMALY, readings=fx.events_long(spark, d)))
 
 
 # --------------------------------------------------------------------------- gaps
 def _gaps(spark, d):
-    return gp.gap_segments(wide_readings(spark, d), max_series=len(fx.EVENT_CHANNELS))
+    return gp.gap_segments(wide_readings(spark, d))
 
 
 def _gap_diag(spark, d):
@@ -316,12 +311,12 @@ def lineitem_readings(spark, d):
 
 @register("histogram_40")
 def q_hist(spark, d):
-    return finish(di.histogram(lineitem_readings(spark, d), max_series=len(fx.LINEITEM_CHANNELS)))
+    return finish(di.histogram(lineitem_readings(spark, d)))
 
 
 @register("histogram_40_events")
 def q_hist_events(spark, d):
-    return finish(di.histogram(wide_readings(spark, d), max_series=len(fx.EVENT_CHANNELS)))
+    return finish(di.histogram(wide_readings(spark, d)))
 
 
 @register("box_summary")
@@ -404,7 +399,7 @@ def q_scale_unit(spark, d):
     """Displacement channels shown in µm: factor 1000 where the unit is mm."""
     r = fx.events_long(spark, d)
     c = event_channels(spark, d).select("channel", F.when(F.col("unit") == "mm", 1000.0).otherwise(1.0).alias("factor"))
-    return finish(pj.scale_unit(r.join(F.broadcast(c), "channel"), "factor").drop("factor"))
+    return finish(pj.scale_unit(r.join(c, "channel"), "factor").drop("factor"))
 
 
 @register("axis_route")
@@ -595,7 +590,7 @@ def q_list_views(spark, d):
 
 
 # --------------------------------------------------------------------------- LTTB (D3, D4) — rows-only check + numpy test
-from sensorlake.plans.ranking import materialize, resolve_method, with_position  # noqa: E402
+from sensorlake.plans.ranking import materialize, with_position  # noqa: E402
 
 
 @register("lttb_downsample")
@@ -603,7 +598,6 @@ def q_lttb(spark, d):
     """Joint LTTB of the four lineitem channels: envelope max|y| over channels,
     1,500 points (the per-series budget), same rows for every channel."""
     w = ds.envelope(fx.lineitem_wide(spark, d), fx.LINEITEM_CHANNELS)
-    m = resolve_method(w, "auto")
-    p = materialize(with_position(w, [], fx.LINEITEM_ORDER, method=m), m)   # read by two stages
+    p = materialize(with_position(w, [], fx.LINEITEM_ORDER))   # read by two stages
     picked = ds.lttb_positions(p, ds.BUDGET_BROWSER, y="envelope")
     return finish(p.join(picked, "pos").select("k", "pos", *fx.LINEITEM_ORDER, *fx.LINEITEM_CHANNELS, "envelope"))

@@ -32,9 +32,7 @@ def test_e1_constant(spark):
     r = readings(spark, [0.1] * 20)
     s = st.channel_stats(r).first()
     assert s["std"] == 0.0 and s["slope"] == 0.0
-    for m in ("plain", "distributed"):
-        flags = an.rolling_anomalies(r, window=5, sigma=1.0, method=m)
-        assert flags.where("is_anomaly").count() == 0
+    assert an.rolling_anomalies(r, window=5, sigma=1.0).where("is_anomaly").count() == 0
     wide = r.select("ts", "rid", F.col("value").alias("a"), (F.col("value") * 2).alias("b"))
     m = {(x["x"], x["y"]): x["r"] for x in cr.corr_matrix(wide, ["a", "b"]).collect()}
     assert m[("a", "a")] == 0.0 and m[("a", "b")] == 0.0
@@ -49,7 +47,7 @@ def test_e3_all_missing(spark):
     r = readings(spark, [None] * 4)
     s = st.channel_stats(r).first()
     assert s["nan_frac"] == 1.0 and s["mean"] is None and s["min"] is None and s["coverage"] == 0.0
-    g = gp.gap_segments(r, method="plain").collect()
+    g = gp.gap_segments(r).collect()
     assert len(g) == 1 and g[0]["n"] == 4
 
 
@@ -64,11 +62,11 @@ def test_e5_e6_gap_runs(spark, method):
     # runs: 2 at start (not a gap), 3 in the middle, 4 at the end; plus equal-length check below
     vals = [None, None, 1, 2, None, None, None, 3, None, None, None, None]
     r = readings(spark, vals)
-    g = sorted((x["start_pos"], x["end_pos"], x["n"], x["dur_us"]) for x in gp.gap_segments(r, method=method).collect())
+    g = sorted((x["start_pos"], x["end_pos"], x["n"], x["dur_us"]) for x in gp.gap_segments(r).collect())
     assert g == [(4, 6, 3, 2 * 60_000_000), (8, 11, 4, 3 * 60_000_000)]
     # Two gaps of equal length -> the earlier is the longest
     r2 = readings(spark, [1, None, None, None, 2, None, None, None, 3])
-    gaps = gp.gap_segments(r2, method=method)
+    gaps = gp.gap_segments(r2)
     chans = spark.createDataFrame([("c", 0, "")], "channel string, ordinal int, unit string")
     d = gp.gap_diagnostics(r2, gaps, chans).first()
     assert d["longest_n"] == 3 and d["longest_at"] == T0 + dt.timedelta(minutes=1) and d["n_episodes"] == 2
@@ -81,7 +79,7 @@ def test_e7_duplicate_timestamps_stable(spark):
     assert s["first"] == 5.0 and s["last"] == 8.0
     from sensorlake.plans.ranking import with_position
     for m in ("window", "range"):
-        p = {x["rid"]: x["pos"] for x in with_position(r, ["channel"], ["ts", "rid"], method=m).collect()}
+        p = {x["rid"]: x["pos"] for x in with_position(r, ["channel"], ["ts", "rid"]).collect()}
         assert p == {0: 0, 1: 1, 2: 2, 3: 3}
 
 

@@ -30,16 +30,16 @@ def pandas_flags(y, window, sigma):
     return f.fillna(False).to_numpy()
 
 
-@pytest.mark.parametrize("window,sigma", [(5, 1.5), (6, 1.0), (11, 2.0), (60, 2.0), (201, 1.5)])
-@pytest.mark.parametrize("method", ["plain", "distributed"])
-def test_rolling_anomalies_vs_pandas(spark, window, sigma, method, monkeypatch):
+@pytest.mark.parametrize("chunk", [97, 100_000])
+@pytest.mark.parametrize("window,sigma", [(5, 1.5), (6, 1.0), (11, 2.0), (60, 2.0), (201, 1.5), (699, 1.0), (1400, 1.0)])
+def test_rolling_anomalies_vs_pandas(spark, window, sigma, chunk, monkeypatch):
     from sensorlake.plans import ranking
     monkeypatch.setattr(ranking, "BUCKET_ROWS", 53)
     rng = np.random.default_rng(window)
     y = rng.normal(0, 1, 700)
     y[rng.random(700) < 0.1] = np.nan
     y[100:110] = 5.0
-    got = an.rolling_anomalies(series(spark, y), window=window, sigma=sigma, method=method, chunk=97)
+    got = an.rolling_anomalies(series(spark, y), window=window, sigma=sigma, chunk=chunk)
     flags = np.zeros(len(y), bool)
     for r in got.select("pos", "is_anomaly").collect():
         flags[r["pos"]] = r["is_anomaly"]
@@ -67,10 +67,28 @@ def test_histogram_box_vs_numpy(spark):
     counts, edges = np.histogram(y, bins=40)
     assert [r["count"] for r in h] == list(counts)
     assert np.allclose([r["center"] for r in h], (edges[:-1] + edges[1:]) / 2)
-    for m in ("plain", "distributed"):
-        b = di.box_summary(series(spark, y), method=m).first()
-        assert b["q1"] == pytest.approx(np.percentile(y, 25)) and b["median"] == pytest.approx(np.median(y))
-        assert b["q3"] == pytest.approx(np.percentile(y, 75))
+    b = di.box_summary(series(spark, y)).first()
+    assert b["q1"] == pytest.approx(np.percentile(y, 25)) and b["median"] == pytest.approx(np.median(y))
+    assert b["q3"] == pytest.approx(np.percentile(y, 75))
+
+
+@pytest.mark.parametrize("window", [95, 96, 97, 98, 120])
+def test_rolling_large_step(spark, window):
+    """A step of a million in ripple of a hundredth: no cancellation at any window."""
+    rng = np.random.default_rng(0)
+    y = rng.normal(0, 0.01, 3000)
+    y[1500:] += 1e6
+    got = an.rolling_anomalies(series(spark, y), window=window, chunk=400).where("is_anomaly").select("pos").collect()
+    assert sorted(r["pos"] for r in got) == list(np.flatnonzero(pandas_flags(y, window, 3.0)))
+
+
+@pytest.mark.parametrize("window", [60, 120])
+def test_rolling_infinite_samples(spark, window):
+    """Infinite values are in no frame, but are flagged themselves."""
+    y = np.random.default_rng(4).normal(0, 1, 300)
+    y[50], y[60], y[200] = np.inf, 40.0, -np.inf
+    got = an.rolling_anomalies(series(spark, y), window=window, chunk=100).where("is_anomaly").select("pos").collect()
+    assert {50, 60, 200} <= {r["pos"] for r in got} and len(got) < 10
 
 
 def event_window_ref(load, pct=0.05, bpct=0.15, minbuf=10, run=0):
@@ -129,17 +147,16 @@ def test_event_window_and_zero_crossing(spark, monkeypatch):
         loads[rec] = base
         rows += [(rec, T0 + dt.timedelta(seconds=i), i, float(v)) for i, v in enumerate(base)]
     df = spark.createDataFrame(rows, "record_id long, ts timestamp_ntz, rid long, load double")
-    for m in ("plain", "distributed"):
-        p = ev.positions(df, method=m)
-        for run in (0, 2, 3):
-            got = {r["record_id"]: (r["start"], r["end"]) for r in
-                   ev.event_window(p, threshold_pct=0.3, contiguous_run=run, method=m).collect()}
-            for rec, load in loads.items():
-                assert got[rec] == event_window_ref(load, pct=0.3, run=run), (rec, run, m)
-        zc = {r["record_id"]: r["unload_pos"] for r in ev.zero_crossing(ev.with_velocity(p, method=m), method=m).collect()}
+    p = ev.positions(df)
+    for run in (0, 2, 3):
+        got = {r["record_id"]: (r["start"], r["end"]) for r in
+               ev.event_window(p, threshold_pct=0.3, contiguous_run=run).collect()}
         for rec, load in loads.items():
-            vel = np.concatenate([[0.0], np.diff(load)])
-            assert zc[rec] == zero_cross_ref(load, vel), rec
+            assert got[rec] == event_window_ref(load, pct=0.3, run=run), (rec, run)
+    zc = {r["record_id"]: r["unload_pos"] for r in ev.zero_crossing(ev.with_velocity(p)).collect()}
+    for rec, load in loads.items():
+        vel = np.concatenate([[0.0], np.diff(load)])
+        assert zc[rec] == zero_cross_ref(load, vel), rec
 
 
 def lttb_ref(y, n_out):

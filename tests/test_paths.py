@@ -1,10 +1,15 @@
-"""Path equality: the distributed layout equals the one-window-per-series layout."""
+"""Positions, frames and percentiles in many small pieces against one window over each series."""
 
+import datetime as dt
+
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorlake import fixtures as fx
-from sensorlake.plans.ranking import exact_percentiles, halo_window, rolling_stats, with_position
+from sensorlake.plans import ranking
+from sensorlake.plans.ranking import exact_percentiles, halo_window, pieces, rolling_stats, with_position
 from sensorlake.queries import wide_readings
 
 
@@ -15,85 +20,122 @@ def ev(spark, sf001):
 
 @pytest.fixture
 def tiny_buckets(monkeypatch):
-    """Force many buckets per series so every border case is exercised."""
-    from sensorlake.plans import ranking
+    """Many pieces per series, so every border case is exercised."""
     monkeypatch.setattr(ranking, "BUCKET_ROWS", 37)
 
 
+def plain_position(df, keys, order):
+    return df.withColumn("pos2", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+
+
+def same_positions(df, keys, order, **how):
+    got = with_position(df, keys, order, **how)
+    want = plain_position(df, keys, order)
+    cols = [*keys, *order]
+    assert got.count() == df.count()
+    a = sorted((tuple(map(str, r)) for r in got.select(*cols, "pos").collect()))
+    b = sorted((tuple(map(str, r)) for r in want.select(*cols, "pos2").collect()))
+    assert a == b
+
+
 @pytest.mark.parametrize("rows", [37, 1000, 10 ** 6])
 def test_positions_equal(spark, ev, rows):
-    a = with_position(ev, ["channel"], ["ts", "rid"], method="range", bucket_rows=rows)
-    b = with_position(ev, ["channel"], ["ts", "rid"], method="window")
-    bad = a.join(b.withColumnRenamed("pos", "pos2"), ["channel", "rid"]).where("pos <> pos2").count()
-    assert bad == 0 and a.count() == b.count()
+    same_positions(ev, ["channel"], ["ts", "rid"], bucket_rows=rows)
 
 
-def test_positions_ties_and_sampled_buckets(spark, sf001):
-    """lineitem ship dates: ~24 rows per timestamp; ties broken by the tie order."""
+def test_positions_ties_and_text(spark, sf001):
+    """lineitem ship dates: ~24 rows per timestamp; ties broken by the tie order; a text column as the order."""
     li = fx.lineitem_wide(spark, sf001)
-    order = fx.LINEITEM_ORDER
-    a = with_position(li, [], order, method="range", bucket_rows=500)
-    b = with_position(li, [], order, method="window")
-    key = order[1:]
-    assert a.join(b.withColumnRenamed("pos", "pos2"), key).where("pos <> pos2").count() == 0
-    # a non-time first order column takes the sampled-bounds buckets
+    same_positions(li, [], fx.LINEITEM_ORDER, bucket_rows=500)
     s = li.select(F.col("l_orderkey").cast("string").alias("k"), "l_linenumber", "l_partkey", "l_suppkey")
-    c = with_position(s, [], ["k", "l_linenumber", "l_partkey", "l_suppkey"], method="range", partitions=13)
-    d = with_position(s, [], ["k", "l_linenumber", "l_partkey", "l_suppkey"], method="window")
-    assert c.join(d.withColumnRenamed("pos", "pos2"), ["k", "l_linenumber", "l_partkey", "l_suppkey"]) \
-        .where("pos <> pos2").count() == 0
+    same_positions(s, [], ["k", "l_linenumber", "l_partkey", "l_suppkey"], bucket_rows=300)
 
 
 def test_positions_single_series(spark, ev):
-    a = with_position(ev, [], ["ts", "rid"], method="range", bucket_rows=100)
+    a = with_position(ev, [], ["ts", "rid"], bucket_rows=100)
     assert sorted(r["pos"] for r in a.select("pos").collect()) == list(range(ev.count()))
 
 
+def biggest(df, keys, order, size):
+    _, _, table = pieces(df, keys, order, size)
+    return table.agg(F.max("_n")).first()[0]
+
+
+def test_bursty_series(spark):
+    """90 % of the rows in 1 % of the time, and a pile on one timestamp (cut by the next column)."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("c", t0 + dt.timedelta(hours=i), i) for i in range(300)]
+    rows += [("c", t0 + dt.timedelta(hours=100, milliseconds=100 * i), 10_000 + i) for i in range(3000)]
+    rows += [("c", t0 + dt.timedelta(hours=200), 50_000 + 7 * i) for i in range(2000)] + [("c", None, 90_000 + i) for i in range(900)]
+    df = spark.createDataFrame(rows, "channel string, ts timestamp_ntz, rid long")
+    assert biggest(df, ["channel"], ["ts", "rid"], 50) <= 4 * 50
+    same_positions(df, ["channel"], ["ts", "rid"], bucket_rows=50)
+
+
+@pytest.mark.parametrize("shape", ["sentinel", "narrow", "log", "special"])
+def test_odd_values(spark, shape):
+    """One value of 1e30, a span of 1e-9, magnitudes over 600 decades, infinities and NaN."""
+    rng = np.random.default_rng(1)
+    y = {"sentinel": np.append(rng.normal(0, 1, 4999), 1e30), "narrow": 1.0 + rng.random(5000) * 1e-9,
+         "log": 10.0 ** rng.uniform(-300, 300, 5000), "special": np.concatenate([rng.normal(0, 1, 4000), [np.inf] * 500, [-np.inf] * 500])}[shape]
+    rows = [("c", float(v), k) for k, v in enumerate(y)]
+    if shape == "special":
+        rows += [("c", None, 10_000 + k) for k in range(300)] + [("c", float("nan"), 20_000 + k) for k in range(300)]
+    df = spark.createDataFrame(rows, "channel string, v double, rid long")
+    assert biggest(df, ["channel"], ["v", "rid"], 100) <= 400
+    same_positions(df, ["channel"], ["v", "rid"], bucket_rows=100)
+    got = exact_percentiles(df, ["channel"], "v", [0.1, 0.5, 0.77], bucket_rows=100).first()
+    for p, g in zip((0.1, 0.5, 0.77), got[1:]):
+        s = np.sort(y)
+        h = (len(s) - 1) * p
+        a, b = s[int(h)], s[min(int(h) + 1, len(s) - 1)]
+        assert g == pytest.approx(a if a == b else a + (h - int(h)) * (b - a), rel=1e-12, nan_ok=True)
+
+
 @pytest.mark.parametrize("chunk", [7, 100, 5000])
 def test_halo_equals_plain(spark, ev, chunk):
-    p = with_position(ev, ["channel"], ["ts", "rid"], method="window")
-    aggs = lambda: {"m": F.avg("value"), "n": F.count("value")}
-    x = halo_window(p, ["channel"], "pos", 30, 29, aggs(), chunk=chunk)
-    y = halo_window(p, ["channel"], "pos", 30, 29, aggs(), method="plain")
-    j = x.join(y.select("rid", F.col("m").alias("m2"), F.col("n").alias("n2")), "rid")
-    assert j.where("abs(m - m2) > 1e-9 OR n <> n2").count() == 0 and x.count() == ev.count()
-
-
-@pytest.mark.parametrize("lo,hi", [(2, 2), (30, 29), (150, 150)])
-def test_rolling_log_equals_sliding(spark, ev, lo, hi):
-    p = with_position(ev, ["channel"], ["ts", "rid"], method="window")
-    a = rolling_stats(p, ["channel"], "pos", "value", lo, hi, algorithm="log", chunk=41)
-    b = rolling_stats(p, ["channel"], "pos", "value", lo, hi, algorithm="sliding", method="plain")
-    j = a.alias("a").join(b.alias("b"), ["channel", "rid"])
-    bad = j.where("a._r_cnt <> b._r_cnt OR abs(a._r_mean - b._r_mean) > 1e-9 "
-                  "OR abs(coalesce(a._r_sd, -1) - coalesce(b._r_sd, -1)) > 1e-9 "
-                  "OR a._r_max <> b._r_max OR a._r_min <> b._r_min").count()
-    assert bad == 0
-
-
-def test_percentiles_equal(spark, ev, tiny_buckets):
-    a = exact_percentiles(ev, ["channel"], "value", [0.1, 0.5, 0.9], method="range", partitions=11).collect()
-    b = exact_percentiles(ev, ["channel"], "value", [0.1, 0.5, 0.9], method="builtin").collect()
-    # skewed values (most rows share a narrow range): refinement keeps pieces small, result exact
-    sk = ev.withColumn("value", F.when(F.col("rid") % 10 != 0, F.col("value") / 1e6).otherwise(F.col("value")))
-    c = exact_percentiles(sk, ["channel"], "value", [0.1, 0.5, 0.9], method="range").collect()
-    e = exact_percentiles(sk, ["channel"], "value", [0.1, 0.5, 0.9], method="builtin").collect()
-    c = {r["channel"]: (r["p10"], r["p50"], r["p90"]) for r in c}
-    e = {r["channel"]: (r["p10"], r["p50"], r["p90"]) for r in e}
-    for k in e:
-        assert c[k] == pytest.approx(e[k])
-    a = {r["channel"]: (r["p10"], r["p50"], r["p90"]) for r in a}
-    b = {r["channel"]: (r["p10"], r["p50"], r["p90"]) for r in b}
-    assert a.keys() == b.keys()
-    for k in a:
-        assert a[k] == pytest.approx(b[k])
-
-
-def test_gaps_equal(spark, sf001, tiny_buckets):
+    p = plain_position(ev, ["channel"], ["ts", "rid"]).withColumnRenamed("pos2", "pos")
+    x = halo_window(p, ["channel"], "pos", 30, 29, {"m": F.avg("value"), "n": F.count("value")}, chunk=chunk)
+    w = Window.partitionBy("channel").orderBy("pos").rowsBetween(-30, 29)
+    y = p.select("rid", F.avg("value").over(w).alias("m2"), F.count("value").over(w).alias("n2"))
+    assert x.join(y, "rid").where("abs(m - m2) > 1e-9 OR n <> n2").count() == 0 and x.count() == ev.count()
+
+
+@pytest.mark.parametrize("lo,hi", [(0, 0), (0, 3), (4, 0), (2, 2), (30, 29), (150, 150), (3000, 2999)])
+@pytest.mark.parametrize("chunk", [41, 100_000])
+def test_rolling_equals_frame(spark, ev, lo, hi, chunk):
+    p = plain_position(ev, ["channel"], ["ts", "rid"]).withColumnRenamed("pos2", "pos")
+    a = rolling_stats(p, ["channel"], "pos", "value", lo, hi, chunk=chunk)
+    w = Window.partitionBy("channel").orderBy("pos").rowsBetween(-lo, hi)
+    v = F.col("value")
+    b = p.select("channel", "rid", F.count(v).over(w).alias("n"), F.avg(v).over(w).alias("mean"), F.stddev_samp(v).over(w).alias("sd"),
+                 F.max(v).over(w).alias("mx"), F.min(v).over(w).alias("mn"))
+    bad = a.join(b, ["channel", "rid"]).where(
+        "_r_cnt <> n OR abs(coalesce(_r_mean, 0) - coalesce(mean, 0)) > 1e-9 "
+        "OR abs(coalesce(_r_sd, -1) - coalesce(sd, -1)) > 1e-9 OR NOT _r_max <=> mx OR NOT _r_min <=> mn")
+    assert a.count() == ev.count() and bad.count() == 0
+
+
+@pytest.mark.parametrize("size", [37, 10 ** 6])
+def test_percentiles_equal(spark, ev, size):
+    skewed = ev.withColumn("value", F.when(F.col("rid") % 10 != 0, F.col("value") / 1e6).otherwise(F.col("value")))
+    steps = ev.withColumn("value", F.round("value"))
+    for df in (ev, skewed, steps):
+        got = {r["channel"]: tuple(r)[1:] for r in exact_percentiles(
+            df, ["channel"], "value", [0.0, 0.1, 0.5, 0.9, 1.0], bucket_rows=size).collect()}
+        want = df.where("value IS NOT NULL").groupBy("channel").agg(F.percentile("value", F.array(*map(F.lit, [0.0, 0.1, 0.5, 0.9, 1.0]))))
+        for r in want.collect():
+            assert got[r[0]] == pytest.approx(tuple(r[1]))
+    alone = exact_percentiles(ev, [], "value", [0.5], bucket_rows=size).first()[0]
+    assert alone == pytest.approx(ev.agg(F.percentile("value", F.lit(0.5))).first()[0])
+
+
+def test_gaps_in_small_pieces(spark, sf001, monkeypatch):
     from sensorlake.operators import gaps as gp
     r = wide_readings(spark, sf001)
-    a = gp.gap_segments(r, method="distributed").collect()
-    b = gp.gap_segments(r, method="plain").collect()
+    b = gp.gap_segments(r).collect()
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 37)
+    a = gp.gap_segments(r).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 0
 
 
@@ -117,39 +159,8 @@ def test_many_recordings_at_once(spark, sf001, tiny_buckets):
         s1 = st.channel_stats(both, keys=k).where(F.col("dataset_id") == ds_id)
         assert rows(s1, ["channel", "n", "mean", "slope"]) == rows(st.channel_stats(single), ["channel", "n", "mean", "slope"])
         from sensorlake.operators import timewindow as tw
-        w1 = tw.apply_window(both, "7d", keys=["dataset_id"], max_recordings=2).where(F.col("dataset_id") == ds_id)
+        w1 = tw.apply_window(both, "7d", keys=["dataset_id"]).where(F.col("dataset_id") == ds_id)
         assert rows(w1, ["channel", "rid"]) == rows(tw.apply_window(single, "7d"), ["channel", "rid"])
-        f1 = an.rolling_anomalies(both, keys=k, method="distributed").where(F.col("dataset_id") == ds_id)
-        f2 = an.rolling_anomalies(one, keys=k, method="plain")
+        f1 = an.rolling_anomalies(both, keys=k).where(F.col("dataset_id") == ds_id)
+        f2 = an.rolling_anomalies(one, keys=k)
         assert rows(f1, ["channel", "rid", "pos", "is_anomaly"]) == rows(f2, ["channel", "rid", "pos", "is_anomaly"])
-
-
-def test_bursty_series_refined(spark):
-    """90 % of the rows in 1 % of the time: the second bucket level keeps pieces small
-    and positions stay exact."""
-    import datetime as dt
-    from sensorlake.plans import ranking
-    t0 = dt.datetime(2024, 1, 1)
-    rows = []
-    for i in range(300):                                   # sparse: one per hour
-        rows.append(("c", t0 + dt.timedelta(hours=i), i))
-    for i in range(3000):                                  # burst: one per 100 ms
-        rows.append(("c", t0 + dt.timedelta(hours=100, milliseconds=100 * i), 10_000 + i))
-    df = spark.createDataFrame(rows, "channel string, ts timestamp_ntz, rid long")
-    b = ranking.time_buckets(df, ["channel"], "ts", bucket_rows=50)
-    biggest = b.groupBy("_b").count().agg(F.max("count")).first()[0]
-    assert biggest <= 4 * 50
-    plain = ranking.time_buckets(df, ["channel"], "ts", bucket_rows=50, refine=False)
-    assert plain.groupBy("_b").count().agg(F.max("count")).first()[0] > 4 * 50
-    a = with_position(df, ["channel"], ["ts", "rid"], method="range", bucket_rows=50)
-    w = with_position(df, ["channel"], ["ts", "rid"], method="window")
-    assert a.join(w.withColumnRenamed("pos", "pos2"), ["channel", "rid"]).where("pos <> pos2").count() == 0
-
-
-def test_spine_join_path_equals_literal(spark, ev, monkeypatch):
-    from sensorlake.operators import resample as rs
-    a = rs.resample(ev, "daily", "mean").collect()
-    monkeypatch.setattr(rs, "SPINE_LITERAL_SERIES", 0)          # force numbering + join
-    b = rs.resample(ev, "daily", "mean").collect()
-    key = lambda r: (r["channel"], r["ts"])
-    assert sorted(map(tuple, a), key=str) == sorted(map(tuple, b), key=str) and len(a) == 150
