@@ -42,7 +42,7 @@ MAX_TRAIN_CHARS = 20_000
 SYMBOLS = 64
 RARE = 1
 #: Bytes scored at a time.
-PIECE = 1 << 19
+PIECE = 1 << 18
 UNKNOWN = "und"
 #: Bits a byte beyond which a text is in no learned language (a random byte costs 8, learned text under 4).
 MAX_BITS = 7.0
@@ -136,11 +136,15 @@ class Trees:
         below = np.tile(shorter.reshape(-1, SYMBOLS), (len(counts) * SYMBOLS // len(shorter), 1))
         return np.where(counts > 0, hit, escape[:, None] + below), escape
 
-    def place(self) -> np.ndarray:
-        """Row of ``cost4`` of each quadruple, -1 for unseen ones."""
-        table = np.full(SYMBOLS ** 4, -1, np.int32)
-        table[self.grams] = np.arange(len(self.grams), dtype=np.int32)
-        return table
+    def place(self) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each seen context (0: unseen), and the row of ``cost4`` of each (context, symbol),
+        -1 for unseen ones. Only seen contexts take room."""
+        contexts, own = np.unique(self.grams // SYMBOLS, return_inverse=True)
+        number = np.zeros(SYMBOLS ** 3, np.int32)
+        number[contexts] = np.arange(1, len(contexts) + 1, dtype=np.int32)
+        rows = np.full((len(contexts) + 1, SYMBOLS), -1, np.int32)
+        rows[own + 1, self.grams % SYMBOLS] = np.arange(len(self.grams), dtype=np.int32)
+        return number, rows.ravel()
 
     def plain(self) -> dict:
         return vars(self)
@@ -151,9 +155,10 @@ class Trees:
         vars(trees).update(content)
         return trees
 
-    def code_lengths(self, texts: list[bytes], place: np.ndarray) -> np.ndarray:
+    def code_lengths(self, texts: list[bytes], place: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
+        number, rows = place
         i = 0
         while i < len(texts):
             j, size = i, 0
@@ -168,7 +173,7 @@ class Trees:
             for a in range(0, len(raw), PIECE):
                 part = raw[a:a + PIECE]
                 q = _quadruples(part, self.symbols, before)
-                row = place[q]
+                row = rows[number[q // SYMBOLS] * SYMBOLS + q % SYMBOLS]
                 cost = self.cost4[row]
                 new = np.flatnonzero(row < 0)
                 if len(new):
@@ -218,7 +223,7 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(trees.plain())
-    kept: dict[str, np.ndarray] = {}
+    kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     @F.arrow_udf(RESULT)
     def score(texts: pa.Array) -> pa.Array:
