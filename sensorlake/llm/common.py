@@ -42,7 +42,7 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+def bound_batches(spark: SparkSession, rows: int = 256, size: str = "4m") -> None:
     """Bound an Arrow batch by rows and, where Spark has the setting, by bytes.
 
     Smaller settings of the session are left as they are.

@@ -100,7 +100,7 @@ def _record_id(page: Column, digest: Column) -> Column:
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                    segment_bytes: int = SEGMENT_BYTES) -> None:
     """Archives of ``pages`` under ``path``."""
-    bound_batches(pages.sparkSession, rows=200)
+    bound_batches(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     own = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), payload.alias("payload")).select(
         "page", "url", "payload", F.sha2("payload", 256).alias("digest"))
@@ -202,7 +202,7 @@ def _payload(blocks: pa.Array) -> pa.Array:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per page record: page (text), url, record_type, payload (null for revisits), digest (as
     written), complete, rid and refers (record ids)."""
-    bound_batches(spark, rows=200)
+    bound_batches(spark)
     rows = (spark.read.format("binaryFile").load(path).select("content")
             .mapInArrow(_parsed, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}"
                                            for f in _ROW if f.name != "block") + ", block binary"))
