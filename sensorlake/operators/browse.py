@@ -67,4 +67,4 @@ def page_rows(df: DataFrame, page: int, *, size: int = PAGE_SIZE, order: Sequenc
     return rows.select(
         (F.col("pos") + 1).alias("row_num"), F.lit(p).cast("long").alias("page"),
         F.lit(pages).cast("long").alias("total_pages"), F.lit(total).cast("long").alias("total_rows"),
-        *[c for c in df.columns])
+        *[c for c in df.columns]).orderBy("row_num")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.functions.numeric import nan_to_null
 from sensorlake.plans.ranking import with_position
 from sensorlake.functions.shipping import by_value
 
@@ -30,6 +31,7 @@ def _pair_cols(a: str, b: str):
 def corr_matrix(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Long matrix (x, y, x_ord, y_ord, r, n) over all ordered pairs incl. the diagonal."""
     ch = list(channels)
+    wide = wide.select(*[nan_to_null(F.col(c)).alias(c) for c in ch])
     aggs, pairs = [], []
     for i, a in enumerate(ch):
         for j in range(i, len(ch)):
@@ -53,16 +55,6 @@ def corr_matrix(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
     return g.select(F.inline(F.array(*cells)))
 
 
-# Above this many channels the pair expressions (4 aggregates per pair) are
-# replaced by per-partition cross-product sums (``corr_matrix_wide``).
-PAIR_EXPR_MAX_CHANNELS = 40
-
-
-def corr_matrix_auto(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
-    return (corr_matrix(wide, channels) if len(channels) <= PAIR_EXPR_MAX_CHANNELS
-            else corr_matrix_wide(wide, channels))
-
-
 def corr_matrix_wide(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Same result as ``corr_matrix`` for many channels.
 
@@ -74,6 +66,7 @@ def corr_matrix_wide(wide: DataFrame, channels: Sequence[str]) -> DataFrame:
     import numpy as np
     import pandas as pd
     ch = list(channels)
+    wide = wide.select(*[nan_to_null(F.col(c)).alias(c) for c in ch])
     k = len(ch)
     means_row = wide.agg(*[F.avg(c).alias(c) for c in ch]).first()
     mu = np.array([0.0 if means_row[c] is None else float(means_row[c]) for c in ch])
@@ -135,6 +128,8 @@ def pair_fit(wide: DataFrame, x: str, y: str, *, sample: DataFrame | None = None
     One aggregation. ``sample``: rows to fit on instead of all (e.g. the
     5,000-row stride of the original chart); r and n still come from all rows
     (one extra single-row aggregate whose two numbers enter as literals)."""
+    wide = wide.withColumns({c: nan_to_null(F.col(c)) for c in {x, y}})
+    sample = None if sample is None else sample.withColumns({c: nan_to_null(F.col(c)) for c in {x, y}})
     if x == y:
         full = wide.where(F.col(x).isNotNull())
     else:

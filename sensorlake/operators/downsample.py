@@ -78,6 +78,7 @@ def envelope(wide: DataFrame, channels: Sequence[str], *, out: str = "envelope")
 # groups bounded); stage 2 runs the sequential walk per series on those few
 # candidates only.
 SUB_BUCKET = 100_000
+MERGE = 64
 
 
 def _hull_keep(x, y):
@@ -199,10 +200,16 @@ def lttb_positions(df: DataFrame, n_out: int, *, keys: Sequence[str] = (), pos:
     big = big.withColumn("b", b).withColumn("_sb", F.floor(F.col("x") / F.lit(SUB_BUCKET)).cast("long"))
     sums = big.groupBy(*keys, "b").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     hschema = big.select(*keys, "b", "_sb", "x", "y").schema
-    # one pandas call per (series, sub-chunk of ≤ SUB_BUCKET rows); a bucket cut by a
-    # chunk border yields two candidate sets — a superset of its hull, still exact
-    h1 = big.select(*keys, "b", "_sb", "x", "y").groupBy(*keys, "_sb").applyInPandas(_hulls_pdf, hschema)
-    cand = h1.drop("_sb").join(sums, keys + ["b"])
+    # one pandas call per (series, sub-chunk of ≤ SUB_BUCKET rows), then the hulls of a bucket's sub-chunks are
+    # merged in levels of MERGE at a time: what is left of a bucket is its own hull, however many rows it had
+    hull = big.select(*keys, "b", "_sb", "x", "y").groupBy(*keys, "_sb").applyInPandas(_hulls_pdf, hschema)
+    longest = big.agg(F.max(F.ceil(F.col("_N") / F.lit(B)))).first()[0] or 0
+    chunks = longest // SUB_BUCKET + 2
+    while chunks > 1:
+        chunks = -(-chunks // MERGE) + (1 if chunks > MERGE else 0)
+        fold = F.lit(0).cast("long") if chunks == 1 else F.floor(F.col("_sb") / MERGE).cast("long")
+        hull = hull.withColumn("_sb", fold).groupBy(*keys, "b", "_sb").applyInPandas(_hulls_pdf, hschema)
+    cand = hull.drop("_sb").join(sums, keys + ["b"])
     cschema = cand.select(*keys, "b", "x", "y", "mx", "my").schema
     out_schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
                            + ["k long", "pos long"])

@@ -5,9 +5,8 @@ that day, not on a Monday). Every bin between the first and the last sample is
 emitted for every channel; a bin without valid samples carries NULL.
 
 Plan: valid rows -> bin index (arithmetic, no shuffle) -> groupBy(channel, bin)
-with partial aggregation; the spine (channels × bins) is generated by
-``spark.range`` and joined on the channel index. Medians use the distributed
-exact percentile (no group is gathered into one task).
+with partial aggregation; the spine repeats each channel by a generator. Medians use
+the exact percentile (no group is gathered into one task).
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ntz_lit, ts_micros
 from sensorlake.plans.ranking import exact_percentiles, small_side
@@ -66,14 +66,14 @@ def resample_aggs(readings: DataFrame, rule: str = "daily", aggs: Sequence[str]
                   frame_keys: Sequence[str] = ()) -> DataFrame:
     """Several aggregates per (series, bin): columns keys + [ts] + aggs.
 
-    Unknown rule or "raw" -> the readings themselves (column ``value`` per agg);
+    Unknown rule or "raw", or a numeric time index -> the readings themselves (column ``value`` per agg);
     unknown aggregate names fall back to mean. ``frame_keys`` (e.g. dataset_id,
     also listed in ``keys``): each recording gets its own origin and spine.
     """
     keys, order = list(keys), list(order)
     aggs = [a if a in AGGS else "mean" for a in aggs]
     width = RULES.get(rule.lower()) if isinstance(rule, str) else None
-    if width is None:
+    if width is None or isinstance(readings.schema[ts].dataType, T.NumericType):
         return readings.select(*keys, ts, *[F.col(value).alias(a) for a in aggs])
     if frame_keys:
         return _resample_frames(readings, width, aggs, keys=keys, ts=ts, order=order, value=value,

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorlake.functions.timefns import US_PER_DAY, ts_micros
 from sensorlake.plans.ranking import small_side
@@ -34,18 +35,22 @@ def signal_high_bad(x: Column, neg: float, warn: float) -> Column:
     return F.when(x >= neg, "neg").when(x >= warn, "warn").otherwise("pos")
 
 
-def _x_days(ts: str) -> Column:
-    return ts_micros(F.col(ts)) / F.lit(float(US_PER_DAY))
+def _with_x(readings: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, value: str) -> DataFrame:
+    """``readings`` with the axis of slopes: days, or for a numeric time index the valid sample's number."""
+    if not isinstance(readings.schema[ts].dataType, T.NumericType):
+        return readings.withColumn("_x", ts_micros(F.col(ts)) / F.lit(float(US_PER_DAY)))
+    from sensorlake.plans.ranking import with_position
+    valid = with_position(readings.where(F.col(value).isNotNull()), list(keys), list(order), pos="_x")
+    missing = readings.where(F.col(value).isNull()).withColumn("_x", F.lit(None).cast("long"))
+    return valid.unionByName(missing).withColumn("_x", F.col("_x").cast("double"))
 
 
-def stat_aggs(value: str = "value", order: Sequence[str] = ("ts", "rid"), ts: str = "ts",
-              x: Column | None = None) -> list[Column]:
+def stat_aggs(value: str = "value", order: Sequence[str] = ("ts", "rid"), x: str = "_x") -> list[Column]:
     """Aggregate expressions of channel statistics + slope (one pass)."""
     v = F.col(value)
     valid = v.isNotNull()
     key = F.when(valid, F.struct(*order))
-    x = _x_days(ts) if x is None else x
-    xv = F.when(valid, x)
+    xv = F.when(valid, F.col(x))
     return [
         F.count(F.lit(1)).alias("n"),
         F.count(v).alias("n_valid"),
@@ -74,16 +79,16 @@ def channel_stats(readings: DataFrame, *, keys: Sequence[str] = ("channel",), or
                   ts: str = "ts", value: str = "value") -> DataFrame:
     """Per series: n, n_valid, nan_frac, min, max, mean, std, first, last, drift,
     range, peak_dev, slope (units/day), coverage."""
-    g = readings.groupBy(*keys).agg(*stat_aggs(value, order, ts))
+    g = _with_x(readings, keys, order, ts, value).groupBy(*keys).agg(*stat_aggs(value, order))
     return _finish_stats(g)
 
 
 def trend_slope(readings: DataFrame, *, keys: Sequence[str] = ("channel",), ts: str = "ts",
-                value: str = "value") -> DataFrame:
-    """Least-squares slope of value over days; < 2 valid points or no time spread -> 0."""
+                order: Sequence[str] = ("ts", "rid"), value: str = "value") -> DataFrame:
+    """Least-squares slope of value over days (over the sample number for a numeric time index); < 2 valid points or no time spread -> 0."""
     v = F.col(value)
-    xv = F.when(v.isNotNull(), _x_days(ts))
-    return readings.groupBy(*keys).agg(
+    xv = F.when(v.isNotNull(), F.col("_x"))
+    return _with_x(readings, keys, order, ts, value).groupBy(*keys).agg(
         F.coalesce(F.try_divide(F.covar_pop(v, xv), F.var_pop(xv)), F.lit(0.0)).alias("slope"),
         F.count(v).alias("n_valid"))
 
@@ -183,10 +188,14 @@ def dataset_kpis(readings: DataFrame, channels: DataFrame, frame: DataFrame, *,
     med_v = med["median_step_min"] if med is not None else None
     g = readings.agg(F.min(ts).alias("t0"), F.max(ts).alias("t1"),
                      F.count(F.lit(1)).alias("cells"), F.count(value).alias("present"))
+    if isinstance(frame.schema[ts].dataType, T.NumericType):            # a numeric index counts as seconds
+        days = (F.col("t1") - F.col("t0")) / F.lit(86_400.0)
+    else:
+        days = micros_between(F.col("t0"), F.col("t1")) / F.lit(float(US_PER_DAY))
+    span = F.when(F.lit(n_rows) >= 2, days).otherwise(F.lit(0.0))
     nan = F.when(F.col("cells") > 0, 1.0 - F.col("present") / F.col("cells")).otherwise(F.lit(0.0))
     return g.select(
-        F.when(F.lit(n_rows) >= 2, micros_between(F.col("t0"), F.col("t1")) / F.lit(float(US_PER_DAY)))
-        .otherwise(F.lit(0.0)).alias("span_days"),
+        span.alias("span_days"),
         F.lit(med_v).cast("double").alias("median_step_min"), F.lit(n_rows).cast("long").alias("n_rows"),
         F.lit(fam["c"]).cast("long").alias("n_channels"), F.lit(fam["f"]).cast("long").alias("n_families"),
         nan.alias("nan_frac"), ((1.0 - nan) * 100.0).alias("coverage_pct"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorlake.functions.timefns import ntz_lit
 from sensorlake.plans.ranking import small_side
@@ -18,6 +19,9 @@ PRESETS = {
     "30d": dt.timedelta(days=30),
     "all": None,
 }
+# accepted texts of a custom range besides ISO; month first where both would do
+TEXT_DAYS = ["%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%d.%m.%Y", "%m-%d-%Y", "%d-%m-%Y", "%b %d %Y", "%B %d %Y", "%d %b %Y", "%d %B %Y",
+             "%Y%m%d"]
 LABELS = {"24h": "Last 24h", "7d": "Last 7d", "30d": "Last 30d", "all": "All data"}
 
 
@@ -26,10 +30,18 @@ def _to_ts(v):
         return v
     if isinstance(v, dt.date):
         return dt.datetime(v.year, v.month, v.day)
+    text = " ".join(str(v).replace(",", " ").split())
     try:
-        return dt.datetime.fromisoformat(str(v))
+        return dt.datetime.fromisoformat(text)
     except ValueError:
-        raise TypeError(f"not a timestamp: {v!r}")
+        pass
+    for day in TEXT_DAYS:
+        for clock in ("", " %H:%M", " %H:%M:%S"):
+            try:
+                return dt.datetime.strptime(text, day + clock)
+            except ValueError:
+                continue
+    raise TypeError(f"not a time: {v!r}")
 
 
 def custom_range(from_date, to_date) -> tuple[dt.datetime, dt.datetime]:
@@ -41,6 +53,15 @@ def custom_range(from_date, to_date) -> tuple[dt.datetime, dt.datetime]:
     return f, t
 
 
+def numeric_time(df: DataFrame, ts: str = "ts") -> bool:
+    """Whether the time index is a number, not a time."""
+    return isinstance(df.schema[ts].dataType, T.NumericType)
+
+
+def _bound(v):
+    return F.lit(float(v)) if isinstance(v, (int, float)) else ntz_lit(v)
+
+
 def bounds_frame(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: str = "ts",
                  keys: Sequence[str] = ()) -> DataFrame:
     """(lo, hi) per recording (one row if ``keys`` is empty), as a DataFrame.
@@ -51,6 +72,8 @@ def bounds_frame(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: s
     keys = list(keys)
     g = df.where(F.col(ts).isNotNull()).groupBy(*keys).agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
     lo, hi = F.col("first"), F.col("last")
+    if numeric_time(df, ts):
+        preset = "all"
     if preset == "custom":
         try:
             f, t = _to_ts(frm), _to_ts(to)
@@ -73,13 +96,13 @@ def window_bounds(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts:
 
 def apply_window(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: str = "ts",
                  anchor: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Rows with lo <= ts <= hi. ``all`` is the identity.
+    """Rows with lo <= ts <= hi. ``all`` is the identity, and so is every window of a numeric time index.
 
     One recording: the bounds are collected as two literals, so the range
     reaches the Parquet scan as a pushed filter. Many recordings (``keys``):
     the per-recording bounds table (one row per recording) is joined.
     """
-    if preset == "all" or (preset not in PRESETS and preset != "custom"):
+    if preset == "all" or (preset not in PRESETS and preset != "custom") or numeric_time(df, ts):
         return df
     src = anchor if anchor is not None else df
     if not keys:
@@ -94,6 +117,8 @@ def apply_window(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: s
 
 def window_share(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: str = "ts") -> DataFrame:
     """One row: n_in_window, n_total, share_pct, label, lo, hi (single pass count)."""
+    if numeric_time(df, ts):
+        preset = "all"
     lo, hi = window_bounds(df, preset, frm, to, ts=ts)
     if preset == "all" or (preset not in PRESETS and preset != "custom") or lo is None:
         inw = F.count(F.lit(1))
@@ -106,4 +131,4 @@ def window_share(df: DataFrame, preset: str = "all", frm=None, to=None, *, ts: s
     agg = df.agg(inw.cast("long").alias("n_in_window"), F.count(F.lit(1)).cast("long").alias("n_total"))
     return (agg.withColumn("share_pct", F.col("n_in_window") * 100.0 / F.greatest(F.col("n_total"), F.lit(1)))
             .withColumn("label", F.lit(label))
-            .withColumn("lo", ntz_lit(lo)).withColumn("hi", ntz_lit(hi)))
+            .withColumn("lo", _bound(lo)).withColumn("hi", _bound(hi)))

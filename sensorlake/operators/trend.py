@@ -16,11 +16,12 @@ from sensorlake.plans.ranking import small_side
 
 
 def trend_line(readings: DataFrame, *, keys: Sequence[str] = ("channel",), ts: str = "ts",
-               order: Sequence[str] = ("ts", "rid"), value: str = "value") -> DataFrame:
+               order: Sequence[str] = ("ts", "rid"), value: str = "value", ordinal: str | None = None) -> DataFrame:
     """Per channel and daily bin: x (days from the first bin), daily mean,
     trend = slope·x + intercept with the slope from the raw samples and
     intercept = mean(daily means present) − slope·mean(x over all bins).
-    ``slope_rank`` orders channels by |slope| (largest first)."""
+    ``slope_rank`` orders channels by |slope| (largest first; ties by ``ordinal``, the
+    channel's column number in ``readings``, or else by name)."""
     keys = list(keys)
     origin, last = rs.frame_origin(readings, ts=ts)
     daily = rs.resample(readings, "daily", "mean", keys=keys, ts=ts, order=order, value=value,
@@ -28,10 +29,14 @@ def trend_line(readings: DataFrame, *, keys: Sequence[str] = ("channel",), ts: s
     o = ntz_lit(origin)
     daily = daily.withColumn("x", micros_between(o, F.col(ts)) / F.lit(float(US_PER_DAY)))
     per = daily.groupBy(*keys).agg(F.avg(value).alias("_ym"), F.avg("x").alias("_xm"))
-    sl = trend_slope(readings, keys=keys, ts=ts, value=value).drop("n_valid")
+    sl = trend_slope(readings, keys=keys, ts=ts, order=order, value=value).drop("n_valid")
+    place = keys
+    if ordinal is not None:
+        sl = sl.join(readings.groupBy(*keys).agg(F.min(ordinal).alias("_place")), keys)
+        place = ["_place", *keys]
     per = (per.join(sl, keys).withColumn("intercept", F.col("_ym") - F.col("slope") * F.col("_xm")))
     per = per.withColumn("slope_rank", F.row_number().over(
-        Window.orderBy(F.abs(F.col("slope")).desc(), *keys)).cast("long"))
+        Window.orderBy(F.abs(F.col("slope")).desc(), *place)).cast("long"))
     out = daily.join(small_side(per), keys)
     return out.select(*keys, ts, "x", F.col(value).alias("mean"),
                       (F.col("slope") * F.col("x") + F.col("intercept")).alias("trend"),

@@ -180,6 +180,8 @@ def flags_sql(src: str, window: int, sigma: float, **ctes) -> dict:
 FLAG_OUT = "SELECT channel, ts, rid, round(value, 6) AS value, pos, is_anomaly FROM fl"
 SQL["anomaly_flags"] = o.with_ctes(FLAG_OUT, **flags_sql(o.EVENTS_LONG, 60, 3.0))
 SQL["anomaly_flags_w11_s2"] = o.with_ctes(FLAG_OUT, **flags_sql(o.EVENTS_LONG, 11, 2.0))
+SQL["anomaly_flags_w97"] = o.with_ctes(FLAG_OUT, **flags_sql(o.EVENTS_LONG, 97, 2.0))
+SQL["anomaly_flags_w1441"] = o.with_ctes(FLAG_OUT, **flags_sql(o.EVENTS_LONG, 1441, 2.0))
 SQL["anomaly_flags_w6_s1_5"] = o.with_ctes(FLAG_OUT, **flags_sql(o.EVENTS_LONG, 6, 1.5))
 SQL["anomaly_flags_wide_w61_s2_5"] = o.with_ctes(FLAG_OUT, **flags_sql("SELECT * FROM wl", 61, 2.5, ew=o.EVENTS_WIDE,
                                                                        wl=o.EVENTS_WIDE_LONG.replace("FROM ew", "FROM ew")))
@@ -482,14 +484,15 @@ SQL["axis_route"] = o.with_ctes(
               FROM dc JOIN c USING (channel))))""",
     c=o.EVENT_CHANNELS_DIM, dc=DEFAULT_CH)
 EV_OUT = "event_id, ts, user_id, event_type, round(value, 6) AS value, props"
+EVENT_COLUMNS = ("event_id", "ts", "user_id", "event_type", "value", "props")
 SQL["row_search"] = (f"SELECT {EV_OUT} FROM events WHERE "
                      + " AND ".join("(" + " OR ".join(
                          f"regexp_matches(coalesce(CAST({c} AS VARCHAR), 'nan'), '{n}', 'i')"
-                         for c in ("event_id", "user_id", "event_type", "props")) + ")" for n in ("CLICK", "7")))
+                         for c in EVENT_COLUMNS) + ")" for n in ("CLICK", "7")))
 SQL["row_search_literal"] = (f"SELECT {EV_OUT} FROM events WHERE "
-                             + "(contains(lower(coalesce(event_type, 'nan')), '\"k\":') "
-                               "OR contains(lower(coalesce(props, 'nan')), '\"k\":')) AND "
-                             + "(contains(lower(coalesce(event_type, 'nan')), '1') OR contains(lower(coalesce(props, 'nan')), '1'))")
+                             + " AND ".join("(" + " OR ".join(
+                                 f"contains(lower(coalesce(CAST({c} AS VARCHAR), 'nan')), '{n}')" for c in EVENT_COLUMNS)
+                                 + ")" for n in ('"k":', "1")))
 SQL["sort_ts"] = o.with_ctes(f"SELECT {EW_COLS} FROM ew ORDER BY ts, rid", ew=o.EVENTS_WIDE)
 SQL["head_n"] = o.with_ctes(f"SELECT {EW_COLS} FROM ew ORDER BY ts, rid LIMIT 100", ew=o.EVENTS_WIDE)
 
@@ -508,7 +511,7 @@ SQL["page_rows"] = page_sql(o.EVENTS_WIDE, 3, EW_COLS)
 SQL["page_rows_last"] = page_sql(o.EVENTS_WIDE, 10 ** 9, EW_COLS)
 SQL["page_rows_search"] = page_sql(
     "SELECT event_id AS rid, ts, user_id, event_type, value, props FROM events "
-    "WHERE regexp_matches(coalesce(event_type, 'nan'), 'view', 'i')", 2,
+    "WHERE " + " OR ".join(f"regexp_matches(coalesce(CAST({c} AS VARCHAR), 'nan'), 'view', 'i')" for c in EVENT_COLUMNS), 2,
     "rid, ts, user_id, event_type, round(value, 6) AS value, props")
 
 
@@ -528,15 +531,29 @@ SQL["parse_ts"] = ("SELECT event_id, TRY_CAST(CAST(ts AS VARCHAR) AS TIMESTAMP)
                    "TRY_CAST(props AS TIMESTAMP) AS junk_parsed FROM events")
 SQL["load_readings"] = o.with_ctes(f"SELECT {EW_COLS} FROM ew", ew=o.EVENTS_WIDE)
 SQL["roundtrip_parquet"] = SQL["load_readings"]
-SQL["ingest_csv"] = SQL["load_readings"]
+SQL["load_readings_day_first"] = SQL["load_readings"]
+CSV_ROWS = """SELECT ts, row_number() OVER (ORDER BY ts, rid) - 1 AS rid, LVDT1, rid * 2.0 AS col_2, Tilt4, Thermocouple1,
+    Strain_A, VWP1 AS LVDT1_1 FROM ew"""
+SQL["ingest_csv"] = o.with_ctes(
+    "SELECT ts, rid, round(LVDT1, 6) AS LVDT1, CAST(col_2 AS DOUBLE) AS col_2, round(Tilt4, 6) AS Tilt4, "
+    "round(Thermocouple1, 6) AS Thermocouple1, round(Strain_A, 6) AS Strain_A, round(LVDT1_1, 6) AS LVDT1_1 FROM cr",
+    ew=o.EVENTS_WIDE, cr=CSV_ROWS)
+SQL["ingest_rolling"] = o.with_ctes(FLAG_OUT, **flags_sql(
+    "SELECT * FROM il", 61, 2.5, ew=o.EVENTS_WIDE, cr=CSV_ROWS, il=" UNION ALL ".join(
+        f"SELECT '{c}' AS channel, ts, rid, {c} AS value FROM cr" for c in ("LVDT1", "Tilt4", "Thermocouple1", "Strain_A", "LVDT1_1"))))
+NUMERIC_LONG = " UNION ALL ".join(
+    f"SELECT '{c}' AS channel, CAST(l_orderkey AS DOUBLE) AS ts, l_linenumber, l_partkey, l_suppkey, {c} AS value FROM lw" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+SQL["trend_slope_numeric"] = o.with_ctes(
+    "SELECT channel, round(coalesce(regr_slope(value, x), 0.0), 6) AS slope, count(value) AS n_valid FROM (SELECT *, "
+    "row_number() OVER (PARTITION BY channel ORDER BY ts, l_linenumber, l_partkey, l_suppkey) - 1 AS x FROM nl "
+    "WHERE value IS NOT NULL) GROUP BY channel",
+    lw=o.LINEITEM_WIDE, nl=NUMERIC_LONG)
+SQL["window_resample_numeric"] = o.with_ctes(
+    "SELECT channel, count(*) AS n, min(ts) AS lo, max(ts) AS hi, round(avg(value), 6) AS mean FROM nl GROUP BY channel",
+    lw=o.LINEITEM_WIDE, nl=NUMERIC_LONG)
 SQL["ingest_file"] = ("SELECT 'events_wide_2024' AS table_name, 'events wide 2024.csv' AS source_filename, "
-                          "count(*) AS row_count, CAST(7 AS BIGINT) AS column_count, "
-                          "'ts,rid," + ",".join(b for _a, b in o.EVENT_CHANNELS) + "' AS column_names FROM events")
-SQL["describe_schema"] = """SELECT column_name AS name, CAST(ordinal_position - 1 AS BIGINT) AS ordinal,
-    data_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT', 'HUGEINT') OR data_type LIKE 'DECIMAL%'
-      AS is_numeric,
-    data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' AS is_temporal
-  FROM information_schema.columns WHERE table_name = 'events'"""
+                      "count(*) AS row_count, CAST(9 AS BIGINT) AS column_count, "
+                      "'ts,LVDT1,col_2,Tilt4,Thermocouple1,Strain_A,LVDT1_1,rid,day' AS column_names FROM events")
 SQL["row_count"] = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations").split())
@@ -557,24 +574,42 @@ SQL["dataset_name"] = f"SELECT page_id, {dataset_name_sql('url')} AS table_name
 SQL["catalog_latest"] = o.with_ctes(
     """SELECT table_name, source_filename, parquet_path, ingested_at, rank, rank = 1 AS is_active FROM (
         SELECT *, row_number() OVER (ORDER BY ingested_at DESC, table_name DESC) AS rank FROM (
-          SELECT table_name, arg_max(source_filename, ingested_at) AS source_filename,
-                 arg_max(parquet_path, ingested_at) AS parquet_path, max(ingested_at) AS ingested_at
+          SELECT table_name, arg_max(source_filename, (ingested_at, parquet_path)) AS source_filename,
+                 arg_max(parquet_path, (ingested_at, parquet_path)) AS parquet_path, max(ingested_at) AS ingested_at
           FROM cat GROUP BY table_name))""",
     cat=f"""SELECT {dataset_name_sql('props')} AS table_name, event_type || '.csv' AS source_filename,
               '/data/' || CAST(event_id AS VARCHAR) || '.parquet' AS parquet_path, ts AS ingested_at FROM events""")
-LISTING = ("SELECT table_name, column_name, ordinal_position AS ordinal FROM information_schema.columns WHERE table_name IN ("
-           + ", ".join(f"'{t}'" for t in ("region nation customer supplier part orders lineitem events documents "
-                                          "embeddings pages benchmark labels conversations").split()) + ")")
-_CANDS = ["timestamp", "time", "date", "datetime", "ts", "column0"]
-_EXACT = "CASE " + " ".join(f"WHEN lower(column_name) = '{c}' THEN {i}" for i, c in enumerate(_CANDS)) + " END"
-_SUB = "CASE " + " ".join(f"WHEN contains(lower(column_name), '{c}') THEN {100 + i}" for i, c in enumerate(_CANDS)) + " END"
-SQL["pick_time_col"] = o.with_ctes(
-    """SELECT table_name, arg_min(column_name, (score, ordinal)) AS time_column,
-        CASE WHEN min(score) < 100 THEN 'exact' WHEN min(score) < 1000 THEN 'substring' ELSE 'first' END AS rule
-      FROM (SELECT *, coalesce(""" + _EXACT + ", " + _SUB + """, 1000) AS score FROM ls) GROUP BY table_name""",
-    ls=LISTING)
-SQL["normalise_headers"] = o.with_ctes(
-    """SELECT table_name, CAST(ordinal AS BIGINT) AS ordinal,
-        CASE WHEN length(trim(column_name)) = 0 OR starts_with(lower(trim(column_name)), 'unnamed:')
-             THEN CASE WHEN ordinal = 1 THEN 'timestamp' ELSE 'col_' || CAST(ordinal - 1 AS VARCHAR) END
-             ELSE trim(column_name) END AS name FROM ls""", ls=LISTING)
+CATALOG = f"""SELECT {dataset_name_sql('props')} AS table_name, event_type || '.csv' AS source_filename,
+  '/data/' || CAST(event_id AS VARCHAR) || '.parquet' AS parquet_path, ts AS ingested_at FROM events"""
+SQL["catalog_changes"] = o.with_ctes(
+    """SELECT table_name, source_filename, parquet_path, ingested_at, rank, rank = 1 AS is_active FROM (
+        SELECT *, row_number() OVER (ORDER BY ingested_at DESC, table_name DESC) AS rank FROM (
+          SELECT table_name, arg_max(source_filename, (ingested_at, parquet_path)) AS source_filename,
+                 arg_max(parquet_path, (ingested_at, parquet_path)) AS parquet_path, max(ingested_at) AS ingested_at
+          FROM a WHERE source_filename <> 'error.csv'
+            AND table_name NOT IN (SELECT table_name FROM cat WHERE source_filename = 'purchase.csv') GROUP BY table_name))""",
+    cat=CATALOG, a="""SELECT * FROM cat UNION ALL
+      (SELECT 'added', source_filename, parquet_path, ingested_at FROM cat ORDER BY parquet_path LIMIT 1)""")
+
+# LTTB: a walk over the buckets, one step each (buckets as array_split makes them)
+SQL["lttb_downsample"] = o.with_ctes(
+    """SELECT k, p.pos, ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity, 6) AS l_quantity,
+        round(l_extendedprice, 6) AS l_extendedprice, round(l_discount, 6) AS l_discount, round(l_tax, 6) AS l_tax,
+        round(y, 6) AS envelope
+      FROM (SELECT CAST(b + 1 AS BIGINT) AS k, x AS pos FROM walk UNION ALL SELECT 1499, n - 1 FROM len) q JOIN p USING (pos)""",
+    lw=o.LINEITEM_WIDE,
+    p="""SELECT *, row_number() OVER (ORDER BY ts, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
+        greatest(abs(coalesce(l_quantity, 0.0)), abs(coalesce(l_extendedprice, 0.0)), abs(coalesce(l_discount, 0.0)),
+                 abs(coalesce(l_tax, 0.0))) AS y FROM lw""",
+    len="SELECT count(*) AS n, (count(*) - 2) // 1498 AS q, (count(*) - 2) % 1498 AS r FROM p",
+    pts="""SELECT pos AS x, y, CASE WHEN pos = 0 THEN -1 WHEN pos = n - 1 THEN 1498 WHEN pos - 1 < r * (q + 1) THEN (pos - 1) // (q + 1)
+        ELSE r + (pos - 1 - r * (q + 1)) // q END AS b FROM p, len""",
+    mid="SELECT b, avg(x) AS mx, avg(y) AS my FROM pts GROUP BY b",
+    lists="SELECT b, list({'x': x, 'y': y} ORDER BY x) AS c FROM pts GROUP BY b",
+    walk="""SELECT CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS x, (SELECT y FROM pts WHERE b = -1) AS y
+      UNION ALL SELECT b, best.x, best.y FROM (
+        SELECT l.b, list_reduce(list_transform(l.c, lambda e: {'x': e.x, 'y': e.y,
+            'area': 0.5 * abs((w.x - m.mx) * (e.y - w.y) - (w.x - e.x) * (m.my - w.y))}),
+            lambda f, g: CASE WHEN g.area > f.area THEN g ELSE f END) AS best
+        FROM walk w JOIN lists l ON l.b = w.b + 1 JOIN mid m ON m.b = w.b + 2 WHERE w.b < 1497)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)

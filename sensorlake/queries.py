@@ -189,6 +189,8 @@ def _flag_cols(df):
 
 register("anomaly_flags")(lambda spark, d: finish(_flag_cols(_flags(spark, d))))
 register("anomaly_flags_w11_s2")(lambda spark, d: finish(_flag_cols(_flags(spark, d, 11, 2.0))))
+register("anomaly_flags_w97")(lambda spark, d: finish(_flag_cols(_flags(spark, d, 97, 2.0))))
+register("anomaly_flags_w1441")(lambda spark, d: finish(_flag_cols(_flags(spark, d, 1441, 2.0))))
 register("anomaly_flags_w6_s1_5")(lambda spark, d: finish(_flag_cols(_flags(spark, d, 6, 1.5))))
 register("anomaly_flags_wide_w61_s2_5")(lambda spark, d: finish(_flag_cols(_flags(spark, d, 61, 2.5, wide=True))))
 
@@ -412,13 +414,13 @@ def q_axis_route(spark, d):
 @register("row_search")
 def q_row_search(spark, d):
     ev = fx.table(spark, d, "events")
-    return finish(br.row_search(ev, "CLICK 7", columns=["event_id", "user_id", "event_type", "props"]))
+    return finish(br.row_search(ev, "CLICK 7"))
 
 
 @register("row_search_literal")
 def q_row_search_literal(spark, d):
     ev = fx.table(spark, d, "events")
-    return finish(br.row_search(ev, '"k": 1', columns=["event_type", "props"], regex=False))
+    return finish(br.row_search(ev, '"k": 1', regex=False))
 
 
 @register("sort_ts")
@@ -445,7 +447,7 @@ def q_page_last(spark, d):
 @register("page_rows_search")
 def q_page_search(spark, d):
     ev = fx.table(spark, d, "events")
-    hits = br.row_search(ev, "view", columns=["event_type"]).withColumnRenamed("event_id", "rid")
+    hits = br.row_search(ev, "view").withColumnRenamed("event_id", "rid")
     return finish(br.page_rows(hits, 2))
 
 
@@ -508,24 +510,70 @@ def q_roundtrip(spark, d):
 
 @register("ingest_csv")
 def q_ingest_csv(spark, d):
-    dest = fl.export_csv(fx.events_wide(spark, d), scratch(spark, "csv"))
-    raw = fl.read_delimited(spark, dest + "/*.csv")
-    frame, _kind = fl.load_readings(raw, "ts")
-    return _wide_typed(frame)
+    """Files whose header has a blank and a repeated name and the time in the second place."""
+    frame, _kind = fl.load_readings(fl.read_delimited(spark, _csv_source(spark, d) + "/*.csv"))
+    return finish(frame.select("ts", "rid", *[c for c in frame.columns if c not in ("ts", "rid")]))
+
+
+def _csv_source(spark, d, folder: str = "csv") -> str:
+    """The wide events in time order, no row numbers: times as dd/MM/yyyy text."""
+    w = fx.events_wide(spark, d).orderBy("ts", "rid")
+    rows = w.select("LVDT1", F.date_format("ts", "dd/MM/yyyy HH:mm:ss.SSSSSS").alias("timestamp"), (F.col("rid") * 2).alias(" "),
+                    "Tilt4", "Thermocouple1", "Strain_A", F.col("VWP1").alias("LVDT1 "))
+    return fl.export_csv(rows, scratch(spark, "src") + f"/{folder}")
 
 
 @register("ingest_file")
 def q_ingest_file_query(spark, d):
-    src = fl.export_csv(fx.events_wide(spark, d), scratch(spark, "src") + "/events wide 2024.csv", single_file=True)
-    data, row = cg.ingest_file(spark, src, scratch(spark, "ingest"))
+    data, row = cg.ingest_file(spark, _csv_source(spark, d, "events wide 2024.csv"), scratch(spark, "ingest"))
     return row.select("table_name", "source_filename", "row_count", F.col("column_count").cast("long").alias("column_count"),
                       F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("column_names"))
 
 
-@register("describe_schema")
-def q_describe(spark, d):
-    s = cg.describe_schema(fx.table(spark, d, "events"))
-    return s.select("name", F.col("ordinal").cast("long").alias("ordinal"), "is_numeric", "is_temporal")
+@register("ingest_rolling")
+def q_ingest_rolling(spark, d):
+    """Ingest -> readings -> rolling flags, ordered by the typed time and the source order."""
+    data, _row = cg.ingest_file(spark, _csv_source(spark, d, "wide.csv"), scratch(spark, "ingest"))
+    r = pj.unpivot(data, ["LVDT1", "Tilt4", "Thermocouple1", "Strain_A", "LVDT1_1"])
+    return finish(_flag_cols(an.rolling_anomalies(r, window=61, sigma=2.5)))
+
+
+@register("load_readings_day_first")
+def q_load_day_first(spark, d):
+    w = fx.events_wide(spark, d)
+    text = w.select(F.date_format("ts", "dd/MM/yyyy HH:mm:ss.SSSSSS").alias("time"),
+                    *[F.col(c).cast("string").alias(c) for c in w.columns if c != "ts"])
+    frame, _kind = fl.load_readings(text, "time")
+    return _wide_typed(frame)
+
+
+@register("trend_slope_numeric")
+def q_trend_numeric(spark, d):
+    """A numeric time index: lineitem over its order key."""
+    return finish(st.trend_slope(_numeric_readings(spark, d), order=["ts", *fx.LINEITEM_ORDER[2:]]))
+
+
+@register("window_resample_numeric")
+def q_window_numeric(spark, d):
+    """Windows and resampling leave a numeric time index as it is."""
+    r = tw.apply_window(_numeric_readings(spark, d), "7d")
+    return finish(rs.resample(r, "daily", "mean").groupBy("channel").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.avg("value").alias("mean")))
+
+
+def _numeric_readings(spark, d):
+    w = fx.lineitem_wide(spark, d).withColumn("ts", F.col("l_orderkey").cast("double"))
+    return pj.unpivot(w, fx.LINEITEM_CHANNELS, index=["ts", *fx.LINEITEM_ORDER[2:]])
+
+
+@register("catalog_changes")
+def q_catalog_changes(spark, d):
+    """Entries of missing files skipped, one entry added, the names of purchases removed."""
+    cat = _catalog_from_events(spark, d)
+    there = cat.where("source_filename <> 'error.csv'").select("parquet_path")
+    new = cat.orderBy("parquet_path").limit(1).withColumn("table_name", F.lit("added"))
+    gone = cat.where("source_filename = 'purchase.csv'").select("table_name").distinct()
+    return cg.catalog_latest(cg.remove_entry(cg.add_entry(cat, new), gone), there)
 
 
 @register("row_count")
@@ -562,33 +610,6 @@ def q_catalog_latest(spark, d):
     return cg.catalog_latest(_catalog_from_events(spark, d))
 
 
-def _schema_listing(spark, d):
-    rows = []
-    for t in TABLES:
-        for i, f in enumerate(fx.table(spark, d, t).schema.fields):
-            rows.append((t, f.name, i + 1))
-    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal int")
-
-
-@register("pick_time_col")
-def q_pick_time_col(spark, d):
-    return ch.pick_time_column(_schema_listing(spark, d))
-
-
-@register("normalise_headers")
-def q_normalise_headers(spark, d):
-    s = _schema_listing(spark, d)
-    return s.select("table_name", F.col("ordinal").cast("long").alias("ordinal"),
-                    fl.normalise_header_col("column_name", F.col("ordinal") - 1).alias("name"))
-
-
-@register("list_views")
-def q_list_views(spark, d):
-    for t in ("events", "orders", "lineitem"):
-        cg.register_view(fx.table(spark, d, t), f"sensorlake_view_{t}")
-    return cg.list_views(spark, "sensorlake_view_")
-
-
 # --------------------------------------------------------------------------- LTTB (D3, D4) — rows-only check + numpy test
 from sensorlake.plans.ranking import materialize, with_position  # noqa: E402
 

@@ -115,10 +115,9 @@ def test_e11_csv_cells(spark):
 
 def test_e12_headers_and_families(spark):
     from sensorlake.functions.families import family_of
-    from sensorlake.sources.files import normalise_header
-    assert normalise_header("", 0) == "timestamp"
-    assert normalise_header("LVDT1 ", 1) == "LVDT1"
-    assert normalise_header("Unnamed: 3", 3) == "col_3"
+    from sensorlake.sources.files import normalise_header_col
+    heads = spark.createDataFrame([("", 0), ("LVDT1 ", 1), ("  ", 2), ("Unnamed: 3", 3)], "c string, i int")
+    assert [r[0] for r in heads.select(normalise_header_col("c", "i")).collect()] == ["timestamp", "LVDT1", "col_2", "col_3"]
     names = ["my_lvdt", "PT_3", "VWP1", "Barometer", "gauge_temp"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(family_of("n").alias("f"))
     assert [r["f"] for r in df.collect()] == ["other", "other", "vw", "press", "strain"]
