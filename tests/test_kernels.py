@@ -78,8 +78,13 @@ def test_rolling_large_step(spark, window):
     rng = np.random.default_rng(0)
     y = rng.normal(0, 0.01, 3000)
     y[1500:] += 1e6
+    want = []
+    for i, v in enumerate(y):                            # every frame by itself: pandas' running sums lose digits here
+        f = y[max(0, i - window // 2):i + (window - 1) // 2 + 1]
+        if abs(v - f.mean()) > 3.0 * f.std(ddof=1):
+            want.append(i)
     got = an.rolling_anomalies(series(spark, y), window=window, chunk=400).where("is_anomaly").select("pos").collect()
-    assert sorted(r["pos"] for r in got) == list(np.flatnonzero(pandas_flags(y, window, 3.0)))
+    assert sorted(r["pos"] for r in got) == want
 
 
 @pytest.mark.parametrize("window", [60, 120])
