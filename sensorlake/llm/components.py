@@ -2,8 +2,7 @@
 
 Every round links each node's larger neighbours to its smallest one, then each
 node and its smaller neighbours to their smallest. A hub is never gathered in one
-task: minima are aggregated before the shuffle, and the joins back are on
-(many, one) sides that Spark can split.
+task: minima are aggregated before the shuffle, and a join back streams over its rows.
 """
 
 from __future__ import annotations
@@ -11,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import apart, written
+from sensorlake.llm.common import written
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """edges (a, b) with a > b -> (a, smallest neighbour of a), (b, the same)."""
     least = edges.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("m"))
-    moved = edges.join(apart(least), F.col("a") == F.col("hub")).select("b", "m").where("b != m")
+    moved = edges.join(least, F.col("a") == F.col("hub")).select("b", "m").where("b != m")
     return least.select(F.col("hub").alias("a"), F.col("m").alias("b")).unionByName(
         moved.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
@@ -27,13 +26,17 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("m")).select(
         "hub", F.least("hub", "m").alias("m"))
-    return (both.where("b > a").join(apart(least), F.col("a") == F.col("hub"))
-            .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
+    return (both.where("b > a").join(least, F.col("a") == F.col("hub"))
+            .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b"))
 
 
-def _print(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _done(edges: DataFrame) -> bool:
+    """Every node has one parent, and no parent has one itself."""
+    nodes = edges.select(F.col("a").alias("x"), F.lit(1).alias("up")).unionByName(
+        edges.select(F.col("b").alias("x"), F.lit(0).alias("up")).distinct())
+    open_nodes = nodes.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where(
+        "ups > 1 OR (ups = 1 AND low = 0)")
+    return not open_nodes.limit(1).count()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -43,12 +46,25 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                   .where("a != b").distinct(), "links")
-    seen = _print(now)
-    while seen[0]:
+    while not _done(now):
         now = written(_star(_large_star(now)), "stars")
-        after = _print(now)
-        if after == seen:
-            break
-        seen = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def joined_up(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, root) with more links (a, b) between nodes, of which ``found`` need not know all.
+
+    Only the components that the links touch are worked on, each as one node.
+    """
+    root = found.select(F.col("node").alias("n"), "root")
+    ends = (links.join(root.select(F.col("n").alias("na"), F.col("root").alias("ra")), F.col("a") == F.col("na"), "left")
+            .join(root.select(F.col("n").alias("nb"), F.col("root").alias("rb")), F.col("b") == F.col("nb"), "left")
+            .select("a", "b", F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")))
+    ends = written(ends, "ends")
+    moved = written(connected(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(
+        F.col("node").alias("was"), F.col("root").alias("now")), "moved")
+    own = ends.select(F.col("a").alias("node"), F.col("x").alias("root")).unionByName(
+        ends.select(F.col("b").alias("node"), F.col("y").alias("root")))
+    every = found.unionByName(own).distinct()
+    return every.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))

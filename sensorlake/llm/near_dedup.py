@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from sensorlake.functions.shipping import by_value
 from sensorlake.llm.common import (SPACED_WORD, Words, apart, bound_batches, constants, hidden, mix, runs_of_documents, same,
                                    utf8, written)
-from sensorlake.llm.components import connected
+from sensorlake.llm.components import connected, joined_up
 
 by_value(__name__)
 
@@ -46,8 +46,8 @@ COORDINATES = 256
 #: Chance at most that two sets just at the limit share no band.
 MISS = 1e-4
 SHINGLE = 5
-#: Members of a block in the last wave, on either side.
-BLOCK = 512
+#: Bytes of a block in the last wave, on either side.
+BLOCK_BYTES = 4 << 20
 
 _SHIFT = constants(SHINGLE, 11)
 _ROUND = constants(2 * COORDINATES, 13)
@@ -190,7 +190,7 @@ def _block_links(percent: int):
     least = int(COORDINATES * share - 6 * (COORDINATES * share * (1 - share)) ** 0.5)
 
     def links(block: pd.DataFrame) -> pd.DataFrame:
-        q, s = block[block["query"]], block[~block["query"]]
+        q, s = block[block["query"]], block[block["other"]]
         out_a, out_b, root = [], [], {}
 
         def find(x: bytes) -> bytes:
@@ -222,27 +222,38 @@ def _block_links(percent: int):
 
 
 def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Links between components in bands (key, sid, label) that hold several."""
-    by_label = left.groupBy("key", "label").agg(F.count("*").alias("n"))
-    per_key = by_label.groupBy(F.col("key").alias("k")).agg(
-        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"))
+    """Links between components in bands (key, sid, label) that hold several.
+
+    A band whose members fit in one block is one group; else a member is copied to each block that
+    it meets on the other side.
+    """
     own = left.select("sid").distinct()
     content = (own.join(sets.select(F.col("sid").alias("s"), "sketch", "bands"), F.col("sid") == F.col("s")).drop("s")
                .join(bodies.select(F.col("sid").alias("s"), "body"), F.col("sid") == F.col("s"))
                .select("s", "sketch", F.col("bands").alias("band_keys"), "body"))
+    content = written(content, "contents")
+    size = F.octet_length("body") + F.octet_length("band_keys") + F.octet_length("sketch")
+    sized = left.join(content.select("s", size.alias("size")), F.col("sid") == F.col("s")).drop("s")
+    by_label = sized.groupBy("key", "label").agg(F.sum("size").alias("n"))
+    per_key = by_label.groupBy(F.col("key").alias("k")).agg(
+        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"))
     rows = (left.join(apart(per_key), F.col("key") == F.col("k"))
             .select("key", "sid", "label", "total", (F.col("total") - F.col("most.n")).alias("few"),
                     (F.col("label") != F.col("most.label")).alias("outside"))
-            .join(written(content, "contents"), F.col("sid") == F.col("s")).drop("s"))
-    blocks = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("few", "total")]
+            .join(content, F.col("sid") == F.col("s")).drop("s"))
+    blocks = [F.ceil(F.col(c) / BLOCK_BYTES).cast("int") for c in ("few", "total")]
     part = [F.pmod(F.xxhash64("sid", F.lit(x)), n).cast("int") for x, n in enumerate(blocks)]
-    # one copy of a member for each block it meets on the other side
-    q = rows.where("outside").withColumn("i", part[0]).withColumn(
-        "j", F.explode(F.sequence(F.lit(0), blocks[1] - 1))).withColumn("query", F.lit(True))
-    s = rows.withColumn("j", part[1]).withColumn(
-        "i", F.explode(F.sequence(F.lit(0), blocks[0] - 1))).withColumn("query", F.lit(False))
-    cols = ["key", "i", "j", "query", "sid", "label", "sketch", F.col("band_keys").alias("bands"), "body"]
-    return (q.select(cols).unionByName(s.select(cols)).groupBy("key", "i", "j")
+    single = F.col("total") <= BLOCK_BYTES
+    one = rows.where(single).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("outside").alias("query"),
+                                    F.lit(True).alias("other"))
+    q = rows.where(~single & F.col("outside")).select(
+        "*", part[0].alias("i"), F.explode(F.sequence(F.lit(0), blocks[1] - 1)).alias("j"), F.lit(True).alias("query"),
+        F.lit(False).alias("other"))
+    s = rows.where(~single).select(
+        "*", part[1].alias("j"), F.explode(F.sequence(F.lit(0), blocks[0] - 1)).alias("i"), F.lit(False).alias("query"),
+        F.lit(True).alias("other"))
+    cols = ["key", "i", "j", "query", "other", "sid", "label", "sketch", F.col("band_keys").alias("bands"), "body"]
+    return (one.select(cols).unionByName(q.select(cols)).unionByName(s.select(cols)).groupBy("key", "i", "j")
             .applyInPandas(_block_links(percent), "a binary, b binary").distinct())
 
 
@@ -278,9 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = bands.groupBy(F.col("sid").alias("a")).agg(F.min("least").alias("b")).where("a != b")
     tried = written(confirmed(first), "tried")
-    links = tried.where("ok").select("a", "b")
+    found = connected(tried.where("ok").select("a", "b"))
     for wave in ("star", "blocks"):
-        found = connected(links)
         label = written(bands.join(found, F.col("sid") == F.col("node"), "left").select(
             "key", "sid", F.coalesce("root", "sid").alias("label")), "labels")
         several = label.groupBy(F.col("key").alias("k")).agg(
@@ -292,8 +302,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             more = confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")).where("ok").select("a", "b")
         else:
             more = _last_links(left.select("key", "sid", "label"), sets, bodies, percent)
-        links = written(links.unionByName(more), "confirmed")
-    found = connected(links)
+        found = written(joined_up(found, more), "found")
 
     node = sets.select("sid", "d").join(found, F.col("sid") == F.col("node"), "left").select(
         "sid", F.coalesce("root", "sid").alias("root"), "d")

@@ -96,6 +96,22 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format('text')}, '[^\\x20\\x09-\\x0D]+') AS w
+                     FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(5, len(w)) - 1) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+r AS (SELECT x AS d, y AS m FROM l UNION SELECT r.d, l.y FROM r JOIN l ON l.x = r.m),
+c AS (SELECT d, min(m) AS component FROM r GROUP BY d)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, documents.doc_id) AS component_id,
+       coalesce(component, documents.doc_id) = documents.doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.d = documents.doc_id
+"""
+
+
 def _kind(rank: int, kind: str, pattern: str, part: str, where: str = "true") -> str:
     quoted = pattern.replace("'", "''")
     return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, '{part}' AS part, e - length(m) AS s, e FROM (
@@ -139,5 +155,6 @@ SQL = {
     "op3_url_filter": OP3,
     "op4_warc": OP4,
     "op5_exact_dedup": OP5,
+    "op6_near_dedup": OP6,
     "op9_secrets": OP9,
 }

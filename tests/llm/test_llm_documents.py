@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorlake.llm import near_dedup
-from sensorlake.llm.components import connected
+from sensorlake.llm.components import connected, joined_up
 from sensorlake.llm.decontaminate import decontaminate, scan_for_items
 from sensorlake.llm.exact_dedup import drop_exact, flag_exact
 from sensorlake.llm.line_templates import drop_lines, flag_lines
@@ -137,7 +137,7 @@ def test_near_small_blocks(spark, monkeypatch):
     """Many blocks in a band give the same components."""
     docs = spark.createDataFrame(near_rows(2, 14), cases.SCHEMA)
     want = Counter(tuple(r) for r in near_duplicates(docs).collect())
-    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 3000)
     assert Counter(tuple(r) for r in near_duplicates(docs).collect()) == want
 
 
@@ -173,6 +173,10 @@ def test_components(spark):
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
     assert all(got.get(x, x) == r for x, r in root.items())
+    some = connected(spark.createDataFrame(pairs[:70], "a int, b int"))
+    more = joined_up(some, spark.createDataFrame(pairs[70:], "a int, b int")).collect()
+    got = {r.node: r.root for r in more}
+    assert len(got) == len(more) and all(got.get(x, x) == r for x, r in root.items())
 
 
 SECRETS = ["token=token:abcdefghijk x", "😀 ASIA1234567890ABCDEF and aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW3xY5zA7b https://x.y/z é "
