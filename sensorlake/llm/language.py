@@ -7,11 +7,19 @@ the next shorter context is asked, down to a uniform code (method C: a context m
 n times with u different bytes escapes with probability u / (n + u)). The sum
 over a text is its exact code length under that language; the shortest code wins.
 
-Bytes are mapped to 64 symbols: the 62 most frequent bytes of the training
-texts, one symbol for every other byte (which byte it is costs the same in every
-language), and white space and text start as one.
+Bytes are coded in two steps. First as one of 64 symbols: the 62 most frequent bytes of the
+training texts, one symbol for every other byte, and white space and text start as one.
 So the trees up to order two are dense tables of at most 64^3 entries, and
 the longest contexts are the distinct symbol quadruples of the training texts.
+Then, for a byte of the shared symbol, which byte it is: each language has a second tree of
+order three for it, over the up to three preceding bytes themselves, in sparse tables of the seen
+contexts, with the same escapes down to a uniform code. So all 256 bytes are learned in each
+language, and a script that is rare among all texts is told by its own bytes.
+
+Rejection: every text of the sample is also coded by trees learned from the other half of the
+sample. A language's limit is the mean cost of its texts that way plus ``MARGIN`` bits a byte, and
+no less than ``max_bits``: a language with few rows is not held to what a well-learned one costs. No
+limit is above ``PLAIN_BITS``.
 
 Training reads a bounded sample: about ``docs_per_language`` rows of each language, drawn
 by a hash of the id, among rows of at most ``MAX_TRAIN_CHARS`` characters. Counting runs
@@ -46,12 +54,20 @@ PIECE = 1 << 18
 UNKNOWN = "und"
 #: Bits a byte beyond which a text is in no learned language (a random byte costs 8, learned text under 4).
 MAX_BITS = 7.0
+#: Bits a byte above what a language's training texts cost when not learned from.
+MARGIN = 1.0
+#: Bits of a byte that nothing is known of: no language's limit is higher.
+PLAIN_BITS = 8.0
 SHORT = 64
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
                        T.StructField("bits_per_byte", T.DoubleType())])
 ARROW = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 _SPACE = np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8)
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[_SPACE] = 32
+#: Where the numbers of byte quadruples start among counted ones, after those of symbol quadruples.
+_BYTES_FROM = SYMBOLS ** 4
 
 
 def _symbol_map(frequent: list[int]) -> np.ndarray:
@@ -69,6 +85,13 @@ def _quadruples(raw: np.ndarray, symbols: np.ndarray, before: np.ndarray) -> np.
     return ((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:]
 
 
+def _rare_quadruples(raw: np.ndarray, symbols: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rare bytes, and each with the three bytes before it as one number; ``before``: the three bytes before."""
+    at = np.flatnonzero(symbols[raw] == RARE)
+    b = _PLAIN[np.concatenate([before, raw])].astype(np.uint32)
+    return at, ((b[at] << 24) | (b[at + 1] << 16) | (b[at + 2] << 8) | b[at + 3])
+
+
 def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(256, np.int64)
     for batch in batches:
@@ -78,27 +101,64 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counter(symbols: np.ndarray):
-    start = np.zeros(3, np.uint8)
+    start, spaces = np.zeros(3, np.uint8), np.full(3, 32, np.uint8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_lang: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist()):
+            by_part: dict[tuple[str, int], list[np.ndarray]] = {}
+            for lang, half, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "half", "t"))):
                 raw = np.frombuffer(text.encode("utf-8"), np.uint8)
-                by_lang.setdefault(lang, []).append(_quadruples(raw, symbols, start))
-            for lang, grams in by_lang.items():
+                grams = by_part.setdefault((lang, half), [])
+                grams.append(_quadruples(raw, symbols, start).astype(np.int64))
+                grams.append(_rare_quadruples(raw, symbols, spaces)[1].astype(np.int64) + _BYTES_FROM)
+            for (lang, half), grams in by_part.items():
                 g, n = np.unique(np.concatenate(grams), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))],
-                    ["lang", "g", "n"])
+                    [pa.array([lang] * len(g)), pa.array([half] * len(g), pa.int32()), pa.array(g),
+                     pa.array(n.astype(np.int64))], ["lang", "half", "g", "n"])
     return count
 
 
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key among the sorted ones, and whether it is there."""
+    at = np.minimum(np.searchsorted(sorted_keys, keys), max(len(sorted_keys) - 1, 0))
+    return at, sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), bool)
+
+
+def _rare_orders(langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], kinds: int) -> list[tuple]:
+    """Which rare byte it is: for orders 0 to 3 the seen (context, byte) numbers and their costs, the seen contexts and
+    their escapes, a column for each language. ``counts``: byte quadruples; ``kinds``: rare bytes there are."""
+    orders: list[tuple] = []
+    for order in range(4):
+        own = {}
+        for lang in langs:
+            g, n = counts.get(lang, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            k, back = np.unique(np.asarray(g, np.int64) & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            own[lang] = k, np.bincount(back.ravel(), n, len(k))
+        keys = np.unique(np.concatenate([k for k, _ in own.values()]))
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        cost, escape = (np.empty((len(x), len(langs)), np.float32) for x in (keys, contexts))
+        shorter = (orders[-1][1][np.searchsorted(orders[-1][0], keys & ((1 << 8 * order) - 1))] if order
+                   else np.full((len(keys), len(langs)), np.log2(max(1, kinds)), np.float32))
+        for x, lang in enumerate(langs):
+            seen = np.zeros(len(keys))
+            seen[np.searchsorted(keys, own[lang][0])] = own[lang][1]
+            total, u = np.bincount(of, seen, len(contexts)), np.bincount(of, seen > 0, len(contexts))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                escape[:, x] = np.where(total > 0, -np.log2(u / (total + u)), 0.0)
+                hit = -np.log2(seen / (total + u)[of])
+            cost[:, x] = np.where(seen > 0, hit, escape[of, x] + shorter[:, x])
+        orders.append((keys, cost, contexts, escape))
+    return orders
+
+
 class Trees:
     """Frozen context trees of all languages as cost tables (bits)."""
 
-    def __init__(self, langs: list[str], symbols: np.ndarray, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[str], symbols: np.ndarray, counts: dict[str, tuple[np.ndarray, np.ndarray]],
+                 rare: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
         self.langs, self.symbols = langs, symbols
+        self.limits: dict[str, float] = {}
         grams = np.unique(np.concatenate([counts[x][0] for x in langs])) if langs else np.zeros(0, np.int64)
         self.grams = grams.astype(np.int64)
         shape = (SYMBOLS,) * 3
@@ -121,10 +181,8 @@ class Trees:
                 hit = -np.log2(seen / (total + kinds)[grams // SYMBOLS])
             self.escape3[:, k] = escape
             self.cost4[:, k] = np.where(seen > 0, hit, escape[grams // SYMBOLS] + self.cost3[grams % SYMBOLS ** 3, k])
-        # the symbol of rare bytes also says which byte it is
-        which = np.log2(max(1, int((symbols == RARE).sum())))
-        self.cost3[RARE::SYMBOLS] += which
-        self.cost4[grams % SYMBOLS == RARE] += which
+        self.rare_kinds = int((symbols == RARE).sum())
+        self.rare = _rare_orders(langs, rare or {}, self.rare_kinds) if langs else []
 
     @staticmethod
     def _order(shorter: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +213,21 @@ class Trees:
         vars(trees).update(content)
         return trees
 
+    def _rare_cost(self, quadruples: np.ndarray) -> np.ndarray:
+        """Bits that say which rare byte it is, under each language."""
+        out = np.zeros((len(quadruples), len(self.langs)), np.float32)
+        left, q = np.arange(len(quadruples)), quadruples.astype(np.int64)
+        for order in (3, 2, 1, 0):
+            keys, cost, contexts, escape = self.rare[order]
+            q = q & ((1 << 8 * (order + 1)) - 1)
+            at, seen = _found(keys, q)
+            out[left[seen]] += cost[at[seen]]
+            left, q = left[~seen], q[~seen]
+            at, seen = _found(contexts, q >> 8)
+            out[left[seen]] += escape[at[seen]]
+        out[left] += np.float32(np.log2(max(1, self.rare_kinds)))
+        return out
+
     def code_lengths(self, texts: list[bytes], place: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Bits of each text under each language."""
         out = np.zeros((len(texts), len(self.langs)))
@@ -169,7 +242,7 @@ class Trees:
             raw = np.frombuffer(b"   ".join(texts[i:j]), np.uint8)
             starts = np.concatenate([[0], np.cumsum([len(t) + 3 for t in texts[i:j - 1]])]).astype(np.int64)
             ends = starts + [len(t) for t in texts[i:j]]
-            before = np.zeros(3, np.uint8)
+            before, bytes_before = np.zeros(3, np.uint8), np.full(3, 32, np.uint8)
             for a in range(0, len(raw), PIECE):
                 part = raw[a:a + PIECE]
                 q = _quadruples(part, self.symbols, before)
@@ -178,12 +251,16 @@ class Trees:
                 new = np.flatnonzero(row < 0)
                 if len(new):
                     cost[new] = self.escape3[q[new] // SYMBOLS] + self.cost3[q[new] % SYMBOLS ** 3]
+                at, which = _rare_quadruples(part, self.symbols, bytes_before)
+                if len(at):
+                    cost[at] += self._rare_cost(which)
                 run = np.zeros((len(part) + 1, len(self.langs)))
                 np.cumsum(cost, axis=0, out=run[1:])
                 lo, hi = np.clip(starts - a, 0, len(part)), np.clip(ends - a, 0, len(part))
                 out[i:j] += run[hi] - run[lo]
                 before = self.symbols[raw[max(0, a + len(part) - 3):a + len(part)]]
                 before = np.concatenate([np.zeros(3 - len(before), np.uint8), before])
+                bytes_before = np.concatenate([bytes_before, part])[-3:]
             i = j
         return out
 
@@ -208,13 +285,47 @@ def train(rows: DataFrame) -> Trees:
                   .where("n > 0").collect())                                     # 256 rows at most
     order = [r["b"] for r in sorted(bytes_seen, key=lambda r: (-r["n"], r["b"])) if r["b"] not in _SPACE]
     symbols = _symbol_map(order)
-    counted = (rows.mapInArrow(_counter(symbols), "lang string, g long, n long")
-               .groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow())
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int"))
+    counted = (rows.mapInArrow(_counter(symbols), "lang string, half int, g long, n long")
+               .groupBy("lang", "g").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("half") == 1, F.col("n")).otherwise(0))
+                                         .alias("odd")).toArrow())
     langs = sorted(set(counted.column("lang").to_pylist()))
     lang = np.array(counted.column("lang").to_pylist(), dtype=object)
-    g, n = counted.column("g").to_numpy(), counted.column("n").to_numpy()
-    counts = {x: (g[lang == x], n[lang == x]) for x in langs}
-    return Trees(langs, symbols, counts)
+    g, n, odd = (counted.column(c).to_numpy() for c in ("g", "n", "odd"))
+
+    def trees(n: np.ndarray) -> Trees:
+        some = n > 0
+        symbol, byte = some & (g < _BYTES_FROM), some & (g >= _BYTES_FROM)
+        return Trees(langs, symbols, {x: (g[symbol & (lang == x)], n[symbol & (lang == x)]) for x in langs},
+                     {x: (g[byte & (lang == x)] - _BYTES_FROM, n[byte & (lang == x)]) for x in langs})
+
+    whole = trees(n)
+    if langs:
+        whole.limits = _limits(rows, [trees(odd), trees(n - odd)])
+    return whole
+
+
+def _limits(rows: DataFrame, other: list[Trees]) -> dict[str, float]:
+    """Bits a byte of each language's texts (lang, half, t), coded by the trees ``other[half]`` learned from the other
+    half, plus ``MARGIN``; at most ``PLAIN_BITS``."""
+    shared = rows.sparkSession.sparkContext.broadcast([x.plain() for x in other])
+
+    def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [Trees.of_plain(x) for x in shared.value]
+        places = [x.place() for x in models]
+        for batch in batches:
+            lang, half, text = (batch.column(c).to_pylist() for c in ("lang", "half", "t"))
+            for k, (model, place) in enumerate(zip(models, places)):
+                own = [x for x in range(len(text)) if half[x] == k]
+                raw = [text[x].encode("utf-8") for x in own]
+                bits = model.code_lengths(raw, place)[np.arange(len(own)), [model.langs.index(lang[x]) for x in own]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang[x] for x in own], pa.string()), pa.array(bits, pa.float64()),
+                     pa.array([len(x) for x in raw], pa.int64())], ["lang", "bits", "n"])
+
+    found = rows.mapInArrow(cost, "lang string, bits double, n long").groupBy("lang").agg(
+        F.sum("bits").alias("bits"), F.sum("n").alias("n")).where("n > 0").collect()      # one row a language
+    return {r["lang"]: min(PLAIN_BITS, r["bits"] / r["n"] + MARGIN) for r in found}
 
 
 def identify(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "language") -> DataFrame:
@@ -260,8 +371,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def drop_unknown(docs: DataFrame, trees: Trees, text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
     """``docs`` without texts in no learned language: no letter at all, or a best code longer
-    than ``max_bits`` a byte. Texts of under ``SHORT`` bytes tell too little for the second test."""
+    than its language's limit (``max_bits`` a byte at least). Texts of under ``SHORT`` bytes tell too little for the
+    second test."""
     name = hidden(docs, "language")
     df = identify(docs, trees, text_col, name)
+    limit = F.lit(max_bits)
+    for lang, bits in trees.limits.items():
+        if bits > max_bits:
+            limit = F.when(F.col(f"{name}.lang") == lang, bits).otherwise(limit)
     return df.where((F.col(f"{name}.lang") != UNKNOWN) & (
-        (F.octet_length(text_col) < SHORT) | (F.col(f"{name}.bits_per_byte") <= max_bits))).drop(name)
+        (F.octet_length(text_col) < SHORT) | (F.col(f"{name}.bits_per_byte") <= limit))).drop(name)

@@ -99,6 +99,64 @@ def test_language_edge_cases(spark, trees):
     assert {r.language.lang for r in language.identify(docs, empty).collect()} == {"und"}
 
 
+_SYLLABLES = {"ja": "これはにほんごのぶんしょうですきょうのてんきいいね日本語文章天気東京都大学生物", "th": "กขคงจฉชซญฎฏฐณดตถทธนบปผพฟภมยรลวศสหอ"}
+
+
+def scripted(lang, n, seed):
+    """A text of made-up words in a script that no other language has."""
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list(_SYLLABLES[lang]), 2)) for _ in range(60)] if seed == 0 else scripted(lang, 0, 0)
+    return words if seed == 0 else "".join(words[int(x) ** 2 % 60] for x in rng.integers(0, 60, n))
+
+
+@pytest.mark.parametrize("lang", ["ja", "th"])
+def test_language_minority_script(spark, documents, lang):
+    """Ten rows in another script among four large languages: texts of that script are told and stay, those of
+    scripts never learned still go."""
+    few = [(10_000_019 * k, scripted(lang, 60, k + 1), lang) for k in range(1, 40)]
+    few = spark.createDataFrame(few, "doc_id long, text string, lang string").where(~language.held_out()).limit(10)
+    assert few.count() == 10
+    trees = language.learn(documents.select("doc_id", "text", "lang").unionByName(few))
+    fresh = spark.createDataFrame([(k, scripted(lang, 40, 1000 + k)) for k in range(20)]
+                                  + [(99, "слова другого языка " * 20)], "doc_id long, text string")
+    out = {r.doc_id: r.language for r in language.identify(fresh, trees).collect()}
+    assert all(out[k].lang == lang and out[k].bits_per_byte < 6 for k in range(20))
+    assert {r.doc_id for r in language.drop_unknown(fresh, trees).collect()} == set(range(20))
+    assert out[99].bits_per_byte > trees.limits.get(out[99].lang, 0)
+
+
+def test_language_rare_bytes_by_definition():
+    """Which rare byte it is: the tables give the code length of the definition, one byte at a time."""
+    texts = {"a": "данные и данные".encode(), "b": "漢字かな漢字".encode()}
+    symbols = language._symbol_map([0xD0, 0xE6])
+    spaces = np.full(3, 32, np.uint8)
+    rare, counts = {}, {x: [defaultdict(dict) for _ in range(4)] for x in texts}
+    for x, t in texts.items():
+        at, q = language._rare_quadruples(np.frombuffer(t, np.uint8), symbols, spaces)
+        rare[x] = np.unique(q.astype(np.int64), return_counts=True)
+        for k in at:
+            for order in range(4):
+                c = counts[x][order][(b"   " + t)[k + 3 - order:k + 3]]
+                c[t[k]] = c.get(t[k], 0) + 1
+    grams = {x: (np.array([0]), np.array([1])) for x in texts}
+    trees, plain = (language.Trees(["a", "b"], symbols, grams, r) for r in (rare, None))
+    for t in ["данно漢かз\n字".encode(), b"\xff\xfe", b"", b"\xb0 \xb0"]:
+        got = trees.code_lengths([t], trees.place())[0] - plain.code_lengths([t], plain.place())[0]
+        for x, value in zip(("a", "b"), got):
+            want = 0.0
+            for k, b in enumerate(t):
+                if symbols[b] == language.RARE:
+                    full = (b"   " + t).replace(b"\n", b" ")
+                    for order in (3, 2, 1, 0):
+                        seen = counts[x][order].get(full[k + 3 - order:k + 3], {})
+                        n, u = sum(seen.values()), len(seen)
+                        if b in seen:
+                            want -= np.log2(seen[b] / (n + u)) + np.log2((symbols == 1).sum())
+                            break
+                        want -= np.log2(u / (n + u)) if n else 0
+            assert abs(value - want) < 1e-3
+
+
 # --------------------------------------------------------------------------- tagger
 def test_tagger_slopes():
     rng = np.random.default_rng(0)
