@@ -21,7 +21,8 @@ need no more links, so no link between components is lost.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 shorter texts than a shingle are one shingle; repeated rows belong to one set; a null id
-is no component's smallest unless the component has only null ids.
+is no component's smallest unless the component has only null ids. ``drop_near`` goes by rows, not by
+ids: of each component one row stays, also where ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -139,10 +140,11 @@ def _sketches(rows: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             s = sketch(a)
             sid.append(_identity(a)), bands.append(_band_keys(s, rows).tobytes())
             small.append((s & np.uint64(255)).astype(np.uint8).tobytes())
+        own = [c for c in batch.schema.names if c != "t"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("d"), pa.array(n, pa.int64()), pa.array(sid, pa.binary()),
+            [*(batch.column(c) for c in own), pa.array(n, pa.int64()), pa.array(sid, pa.binary()),
              pa.array(bands, pa.binary()), pa.array(small, pa.binary())],
-            ["d", "n", "sid", "bands", "sketch"])
+            [*own, "n", "sid", "bands", "sketch"])
 
 
 def _band_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,14 +259,14 @@ def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: in
             .applyInPandas(_block_links(percent), "a binary, b binary").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    own = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    id_type = own.schema["d"].dataType.simpleString()
+def _grouped(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of the rows (d, t and others, which pass through), and (sid, root, d) of each set: its component and
+    the smallest id of its rows."""
+    bound_batches(own.sparkSession)
+    passed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema if f.name != "t")
     every = written(own.mapInArrow(
-        partial(_sketches, band_rows(percent)), f"d {id_type}, n long, sid binary, bands binary, sketch binary"), "sketches")
+        partial(_sketches, band_rows(percent)), f"{passed}, n long, sid binary, bands binary, sketch binary"), "sketches")
+    own = own.select("d", "t")
 
     # one node for each distinct set; of its documents the one with the smallest id stands for it
     sets = written(every.where("sid IS NOT NULL").groupBy("sid").agg(
@@ -304,8 +306,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             more = _last_links(left.select("key", "sid", "label"), sets, bodies, percent)
         found = written(joined_up(found, more), "found")
 
-    node = sets.select("sid", "d").join(found, F.col("sid") == F.col("node"), "left").select(
+    return every, sets.select("sid", "d").join(found, F.col("sid") == F.col("node"), "left").select(
         "sid", F.coalesce("root", "sid").alias("root"), "d")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    every, node = _grouped(docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")), percent)
     least = node.groupBy(F.col("root").alias("r")).agg(F.min("d").alias("component"))
     of_set = node.join(apart(least), F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "component")
     full = every.where("sid IS NOT NULL").select("d", "n", "sid").join(of_set, F.col("sid") == F.col("s")).select(
@@ -317,10 +324,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, columns as they were.
-
-    Ids that occur in several rows stay or go together.
-    """
-    go = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    key = hidden(docs, "near_key")
-    return docs.withColumn(key, F.col(id_col)).join(go, same(key, "gone"), "left_anti").drop(key)
+    """``docs`` with one row of each group of near-duplicates, columns as they were: of the smallest id, and of that the
+    smallest hash of the text. Rows without shingles all stay."""
+    key, th = (hidden(docs, x) for x in ("near_key", "near_text"))
+    # 128 bits that tell the texts of one id, or of no id, apart
+    told = docs.withColumns({key: F.col(id_col), th: F.unhex(F.md5(text_col))})
+    every, node = _grouped(told.select(F.col(key).alias("d"), F.col(text_col).alias("t"), F.col(th).alias("th")), percent)
+    cells = written(every.where("sid IS NOT NULL").select("d", "th", "sid").join(
+        apart(node.select(F.col("sid").alias("s"), "root")), F.col("sid") == F.col("s"))
+        .groupBy("root", "d", "th").agg(F.count("*").alias("n")), "near-rows")
+    stays = (cells.groupBy(F.col("root").alias("r")).agg(
+        F.min(F.struct(F.col("d").isNull().alias("none"), "d", "th")).alias("stay"), F.sum("n").alias("rows"))
+        .where("rows > 1"))
+    stay = F.col("d").eqNullSafe(F.col("stay.d")) & (F.col("th") == F.col("stay.th"))
+    marks = written(cells.join(apart(stays), F.col("root") == F.col("r")).where(~stay | (F.col("n") > 1)).select(
+        F.col("d").alias("mark_d"), F.col("th").alias("mark_th"), stay.alias("stays")), "near-marks")
+    md, mt, ms = (hidden(told, x) for x in ("mark_d", "mark_th", "mark_stays"))
+    marks = marks.select(F.col("mark_d").alias(md), F.col("mark_th").alias(mt), F.col("stays").alias(ms))
+    on = same(key, md) & (F.col(th) == F.col(mt))
+    out = told.join(marks, on, "left_anti")
+    repeated = marks.where(ms)
+    if not repeated.isEmpty():
+        out = out.unionByName(told.join(repeated, on, "left_semi").dropDuplicates([key, th]))
+    return out.drop(key, th)

@@ -149,6 +149,24 @@ def test_near_filter(spark):
     assert near_duplicates(cases.nothing(spark)).count() == 0
 
 
+def test_near_filter_by_rows(spark):
+    """Rows go by id and text: null and repeated ids take no unrelated row along, and leave no copy."""
+    def pair(seed):
+        w = cases.prose(200, seed).split(" ")
+        return " ".join(w), " ".join([*w[:90], "changed", *w[91:]])
+
+    (a, a2), (b, b2), (c, c2), (d, d2) = map(pair, range(31, 35))
+    alone, other, more = (cases.prose(200, k) for k in (41, 42, 43))
+    rows = [(1, a), (None, a2), (None, alone), (2, b), (7, b2), (7, other), (None, c), (None, c2), (None, c), (9, d2), (9, d),
+            (9, d), (None, more), (None, more), (None, None), (None, None), (None, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], cases.SCHEMA)
+    kept = Counter((r.doc_id, r.text) for r in drop_near(cases.with_clashes(docs)).collect())
+    want = [(1, a), (None, alone), (2, b), (7, other), (None, more), (None, None), (None, None), (None, ""), (4, "")]
+    c_kept, d_kept = ([x for x in kept.elements() if x[1] in y] for y in ((c, c2), (d, d2)))
+    assert len(c_kept) == len(d_kept) == 1
+    assert kept == Counter([*want, *c_kept, *d_kept])
+
+
 def test_sketch_is_unbiased_and_fills():
     import numpy as np
     rng = np.random.default_rng(2)
