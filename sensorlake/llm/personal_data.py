@@ -2,12 +2,12 @@
 
 The base patterns give the labelled spans. Windows of 64 characters from a bounded sample of documents
 train the tagger in numpy; then every document is decoded in overlapping windows, half a window apart.
-A span cut by a window's edge is left to the neighbour that sees it whole; where windows disagree, the
-span farthest from its window's edges stays. Decoded spans that overlap no base span and have the least
-content of their kind are added.
+Windows are reconciled on characters: each takes its tag from the window in which it lies farthest from an
+edge, and spans are read off the joined tags, so a span may be longer than a window. Decoded spans that
+overlap no base span and have the least content of their kind are added.
 
-All kinds hold a digit or `@`, so only windows with one are decoded; a text without any is passed
-over. Equal windows of a batch are decoded once.
+All kinds hold a digit or `@`, so only windows that touch a run of characters without blanks that holds one
+are decoded; a text without any is passed over. Equal windows of a batch are decoded once.
 
 Defined results: null and empty texts have no spans; without any training window nothing is added; repeated
 rows get equal results; other columns are not read; places are code points, ends exclusive.
@@ -137,6 +137,32 @@ def windows_of(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, padded[starts[:, None] + np.arange(WIDTH)]
 
 
+def _touching(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and classes of the windows that touch a run without blanks that holds a digit or `@`."""
+    marks = np.flatnonzero((classes == len(_SINGLE) + 1) | (classes == _TABLE[ord("@")]))
+    blank = np.flatnonzero((classes == _TABLE[ord(" ")]) | (classes == _TABLE[ord("\n")]))
+    after = np.searchsorted(blank, marks)
+    edges = np.concatenate([[-1], blank, [len(classes)]])
+    steps = np.zeros(len(classes) // STRIDE + 2, np.int64)
+    np.add.at(steps, np.maximum((edges[after] + 1) // STRIDE - 1, 0), 1)
+    np.add.at(steps, (edges[after + 1] - 1) // STRIDE + 1, -1)
+    starts = np.flatnonzero(np.cumsum(steps) > 0) * STRIDE
+    padded = np.concatenate([classes, np.zeros(WIDTH, np.int8)])
+    return starts, padded[starts[:, None] + np.arange(WIDTH)]
+
+
+def _joined(starts: np.ndarray, tags: np.ndarray, n: int) -> np.ndarray:
+    """A tag for each of ``n`` characters, from the window in which it lies farthest from an edge."""
+    half = STRIDE // 2
+    block = starts // STRIDE
+    out = np.zeros((n // STRIDE + 2, STRIDE), np.int8)
+    out[block + 1] = tags[:, STRIDE:]
+    out[block, half:] = tags[:, half:STRIDE]
+    alone = ~np.isin(block - 1, block)
+    out[block[alone], :half] = tags[alone, :half]
+    return out.ravel()[:n]
+
+
 def _tags_of(n: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     tags = np.zeros(n + WIDTH, np.int8)
     for a, kind, b in sorted(spans, key=lambda s: s[2] - s[0]):
@@ -186,54 +212,41 @@ def _forbidden() -> np.ndarray:
 
 
 def _runs(tags: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(start, kind, end) of the spans in one window's tags."""
-    at = 0
-    while at < len(tags):
-        if tags[at] == 0:
-            at += 1
-            continue
-        kind, a = (int(tags[at]) - 1) // 2, at
-        at += 1
-        while at < len(tags) and tags[at] == 2 + 2 * kind:
-            at += 1
-        yield a, kind, at
-
-
-def _reconciled(found: list[tuple[int, int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans (distance from the edge, start, kind, end) without overlaps: those seen best first."""
-    kept: list[tuple[int, int, int]] = []
-    ends = sorted((a, b) for a, _, b in taken)
-    for _, a, kind, b in sorted(set(found), key=lambda s: (-s[0], s[1], s[2])):
-        if not any(x < b and a < y for x, y in ends):
-            kept.append((a, kind, b))
-            ends.append((a, b))
-    return kept
+    """(start, kind, end) of the spans in a sequence of tags."""
+    kind = (tags.astype(np.int64) - 1) // 2                  # -1 outside
+    before = np.concatenate([[-1], kind[:-1]])
+    begins = (kind >= 0) & ((tags % 2 == 1) | (before != kind))
+    edges = np.flatnonzero(begins | ((kind < 0) & (before >= 0)))
+    for a, b in zip(edges, [*edges[1:], len(tags)]):
+        if kind[a] >= 0:
+            yield int(a), int(kind[a]), int(b)
+
+
+def _clear_of(found: list[tuple[int, int, int]], taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Found spans that overlap none of the taken ones (sorted)."""
+    starts = np.array([a for a, _, _ in taken], np.int64)
+    reach = np.concatenate([[0], np.maximum.accumulate(np.array([b for _, _, b in taken], np.int64))]) if taken else [0]
+    return [(a, kind, b) for a, kind, b in found if reach[int(np.searchsorted(starts, b))] <= a]
 
 
 def decoded_spans(weights: dict, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Spans that the tagger adds to each text."""
     starts, rows, owner = [], [], []
     for k, text in enumerate(texts):
-        s, x = windows_of(classes_of(text))
+        s, x = _touching(classes_of(text))
         starts.append(s), rows.append(x), owner.append(np.full(len(s), k))
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     every = np.concatenate(rows) if rows else np.zeros((0, WIDTH), np.int8)
     if not len(every):
         return out
-    start, own = np.concatenate(starts), np.concatenate(owner)
+    own = np.concatenate(owner)
     _, first, back = np.unique(every, axis=0, return_index=True, return_inverse=True)
     tags = np.concatenate([decode(weights, every[first[a:a + 2048]].astype(np.int64), _forbidden())
                            for a in range(0, len(first), 2048)])[back.ravel()]
-    found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    for row in np.flatnonzero(tags.any(axis=1)):
-        text, at = texts[own[row]], int(start[row])
-        for a, kind, b in _runs(tags[row]):
-            cut = (a == 0 and at > 0) or (b == WIDTH and at + WIDTH < len(text))
-            if not cut and _has_content(kind, text[at + a:at + b]):
-                found[own[row]].append((min(a if at else WIDTH, WIDTH - b), at + a, kind, at + b))
-    for k, spans in enumerate(found):
-        if spans:
-            out[k] = _reconciled(spans, bases[k])
+    first_row = np.concatenate([[0], np.cumsum([len(x) for x in starts])])
+    for k in np.unique(own[tags.any(axis=1)]):
+        joined = _joined(starts[k], tags[first_row[k]:first_row[k + 1]], len(texts[k]))
+        out[k] = _clear_of([x for x in _runs(joined) if _has_content(x[1], texts[k][x[0]:x[2]])], bases[k])
     return out
 
 

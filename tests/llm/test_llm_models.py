@@ -194,6 +194,24 @@ def test_personal_keeps_base_and_reconciles(spark):
         assert all(a[1] <= b[0] for a, b in zip(places, places[1:]))
 
 
+@pytest.mark.parametrize("size", [12, 31, 40, 64, 80, 300])
+def test_personal_spans_across_windows(monkeypatch, size):
+    """Spans longer than half a window come out whole wherever they start, and next to others."""
+    def decode(weights, classes, forbidden):
+        """Every window right as far as it sees: runs without blanks are addresses."""
+        inside = (classes != 0) & (classes != personal_data.classes_of(" ")[0])
+        before = np.concatenate([np.ones((len(classes), 1), bool), inside[:, :-1]], axis=1)
+        return np.where(inside, np.where(before, 2, 1), 0).astype(np.int8)
+
+    monkeypatch.setattr(personal_data, "decode", decode)
+    for at in ("@uni.tld", "ä@" + "ß" * (size - 7) + ".tld"):
+        span = ("näme." * size)[:size - len(at)] + at
+        for off in range(2 * personal_data.STRIDE):
+            text = " " * off + span + " " * 3 + "n@b.de" + " " * off
+            want = [(off, 0, off + len(span)), (off + len(span) + 3, 0, off + len(span) + 9)]
+            assert personal_data.decoded_spans({}, [text, "none", text], [[], [], [want[1]]]) == [want, [], want[:1]]
+
+
 # --------------------------------------------------------------------------- packing
 def token_ids(text):
     from tokenizers import Tokenizer
