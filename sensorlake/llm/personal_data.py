@@ -49,6 +49,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")      # runs of digits are taken whole either way
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_NUMBER = re.compile(r"[+(]{0,2}[0-9][\x20()./0-9-]*")     # where it starts is the tagger's to say
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -107,7 +108,7 @@ def _has_content(kind: int, text: str) -> bool:
         return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text) is not None and _octets(text)
     if kind == 2:
         return 14 <= digits <= 19 and luhn(_digits(text))
-    return 10 <= digits <= 15 and text[:1] in "+("
+    return 10 <= digits <= 15 and _NUMBER.fullmatch(text) is not None
 
 
 # --------------------------------------------------------------------------- windows

@@ -194,6 +194,21 @@ def test_personal_keeps_base_and_reconciles(spark):
         assert all(a[1] <= b[0] for a, b in zip(places, places[1:]))
 
 
+@pytest.mark.parametrize("text, ok", [
+    ("017 555-7713 22", True), ("0044 20 7946 0958", True), ("+49 (0) 30 123456", True), ("(030) 1234/5678", True),
+    ("030 1234", False), ("017 555-7713 22 x", False), ("1234567890123456", False), ("12.10.2020 10:30", False), ("", False)])
+def test_personal_national_numbers(monkeypatch, text, ok):
+    """A number in national form is reported where the tagger says so."""
+    def decode(weights, classes, forbidden):
+        tags = np.full(classes.shape, 8, np.int8) * (classes != 0)
+        tags[:, 0] = 7
+        return tags.astype(np.int8)
+
+    monkeypatch.setattr(personal_data, "decode", decode)
+    want = [(0, 3, len(text))] if ok else []
+    assert personal_data.decoded_spans({}, [text, "1 "], [[], []])[0] == want
+
+
 @pytest.mark.parametrize("size", [12, 31, 40, 64, 80, 300])
 def test_personal_spans_across_windows(monkeypatch, size):
     """Spans longer than half a window come out whole wherever they start, and next to others."""
