@@ -308,24 +308,26 @@ def train(rows: DataFrame) -> Trees:
 def _limits(rows: DataFrame, other: list[Trees]) -> dict[str, float]:
     """Bits a byte of each language's texts (lang, half, t), coded by the trees ``other[half]`` learned from the other
     half, plus ``MARGIN``; at most ``PLAIN_BITS``."""
-    shared = rows.sparkSession.sparkContext.broadcast([x.plain() for x in other])
+    found = []
+    for half, trees in enumerate(other):                 # one after the other: a worker holds one set of trees
+        shared = rows.sparkSession.sparkContext.broadcast(trees.plain())
+        coded = rows.where(F.col("half") == half).select("lang", "t").mapInArrow(_coder(shared), "lang string, bits double, n long")
+        found += coded.groupBy("lang").agg(F.sum("bits").alias("bits"), F.sum("n").alias("n")).collect()   # a row a language
+        shared.destroy()
+    sums = {r["lang"]: [sum(x[c] for x in found if x["lang"] == r["lang"]) for c in ("bits", "n")] for r in found}
+    return {lang: min(PLAIN_BITS, bits / n + MARGIN) for lang, (bits, n) in sums.items() if n}
 
+
+def _coder(shared):
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [Trees.of_plain(x) for x in shared.value]
-        places = [x.place() for x in models]
+        model = Trees.of_plain(shared.value)
+        place, column = model.place(), {x: k for k, x in enumerate(model.langs)}
         for batch in batches:
-            lang, half, text = (batch.column(c).to_pylist() for c in ("lang", "half", "t"))
-            for k, (model, place) in enumerate(zip(models, places)):
-                own = [x for x in range(len(text)) if half[x] == k]
-                raw = [text[x].encode("utf-8") for x in own]
-                bits = model.code_lengths(raw, place)[np.arange(len(own)), [model.langs.index(lang[x]) for x in own]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang[x] for x in own], pa.string()), pa.array(bits, pa.float64()),
-                     pa.array([len(x) for x in raw], pa.int64())], ["lang", "bits", "n"])
-
-    found = rows.mapInArrow(cost, "lang string, bits double, n long").groupBy("lang").agg(
-        F.sum("bits").alias("bits"), F.sum("n").alias("n")).where("n > 0").collect()      # one row a language
-    return {r["lang"]: min(PLAIN_BITS, r["bits"] / r["n"] + MARGIN) for r in found}
+            lang, raw = batch.column("lang"), [x.encode("utf-8") for x in batch.column("t").to_pylist()]
+            bits = model.code_lengths(raw, place)[np.arange(len(raw)), [column[x] for x in lang.to_pylist()]]
+            yield pa.RecordBatch.from_arrays(
+                [lang, pa.array(bits, pa.float64()), pa.array([len(x) for x in raw], pa.int64())], ["lang", "bits", "n"])
+    return cost
 
 
 def identify(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "language") -> DataFrame:
