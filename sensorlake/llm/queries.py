@@ -12,10 +12,13 @@ from sensorlake.llm.decontaminate import scan_for_items
 from sensorlake.llm.exact_dedup import flag_exact
 from sensorlake.llm.line_templates import flag_lines
 from sensorlake.llm.language import UNKNOWN, held_out, identify, learn
+from sensorlake.llm.merkle import manifest
 from sensorlake.llm.near_dedup import near_duplicates
 from sensorlake.llm.packing import pack
 from sensorlake.llm.personal_data import find_personal
 from sensorlake.llm.personal_data import learn as learn_personal
+from sensorlake.llm.pieces import decode, encode
+from sensorlake.llm.prefix_trie import branched, prefix_trie, turns
 from sensorlake.llm.secret_links import find_secrets, report
 from sensorlake.llm.url_filter import filter_urls, host_of
 from sensorlake.llm.warc import round_trip
@@ -89,6 +92,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("p.spans", ",").alias("spans"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*branched(turns(_table(spark, sf_dir, "conversations"))))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = manifest(_table(spark, sf_dir, "documents"), claims={"text": F.translate("text", UPPER, LOWER)}, claimed=tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = decode(encode(docs, out="ids", packed=True), ids_col="ids", out="decoded")
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_line_templates": op2_line_templates,
@@ -100,4 +123,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_personal_data": op10_personal_data,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sentencepiece": op13_sentencepiece,
 }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 
@@ -142,3 +144,76 @@ def linked(text: str | None, reach=200) -> list[tuple[str, int, int]]:
             if all(any(part[o[0]] == n and abs(o[1] - w[1]) <= reach for o in every) for n in need[w[0]])]
     order = ["assign", "access", "hex", "key_id", "bare", "endpoint"]
     return sorted(base + kept, key=lambda s: (s[1], order.index(s[0])))
+
+
+# --------------------------------------------------------------------------- conversation tries and manifests
+def rebuilt(rows) -> dict:
+    """conv_id -> turns (role, text): each begins with turns of conversation c - c % 5."""
+    turns: dict = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            key = ((role or ""), (text or ""))
+            digest = hashlib.sha256(f"{len(key[0].encode())}:{key[0]}{key[1]}".encode()).hexdigest()[:32]
+            turns.setdefault(c, []).append(((turn is not None, turn or 0), digest, key))
+    turns = {c: [k for _, _, k in sorted(t)] for c, t in turns.items()}
+    out = {}
+    for c, own in turns.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        out[c] = turns.get(c - int(math.fmod(c, 5)), [])[:h] + own[h:]
+    return out
+
+
+def trie(convs: dict) -> set:
+    """Nodes of the trie over conv -> turns, as the query gives them."""
+    members: dict = {}
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    children: dict = {}
+    for p in members:
+        if p:
+            children.setdefault(p[:-1], []).append(p)
+    total: dict = {}
+    for p in sorted(members, key=len, reverse=True):
+        own = (len(members[p]) - 1) * (len(p[-1][1].encode()) if p else 0)
+        below = [total[q] for q in children.get(p, ())]
+        total[p] = (own + sum(s for s, _ in below), sum(n for _, n in below) or 1)
+    return {(min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children.get(p, ())), total[p][1], total[p][0],
+             sha(",".join(str(c) for c in sorted(m) if len(convs[c]) == len(p)))) for p, m in members.items()}
+
+
+def _leaf(fields) -> str:
+    return sha("".join("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def _tree(nodes: list) -> tuple[str, list]:
+    """Top digest, and for each node its siblings (left, right) on the way up."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, i in enumerate(at):
+            a = i // 16 * 16
+            paths[k].append(("".join(nodes[a:i]), "".join(nodes[i + 1:a + 16])))
+        nodes = [sha("".join(nodes[a:a + 16])) for a in range(0, len(nodes), 16)]
+        at = [i // 16 for i in at]
+    return nodes[0], paths
+
+
+def merkle(rows) -> list:
+    """Sorted rows of the manifest: id, leaf, subroot, root, proof digest, folded root, verified."""
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(r[1], []).append(((r[0] is not None, r[0] or 0), _leaf(r), r))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = [_tree([leaf for _, leaf, _ in sorted(groups[s], key=lambda x: x[:2])]) for s in names]
+    root, above = _tree([top for top, _ in trees]) if trees else ("", [])
+    out = []
+    for s, (top, paths), outer in zip(names, trees, above):
+        for (_, leaf, r), path in zip(sorted(groups[s], key=lambda x: x[:2]), paths):
+            text = r[4]
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and text is not None:
+                text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+            folded = _leaf((*r[:4], text))
+            for a, b in path + outer:
+                folded = sha(a + folded + b)
+            out.append((r[0], leaf, top, root, sha("".join(a + b for a, b in path + outer)), folded, folded == root))
+    return sorted(out, key=str)
