@@ -149,6 +149,78 @@ SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesc
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
+
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal digits: a byte folded in, then eight steps, each by one element of a list."""
+    steps = ", ".join(["-1"] * 8)
+    return f"""xor(list_reduce(flatten(list_transform(string_split(CAST({number} AS VARCHAR), ''),
+        lambda z: [CAST(ascii(z) AS BIGINT), {steps}])),
+        lambda a, z: CASE WHEN z >= 0 THEN xor(a, z) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END,
+        4294967295), 4294967295)"""
+
+
+OP11 = f"""
+WITH t AS (SELECT conv_id AS c, turn, octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '') AS k,
+                  octet_length(encode(coalesce(text, ''))) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, sha256(k) AS k, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, substr(sha256(k), 1, 32)) - 1 AS pos
+      FROM t),
+n AS (SELECT c, count(*) AS n, c - c % 5 AS base, {_crc32('c')} % 9 AS h FROM o GROUP BY c),
+cs AS (SELECT n.c, n.base, n.h, least(n.h, coalesce(b.n, 0)) AS taken FROM n LEFT JOIN n b ON b.c = n.base),
+r AS (SELECT cs.c, pos, k, w FROM cs JOIN o ON o.c = cs.base WHERE pos < h
+      UNION ALL SELECT c, pos - h + taken, k, w FROM o JOIN cs USING (c) WHERE pos >= h),
+z AS (SELECT c, count(r.pos) AS len FROM cs LEFT JOIN r USING (c) GROUP BY c),
+p AS (SELECT c, 0 AS d, 0 AS w, 'root' AS name FROM cs
+      UNION ALL SELECT c, pos + 1, w, sha256(string_agg(k, '') OVER (PARTITION BY c ORDER BY pos)) FROM r),
+node AS (SELECT name, d, min(c) AS f, count(*) AS n, any_value(w) AS w,
+                sha256(coalesce(string_agg(CASE WHEN d = len THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends
+         FROM p JOIN z USING (c) GROUP BY name, d),
+up AS (SELECT node.name, node.d, node.f, node.n, node.w, p.name AS above, p.d AS ad FROM node JOIN p ON p.c = node.f AND p.d <= node.d),
+kids AS (SELECT above, count(*) AS n FROM up WHERE ad = d - 1 GROUP BY above),
+tot AS (SELECT up.above, sum((up.n - 1) * w) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+        FROM up LEFT JOIN kids ON kids.above = up.name GROUP BY up.above),
+par AS (SELECT up.name, q.f FROM up JOIN node q ON q.name = up.above WHERE up.ad = up.d - 1)
+SELECT node.f AS conv_id, CAST(node.d AS BIGINT) AS depth, par.f AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM node JOIN tot ON tot.above = node.name LEFT JOIN kids ON kids.above = node.name LEFT JOIN par ON par.name = node.name
+"""
+
+
+def _fields(text: str) -> str:
+    one = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+    return "sha256(" + " || ".join(one.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, levels: int) -> str:
+    """CTEs that climb ``levels`` levels from {name}n0 (g, i, h) and {name}q0 (rid, g, i, proof, f)."""
+    out = []
+    for k in range(levels):
+        out.append(f"""{name}r{k} AS (SELECT g, p, run, sum(len(run)) OVER (PARTITION BY g) > 1 AS many
+  FROM (SELECT g, i // 16 AS p, list(h ORDER BY i) AS run FROM {name}n{k} GROUP BY 1, 2)),
+{name}n{k + 1} AS (SELECT g, p AS i, CASE WHEN many THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h FROM {name}r{k}),
+{name}q{k + 1} AS (SELECT rid, g, i // 16 AS i, CASE WHEN many THEN proof || a || b ELSE proof END AS proof,
+         CASE WHEN many THEN sha256(a || f || b) ELSE f END AS f
+  FROM (SELECT q.*, many, array_to_string(list_slice(run, 1, i % 16), '') AS a,
+               array_to_string(list_slice(run, i % 16 + 2, 16), '') AS b
+        FROM {name}q{k} q JOIN {name}r{k} r ON q.g IS NOT DISTINCT FROM r.g AND r.p = q.i // 16))""")
+    return ",\n".join(out)
+
+
+_CLAIM = "CASE WHEN " + _crc32("doc_id") + " % 5 = 0 THEN " + _LOW.format("text") + " ELSE text END"
+OP12 = f"""
+WITH l AS (SELECT row_number() OVER () AS rid, doc_id, source, {_fields('text')} AS leaf, {_fields('(' + _CLAIM + ')')} AS claimed
+           FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+an0 AS (SELECT source AS g, i, leaf AS h FROM o),
+aq0 AS (SELECT rid, source AS g, i, '' AS proof, claimed AS f FROM o),
+{_levels('a', 5)},
+s AS (SELECT g AS source, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i FROM an5),
+bn0 AS (SELECT 0 AS g, i, h FROM s),
+bq0 AS (SELECT rid, 0 AS g, s.i, proof, f FROM aq5 JOIN s ON aq5.g IS NOT DISTINCT FROM s.source),
+{_levels('b', 3)}
+SELECT o.doc_id, o.leaf, s.h AS subroot, bn3.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = bn3.h AS verified
+FROM o JOIN bq3 USING (rid) JOIN s ON o.source IS NOT DISTINCT FROM s.source, bn3
+"""
+
 SQL = {
     "op1_decontaminate": OP1,
     "op2_line_templates": OP2,
@@ -157,4 +229,6 @@ SQL = {
     "op5_exact_dedup": OP5,
     "op6_near_dedup": OP6,
     "op9_secrets": OP9,
+    "op11_prefix_trie": OP11,
+    "op12_merkle_manifest": OP12,
 }
