@@ -2,7 +2,8 @@
 
 Every round links each node's larger neighbours to its smallest one, then each
 node and its smaller neighbours to their smallest. A hub is never gathered in one
-task: minima are aggregated before the shuffle, and a join back streams over its rows.
+task: minima are aggregated before the shuffle, and the join back has exchanges of its own on
+both sides, so that Spark can split a hub's rows (``apart``).
 """
 
 from __future__ import annotations
@@ -10,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import written
+from sensorlake.llm.common import apart, written
 
 
 def _star(edges: DataFrame) -> DataFrame:
     """edges (a, b) with a > b -> (a, smallest neighbour of a), (b, the same)."""
     least = edges.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("m"))
-    moved = edges.join(least, F.col("a") == F.col("hub")).select("b", "m").where("b != m")
+    moved = edges.join(apart(least), F.col("a") == F.col("hub")).select("b", "m").where("b != m")
     return least.select(F.col("hub").alias("a"), F.col("m").alias("b")).unionByName(
         moved.select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
@@ -26,7 +27,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("m")).select(
         "hub", F.least("hub", "m").alias("m"))
-    return (both.where("b > a").join(least, F.col("a") == F.col("hub"))
+    return (both.where("b > a").join(apart(least), F.col("a") == F.col("hub"))
             .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b"))
 
 

@@ -17,6 +17,8 @@ are not listed; repeated rows get equal results; extra columns pass through unto
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -223,13 +225,14 @@ def _scan(column: pa.Array, matcher: Matcher) -> pa.Array:
     return pa.array(rows, ARROW)
 
 
-def _item_groups(items: DataFrame, id_col: str, text_col: str, item_chars: int) -> list[list[tuple[str | None, bytes]]]:
-    """Items by groups of bounded size; each group is fetched alone."""
-    own = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+def _item_groups(items: DataFrame, id_col: str, text_col: str, item_chars: int) -> tuple[int, Iterator]:
+    """How many groups of bounded size the items make, and the groups; each is fetched alone, when it is asked for.
+    Items of one text and one id count once; equal texts of several ids are dealt over the groups."""
+    own = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").distinct()
     total = own.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // item_chars))
-    part = F.pmod(F.xxhash64("t"), F.lit(n))
-    return [[(r.i, r.t.encode("utf-8")) for r in own.where(part == k).orderBy("i", "t").collect()] for k in range(n)]
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    return n, ([(r.i, r.t.encode("utf-8")) for r in own.where(part == k).orderBy("i", "t").collect()] for k in range(n))
 
 
 def scan_for_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -245,7 +248,7 @@ def scan_for_items(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    groups = _item_groups(items, item_id, item_text, item_chars)
+    n, groups = _item_groups(items, item_id, item_text, item_chars)
     result = None
     names = []
     for k, group in enumerate(groups):
@@ -255,10 +258,10 @@ def scan_for_items(docs: DataFrame, items: DataFrame, text_col: str = "text", it
         def scan(texts: pa.Array) -> pa.Array:
             return _scan(texts, Matcher.of_plain(matcher.value))
 
-        name = out if len(groups) == 1 else hidden(result or docs, f"{out}_{k}")
+        name = out if n == 1 else hidden(result or docs, f"{out}_{k}")
         result = (result if result is not None else docs).withColumn(name, scan(F.col(text_col)))
         names.append(name)
-        if len(groups) > 1:
+        if n > 1:
             result = written(result, "decontaminate")
     if len(names) > 1:
         @F.arrow_udf(RESULT)

@@ -21,13 +21,14 @@ sample. A language's limit is the mean cost of its texts that way plus ``MARGIN`
 no less than ``max_bits``: a language with few rows is not held to what a well-learned one costs. No
 limit is above ``PLAIN_BITS``.
 
-Training reads a bounded sample: about ``docs_per_language`` rows of each language, drawn
-by a hash of the id, among rows of at most ``MAX_TRAIN_CHARS`` characters. Counting runs
+Training reads a bounded sample: about ``docs_per_language`` different texts of each of the ``MAX_LANGUAGES`` most
+frequent languages, drawn by a hash of id and text, ``MAX_TRAIN_CHARS`` characters of each. Counting runs
 in Spark; only the counts reach the driver.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to
-the language first in alphabetical order; without any training row all is `und`; repeated rows
-get equal results; other columns pass through untouched.
+the language first in alphabetical order; without any training row all is `und`, and ``drop_unknown`` keeps all;
+repeated rows get equal results and are learned from once; null and repeated ids are drawn by their texts;
+other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ from sensorlake.llm.common import bound_batches, hidden, written
 by_value(__name__)
 
 DOCS_PER_LANGUAGE = 1000
+#: Languages learned at most, of about 2 MB each in every worker.
+MAX_LANGUAGES = 100
 MAX_TRAIN_CHARS = 20_000
 SYMBOLS = 64
 RARE = 1
@@ -247,7 +250,7 @@ class Trees:
                 part = raw[a:a + PIECE]
                 q = _quadruples(part, self.symbols, before)
                 row = rows[number[q // SYMBOLS] * SYMBOLS + q % SYMBOLS]
-                cost = self.cost4[row]
+                cost = self.cost4[row] if len(self.cost4) else np.zeros((len(row), len(self.langs)), np.float32)
                 new = np.flatnonzero(row < 0)
                 if len(new):
                     cost[new] = self.escape3[q[new] // SYMBOLS] + self.cost3[q[new] % SYMBOLS ** 3]
@@ -267,16 +270,26 @@ class Trees:
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible: Column,
                   docs_per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """A sample of eligible labelled rows: (lang, t), about ``docs_per_language`` each."""
-    rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = rows.groupBy(F.col(lang_col).alias("l")).count().collect()          # one row a language
+    """A sample of eligible labelled texts, written: (lang, t), about ``docs_per_language`` different ones of each of the
+    ``MAX_LANGUAGES`` most frequent languages, one at least, and ``MAX_TRAIN_CHARS`` characters of each. Drawn by a hash
+    of id and text, so that null and repeated ids do not stand or fall together."""
+    lang = F.col(lang_col).cast("string")
+    rows = docs.where(eligible & lang.isNotNull() & F.col(text_col).isNotNull()).select(
+        lang.alias("lang"), F.col(text_col).alias("t"),
+        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("train")).alias("draw"))
+    found = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
     if not found:
-        return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).limit(0)
+        return rows.select("lang", "t").limit(0)
     limit = F.lit(1 << 20)
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["l"], min(1.0, docs_per_language / r["count"]))])
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), limit) / limit
-    return rows.where((chance < share[F.col(lang_col)]) & (F.length(text_col) <= MAX_TRAIN_CHARS)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
+    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, docs_per_language / r["count"]))])
+    rows = rows.withColumn("t", F.substring("t", 1, MAX_TRAIN_CHARS))
+    drawn = rows.where(F.pmod("draw", limit) / limit < share[F.col("lang")])
+    sample = written(drawn.select("lang", "t").dropDuplicates(), "language-sample")
+    missing = {r["lang"] for r in found} - {r["lang"] for r in sample.select("lang").distinct().collect()}
+    if missing:                     # rows alike, none of which was drawn
+        least = rows.where(F.col("lang").isin(sorted(missing))).groupBy("lang").agg(F.min_by("t", "draw").alias("t"))
+        sample = written(sample.unionByName(least), "language-sample")
+    return sample
 
 
 def train(rows: DataFrame) -> Trees:
@@ -368,13 +381,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> Trees:
-    return train(written(training_rows(docs, id_col, text_col, lang_col, ~held_out(id_col), **how), "language-sample"))
+    return train(training_rows(docs, id_col, text_col, lang_col, ~held_out(id_col), **how))
 
 
 def drop_unknown(docs: DataFrame, trees: Trees, text_col: str = "text", max_bits: float = MAX_BITS) -> DataFrame:
     """``docs`` without texts in no learned language: no letter at all, or a best code longer
     than its language's limit (``max_bits`` a byte at least). Texts of under ``SHORT`` bytes tell too little for the
-    second test."""
+    second test. Where nothing could be learned, all documents stay."""
+    if not trees.langs:
+        return docs
     name = hidden(docs, "language")
     df = identify(docs, trees, text_col, name)
     limit = F.lit(max_bits)

@@ -31,7 +31,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,7 +182,7 @@ def _linked(percent: int):
 def _block_links(percent: int):
     """Links between components in a block of one band: queries against the others.
 
-    Pairs whose sketches agree in nearly ``percent`` of the coordinates (six standard deviations below the
+    Pairs of sizes that allow a link and whose sketches agree in nearly ``percent`` of the coordinates (six standard deviations below the
     expected agreement) are confirmed on the full sets, each in the first band that both are in, most alike
     first. Components that a confirmed link has joined need no other link, so at most one link for
     each component comes out.
@@ -191,36 +190,57 @@ def _block_links(percent: int):
     share = percent / 100
     least = int(COORDINATES * share - 6 * (COORDINATES * share * (1 - share)) ** 0.5)
 
-    def links(block: pd.DataFrame) -> pd.DataFrame:
-        q, s = block[block["query"]], block[block["other"]]
-        out_a, out_b, root = [], [], {}
+    def links(rows: list[dict], out: list[tuple[bytes, bytes]]) -> None:
+        q, s = [r for r in rows if r["query"]], [r for r in rows if r["other"]]
+        if not q or not s or len({r["label"] for r in rows}) == 1:
+            return
+        root: dict[bytes, bytes] = {}
 
         def find(x: bytes) -> bytes:
             while root.get(x, x) != x:
                 x = root[x]
             return x
 
-        if len(q) and len(s):
-            key = block["key"].iloc[0]
-            near = np.frombuffer(b"".join(s["sketch"]), np.uint8).reshape(len(s), -1)
-            bands = np.stack([np.frombuffer(x, np.int64) for x in s["bands"]])
-            sid, label, body = (s[c].to_numpy() for c in ("sid", "label", "body"))
-            pairs = []
-            for k, (own, row, keys) in enumerate(zip(q["label"], q["sketch"], q["bands"])):
-                alike = (near == np.frombuffer(row, np.uint8)).sum(axis=1)
-                at = np.flatnonzero(alike >= least)
-                if len(at):
-                    equal = bands[at] == np.frombuffer(keys, np.int64)
-                    first = bands[at, equal.argmax(axis=1)] == key
-                    pairs += [(-int(alike[x]), k, int(x)) for x in at[first] if label[x] != own]
-            q_sid, q_label, q_body = (q[c].to_numpy() for c in ("sid", "label", "body"))
-            for _, k, x in sorted(pairs):
-                one, two = find(q_label[k]), find(label[x])
-                if one != two and _linked_pair(np.frombuffer(q_body[k], np.uint64), np.frombuffer(body[x], np.uint64), percent):
-                    root[max(one, two)] = min(one, two)
-                    out_a.append(max(q_sid[k], sid[x])), out_b.append(min(q_sid[k], sid[x]))
-        return pd.DataFrame({"a": out_a, "b": out_b})
-    return links
+        key = rows[0]["key"]
+        near = np.frombuffer(b"".join(r["sketch"] for r in s), np.uint8).reshape(len(s), -1)
+        bands = np.frombuffer(b"".join(r["bands"] for r in s), np.int64).reshape(len(s), -1)
+        sizes = np.array([len(r["body"]) for r in s])
+        pairs = []
+        for k, r in enumerate(q):
+            n = len(r["body"])
+            at = np.flatnonzero(100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+            if not len(at):
+                continue
+            alike = (near[at] == np.frombuffer(r["sketch"], np.uint8)).sum(axis=1)
+            at, alike = at[alike >= least], alike[alike >= least]
+            if len(at):
+                first = bands[at, (bands[at] == np.frombuffer(r["bands"], np.int64)).argmax(axis=1)] == key
+                pairs += [(-int(n), k, int(x)) for n, x in zip(alike[first], at[first]) if s[x]["label"] != r["label"]]
+        for _, k, x in sorted(pairs):
+            one, two = find(q[k]["label"]), find(s[x]["label"])
+            if one != two and _linked_pair(np.frombuffer(q[k]["body"], np.uint64), np.frombuffer(s[x]["body"], np.uint64), percent):
+                root[max(one, two)] = min(one, two)
+                out.append((max(q[k]["sid"], s[x]["sid"]), min(q[k]["sid"], s[x]["sid"])))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come one after the other; most hold a few rows, so none is a call of its own."""
+        block, rows = None, []
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for row in batch.to_pylist():
+                if (row["key"], row["i"], row["j"]) != block:
+                    links(rows, out)
+                    block, rows = (row["key"], row["i"], row["j"]), []
+                rows.append(row)
+            yield _pairs(out)
+        out = []
+        links(rows, out)
+        yield _pairs(out)
+    return stream
+
+
+def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
 def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
@@ -255,8 +275,9 @@ def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: in
         "*", part[1].alias("j"), F.explode(F.sequence(F.lit(0), blocks[0] - 1)).alias("i"), F.lit(False).alias("query"),
         F.lit(True).alias("other"))
     cols = ["key", "i", "j", "query", "other", "sid", "label", "sketch", F.col("band_keys").alias("bands"), "body"]
-    return (one.select(cols).unionByName(q.select(cols)).unionByName(s.select(cols)).groupBy("key", "i", "j")
-            .applyInPandas(_block_links(percent), "a binary, b binary").distinct())
+    return (one.select(cols).unionByName(q.select(cols)).unionByName(s.select(cols))
+            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            .mapInArrow(_block_links(percent), "a binary, b binary").distinct())
 
 
 def _grouped(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:

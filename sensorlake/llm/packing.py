@@ -229,11 +229,11 @@ def _greedy(window: int, base: int, pieces: pd.DataFrame) -> pd.DataFrame:
 def _ranked(pieces: DataFrame, rows: int) -> DataFrame:
     """``pieces`` with their rank (0-based) in their bin."""
     buckets = max(1, -(-rows // BUCKET_ROWS)) * 64
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("d", "start", "doc_tokens", "ids_crc32"), F.lit(buckets)))
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("d", "start", "doc_tokens", "ids_crc32", "row"), F.lit(buckets)))
     before = (dealt.groupBy("bin", "bucket").count()
               .select(F.col("bin").alias("of_bin"), F.col("bucket").alias("of_bucket"),
                       (F.sum("count").over(Window.partitionBy("bin").orderBy("bucket")) - F.col("count")).alias("before")))
-    inside = Window.partitionBy("bin", "bucket").orderBy("d", "start", "doc_tokens", "ids_crc32")
+    inside = Window.partitionBy("bin", "bucket").orderBy("d", "start", "doc_tokens", "ids_crc32", "row")
     return (dealt.withColumn("inside", F.row_number().over(inside) - 1)
             .join(before, (F.col("bin") == F.col("of_bin")) & (F.col("bucket") == F.col("of_bucket")))
             .withColumn("rank", F.col("before") + F.col("inside"))
@@ -252,7 +252,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     id_type = own.schema["d"].dataType.simpleString()
     pieces = own.mapInArrow(partial(_pieces, vocabulary, window),
                             f"d {id_type}, start long, length long, ids_crc32 long, doc_tokens long, marks binary")
-    pieces = written(pieces.withColumn("bin", F.ceil(F.col("length") / BIN).cast("int")), "pieces")
+    # a number of the row, stored, deals pieces equal in all else over the buckets
+    pieces = written(pieces.withColumn("bin", F.ceil(F.col("length") / BIN).cast("int"))
+                     .withColumn("row", F.monotonically_increasing_id()), "pieces")
 
     bins = window // BIN
     histogram = {r["bin"]: r["count"] for r in pieces.groupBy("bin").count().collect()}    # one row a bin

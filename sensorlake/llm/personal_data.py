@@ -186,15 +186,21 @@ def _training_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS,
           train_windows: int = TRAIN_WINDOWS, steps: int = TRAIN_STEPS) -> dict | None:
-    """Tagger weights from about ``train_docs`` documents (by a hash of the id) of at most ``MAX_TRAIN_CHARS``
-    characters, and at most ``train_windows`` different windows of them. None without any."""
+    """Tagger weights from about ``train_docs`` documents (by a hash of id and text, so that null and repeated ids do not
+    stand or fall together) of at most ``MAX_TRAIN_CHARS`` characters, and at most ``train_windows`` different windows of
+    them. None only where no such document holds a digit or ``@``."""
     rows = docs.where(F.col(text_col).rlike("[0-9@]") & (F.length(text_col) <= MAX_TRAIN_CHARS))
     n = rows.count()
     limit = 1 << 20
-    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("pii")), F.lit(limit)) / limit
-    windows = (rows.where(chance < min(1.0, train_docs / max(n, 1))).select(F.col(text_col).alias("t"))
-               .mapInArrow(_training_windows, "x binary, y binary").distinct()
-               .orderBy(F.xxhash64("x", "y"), "x", "y").limit(train_windows).toArrow())
+    draw = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("pii"))
+
+    def windows_in(some: DataFrame) -> pa.Table:
+        return (some.select(F.col(text_col).alias("t")).distinct().mapInArrow(_training_windows, "x binary, y binary").distinct()
+                .orderBy(F.xxhash64("x", "y"), "x", "y").limit(train_windows).toArrow())
+
+    windows = windows_in(rows.where(F.pmod(draw, F.lit(limit)) / limit < min(1.0, train_docs / max(n, 1))))
+    if n and not windows.num_rows:                  # rows alike, none of which was drawn
+        windows = windows_in(rows.orderBy(draw, text_col).limit(1))
     if not windows.num_rows:
         return None
     x, y = (np.frombuffer(b"".join(windows.column(c).to_pylist()), np.int8).reshape(-1, WIDTH).astype(np.int64)

@@ -12,8 +12,10 @@ framing is decoded. Records that are not segmented pass without a shuffle.
 
 Defined results: a null payload is empty; payloads under ``MIN_REVISIT`` bytes are all responses; rows equal in id and
 payload share one record id: each comes back as a row, with the smallest id all as responses; a null
-id is never the smallest while others are there; incomplete segments come back with a null payload and
-``complete`` false; extra columns are not read.
+id is never the smallest while others are there; extra columns are not read. Where a segment is missing, the first one too,
+the record comes back with a null payload and ``complete`` false (known by its origin's id, and by page and URL where a segment
+names them). So does a record cut short. Bytes that are no record are one row of type ``unreadable`` for each
+stretch of them; reading goes on at the next record.
 """
 
 from __future__ import annotations
@@ -87,7 +89,8 @@ def _records(segment: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
             for k, part in enumerate(parts[1:], 2):
                 total = str(len(block)) if k == len(parts) else None
                 out.append(_record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{row['rid']}#{k}>"),
-                                    ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)),
+                                    ("WARC-Date", DATE), ("WARC-Target-URI", _escaped(row["url"])), ("X-Page-ID", _escaped(row["id"])),
+                                    ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", str(k)),
                                     ("WARC-Segment-Total-Length", total)], part))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
@@ -134,24 +137,36 @@ _ROW = pa.schema([(x, pa.int64() if x in ("number", "total") else pa.string()) f
                  + [("block", pa.binary())])
 
 
-def records_of(content: bytes) -> Iterator[dict]:
-    """Records of one archive, by their content lengths."""
-    at = 0
-    while at < len(content):
-        if content[at:at + 5] != b"WARC/":
-            raise ValueError(f"no record at byte {at}")
-        stop = content.index(END.encode(), at)
-        fields = dict(line.split(": ", 1) for line in content[at:stop].decode("utf-8").split("\r\n")[1:])
-        size = int(fields["Content-Length"])
+def _header(head: bytes) -> dict | None:
+    """Fields of a record's header by our names, and its ``size``; None if it can't be read."""
+    try:
+        fields = dict(line.split(": ", 1) for line in head.decode("utf-8").split("\r\n")[1:])
         row = {own: fields.get(name) for name, own in _FIELDS.items()}
         for x in ("number", "total"):
             row[x] = None if row[x] is None else int(row[x])
-        row["page"], row["url"] = _unescaped(row["page"]), _unescaped(row["url"])
-        row["block"] = content[stop + 4:stop + 4 + size]
-        if len(row["block"]) != size:
-            raise ValueError(f"record at byte {at} is cut short")
-        at = stop + 4 + size + 4
-        yield row
+        return row | {"size": int(fields["Content-Length"]), "page": _unescaped(row["page"]), "url": _unescaped(row["url"])}
+    except (ValueError, KeyError):
+        return None
+
+
+def records_of(content: bytes) -> Iterator[dict]:
+    """Records of one archive, by their content lengths. A record cut short has no block; stretches
+    that are no record are rows of kind ``unreadable``."""
+    at, end = 0, END.encode()
+    while at < len(content):
+        stop = content.find(end, at)
+        row = _header(content[at:stop]) if stop >= 0 and content[at:at + 5] == b"WARC/" else None
+        if row is None or row["size"] < 0:
+            yield {own: None for own in _FIELDS.values()} | {"kind": "unreadable", "block": None}
+            following = content.find(end + b"WARC/", at)
+            at = len(content) if following < 0 else following + 4
+            continue
+        size = row.pop("size")
+        block = content[stop + 4:stop + 4 + size]
+        whole = len(block) == size and content[stop + 4 + size:stop + 8 + size] in (end, b"")
+        yield row | {"block": block if whole else None}
+        following = content.find(end + b"WARC/", stop)
+        at = stop + 8 + size if whole else len(content) if following < 0 else following + 4
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +175,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, size = [], 0
             for row in records_of(content.as_py()):
                 rows.append(row)
-                size += len(row["block"])
+                size += len(row["block"] or b"")
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, _ROW)
                     rows, size = [], 0
@@ -207,13 +222,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             .mapInArrow(_parsed, ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'string'}"
                                            for f in _ROW if f.name != "block") + ", block binary"))
     cols = ["page", "url", "kind", "digest", "rid", "refers", "block"]
-    whole = rows.where("kind <> 'continuation' AND number IS NULL").select(*cols, F.lit(True).alias("complete"))
+    whole = rows.where("kind <> 'continuation' AND number IS NULL").select(*cols, F.col("block").isNotNull().alias("complete"))
 
     text = F.col("block").cast("string")                     # the same bytes: strings can be joined in one step
-    parts = (rows.where("kind = 'continuation'").groupBy("origin", "number")
+    parts = (rows.where("kind = 'continuation' AND block IS NOT NULL").groupBy("origin", "number")
              .agg(F.first("block").alias("block"), F.max("total").alias("total"))
              .groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("number", text.alias("text")))).alias("parts"),
                                     F.max("total").alias("total")))
+    # continuations of which the first segment is lost
+    named = (rows.where("kind = 'continuation'").groupBy(F.col("origin").alias("rid"))
+             .agg(F.max("page").alias("page"), F.max("url").alias("url")))
+    started = rows.where("number = 1").select(F.col("rid").alias("begun"))
+    orphans = named.join(started, F.col("rid").eqNullSafe(F.col("begun")), "left_anti").select(
+        "page", "url", F.lit("response").alias("kind"), F.lit(None).cast("string").alias("digest"), "rid",
+        F.lit(None).cast("string").alias("refers"), F.lit(None).cast("binary").alias("block"), F.lit(False).alias("complete"))
     first = rows.where("kind = 'response' AND number = 1")
     tail = F.array_join("parts.text", "")
     in_order = F.col("parts.number") == F.sequence(F.lit(2).cast("long"), F.size("parts").cast("long") + 1)
@@ -221,7 +243,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         "complete", F.coalesce(in_order & (F.octet_length("block") + F.octet_length(tail) == F.col("total")), F.lit(False)))
     again = joined.withColumn("block", F.when(F.col("complete"), F.concat(F.col("block"), tail.cast("binary"))))
     again = again.select(*cols, "complete")
-    found = whole.unionByName(again)
+    found = whole.unionByName(again).unionByName(orphans)
     return found.select("page", "url", F.col("kind").alias("record_type"),
                         F.when(F.col("kind") == "response", _payload("block")).alias("payload"),
                         F.regexp_replace("digest", "^sha256:", "").alias("digest"), "complete", "rid", "refers")

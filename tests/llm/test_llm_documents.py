@@ -240,3 +240,35 @@ def test_personal_long_runs():
     """Linear on long runs of one class."""
     for text in ("a" * 200_000, "1" * 200_000, "1 " * 100_000, "+" * 100_000, "a.b" * 60_000 + "@"):
         assert base_spans(text) == []
+
+
+def test_secrets_many_matches(spark):
+    """The work grows with a text's matches, not with their square; places stay right across stretches."""
+    n = 70_000
+    text = "é token=abcdefgh12 " * n
+    weak = "AbCdEfGh0123456789AbCdEfGh0123 ASIAABCDEFGHIJKL " * (n // 2)
+    df = spark.createDataFrame([(1, text), (2, weak)], "doc_id long, text string")
+    found = {r.doc_id: r for r in find_secrets(df).collect()}
+    assert [(s.start, s.end) for s in found[1].base] == [(19 * k + 2, 19 * k + 18) for k in range(n)]
+    assert len(found[2].linked) == n // 2 * 2
+
+
+def test_equal_items_are_dealt(spark):
+    """Items of one text and many ids make groups of bounded size."""
+    from sensorlake.llm.decontaminate import _item_groups
+    items = spark.createDataFrame([(k, "one text of some words") for k in range(2000)], "item_id long, text string")
+    n, groups = _item_groups(items, "item_id", "text", 4000)
+    sizes = [len(g) for g in groups]
+    assert len(sizes) == n == 11 and sum(sizes) == 2000 and max(sizes) < 300
+
+
+def test_hub_joins_can_be_split(spark):
+    """The star joins shuffle both sides for themselves."""
+    from sensorlake.llm.components import _large_star, _star
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([(0, k) for k in range(1, 50)], "b long, a long").select("a", "b")
+        for star in (_star, _large_star):
+            assert "REBALANCE" in star(edges)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -361,16 +361,44 @@ def expected(rows, row):
     return "revisit", min(ids)
 
 
+def archive(spark, tmp_path, where):
+    """Bytes of an archive of pages with segments of 4,000 bytes, cut into records."""
+    warc.write_archives(pages(spark).where(where).coalesce(1), str(tmp_path / "w"), segment_bytes=4000)
+    content = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").iterdir()) if p.name.startswith("part"))
+    return content.split(b"\r\n\r\nWARC/1.1")
+
+
+def reread(spark, tmp_path, name, content):
+    (tmp_path / name).mkdir()
+    (tmp_path / name / "part.warc").write_bytes(content)
+    return warc.read_archives(spark, str(tmp_path / name)).collect()
+
+
 def test_warc_lost_segment(spark, tmp_path):
-    """A missing continuation is noticed."""
-    df = pages(spark).where("page_id = 5")
-    warc.write_archives(df, str(tmp_path / "w"), segment_bytes=4000)
-    part = next(p for p in (tmp_path / "w").iterdir() if p.name.startswith("part"))
-    records = part.read_bytes().split(b"\r\n\r\nWARC/1.1")
-    (tmp_path / "cut").mkdir()
-    (tmp_path / "cut" / "part.txt").write_bytes(b"\r\n\r\nWARC/1.1".join(records[:2] + records[3:]))
-    r = warc.read_archives(spark, str(tmp_path / "cut")).collect()
-    assert len(r) == 1 and not r[0].complete and r[0].payload is None
+    """A missing continuation is noticed, and a missing first segment."""
+    records, glue = archive(spark, tmp_path, "page_id = 5"), b"\r\n\r\nWARC/1.1"
+    assert len(records) > 3
+    for k in (0, 1, 2, len(records) - 1):
+        left = [r for x, r in enumerate(records) if x != k]
+        content = glue.join(left) if k else b"WARC/1.1" + glue.join(left)
+        r = reread(spark, tmp_path, f"cut{k}", content)
+        assert [(x.page, x.record_type, x.complete, x.payload) for x in r] == [("5", "response", False, None)]
+
+
+def test_warc_cut_files(spark, tmp_path):
+    """Archives cut short or with strange bytes in between: whole records come back, and nothing is lost in silence."""
+    records, glue = archive(spark, tmp_path, "page_id IN (0, 1, 2, 5)"), b"\r\n\r\nWARC/1.1"
+    whole = glue.join(records)
+    want = {x.page: x.payload for x in reread(spark, tmp_path, "whole", whole)}
+    assert set(want) == {"0", "1", "2", "5"}
+    hole = whole.index(b"WARC-Segment-Number: 1") + 1500
+    for name, content in (("short", whole[:-200]), ("head", whole + b"WARC/1.1\r\nWARC-Type: resp"), ("noise", b"noise" + whole),
+                          ("hole", whole[:hole] + whole[hole + 100:]), ("empty", b""), ("no length", b"WARC/1.1\r\nWARC-Type: response\r\n\r\n")):
+        r = reread(spark, tmp_path, name, content)
+        assert all(x.payload == want[x.page] for x in r if x.complete)
+        assert (len([x for x in r if not x.complete]) > 0) == (name != "empty")
+        if name in ("short", "hole"):
+            assert {x.page for x in r if x.complete} == {"0", "1", "2"} and "5" in {x.page for x in r}
 
 
 def test_chunked():
@@ -415,3 +443,31 @@ def test_url_filter(spark, max_blocks):
     kept = url_filter.drop_blocked(df, RULES, listed)
     assert kept.columns == df.columns
     assert url_filter.filter_urls(df.limit(0), RULES, listed.limit(0)).count() == 0
+
+
+def test_language_null_ids(spark):
+    """Rows without ids are drawn by their texts: languages are learned, and no document goes for want of an id."""
+    import random
+    rng = random.Random(1)
+    words = {"aa": "alpha bravo charlie delta echo".split(), "bb": "uno dos tres cuatro cinco".split()}
+    rows = [(None, " ".join(rng.choice(words[x]) for _ in range(12)), x) for x in words for _ in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = language.learn(df)
+    assert trees.langs == ["aa", "bb"]
+    assert language.drop_unknown(df, trees).count() == len(rows)
+    one = spark.createDataFrame([(None, "the very same words", "aa")] * 5000, "doc_id long, text string, lang string")
+    assert language.learn(one).langs == ["aa"] and language.drop_unknown(one, language.learn(one)).count() == 5000
+    unlabelled = one.withColumn("lang", F.lit(None).cast("string"))
+    assert language.drop_unknown(unlabelled, language.learn(unlabelled)).count() == 5000
+
+
+def test_personal_null_ids(spark):
+    df = spark.createDataFrame([(None, "call +49 30 123456 78 or write to me@example.org")] * 5000, "doc_id long, text string")
+    assert personal_data.learn(df, steps=2) is not None
+
+
+def test_packing_equal_rows(spark):
+    """Rows equal in everything are dealt over buckets by a stored row number."""
+    df = spark.createDataFrame([(None, "")] * 5000 + [(1, "x")], "doc_id long, text string")
+    rows = packing.pack(df).collect()
+    assert len(rows) == 5001 and len({(r.sequence_id, r.offset) for r in rows}) == 5001
