@@ -20,8 +20,8 @@ channel may hold a third of a 100 TB table. Here every series is cut into pieces
     a row: running aggregates forward and backward inside blocks as long as the frame, of which
     every frame needs exactly one of each.
 
-``exact_percentiles``  a value grid per group narrows down to the cells that hold the wanted ranks;
-    only their rows are ranked. Exact for any distribution.
+``exact_percentiles``  a mergeable quantile summary per group brackets the wanted ranks; what lies
+    between the brackets is only counted. Exact for any distribution.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ BUCKET_ROWS = 250_000
 BROADCAST_ROWS = 50_000
 #: Values over more binary magnitudes than this are cut by magnitude first.
 MAGNITUDES = 8
-#: Cells a group is cut into when percentiles are narrowed down; beyond so many magnitudes, by magnitude.
-VALUE_CELLS = 1024
-VALUE_MAGNITUDES = 64
+#: Quantiles that a large group's summary is asked for, and the summary's accuracy (it errs by 1 / accuracy of the rows).
+SUMMARY_POINTS = 1000
+SUMMARY_ACCURACY = 5000
 
 _INF = float("inf")
 
@@ -262,61 +262,26 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     """Exact percentiles (linear interpolation, as numpy / SQL quantile_cont), one row per group: ``keys + names``
     (NULL where a group has no valid value). NaN counts as missing.
 
-    Groups of many rows are narrowed down: counts per cell of an even grid between the group's least and
-    greatest value tell which cells hold the wanted ranks; only those cells' rows go on, and a cell that still
-    has too many different places is cut again. What is left is collapsed to (value, count) and ranked."""
-    keys, size = list(keys), bucket_rows or BUCKET_ROWS
+    A group of few rows is collapsed to (value, count) and ranked. For groups of many rows, one mergeable quantile summary a group
+    brackets all wanted ranks at once; one more pass keeps the values inside the brackets and collapses what lies between them
+    to a count each, so that few places are left to rank. The counts are exact, and so is the result whatever the
+    summary said: a group of which a bracket missed its rank is ranked without brackets."""
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
-    v = F.col(value).cast("double")
+    size, v = bucket_rows or BUCKET_ROWS, F.col(value).cast("double")
+    if not keys:
+        one = exact_percentiles(df.select(v.alias("_x"), F.lit(0).alias("_all")), ["_all"], "_x", probs, names=names, bucket_rows=size)
+        return one.agg(*[F.max(n).alias(n) for n in names])
+    keys = list(keys)
     rows = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"))
-    groups = rows.select(*keys).distinct() if keys else None
-    rows = rows.where("_v IS NOT NULL")
-
-    number = F.when(F.abs("_v") < _INF, F.col("_v"))
-    path = ["_b0"]
-    rows = rows.withColumn("_b0", F.lit(0).cast("long"))
-    extent = [F.count(F.lit(1)).alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi"),
-              F.min("_v").alias("_min"), F.max("_v").alias("_max")]
-    # pieces in play: their rows, the rows of the group below them, and the group's total
-    table = rows.groupBy(*keys, *path).agg(*extent).withColumn("_before", F.lit(0).cast("long")).withColumn("_total", F.col("_n"))
-    table = materialize(table)
-    while True:
-        over = table.where((F.col("_n") > size) & (F.col("_min") < F.col("_max")))
-        n_over = over.count()
-        if not n_over:
-            break
-        level, old = f"_b{len(path)}", path
-        side = bounded(over.select(*keys, *old, F.col("_lo").alias("_l"), F.col("_hi").alias("_h")), n_over)
-        cell = _cell(F.col("_v"), F.col("_l"), F.col("_h"), F.lit(VALUE_CELLS).cast("long"), VALUE_MAGNITUDES)
-        cut = rows.join(side, [*keys, *old], "left").withColumn(
-            level, F.when(F.col("_l").isNull() & F.col("_h").isNull(), F.lit(0).cast("long")).otherwise(cell)).drop("_l", "_h")
-        path = [*old, level]
-        mark = over.select(*keys, *old, F.col("_before").alias("_base"), F.col("_total").alias("_all"))
-        found = cut.groupBy(*keys, *path).agg(*extent).join(bounded(mark, n_over), [*keys, *old])
-        below = Window.partitionBy(*keys, *old).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        found = found.withColumn("_before", (F.col("_base") + F.coalesce(F.sum("_n").over(below), F.lit(0))).cast("long")).withColumn(
-            "_total", F.col("_all")).drop("_base", "_all")
-        found = found.where(_holds(probs, F.col("_before"), F.col("_before") + F.col("_n") - 1))
-        rest = table.join(over.select(*keys, *old), [*keys, *old], "left_anti").withColumn(level, F.lit(0).cast("long"))
-        table = materialize(rest.select(found.columns).unionByName(found))
-        rows = cut.join(small_side(table.select(*keys, *path)), [*keys, *path], "left_semi")
-
-    counted = rows.groupBy(*keys, *path, "_v").agg(F.count(F.lit(1)).alias("_w"))
-    counted = counted.join(table.select(*keys, *path, "_before", "_total"), [*keys, *path])
-    inside = Window.partitionBy(*keys, *path).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    lo = F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0))
-    ranked = counted.select(*keys, "_v", "_total", lo.alias("_lo"), (lo + F.col("_w") - 1).alias("_hi"))
-    ranked = ranked.where(_holds(probs, F.col("_lo"), F.col("_hi")))
-    aggs = []
-    for p, n in zip(probs, names):
-        k0, k1, share = _ranks(p)
-        for tag, k in (("0", k0), ("1", k1)):
-            aggs.append(F.max(F.when((F.col("_lo") <= k) & (k <= F.col("_hi")), F.col("_v"))).alias(f"{n}_{tag}"))
-        aggs.append(F.max(share).alias(f"{n}_s"))
-    found = ranked.groupBy(*keys).agg(*aggs).select(*keys, *[
-        F.when(F.col(f"{n}_0") == F.col(f"{n}_1"), F.col(f"{n}_0")).otherwise(
-            F.col(f"{n}_0") + F.col(f"{n}_s") * (F.col(f"{n}_1") - F.col(f"{n}_0"))).alias(n) for n in names])
-    return groups.join(found, keys, "left") if keys else found
+    large = materialize(rows.groupBy(*keys).agg(F.count("_v").alias("_total")).where(F.col("_total") > size))
+    n_large = large.count()
+    plain = [F.col("_v").alias("_o"), F.col("_v").isNotNull().alias("_kept")]
+    if not n_large:
+        return _picked(_running(_collapsed(rows.select(*keys, *plain), keys), keys), keys, probs, names)
+    few = rows.join(bounded(large, n_large), keys, "left_anti")
+    many = rows.where("_v IS NOT NULL").join(bounded(large, n_large), keys)
+    found = _picked(_running(_collapsed(few.select(*keys, *plain), keys), keys), keys, probs, names)
+    return found.unionByName(_picked(_ranked_places(_bracketed(many, keys, probs, n_large), keys, probs, size), keys, probs, names))
 
 
 def _ranks(p: float) -> tuple[Column, Column, Column]:
@@ -330,3 +295,86 @@ def _holds(probs: Sequence[float], lo: Column, hi: Column) -> Column:
     """Whether ranks lo .. hi hold one that is wanted."""
     wanted = [k for p in probs for k in _ranks(p)[:2]]
     return reduce(lambda a, b: a | b, [(lo <= k) & (k <= hi) for k in wanted])
+
+
+def _collapsed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _o, _kept, _w): equal places in the order once, with their count; a missing value counts nothing."""
+    return rows.groupBy(*keys, "_o", "_kept").agg(F.count("_o").alias("_w"))
+
+
+def _running(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Collapsed groups with their total and the ranks _lo .. _hi of every place."""
+    before = Window.partitionBy(*keys).orderBy("_o", "_kept").rowsBetween(Window.unboundedPreceding, -1)
+    lo = F.coalesce(F.sum("_w").over(before), F.lit(0))
+    return (counted.withColumn("_total", F.sum("_w").over(Window.partitionBy(*keys))).withColumn("_lo", lo)
+            .withColumn("_hi", F.col("_lo") + F.col("_w") - 1))
+
+
+def _ranked_places(counted: DataFrame, keys: list[str], probs: Sequence[float], size: int) -> DataFrame:
+    """``_running`` for groups of any number of places: beyond four times ``size`` only pieces of them that hold a wanted
+    rank are ranked, each for itself."""
+    most = counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= 4 * size:
+        return _running(counted, keys)
+    # what is not kept comes just before the kept place of the same value
+    rows, path, _ = pieces(counted.withColumn("_k", F.col("_kept").cast("int")), keys, ["_o", "_k"], size)
+    table = rows.groupBy(*keys, *path).agg(F.sum("_w").alias("_w"))
+    earlier = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
+    table = table.withColumn("_before", F.coalesce(F.sum("_w").over(earlier), F.lit(0))).withColumn(
+        "_total", F.sum("_w").over(Window.partitionBy(*keys)))
+    table = small_side(table.where(_holds(probs, F.col("_before"), F.col("_before") + F.col("_w") - 1)).drop("_w"))
+    inside = Window.partitionBy(*keys, *path).orderBy("_o", "_kept").rowsBetween(Window.unboundedPreceding, -1)
+    lo = F.col("_before") + F.coalesce(F.sum("_w").over(inside), F.lit(0))
+    return (rows.join(table, [*keys, *path]).withColumn("_lo", lo).withColumn("_hi", F.col("_lo") + F.col("_w") - 1)
+            .select(*keys, "_o", "_kept", "_w", "_total", "_lo", "_hi"))
+
+
+def _picked(ranked: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """The percentiles of ranked groups."""
+    aggs = []
+    for p, n in zip(probs, names):
+        k0, k1, share = _ranks(p)
+        for tag, k in (("0", k0), ("1", k1)):
+            aggs.append(F.max(F.when((F.col("_lo") <= k) & (k <= F.col("_hi")), F.col("_o"))).alias(f"{n}_{tag}"))
+        aggs.append(F.max(share).alias(f"{n}_s"))
+    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *[
+        F.when(F.col(f"{n}_0") == F.col(f"{n}_1"), F.col(f"{n}_0")).otherwise(
+            F.col(f"{n}_0") + F.col(f"{n}_s") * (F.col(f"{n}_1") - F.col(f"{n}_0"))).alias(n) for n in names])
+
+
+def _bracketed(many: DataFrame, keys: list[str], probs: Sequence[float], groups: int) -> DataFrame:
+    """Groups of many rows (keys, _v, _total) collapsed but for the values around their wanted ranks."""
+    def bracket(p: float) -> Column:
+        """Values around the ranks: a point further on either side than the summary errs."""
+        first, last, _ = _ranks(p)
+        a = F.floor((first / F.col("_total") - 3.0 / SUMMARY_ACCURACY) * SUMMARY_POINTS).cast("int")
+        b = F.ceil(((last + 1) / F.col("_total") + 3.0 / SUMMARY_ACCURACY) * SUMMARY_POINTS).cast("int")
+        return F.struct(F.when(a > 0, F.col("_grid")[a]).otherwise(F.lit(-_INF)).alias("a"),
+                        F.when(b < SUMMARY_POINTS, F.col("_grid")[b]).otherwise(F.lit(_INF)).alias("b"))
+
+    probs = sorted(probs)
+    points = [k / SUMMARY_POINTS for k in range(SUMMARY_POINTS + 1)]
+    at = many.groupBy(*keys).agg(F.max("_total").alias("_total"), F.percentile_approx("_v", points, SUMMARY_ACCURACY).alias("_grid"))
+    at = materialize(at.select(*keys, "_total", F.array(*map(bracket, probs)).alias("_at")))
+    ends = [(F.col("_at")[j]["a"], F.col("_at")[j]["b"]) for j in range(len(probs))]
+    x = F.col("_v")
+    kept = reduce(lambda p, q: p | q, [(x >= a) & (x <= b) for a, b in ends])
+    # what lies below a bracket comes just before it
+    below = reduce(lambda w, a: w.when(x < a, a), [a for a, _ in ends], F).otherwise(F.lit(_INF))
+    for _ in range(2):
+        placed = many.select(*keys, "_v").join(bounded(at, groups), keys).withColumn("_kept", F.coalesce(kept, F.lit(False)))
+        order = F.coalesce(F.when(F.col("_kept"), x).otherwise(below), F.lit(_INF))
+        counted = materialize(_collapsed(placed.select(*keys, order.alias("_o"), "_kept"), keys))
+        o, k, w, sums, missed = F.col("_o"), F.col("_kept"), F.col("_w"), [], []
+        for j, (p, (a, b)) in enumerate(zip(probs, ends)):
+            sums += [F.sum(F.when((o < a) | ((o == a) & ~k), w).otherwise(0)).alias(f"_u{j}"),
+                     F.sum(F.when(k & (o >= a) & (o <= b), w).otherwise(0)).alias(f"_i{j}")]
+            first, last, _ = _ranks(p)
+            missed.append((first < F.col(f"_u{j}")) | (last >= F.col(f"_u{j}") + F.col(f"_i{j}")))
+        checked = counted.join(bounded(at, groups), keys).groupBy(*keys).agg(F.max("_total").alias("_total"), *sums)
+        open_ = materialize(checked.where(reduce(lambda p, q: p | q, missed)).select(*keys, F.lit(True).alias("_open")))
+        if not open_.count():
+            break
+        every = F.array(*[F.struct(F.lit(-_INF).alias("a"), F.lit(_INF).alias("b"))] * len(probs))
+        at = materialize(at.join(open_, keys, "left").select(*keys, "_total", F.when(F.col("_open"), every).otherwise(F.col("_at")).alias("_at")))
+    return counted
