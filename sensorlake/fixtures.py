@@ -86,3 +86,10 @@ def load_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.select(F.col("user_id").alias("record_id"), "ts", F.col("event_id").alias("rid"),
                      nan_to_null("value").alias("load"))
+
+
+def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many recordings: the quantities of every supplier (``dataset_id``)."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("dataset_id"), F.lit("l_quantity").alias("channel"), F.col("l_shipdate").alias("ts"),
+        F.col("l_orderkey").alias("rid"), nan_to_null("l_quantity").cast("double").alias("value"))

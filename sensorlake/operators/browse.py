@@ -62,7 +62,7 @@ def page_rows(df: DataFrame, page: int, *, size: int = PAGE_SIZE, order: Sequenc
     the same as the first."""
     total = df.count()
     p, pages, start, end = page_bounds(total, page, size)
-    pos = with_position(df, [], list(order), only=lambda first, stop: (first < end) & (stop > start))
+    pos = with_position(df, [], list(order), only=lambda first, stop, total: (first < end) & (stop > start))
     rows = pos.where((F.col("pos") >= start) & (F.col("pos") < end))
     return rows.select(
         (F.col("pos") + 1).alias("row_num"), F.lit(p).cast("long").alias("page"),

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlake.functions.numeric import nan_to_null
-from sensorlake.plans.ranking import with_position
+from sensorlake.plans.ranking import materialize, placed_pieces, small_side
 from sensorlake.functions.shipping import by_value
 
 by_value(__name__)      # pandas-UDF helpers travel with the task
@@ -157,12 +157,25 @@ def time_quartiles(wide: DataFrame, x: str, y: str, *, order: Sequence[str] = ("
                    ts: str = "ts") -> DataFrame:
     """Split the pair cloud into 4 slices in time order: rows [(q·n)//4, ((q+1)·n)//4).
     q = (4·pos + 3) div n (not ntile, which puts the remainder first).
-    One row per non-empty quartile with count, means and time span."""
-    full = wide.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    p = with_position(full, [], list(order))
-    n = full.count()
-    q = F.floor((F.col("pos") * 4 + 3) / F.lit(max(n, 1))).cast("long")
-    return (p.withColumn("q", q).groupBy("q")
-            .agg(F.count(F.lit(1)).cast("long").alias("n"), F.min("pos").alias("pos_lo"), F.max("pos").alias("pos_hi"),
-                 F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"), F.min(ts).alias("ts_first"),
-                 F.max(ts).alias("ts_last")))
+    One row per non-empty quartile with count, means and time span.
+
+    Pieces of the order that lie in one quartile are aggregated as they are; only the pieces that hold a border
+    between two, three at most, are sorted."""
+    full = wide.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([*order, x, y, ts]))
+    rows, path, table = placed_pieces(full, [], list(order))
+
+    def quartile(pos: Column) -> Column:
+        return F.floor((pos * 4 + 3) / F.col("_total")).cast("long")
+
+    table = materialize(table.withColumn("q", quartile(F.col("_before"))).withColumn(
+        "_cut", quartile(F.col("_before") + F.col("_n") - 1) != F.col("q")))
+    whole = rows.join(small_side(table.where(~F.col("_cut")).select(*path, "q", "_total")), path)
+    parts = rows.join(small_side(table.where("_cut").select(*path, "_before", "_total")), path)
+    inside = F.row_number().over(Window.partitionBy(*path).orderBy(*order)) - 1
+    parts = parts.withColumn("q", quartile(F.col("_before") + inside))
+    cols = ["q", "_total", x, y, *([ts] if ts not in (x, y) else [])]
+    g = whole.select(*cols).unionByName(parts.select(*cols)).groupBy("q").agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.max("_total").alias("_total"), F.avg(x).alias("x_mean"), F.avg(y).alias("y_mean"),
+        F.min(ts).alias("ts_first"), F.max(ts).alias("ts_last"))
+    begin = F.ceil((F.col("q") * F.col("_total") - 3) / 4).cast("long")
+    return g.select("q", "n", begin.alias("pos_lo"), (begin + F.col("n") - 1).alias("pos_hi"), "x_mean", "y_mean", "ts_first", "ts_last")

@@ -52,8 +52,18 @@ def stride_pick(df: DataFrame, n: int, *, keys: Sequence[str] = (), pos: str = "
 
 
 def stride_downsample(df: DataFrame, n: int, *, keys: Sequence[str] = (), order: Sequence[str] = ("ts", "rid")) -> DataFrame:
-    """Uniform-stride pick of n of N rows per series in ``order`` (adds pos, k)."""
-    p = with_position(df, list(keys), list(order))
+    """Uniform-stride pick of n of N rows per series in ``order`` (adds pos, k). Only pieces of the order that hold a
+    target are sorted."""
+    def holds(first: Column, stop: Column, total: Column) -> Column:
+        step = (total - 1).cast("double") / F.lit(float(max(n - 1, 1)))
+        near = F.floor(first / step).cast("long")
+        hit = (total <= n) | (stop >= total)                     # the last target is the last row
+        for d in (-1, 0, 1, 2):
+            at = F.floor((near + d).cast("double") * step).cast("long")
+            hit = hit | ((near + d >= 0) & (at >= first) & (at < stop))
+        return hit
+
+    p = with_position(df, list(keys), list(order), only=holds)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("N"))      # from the input: no second ranking
     return stride_pick(p, n, keys=keys, counts=counts)
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import halo_window, materialize, small_side, with_position
+from sensorlake.plans.ranking import halo_window, materialize, position_runs, small_side, with_position
 
 
 def positions(records: DataFrame, *, record: str = "record_id", order: Sequence[str] = ("ts", "rid")) -> DataFrame:
@@ -53,10 +53,8 @@ def event_window(p: DataFrame, *, record: str = "record_id", load: str = "load",
         F.max(F.when(F.col("_above"), F.col("pos"))).alias("last_above"))
     if contiguous_run > 0:
         below = q.where(~F.col("_above")).select(record, "pos", "peak_pos")
-        bp = with_position(below, [record], ["pos"], pos="_bpos")
-        isl = (bp.groupBy(record, (F.col("pos") - F.col("_bpos")).alias("_k"))
-               .agg(F.min("pos").alias("i_start"), F.max("pos").alias("i_end"), F.count(F.lit(1)).alias("i_len"),
-                    F.first("peak_pos").alias("peak_pos")))
+        isl = position_runs(below, [record], "pos", first={"peak_pos": "peak_pos"}).withColumnsRenamed(
+            {"start_pos": "i_start", "end_pos": "i_end", "n": "i_len"})
         isl = isl.where(F.col("i_len") >= contiguous_run)
         ends = isl.groupBy(record).agg(
             F.min(F.when(F.col("i_start") > F.col("peak_pos"), F.col("i_start"))).alias("_end"),

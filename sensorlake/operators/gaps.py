@@ -1,9 +1,8 @@
 """Missing-data gaps: runs of ≥ 3 missing samples and their diagnostics.
 
-Gaps-and-islands without a per-channel window: position of every sample and
-position among the missing samples are both computed with the distributed
-ranking; inside one run the difference is constant, so a run is one
-``groupBy(channel, pos − mpos)`` group (partial aggregation, any run length).
+Gaps-and-islands without a per-channel window: every sample gets its position by the
+distributed ranking; runs of missing ones are found inside chunks of positions and put together
+over the small table of runs at the chunks' borders (``position_runs``).
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from sensorlake.functions.timefns import ntz_lit
 
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ts_micros
 from sensorlake.operators.stats import COVERAGE_POS, COVERAGE_WARN, signal_high_good
-from sensorlake.plans.ranking import materialize, small_side, with_position
+from sensorlake.plans.ranking import materialize, position_runs, small_side, with_position
 
 MIN_GAP_SAMPLES = 3  # fixed value: shorter missing runs are not outages
 
@@ -27,15 +26,10 @@ def gap_segments(readings: DataFrame, *, min_len: int = MIN_GAP_SAMPLES, keys: S
     """One row per run of ≥ min_len consecutive missing samples:
     keys, start_pos, end_pos, start_ts, end_ts, n, dur_us (= end_ts − start_ts)."""
     keys, order = list(keys), list(order)
-    src = readings.select(*keys, *order, value)
-    p = with_position(src, keys, order)
-    # the missing rows are ranked a second time (three passes): read them from a checkpoint
-    miss = materialize(p.where(F.col(value).isNull()).select(*keys, ts, "pos"))
-    mp = with_position(miss, keys, ["pos"], pos="mpos")
-    runs = (mp.groupBy(*keys, (F.col("pos") - F.col("mpos")).alias("_isl"))
-            .agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count(F.lit(1)).alias("n"),
-                 F.min_by(ts, "pos").alias("start_ts"), F.max_by(ts, "pos").alias("end_ts")))
-    runs = runs.where(F.col("n") >= min_len).drop("_isl")
+    p = with_position(readings.select(*keys, *order, value), keys, order)
+    runs = position_runs(p.where(F.col(value).isNull()).select(*keys, ts, "pos"), keys, "pos",
+                         first={"start_ts": ts}, last={"end_ts": ts})
+    runs = runs.where(F.col("n") >= min_len)
     return runs.withColumn("dur_us", micros_between(F.col("start_ts"), F.col("end_ts")))
 
 
@@ -82,11 +76,12 @@ def quality_kpis(diag: DataFrame, frame: DataFrame | None = None, *, ts: str = "
 
 def gap_offenders(diag: DataFrame, top: int = 5) -> DataFrame:
     """Top channels by longest gap (stable by column order) + #channels with gaps."""
+    d = materialize(diag)                       # a row a channel, read twice
+    n_with = d.agg(F.count_if(F.col("n_episodes") > 0)).first()[0]
     w = Window.orderBy(F.col("longest_n").desc(), F.col("ordinal"))
-    n_with = F.count_if(F.col("n_episodes") > 0).over(Window.partitionBy())
-    d = diag.withColumn("rank", F.row_number().over(w).cast("long")).withColumn("n_with_gaps", n_with.cast("long"))
-    return d.where(F.col("rank") <= top).select("rank", "channel", "longest_n", "longest_dur_us", "n_episodes",
-                                                "coverage", "n_with_gaps")
+    best = d.orderBy(F.col("longest_n").desc(), F.col("ordinal")).limit(top)
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).select(
+        "rank", "channel", "longest_n", "longest_dur_us", "n_episodes", "coverage", F.lit(n_with).cast("long").alias("n_with_gaps"))
 
 
 def gap_timeline(gaps: DataFrame, frame: DataFrame, *, ts: str = "ts", n_ticks: int = 5,

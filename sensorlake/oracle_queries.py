@@ -42,6 +42,17 @@ for _rule in ("5min", "hourly", "daily", "weekly"):
 SQL["resample_orders_weekly_mean"] = resample_sql(o.ORDERS_SERIES, RULES["weekly"], {"value": DUCK_AGG["mean"]})
 SQL["resample_orders_daily_last"] = resample_sql(o.ORDERS_SERIES, RULES["daily"], {"value": DUCK_AGG["last"]})
 
+SQL["resample_suppliers_weekly"] = o.with_ctes(
+    """SELECT s.dataset_id, 'l_quantity' AS channel, s.origin + to_microseconds(s.bin * 604800000000) AS ts,
+              round(a.mean, 6) AS mean, round(a.max, 6) AS max, round(a.median, 6) AS median
+       FROM s LEFT JOIN a ON a.dataset_id = s.dataset_id AND a.bin = s.bin""",
+    r="SELECT l_suppkey AS dataset_id, CAST(l_shipdate AS TIMESTAMP) AS ts, CAST(l_quantity AS DOUBLE) AS value FROM lineitem",
+    o="SELECT dataset_id, CAST(date_trunc('day', min(ts)) AS TIMESTAMP) AS origin, max(ts) AS hi FROM r GROUP BY dataset_id",
+    a="SELECT r.dataset_id, date_diff('microsecond', origin, ts) // 604800000000 AS bin, avg(value) AS mean, max(value) AS max, "
+      "median(value) AS median FROM r JOIN o USING (dataset_id) WHERE value IS NOT NULL GROUP BY 1, 2",
+    s="SELECT dataset_id, origin, unnest(range(0, date_diff('microsecond', origin, hi) // 604800000000 + 1)) AS bin FROM o",
+)
+
 SQL["window7d_daily_mean_units"] = o.with_ctes(
     """SELECT d.channel, d.ts, d.value, c.family, c.unit FROM d LEFT JOIN c USING (channel)""",
     src=o.EVENTS_LONG,

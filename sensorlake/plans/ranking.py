@@ -13,6 +13,9 @@ channel may hold a third of a 100 TB table. Here every series is cut into pieces
     of the series in earlier pieces (a running sum over the count table). ``only`` restricts the
     work to pieces that hold wanted positions.
 
+``position_runs``  runs of consecutive positions: found inside chunks, put together over the small table of runs at
+    the chunks' borders.
+
 ``halo_window``  a rows frame [-lo, +hi] over positions, per chunk of C positions; rows near a
     chunk's edge are copied to the neighbour chunk. Each task holds at most C + lo + hi rows.
 
@@ -159,27 +162,60 @@ def pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_rows
     return rows, path, table.select(*keys, *path, "_n")
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, pos: str = "pos",
-                  bucket_rows: int | None = None, only: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def placed_pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket_rows: int | None = None
+                  ) -> tuple[DataFrame, list[str], DataFrame]:
+    """``pieces`` with the rows of the series before each piece (``_before``) and in all (``_total``)."""
+    rows, path, table = pieces(df, keys, order, bucket_rows)
+    earlier = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
+    return rows, path, table.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long")).withColumn(
+        "_total", F.sum("_n").over(Window.partitionBy(*keys)))
+
+
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, pos: str = "pos", bucket_rows: int | None = None,
+                  only: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Add ``pos``: the 0-based rank of the row in its series by ``order``.
 
-    ``order`` must be a total order within a series (e.g. ts, rid), and the keys not null. ``only``: a condition
-    on (first position, end) of a piece; rows of other pieces are left out before any sort.
+    ``order`` must be a total order within a series (e.g. ts, rid), and the keys not null. ``only``: a condition on a piece's
+    first position, its end and the series' length; rows of other pieces are left out before any sort.
     """
     keys, order = list(keys), list(order)
-    rows, path, table = pieces(df, keys, order, bucket_rows)
-    earlier = Window.partitionBy(*keys).orderBy(*path).rowsBetween(Window.unboundedPreceding, -1)
-    table = table.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).cast("long"))
+    rows, path, table = placed_pieces(df, keys, order, bucket_rows)
+    inside = F.row_number().over(Window.partitionBy(*keys, *path).orderBy(*order)) - 1
     if only is not None:
-        table = materialize(table.where(only(F.col("_before"), F.col("_before") + F.col("_n"))))
-        rows = rows.join(small_side(table.select(*keys, *path)), [*keys, *path], "left_semi")
-    inside = Window.partitionBy(*keys, *path).orderBy(*order)
-    ranked = rows.withColumn("_inside", F.row_number().over(inside) - 1)
-    return (ranked.join(table.drop("_n"), [*keys, *path])
-            .withColumn(pos, (F.col("_before") + F.col("_inside")).cast("long")).drop("_inside", "_before", *path)
+        wanted = table.where(only(F.col("_before"), F.col("_before") + F.col("_n"), F.col("_total")))
+        ranked = rows.join(small_side(wanted.drop("_n", "_total")), [*keys, *path]).withColumn("_inside", inside)
+    else:
+        ranked = rows.withColumn("_inside", inside).join(table.drop("_n", "_total"), [*keys, *path])
+    return (ranked.withColumn(pos, (F.col("_before") + F.col("_inside")).cast("long")).drop("_inside", "_before", *path)
             .select(*df.columns, pos))
 
 
+def position_runs(flagged: DataFrame, keys: Sequence[str], pos: str, *, first: dict[str, str] | None = None,
+                  last: dict[str, str] | None = None, chunk: int = 100_000) -> DataFrame:
+    """Runs of consecutive positions among the given rows: keys, start_pos, end_pos, n and columns of a run's first and
+    last row (new name -> column).
+
+    Runs are found in chunks of positions; those that touch a chunk's border, two a chunk at most, are put together over
+    the small table of them. A run of any length is a chain of such pieces, never one group of rows."""
+    keys, first, last = list(keys), first or {}, last or {}
+    at = F.floor(F.col(pos) / F.lit(chunk)).cast("long")
+    rows = flagged.withColumn("_chunk", at)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(pos)
+    rows = rows.withColumn("_isl", F.col(pos) - F.row_number().over(inside))
+    ends = [F.min(pos).alias("start_pos"), F.max(pos).alias("end_pos"), F.count(F.lit(1)).alias("n"),
+            *[F.min_by(c, pos).alias(n) for n, c in first.items()], *[F.max_by(c, pos).alias(n) for n, c in last.items()]]
+    local = rows.groupBy(*keys, "_chunk", "_isl").agg(*ends).drop("_chunk", "_isl")
+    border = (F.col("start_pos") % chunk == 0) | ((F.col("end_pos") + 1) % chunk == 0)
+    along = Window.partitionBy(*keys).orderBy("start_pos")
+    new = F.coalesce(F.col("start_pos") != F.lag("end_pos").over(along) + 1, F.lit(True)).cast("int")
+    chains = local.where(border).withColumn("_new", new).withColumn("_run", F.sum("_new").over(along))
+    merged = chains.groupBy(*keys, "_run").agg(
+        F.min("start_pos").alias("_s"), F.max("end_pos").alias("_e"), F.sum("n").alias("n"),
+        *[F.min_by(n, "start_pos").alias(n) for n in first], *[F.max_by(n, "start_pos").alias(n) for n in last])
+    merged = merged.withColumnsRenamed({"_s": "start_pos", "_e": "end_pos"}).select(*local.columns)
+    return local.where(~border).unionByName(merged)
+
+
 # --------------------------------------------------------------------------- frames over positions
 def chunk_size(lo: int, hi: int, base: int = 100_000) -> int:
     return max(base, 10 * (lo + hi + 1))
@@ -353,8 +389,9 @@ def _bracketed(many: DataFrame, keys: list[str], probs: Sequence[float], groups:
                         F.when(b < SUMMARY_POINTS, F.col("_grid")[b]).otherwise(F.lit(_INF)).alias("b"))
 
     probs = sorted(probs)
-    points = [k / SUMMARY_POINTS for k in range(SUMMARY_POINTS + 1)]
-    at = many.groupBy(*keys).agg(F.max("_total").alias("_total"), F.percentile_approx("_v", points, SUMMARY_ACCURACY).alias("_grid"))
+    points = ", ".join(f"{k / SUMMARY_POINTS!r}D" for k in range(SUMMARY_POINTS + 1))
+    at = many.groupBy(*keys).agg(F.max("_total").alias("_total"), F.expr(
+        f"percentile_approx(_v, array({points}), {SUMMARY_ACCURACY})").alias("_grid"))
     at = materialize(at.select(*keys, "_total", F.array(*map(bracket, probs)).alias("_at")))
     ends = [(F.col("_at")[j]["a"], F.col("_at")[j]["b"]) for j in range(len(probs))]
     x = F.col("_v")

@@ -53,6 +53,13 @@ def q_orders_weekly(spark, d):
     return finish(rs.resample(fx.orders_series(spark, d), "weekly", "mean"))
 
 
+@register("resample_suppliers_weekly")
+def q_suppliers_weekly(spark, d):
+    """Many recordings at once: every supplier has an origin and a spine of its own."""
+    r = fx.supplier_series(spark, d)
+    return finish(rs.resample_aggs(r, "weekly", ["mean", "max", "median"], keys=["dataset_id", "channel"], frame_keys=["dataset_id"]))
+
+
 @register("resample_orders_daily_last")
 def q_orders_daily_last(spark, d):
     return finish(rs.resample(fx.orders_series(spark, d), "daily", "last"))
