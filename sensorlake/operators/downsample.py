@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.plans.ranking import small_side, with_position
+from sensorlake.plans.ranking import materialize, small_side, with_position
 from sensorlake.functions.shipping import by_value
 
 by_value(__name__)      # pandas-UDF helpers travel with the task
@@ -82,13 +82,17 @@ def envelope(wide: DataFrame, channels: Sequence[str], *, out: str = "envelope")
 # walk the buckets in order, picking in each the point with the largest
 # triangle against the previous pick and the next bucket's mean (first on ties).
 #
-# At scale: the area is |linear| in the candidate point, so its maximum over a
-# bucket lies on the bucket's convex hull. Stage 1 reduces every bucket to its
-# hull vertices + sums (sub-buckets of ≤ SUB_BUCKET rows, then per bucket: all
-# groups bounded); stage 2 runs the sequential walk per series on those few
-# candidates only.
+# At scale: the area is |linear| in the candidate point, so its maximum over a bucket lies on the bucket's
+# convex hull. Stage 1 reduces every bucket to its hull vertices + sums (sub-buckets of ≤ SUB_BUCKET rows, then
+# per bucket: all groups bounded). Stage 2 walks blocks of buckets side by side: all that a block depends on is the pick
+# before it, a hull vertex of the bucket before, so the block is walked from each of them, a map from entry to exit
+# (walks soon run into one another). Stage 3 chains the maps: a row a block and entry that the block before can
+# leave from.
 SUB_BUCKET = 100_000
 MERGE = 64
+#: Buckets of a block at most, and hull vertices of it, about.
+BLOCK_BUCKETS = 32
+BLOCK_VERTICES = 200_000
 
 
 def _hull_keep(x, y):
@@ -150,33 +154,76 @@ def _hulls_pdf(pdf):
     return pdf[keep]
 
 
-def _lttb_walk(pdf, n_out: int):
-    """Sequential LTTB over the candidates of one series (stage 2)."""
+def _areas(ax, ay, bx, by, cx, cy):
+    """Triangle areas of previous picks a, candidates b and the next bucket's mean c."""
+    import numpy as np
+    return 0.5 * np.abs((ax - cx) * (by - ay) - (ax - bx) * (cy - ay))
+
+
+def _largest(ax, ay, bx, by, cx: float, cy: float):
+    """For every a the index of the b with the largest triangle (first on ties); b are hull vertices by x.
+
+    Many pairs are not all tried: the area is the distance from the line a–c along y, so the best vertex of either
+    chain is where the chain's slope passes the line's; it and its neighbours are compared."""
+    import numpy as np
+    if len(ax) * len(bx) <= 1_000_000:
+        return _areas(ax[:, None], ay[:, None], bx[None, :], by[None, :], cx, cy).argmax(axis=1)
+    line = by[0] + (by[-1] - by[0]) * (bx - bx[0]) / (bx[-1] - bx[0])
+    slope = (cy - ay) / (cx - ax)
+    found = []
+    for sign in (1.0, -1.0):
+        chain = np.flatnonzero((sign * (by - line) > 0) | (np.arange(len(bx)) % (len(bx) - 1) == 0))
+        falling = -sign * np.diff(by[chain]) / np.diff(bx[chain])
+        at = np.searchsorted(falling, -sign * slope, "left")
+        found += [chain[np.clip(at + d, 0, len(chain) - 1)] for d in (-1, 0, 1)]
+    near = np.sort(np.stack(found, axis=1), axis=1)
+    best = _areas(ax[:, None], ay[:, None], bx[near], by[near], cx, cy).argmax(axis=1)
+    return near[np.arange(len(ax)), best]
+
+
+def _block_walk(keys, pdf):
+    """Walks of one block from every vertex of the bucket before: entry -> picks (stage 2). Rows by ``role``: 0 entries,
+    1 the block's own vertices, 2 the mean of the bucket behind it."""
+    import numpy as np
+    import pandas as pd
+    pdf = pdf.sort_values(["role", "b", "x"], kind="mergesort")
+    role, b = pdf["role"].to_numpy(), pdf["b"].to_numpy()
+    x, y, mx, my = (pdf[c].to_numpy(dtype=float) for c in ("x", "y", "mx", "my"))
+    start = np.flatnonzero(role == 0)
+    own = np.flatnonzero(role == 1)
+    cuts = np.flatnonzero(np.diff(b[own])) + 1
+    buckets = np.split(own, cuts)
+    means = [(mx[k[0]], my[k[0]]) for k in buckets[1:]] + [(mx[-1], my[-1])]
+    at, back, picks = start, np.arange(len(start)), []      # the points that walks are at, and each entry's among them
+    for vertices, (cx, cy) in zip(buckets, means):
+        to = vertices[_largest(x[at], y[at], x[vertices], y[vertices], cx, cy)]
+        at, merged = np.unique(to, return_inverse=True)
+        back = merged[back]
+        picks.append(x[at[back]].astype("int64"))
+    table = np.stack(picks, axis=1)
+    out = pd.DataFrame({"entry": x[start].astype("int64"), "exit": table[:, -1], "picks": list(table)})
+    out.insert(0, "g", int(pdf["g"].iloc[0]))
+    for c in reversed(keys):
+        out.insert(0, c, pdf[c].iloc[0])
+    return out
+
+
+def _chain(keys, pdf):
+    """The one walk through all blocks of a series (stage 3): a few rows a block."""
     import numpy as np
     import pandas as pd
-    first = pdf[pdf["b"] == -1].iloc[0]
-    last = pdf[pdf["b"] == n_out - 2].iloc[0]
-    cand = pdf[(pdf["b"] >= 0) & (pdf["b"] < n_out - 2)].sort_values(["b", "x"], kind="mergesort")
-    means = cand.groupby("b")[["mx", "my"]].first()
-    groups = {b: g for b, g in cand.groupby("b", sort=True)}
-    ax, ay = float(first["x"]), float(first["y"])
-    picked = [int(first["x"])]
-    for b in range(n_out - 2):
-        if b + 1 < n_out - 2:
-            cx, cy = float(means.loc[b + 1, "mx"]), float(means.loc[b + 1, "my"])
-        else:
-            cx, cy = float(last["x"]), float(last["y"])
-        g = groups[b]
-        bx, by = g["x"].to_numpy(dtype=float), g["y"].to_numpy(dtype=float)
-        area = 0.5 * np.abs((ax - cx) * (by - ay) - (ax - bx) * (cy - ay))
-        i = int(np.argmax(area))
-        ax, ay = bx[i], by[i]
-        picked.append(int(bx[i]))
-    picked.append(int(last["x"]))
-    keys = [c for c in pdf.columns if c not in ("b", "x", "y", "mx", "my")]
-    out = pd.DataFrame({"k": np.arange(len(picked), dtype="int64"), "pos": np.array(picked, dtype="int64")})
-    for kcol in keys:
-        out.insert(0, kcol, pdf[kcol].iloc[0])
+    step = {(g, e): k for k, (g, e) in enumerate(zip(pdf["g"], pdf["entry"]))}
+    exits, picks = pdf["exit"].to_numpy(), pdf["picks"].to_numpy()
+    pos, parts = 0, [[0]]
+    for g in range(int(pdf["g"].max()) + 1):
+        k = step[g, pos]
+        parts.append(picks[k])
+        pos = int(exits[k])
+    parts.append([int(pdf["n"].iloc[0]) - 1])
+    pos = np.concatenate(parts).astype("int64")
+    out = pd.DataFrame({"k": np.arange(len(pos), dtype="int64"), "pos": pos})
+    for c in reversed(keys):
+        out.insert(0, c, pdf[c].iloc[0])
     return out
 
 
@@ -219,12 +266,31 @@ def lttb_positions(df: DataFrame, n_out: int, *, keys: Sequence[str] = (), pos:
         chunks = -(-chunks // MERGE) + (1 if chunks > MERGE else 0)
         fold = F.lit(0).cast("long") if chunks == 1 else F.floor(F.col("_sb") / MERGE).cast("long")
         hull = hull.withColumn("_sb", fold).groupBy(*keys, "b", "_sb").applyInPandas(_hulls_pdf, hschema)
-    cand = hull.drop("_sb").join(sums, keys + ["b"])
-    cschema = cand.select(*keys, "b", "x", "y", "mx", "my").schema
-    out_schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
-                           + ["k long", "pos long"])
-    walked = (cand.select(*[f.name for f in cschema.fields]).groupBy(*keys)
-              .applyInPandas(lambda pdf: _lttb_walk(pdf, n_out), out_schema) if keys else
-              cand.select(*[f.name for f in cschema.fields]).withColumn("_g", F.lit(0)).groupBy("_g")
-              .applyInPandas(lambda pdf: _lttb_walk(pdf.drop(columns=["_g"]), n_out), out_schema))
-    return walked.unionByName(small)
+    own = keys or ["_g"]
+    if not keys:
+        hull, sums = hull.withColumn("_g", F.lit(0)), sums.withColumn("_g", F.lit(0))
+    sums = materialize(sums)
+    cand = materialize(hull.drop("_sb").join(sums, own + ["b"]))
+    most = cand.groupBy(*own, "b").count().agg(F.max("count")).first()[0]
+    if most is None:
+        return small
+    K = max(1, min(BLOCK_BUCKETS, BLOCK_VERTICES // most))
+    none = F.lit(None).cast("double")
+    cols = ["b", F.col("x").cast("double").alias("x"), "y", "mx", "my"]
+    inside = cand.where((F.col("b") >= 0) & (F.col("b") < B)).select(
+        *own, F.floor(F.col("b") / K).cast("long").alias("g"), F.lit(1).alias("role"), *cols)
+    entries = cand.where(((F.col("b") + 1) % K == 0) & (F.col("b") + 1 < B)).select(
+        *own, F.floor((F.col("b") + 1) / K).cast("long").alias("g"), F.lit(0).alias("role"), *cols)
+    behind = sums.where((F.col("b") > 0) & ((F.col("b") % K == 0) | (F.col("b") == B))).select(
+        *own, F.floor((F.col("b") - 1) / K).cast("long").alias("g"), F.lit(2).alias("role"), "b", none.alias("x"), none.alias("y"), "mx", "my")
+    blocks = inside.unionByName(entries).unionByName(behind)
+    key_types = [f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*own).schema.fields]
+    maps = materialize(blocks.groupBy(*own, "g").applyInPandas(
+        lambda pdf: _block_walk(own, pdf), ", ".join([*key_types, "g long, entry long, exit long, picks array<long>"])))
+    # only entries that the block before can leave from
+    left = maps.select(*own, (F.col("g") + 1).alias("g"), F.col("exit").alias("entry")).distinct()
+    reached = maps.where("g = 0").unionByName(maps.join(left, [*own, "g", "entry"], "left_semi").select(*maps.columns))
+    lengths = sums.where(F.col("b") == B).select(*own, (F.col("mx") + 1).cast("long").alias("n"))
+    walked = reached.join(lengths, own).groupBy(*own).applyInPandas(
+        lambda pdf: _chain(own, pdf), ", ".join([*key_types, "k long, pos long"]))
+    return walked.select(*keys, "k", "pos").unionByName(small)

@@ -164,3 +164,117 @@ def test_many_recordings_at_once(spark, sf001, tiny_buckets):
         f1 = an.rolling_anomalies(both, keys=k).where(F.col("dataset_id") == ds_id)
         f2 = an.rolling_anomalies(one, keys=k)
         assert rows(f1, ["channel", "rid", "pos", "is_anomaly"]) == rows(f2, ["channel", "rid", "pos", "is_anomaly"])
+
+
+# --------------------------------------------------------------------------- runs, rank selection, brackets
+@pytest.mark.parametrize("chunk", [1, 3, 8, 1000])
+def test_runs_over_chunks(spark, chunk):
+    """Runs that end, begin or go on at borders of chunks, over several chunks, and single positions."""
+    rng = np.random.default_rng(chunk)
+    places = {"a": np.flatnonzero(rng.random(200) < 0.8), "b": np.arange(64), "c": np.array([0, 2, 3, 7, 8, 9, 24]), "d": np.array([5])}
+    rows = [(k, int(p), f"t{p}") for k, ps in places.items() for p in ps]
+    got = ranking.position_runs(spark.createDataFrame(rows, "k string, pos long, t string"), ["k"], "pos", first={"s": "t"}, last={"e": "t"},
+                                chunk=chunk).select("k", "start_pos", "end_pos", "n", "s", "e").collect()
+    want = [(k, int(r[0]), int(r[-1]), len(r), f"t{r[0]}", f"t{r[-1]}") for k, ps in places.items()
+            for r in np.split(ps, np.flatnonzero(np.diff(ps) != 1) + 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_brackets_that_miss(spark, monkeypatch):
+    """Whatever the summary says, the result is exact: brackets that miss their rank are opened, and what is left
+    is cut into pieces where it is much."""
+    monkeypatch.setattr(ranking, "SUMMARY_ACCURACY", 20)
+    rng = np.random.default_rng(2)
+    v = {"a": rng.normal(0, 1, 6000), "b": np.repeat([1.0, 2.0, 3.0], 2000), "c": rng.integers(0, 40, 5000).astype(float), "d": np.array([4.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs], "channel string, v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    for points, size in ((2, 100), (50, 100), (1000, 1500)):
+        monkeypatch.setattr(ranking, "SUMMARY_POINTS", points)
+        for r in exact_percentiles(df, ["channel"], "v", probs, bucket_rows=size).collect():
+            assert tuple(r)[1:] == pytest.approx(tuple(np.quantile(v[r[0]], probs)), rel=1e-12)
+    monkeypatch.setattr(ranking, "SUMMARY_ACCURACY", 1000)
+    total = F.when(F.col("channel") == "c", 5000).otherwise(6000).cast("long")
+    many = df.where("channel <> 'd'").select("channel", F.col("v").alias("_v"), total.alias("_total"))
+    kept = ranking._bracketed(many, ["channel"], [0.5], 3)
+    assert kept.agg(F.sum("_w")).first()[0] == 17_000 and kept.count() < 2000
+
+
+def test_stride_sorts_few_rows(spark, sf001, monkeypatch):
+    """Rows of pieces that hold no target meet no sort."""
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 50)
+    w = fx.lineitem_wide(spark, sf001)
+    seen = []
+    real = ranking.small_side
+    monkeypatch.setattr(ranking, "small_side", lambda df: seen.append(df.count()) or real(df))
+    from sensorlake.operators import downsample as ds
+    picked = ds.stride_downsample(w, 20, order=fx.LINEITEM_ORDER)
+    assert picked.count() == 20 and seen and seen[0] <= 20
+    monkeypatch.setattr(ranking, "small_side", real)
+    whole = with_position(w, [], fx.LINEITEM_ORDER)
+    n = w.count()
+    at = [int(k * ((n - 1) / 19)) if k < 19 else n - 1 for k in range(20)]
+    key = list(fx.LINEITEM_ORDER)
+    assert sorted(map(tuple, picked.select("pos", *key).collect())) == sorted(
+        map(tuple, whole.where(F.col("pos").isin(at)).select("pos", *key).collect()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 4001])
+def test_quartiles_of_pieces(spark, monkeypatch, n):
+    from sensorlake.operators import corr
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 20)
+    df = spark.createDataFrame([(k // 3, k, float(k), float(k * k % 17)) for k in range(n)], "ts long, rid long, x double, y double")
+    got = {r.q: (r.n, r.pos_lo, r.pos_hi, r.x_mean, r.ts_first, r.ts_last) for r in corr.time_quartiles(df, "x", "y").collect()}
+    ids = [(4 * k + 3) // n for k in range(n)]
+    want = {q: [k for k in range(n) if ids[k] == q] for q in set(ids)}
+    assert got == {q: (len(k), k[0], k[-1], pytest.approx(np.mean(k)), k[0] // 3, k[-1] // 3) for q, k in want.items()}
+
+
+@pytest.mark.parametrize("size", [7, 10 ** 6])
+def test_median_step_pieces(spark, sf001, size, monkeypatch):
+    from sensorlake.operators import stats as st
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", size)
+    frame = fx.events_long(spark, sf001).select("channel", "ts", "rid")
+    times = sorted(r.ts for r in frame.collect())
+    want = np.median([(b - a).total_seconds() / 60 for a, b in zip(times, times[1:])])
+    assert st.median_step(frame).first()[0] == pytest.approx(want)
+    each = {r.channel: r.median_step_min for r in st.median_step(frame, keys=["channel"]).collect()}
+    own = sorted(r.ts for r in frame.where("channel = 'view'").collect()) or sorted(
+        r.ts for r in frame.where(F.col("channel") == sorted(each)[0]).collect())
+    name = "view" if "view" in each else sorted(each)[0]
+    assert each[name] == pytest.approx(np.median([(b - a).total_seconds() / 60 for a, b in zip(own, own[1:])]))
+
+
+def test_lttb_convex(spark):
+    """A curve all of whose rows are hull vertices, with blocks of few buckets: walks from every entry."""
+    import sys
+    sys.path.insert(0, "tests")
+    from test_kernels import lttb_ref
+
+    from sensorlake.operators import downsample as ds
+    n = 20_000
+    y = np.arange(n, dtype=float) ** 2 / 1e4
+    df = spark.range(n).select(F.col("id").alias("pos"), (F.col("id").cast("double") * F.col("id") / 1e4).alias("y"))
+    for n_out, vertices in ((3, 200_000), (9, 200_000), (60, 1000)):
+        ds.BLOCK_VERTICES, before = vertices, ds.BLOCK_VERTICES
+        got = [r.pos for r in ds.lttb_positions(df, n_out).orderBy("k").collect()]
+        ds.BLOCK_VERTICES = before
+        assert got == lttb_ref(y, n_out)
+
+
+def test_catalog_views(spark):
+    """Views are listed, described and dropped by name; the listing is ranked without one task."""
+    from sensorlake.sources import catalog as cg
+    df = spark.createDataFrame([(1, "a")], "n long, s string")
+    cg.register_view(df, "paths_view")
+    assert "paths_view" in [r.name for r in cg.list_views(spark).collect()]
+    assert [(r.name, r.dtype, r.is_numeric) for r in cg.describe_schema(df).collect()] == [("n", "bigint", True), ("s", "string", False)]
+    assert cg.drop_view(spark, "paths_view")
+    assert "paths_view" not in [r.name for r in cg.list_views(spark, "paths").collect()]
+    cat = spark.createDataFrame([(f"t{k % 40}", f"p{k}", dt.datetime(2024, 1, 1 + k % 9)) for k in range(200)],
+                                "table_name string, parquet_path string, ingested_at timestamp_ntz")
+    latest = cg.catalog_latest(cat)
+    order = [r.table_name for r in latest.orderBy("rank").collect()]
+    newest = {}
+    for r in cat.collect():
+        newest[r.table_name] = max(newest.get(r.table_name, r.ingested_at), r.ingested_at)
+    assert order == sorted(newest, key=lambda t: (newest[t], t), reverse=True)
