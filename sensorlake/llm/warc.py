@@ -225,25 +225,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     whole = rows.where("kind <> 'continuation' AND number IS NULL").select(*cols, F.col("block").isNotNull().alias("complete"))
 
     text = F.col("block").cast("string")                     # the same bytes: strings can be joined in one step
-    parts = (rows.where("kind = 'continuation' AND block IS NOT NULL").groupBy("origin", "number")
-             .agg(F.first("block").alias("block"), F.max("total").alias("total"))
+    # a block that is null (cut short) leaves its place empty, so that the lengths don't agree
+    parts = (rows.where("kind = 'continuation'").groupBy("origin", "number")
+             .agg(F.first("block", ignorenulls=True).alias("block"), *[F.max(c).alias(c) for c in ("total", "page", "url")])
              .groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("number", text.alias("text")))).alias("parts"),
-                                    F.max("total").alias("total")))
-    # continuations of which the first segment is lost
-    named = (rows.where("kind = 'continuation'").groupBy(F.col("origin").alias("rid"))
-             .agg(F.max("page").alias("page"), F.max("url").alias("url")))
-    started = rows.where("number = 1").select(F.col("rid").alias("begun"))
-    orphans = named.join(started, F.col("rid").eqNullSafe(F.col("begun")), "left_anti").select(
-        "page", "url", F.lit("response").alias("kind"), F.lit(None).cast("string").alias("digest"), "rid",
-        F.lit(None).cast("string").alias("refers"), F.lit(None).cast("binary").alias("block"), F.lit(False).alias("complete"))
+                                    F.max("total").alias("total"), F.max("page").alias("part_page"), F.max("url").alias("part_url")))
     first = rows.where("kind = 'response' AND number = 1")
     tail = F.array_join("parts.text", "")
     in_order = F.col("parts.number") == F.sequence(F.lit(2).cast("long"), F.size("parts").cast("long") + 1)
-    joined = first.select(cols).join(parts, F.col("rid") == F.col("origin"), "left").withColumn(
+    # on both sides: first segments without the others, and continuations without their first one
+    joined = first.select(cols).join(parts, F.col("rid") == F.col("origin"), "full").withColumn(
         "complete", F.coalesce(in_order & (F.octet_length("block") + F.octet_length(tail) == F.col("total")), F.lit(False)))
     again = joined.withColumn("block", F.when(F.col("complete"), F.concat(F.col("block"), tail.cast("binary"))))
-    again = again.select(*cols, "complete")
-    found = whole.unionByName(again).unionByName(orphans)
+    again = again.select(F.coalesce("page", "part_page").alias("page"), F.coalesce("url", "part_url").alias("url"),
+                         F.coalesce("kind", F.lit("response")).alias("kind"), "digest", F.coalesce("rid", "origin").alias("rid"),
+                         "refers", "block", "complete")
+    found = whole.unionByName(again)
     return found.select("page", "url", F.col("kind").alias("record_type"),
                         F.when(F.col("kind") == "response", _payload("block")).alias("payload"),
                         F.regexp_replace("digest", "^sha256:", "").alias("digest"), "complete", "rid", "refers")
