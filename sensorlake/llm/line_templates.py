@@ -7,8 +7,11 @@ that place, else it is generalised to `<*>`. A line's template is its leaf with
 constant tokens; it needs a share of ``min_constant`` constant tokens. Templates met in at
 least ``min_docs`` distinct documents are recurring, and their lines are dropped.
 
-Documents of which recurring lines would take more than ``max_share`` of the words are left
-whole: they are copies of each other, which the duplicate operators handle.
+Two kinds of documents are left whole. Those without a word of their own, all of whose lines recur; and copies
+that differ a little, whose lines recur only because the copies hold them: where recurring lines take more than
+``max_share`` of the words, the document is compared with all others of that kind (operator 6, ``near_percent``), and
+left whole if it has a near-duplicate. Such documents are for the duplicate operators, which see them unharmed. Any
+other document loses its recurring lines, whatever their share.
 
 Only lines in leaves that enough lines reach are looked at further; a Bloom filter of
 bounded size finds them, exact counts follow. Hot leaves, lines and templates are
@@ -26,10 +29,12 @@ from pyspark.sql import functions as F
 
 from sensorlake.llm.bloom import cells_for, filter_of, probe
 from sensorlake.llm.common import apart, hidden, same, written
+from sensorlake.llm.near_dedup import near_copies
 
 MIN_DOCS = 10
 MIN_CONSTANT = 0.7
 MAX_SHARE = 0.5
+NEAR_PERCENT = 80
 MIN_TOKENS = 3
 DEPTH = 3
 FIELD = "<*>"
@@ -89,7 +94,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def flag_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = MAX_SHARE,
-               out: str = "lines", **how) -> DataFrame:
+               near_percent: int = NEAR_PERCENT, out: str = "lines", **how) -> DataFrame:
     """``docs`` with a struct column: n_lines, n_recurring (lines of recurring templates), n_dropped and clean (the
     text without dropped lines; null where none is dropped)."""
     flags = written(recurring_lines(docs, id_col, text_col, **how), "recurring")
@@ -110,15 +115,17 @@ def flag_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = hit.withColumn(lines, F.split(text, "\n")).withColumn(masked, _masked(text))
     pairs = F.arrays_zip(F.col(lines).alias("line"), F.col(masked).alias("m"))
     kept = F.filter(pairs, lambda x: ~F.array_contains(fr, F.xxhash64(x["m"])))
-    n_words = _words(F.col(masked))
     left = hidden(hit, "own_left")
     hit = hit.withColumn(left, kept)
     gone = F.size(lines) - F.size(left)
-    drop = (gone > 0) & (n_words - _words(F.col(f"{left}.m")) <= max_share * n_words)
-    hit = hit.withColumn(out, F.struct(
+    n_words, n_left = _words(F.col(masked)), _words(F.col(f"{left}.m"))
+    share = hidden(hit, "own_share")
+    hit = hit.select(*docs.columns, key, F.struct(
         F.size(lines).cast("long").alias("n_lines"), gone.cast("long").alias("n_recurring"),
-        F.when(drop, gone).otherwise(0).cast("long").alias("n_dropped"),
-        F.when(drop, F.array_join(f"{left}.line", "\n")).alias("clean")))
+        F.when((gone > 0) & (n_left > 0), gone).otherwise(0).cast("long").alias("n_dropped"),
+        F.when((gone > 0) & (n_left > 0), F.array_join(f"{left}.line", "\n")).alias("clean")).alias(out),
+        ((gone > 0) & (n_words - n_left > max_share * n_words)).alias(share))
+    hit = _copies_whole(written(hit, "flagged"), key, text_col, share, out, near_percent)
     clear = df.where(~F.col(may)).withColumn(out, F.struct(
         F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.lit(0).cast("long").alias("n_recurring"), F.lit(0).cast("long").alias("n_dropped"),
@@ -127,6 +134,21 @@ def flag_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return clear.select(cols).unionByName(hit.select(cols))
 
 
+def _copies_whole(hit: DataFrame, key: str, text_col: str, over: str, out: str, percent: int) -> DataFrame:
+    """Rows of which recurring lines are the larger part (``over``) keep them if they have a near-duplicate among those."""
+    large = hit.where(over)
+    if large.isEmpty():
+        return hit
+    cd, ct, cw = (hidden(hit, x) for x in ("copy_d", "copy_th", "copy_whole"))
+    copies = near_copies(large, key, text_col, percent).select(
+        F.col("d").alias(cd), F.col("th").alias(ct), F.lit(True).alias(cw))
+    large = large.join(copies, same(key, cd) & (F.unhex(F.md5(text_col)) == F.col(ct)), "left")
+    whole = F.struct(F.col(f"{out}.n_lines").alias("n_lines"), F.col(f"{out}.n_recurring").alias("n_recurring"),
+                     F.lit(0).cast("long").alias("n_dropped"), F.lit(None).cast("string").alias("clean"))
+    large = large.withColumn(out, F.when(F.col(cw), whole).otherwise(F.col(out)))
+    return hit.where(~F.col(over)).unionByName(large.select(*hit.columns))
+
+
 def _words(masked: Column) -> Column:
     return F.aggregate(masked, F.lit(0).cast("long"), lambda n, m: n + F.when(m == "", 0).otherwise(
         F.size(F.split(m, " "))))

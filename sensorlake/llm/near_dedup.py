@@ -344,6 +344,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("d").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """(d, th), once each: id and 128-bit hash of the text of the rows that have a near-duplicate other than themselves."""
+    own = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.unhex(F.md5(text_col)).alias("th"))
+    every, node = _grouped(own, percent)
+    rows = written(every.where("sid IS NOT NULL").select("d", "th", "sid").join(
+        apart(node.select(F.col("sid").alias("s"), "root")), F.col("sid") == F.col("s"))
+        .select("root", "d", "th").distinct(), "near-rows")
+    groups = rows.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("n")).where("n > 1").select("r")
+    return rows.join(apart(groups), F.col("root") == F.col("r")).select("d", "th")
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, columns as they were: of the smallest id, and of that the
     smallest hash of the text. Rows without shingles all stay."""

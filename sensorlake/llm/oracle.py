@@ -52,12 +52,22 @@ f AS (SELECT l.doc_id, l.text, l.line, l.k, len(l.w) AS n, rec.w IS NOT NULL AS
 g AS (SELECT doc_id, count(*) AS n_lines, sum(CASE WHEN r THEN 1 ELSE 0 END) AS n_recurring, sum(n) AS words,
              coalesce(sum(n) FILTER (r), 0) AS gone, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT r), '') AS clean,
              any_value(text) AS text
-      FROM f GROUP BY doc_id)
+      FROM f GROUP BY doc_id),
+over AS (SELECT doc_id, text FROM g WHERE gone > 0.5 * words),
+ow AS (SELECT doc_id, regexp_extract_all(LOW, '[^\x20\x09-\x0D]+') AS w FROM over),
+os AS (SELECT DISTINCT doc_id, list_slice(w, i, i + least(5, len(w)) - 1) AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM ow WHERE len(w) > 0)),
+sn AS (SELECT doc_id, count(*) AS n FROM os GROUP BY doc_id),
+copies AS (SELECT DISTINCT x AS doc_id
+           FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM os a JOIN os b ON a.s = b.s AND a.doc_id <> b.doc_id
+                 GROUP BY 1, 2) JOIN sn a ON a.doc_id = x JOIN sn b ON b.doc_id = y
+           WHERE 100 * c >= 80 * (a.n + b.n - c)),
+h AS (SELECT g.*, n_recurring > 0 AND gone < words AND copies.doc_id IS NULL AS drops FROM g LEFT JOIN copies USING (doc_id))
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CAST(coalesce(n_recurring, 0) AS BIGINT) AS n_recurring,
-       CAST(CASE WHEN gone <= 0.5 * words THEN n_recurring ELSE 0 END AS BIGINT) AS n_dropped,
-       sha256(CASE WHEN n_recurring > 0 AND gone <= 0.5 * words THEN clean ELSE d.text END) AS clean_sha256
-FROM documents d LEFT JOIN g USING (doc_id)
-"""
+       CAST(CASE WHEN drops THEN n_recurring ELSE 0 END AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN drops THEN clean ELSE d.text END) AS clean_sha256
+FROM documents d LEFT JOIN h USING (doc_id)
+""".replace("LOW", _LOW.format("text"))
 
 OP3 = r"""
 WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r

@@ -92,6 +92,24 @@ def recurring(docs, min_docs, min_constant=0.7, min_tokens=3, depth=3):
     return out, masked
 
 
+def cleaned(docs, min_docs, max_share=0.5, percent=80):
+    """docs: (id, text) rows -> {(id, text): (recurring lines, text without them, or None where it is left whole)}."""
+    flags, masked = recurring(docs, min_docs)
+    out, over = {}, []
+    for r in {r for r in docs if r[1] is not None}:
+        lines = r[1].split("\n")
+        bad = [masked(x) in flags.get(r, ()) for x in lines]
+        words, gone = sum(len(masked(x)) for x in lines), sum(len(masked(x)) for x, b in zip(lines, bad) if b)
+        drop = any(bad) and gone < words
+        out[r] = sum(bad), "\n".join(x for x, b in zip(lines, bad) if not b) if drop else None
+        if any(bad) and gone > max_share * words:
+            over.append((r, shingle_set(r[1])))
+    for k, (r, a) in enumerate(over):
+        if any(a and 100 * len(a & b) >= percent * len(a | b) for j, (_, b) in enumerate(over) if j != k):
+            out[r] = out[r][0], None
+    return out
+
+
 def luhn(digits: str) -> bool:
     doubled = [int(d) * (1 + k % 2) for k, d in enumerate(digits[::-1])]
     return sum(n // 10 + n % 10 for n in doubled) % 10 == 0
