@@ -33,6 +33,36 @@ def test_headers_go_by_name(spark, tmp_path):
     assert row.first()["row_count"] == 2
 
 
+def test_first_lines(spark, tmp_path):
+    """Odd names, a byte order mark, quotes, an empty file, more files than one job reads."""
+    src = tmp_path / "in put"
+    write(src, "a b%.csv", '\ufeff"time, local",A  x', '"2024-01-01 00:00:00",1')
+    write(src, "quote.csv", 'timestamp,"A', "1,2")
+    (src / "empty.csv").write_text("")
+    for k in range(fl.HEADER_FILES):
+        write(src, f"n{k:03d}.csv", f"timestamp,C{k % 2}", *["2024-01-01 00:00:00,1"] * 5)
+    files = spark.read.text(str(src)).inputFiles()
+    lines = {p.rsplit("/", 1)[1]: line.lstrip("\ufeff") for p, line in fl.first_lines(spark, files).items()}
+    assert lines["a%20b%25.csv"] == '"time, local",A  x' and lines["quote.csv"] == 'timestamp,"A' and "empty.csv" not in lines
+    assert len(lines) == 2 + fl.HEADER_FILES and lines["n001.csv"] == "timestamp,C1"
+    kinds = fl.headers(spark, [str(src)], ",")
+    assert len(kinds["timestamp", "C0"]) == len(kinds["timestamp", "C1"]) == fl.HEADER_FILES // 2 and ("time, local", "A  x") in kinds
+
+
+def test_rows_numbered_alike_for_any_splits(spark, tmp_path):
+    src = tmp_path / "in"
+    write(src, "a.csv", "timestamp,A", *[f"2024-01-01 00:00:00,{k}" for k in range(3000)])
+    write(src, "b.csv", "A,timestamp", *[f"{k},2024-01-01 00:00:00" for k in range(3000, 5000)])
+    setting = "spark.sql.files.maxPartitionBytes"
+    for size in ("128m", "8k"):
+        spark.conf.set(setting, size)
+        try:
+            rows = fl.read_delimited(spark, str(src)).where("rid <> A")
+        finally:
+            spark.conf.unset(setting)
+        assert rows.count() == 0
+
+
 @pytest.mark.parametrize("texts,hours", [
     (["03/01/2020 00:05:00", "13/01/2020 06:00:00"], [0, 6]), (["1/2/2020 7:05", "1/30/2020 8:00"], [7, 8]),
     (["Jan 3 2020 05:00", "Feb 4 2020 06:00"], [5, 6]), (["20200103 0500", "20200104 0600"], [5, 6]),
