@@ -53,9 +53,13 @@ def _masked(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda line: F.array_join(_tokens(line), " "))
 
 
+def _n_words(masked: Column) -> Column:
+    """Words of a masked line, by its blanks (one for an empty line)."""
+    return F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+
+
 def _leaf(masked: str) -> Column:
-    words = F.split(masked, " ")
-    return F.xxhash64(F.size(words), F.array_join(F.slice(words, 1, DEPTH), " "))
+    return F.xxhash64(_n_words(F.col(masked)), F.substring_index(masked, " ", DEPTH))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
@@ -64,7 +68,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text's hash, ``recurring`` the hashes of its masked lines."""
     own = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
     lines = (own.select("d", F.xxhash64("t").alias("th"), F.explode(F.array_distinct(_masked(F.col("t")))).alias("m"))
-             .where(F.size(F.split("m", " ")) >= MIN_TOKENS).withColumn("leaf", _leaf("m")))
+             .where(_n_words(F.col("m")) >= MIN_TOKENS).withColumn("leaf", _leaf("m")))
     leaves = written(lines.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     cells = cells_for(leaves.count())
     words = written(filter_of(leaves, "leaf", cells), "leaf-filter")
@@ -150,8 +154,7 @@ def _copies_whole(hit: DataFrame, key: str, text_col: str, over: str, out: str,
 
 
 def _words(masked: Column) -> Column:
-    return F.aggregate(masked, F.lit(0).cast("long"), lambda n, m: n + F.when(m == "", 0).otherwise(
-        F.size(F.split(m, " "))))
+    return F.aggregate(masked, F.lit(0).cast("long"), lambda n, m: n + F.when(m == "", 0).otherwise(_n_words(m)))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
