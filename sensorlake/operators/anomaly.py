@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlake.operators.stats import ANOMALY_NEG, ANOMALY_WARN, signal_high_bad
-from sensorlake.plans.ranking import rolling_stats, small_side, with_position
+from sensorlake.plans.ranking import materialize, placed_pieces, positions_in, rolling_stats, small_side, with_position
+
+#: Positions that the search for the first flags starts with, and how many times as many each further stretch ends at.
+PREFIX = 8192
+GROWTH = 16
 
 
 def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3.0,
@@ -28,6 +32,11 @@ def rolling_anomalies(readings: DataFrame, *, window: int = 60, sigma: float = 3
     p = with_position(readings, keys, order)
     if window < 5 or sigma <= 0:
         return p.withColumn("is_anomaly", F.lit(False))
+    return _flagged(p, window, sigma, keys, value, chunk)
+
+
+def _flagged(p: DataFrame, window: int, sigma: float, keys: list[str], value: str, chunk: int | None = None) -> DataFrame:
+    """Rows with positions ``pos`` and the flag of each; a frame holds the given rows only."""
     lo, hi = window // 2, (window - 1) // 2
     minp = max(5, window // 4)
     v = F.col(value)
@@ -79,12 +88,19 @@ def worst_excursion(flags: DataFrame, *, keys: Sequence[str] = ("channel",), ts:
                     F.coalesce(F.col("w.value") - F.col("mu"), F.lit(0.0)).alias("deviation"))
 
 
+def _only_flagged(flags: DataFrame) -> DataFrame:
+    """Flagged rows. The filter also tests a row mark: it would else go below the projections that make up a flag, and each
+    use of a frame's values would be written out in full."""
+    return flags.withColumn("_mark", F.monotonically_increasing_id()).where(
+        F.col("is_anomaly") & (F.col("_mark") >= 0)).drop("_mark")
+
+
 def flagged_first(flags: DataFrame, n: int = 12, *, keys: Sequence[str] = ("channel",), ts: str = "ts",
                   rid: str = "rid", value: str = "value", readings: DataFrame | None = None) -> DataFrame:
     """First ``n`` flagged samples per series with value and deviation from the
     series mean (ranked window -> per-partition top-n before the shuffle)."""
     keys = list(keys)
-    f = flags.where(F.col("is_anomaly"))
+    f = _only_flagged(flags)
     w = Window.partitionBy(*keys).orderBy("pos")
     f = f.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     f = _with_series_mean(f, keys, value, readings if readings is not None else flags)
@@ -92,6 +108,42 @@ def flagged_first(flags: DataFrame, n: int = 12, *, keys: Sequence[str] = ("chan
                     (F.col(value) - F.col("mu")).alias("deviation"))
 
 
+def first_anomalies(readings: DataFrame, n: int = 12, *, window: int = 60, sigma: float = 3.0,
+                    keys: Sequence[str] = ("channel",), order: Sequence[str] = ("ts", "rid"),
+                    value: str = "value", prefix: int = PREFIX) -> DataFrame:
+    """The rows of ``flagged_first(rolling_anomalies(readings))`` from a prefix of each series.
+
+    Flags are computed for positions [0, prefix), then for ``GROWTH`` times as many of the series that have
+    fewer than ``n`` so far and go on, and so forth. A stretch takes along the rows its frames reach into; pieces of
+    the order outside it are neither sorted nor framed."""
+    keys, order = list(keys), list(order)
+    if window < 5 or sigma <= 0:
+        return flagged_first(rolling_anomalies(readings, window=window, sigma=sigma, keys=keys, order=order, value=value),
+                             n, keys=keys, ts=order[0], rid=order[-1], value=value, readings=readings)
+    lo, hi = window // 2, (window - 1) // 2
+    rows, path, table = placed_pieces(readings, keys, order)
+    table = materialize(table)
+    still = table.select(*keys, "_total").distinct()
+    along = Window.partitionBy(*keys).orderBy("pos")
+    found, start, stop = None, 0, max(prefix, window)
+    while True:
+        wanted = table.where((F.col("_before") < stop + hi) & (F.col("_before") + F.col("_n") > start - lo)).join(
+            still.select(*keys), keys, "left_semi")
+        p = positions_in(rows, path, wanted, keys, order, readings.columns).where(
+            (F.col("pos") >= start - lo) & (F.col("pos") < stop + hi))
+        more = _only_flagged(_flagged(p, window, sigma, keys, value)).where(
+            (F.col("pos") >= start) & (F.col("pos") < stop)).drop("is_anomaly")
+        more = more if found is None else found.unionByName(more)
+        found = materialize(more.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= n).drop("rank"))
+        enough = found.groupBy(*keys).count().where(F.col("count") >= n)
+        still = materialize(still.where(F.col("_total") > stop).join(enough, keys, "left_anti"))
+        if still.isEmpty():
+            break
+        start, stop = stop, stop * GROWTH
+    return flagged_first(found.withColumn("is_anomaly", F.lit(True)), n, keys=keys, ts=order[0], rid=order[-1], value=value,
+                         readings=readings)
+
+
 def anomaly_overlay(flags: DataFrame, n: int = 2000, *, keys: Sequence[str] = ("channel",),
                     ts: str = "ts", rid: str = "rid", value: str = "value",
                     readings: DataFrame | None = None) -> DataFrame:

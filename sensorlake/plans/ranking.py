@@ -180,14 +180,27 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, p
     """
     keys, order = list(keys), list(order)
     rows, path, table = placed_pieces(df, keys, order, bucket_rows)
-    inside = F.row_number().over(Window.partitionBy(*keys, *path).orderBy(*order)) - 1
     if only is not None:
         wanted = table.where(only(F.col("_before"), F.col("_before") + F.col("_n"), F.col("_total")))
-        ranked = rows.join(small_side(wanted.drop("_n", "_total")), [*keys, *path]).withColumn("_inside", inside)
-    else:
-        ranked = rows.withColumn("_inside", inside).join(table.drop("_n", "_total"), [*keys, *path])
-    return (ranked.withColumn(pos, (F.col("_before") + F.col("_inside")).cast("long")).drop("_inside", "_before", *path)
-            .select(*df.columns, pos))
+        return positions_in(rows, path, wanted, keys, order, df.columns, pos=pos)
+    ranked = rows.withColumn("_inside", _inside(keys, path, order)).join(table.drop("_n", "_total"), [*keys, *path])
+    return ranked.withColumn(pos, _placed()).select(*df.columns, pos)
+
+
+def _inside(keys: Sequence[str], path: Sequence[str], order: Sequence[str]) -> Column:
+    return F.row_number().over(Window.partitionBy(*keys, *path).orderBy(*order)) - 1
+
+
+def _placed() -> Column:
+    return (F.col("_before") + F.col("_inside")).cast("long")
+
+
+def positions_in(rows: DataFrame, path: Sequence[str], wanted: DataFrame, keys: Sequence[str], order: Sequence[str],
+                 columns: Sequence[str], *, pos: str = "pos") -> DataFrame:
+    """``columns`` and ``pos`` of the rows in ``wanted`` pieces (of ``placed_pieces``); rows of other pieces are left out
+    before any sort."""
+    ranked = rows.join(small_side(wanted.select(*keys, *path, "_before")), [*keys, *path])
+    return ranked.withColumn("_inside", _inside(keys, path, order)).withColumn(pos, _placed()).select(*columns, pos)
 
 
 def position_runs(flagged: DataFrame, keys: Sequence[str], pos: str, *, first: dict[str, str] | None = None,

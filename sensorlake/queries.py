@@ -214,7 +214,7 @@ def q_worst(spark, d):
 
 @register("flagged_first12")
 def q_first12(spark, d):
-    return finish(an.flagged_first(_flags(spark, d, 11, 2.0), 12, readings=fx.events_long(spark, d)))
+    return finish(an.first_anomalies(fx.events_long(spark, d), 12, window=11, sigma=2.0))
 
 
 @register("anomaly_overlay")

@@ -278,3 +278,33 @@ def test_catalog_views(spark):
     for r in cat.collect():
         newest[r.table_name] = max(newest.get(r.table_name, r.ingested_at), r.ingested_at)
     assert order == sorted(newest, key=lambda t: (newest[t], t), reverse=True)
+
+
+@pytest.mark.parametrize("window,sigma,prefix,growth", [(11, 2.0, 8192, 16), (11, 2.0, 16, 3), (60, 3.0, 100, 2), (7, 1e9, 50, 4),
+                                                       (4, 2.0, 64, 4)])
+def test_first_anomalies_by_prefix(ev, monkeypatch, tiny_buckets, window, sigma, prefix, growth):
+    from sensorlake.operators import anomaly as an
+    monkeypatch.setattr(an, "GROWTH", growth)
+    want = an.flagged_first(an.rolling_anomalies(ev, window=window, sigma=sigma), 12, readings=ev)
+    got = an.first_anomalies(ev, 12, window=window, sigma=sigma, prefix=prefix)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_first_anomalies_leave_the_rest_unsorted(spark, monkeypatch):
+    """A series that has its flags in the prefix ends there; one with none, or few rows, is read to its end."""
+    from sensorlake.operators import anomaly as an
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 100)
+    seen = []
+    plain = an._flagged
+    monkeypatch.setattr(an, "_flagged", lambda p, *a: seen.append({r["channel"]: r["count"] for r in p.groupBy(
+        "channel").count().collect()}) or plain(p, *a))
+    rows = [(c, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), i,
+             float(i % 7) if c != "spikes" or i % 20 else 500.0) for c, n in (("spikes", 4000), ("calm", 4000), ("short", 30))
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "channel string, ts timestamp_ntz, rid long, value double")
+    got = an.first_anomalies(df, 12, window=21, sigma=3.0, prefix=300).collect()
+    assert sorted((r["channel"], r["rank"], r["rid"]) for r in got) == [("spikes", k + 1, 20 * k) for k in range(12)]
+    assert seen[0] == {"spikes": 310, "calm": 310, "short": 30}
+    assert seen[1:] == [{"calm": 4000 - 290}]
+    assert an.first_anomalies(df.limit(0), 12, window=21, sigma=3.0).collect() == []
