@@ -122,7 +122,6 @@ def first_anomalies(readings: DataFrame, n: int = 12, *, window: int = 60, sigma
                              n, keys=keys, ts=order[0], rid=order[-1], value=value, readings=readings)
     lo, hi = window // 2, (window - 1) // 2
     rows, path, table = placed_pieces(readings, keys, order)
-    table = materialize(table)
     still = table.select(*keys, "_total").distinct()
     along = Window.partitionBy(*keys).orderBy("pos")
     found, start, stop = None, 0, max(prefix, window)
@@ -136,9 +135,10 @@ def first_anomalies(readings: DataFrame, n: int = 12, *, window: int = 60, sigma
         more = more if found is None else found.unionByName(more)
         found = materialize(more.withColumn("rank", F.row_number().over(along)).where(F.col("rank") <= n).drop("rank"))
         enough = found.groupBy(*keys).count().where(F.col("count") >= n)
-        still = materialize(still.where(F.col("_total") > stop).join(enough, keys, "left_anti"))
+        still = still.where(F.col("_total") > stop).join(enough, keys, "left_anti")
         if still.isEmpty():
             break
+        still = materialize(still)
         start, stop = stop, stop * GROWTH
     return flagged_first(found.withColumn("is_anomaly", F.lit(True)), n, keys=keys, ts=order[0], rid=order[-1], value=value,
                          readings=readings)
