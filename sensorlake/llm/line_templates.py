@@ -43,14 +43,15 @@ _BLANKS = r"[ \t\x0B\f\r]+"
 
 def _tokens(line: Column) -> Column:
     """Words of a line; words with a digit are fields."""
-    words = F.filter(F.split(line, _BLANKS), lambda t: t != "")
-    return F.when(line.rlike("[0-9]"), F.transform(
-        words, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))).otherwise(words)
+    return F.transform(F.filter(F.split(line, _BLANKS), lambda t: t != ""),
+                       lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
 
 
 def _masked(text: Column) -> Column:
-    """Every line of a text with its fields masked, words one blank apart."""
-    return F.transform(F.split(text, "\n"), lambda line: F.array_join(_tokens(line), " "))
+    """Every line of a text with its fields masked, words one blank apart. Only lines with a digit or other blanks are
+    taken apart."""
+    return F.transform(F.split(text, "\n"), lambda line: F.when(
+        line.rlike(r"[0-9\t\x0B\f\r]") | line.contains("  "), F.array_join(_tokens(line), " ")).otherwise(F.trim(line)))
 
 
 def _n_words(masked: Column) -> Column:

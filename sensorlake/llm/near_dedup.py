@@ -32,7 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.functions.shipping import by_value
@@ -259,23 +259,24 @@ def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: in
     by_label = sized.groupBy("key", "label").agg(F.sum("size").alias("n"))
     per_key = by_label.groupBy(F.col("key").alias("k")).agg(
         F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("total"))
-    rows = (left.join(apart(per_key), F.col("key") == F.col("k"))
-            .select("key", "sid", "label", "total", (F.col("total") - F.col("most.n")).alias("few"),
-                    (F.col("label") != F.col("most.label")).alias("outside"))
-            .join(content, F.col("sid") == F.col("s")).drop("s"))
-    blocks = [F.ceil(F.col(c) / BLOCK_BYTES).cast("int") for c in ("few", "total")]
+    few, outside = F.col("total") - F.col("most.n"), F.col("label") != F.col("most.label")
+    blocks = [F.ceil(c / BLOCK_BYTES).cast("int") for c in (few, F.col("total"))]
     part = [F.pmod(F.xxhash64("sid", F.lit(x)), n).cast("int") for x, n in enumerate(blocks)]
-    single = F.col("total") <= BLOCK_BYTES
-    one = rows.where(single).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("outside").alias("query"),
-                                    F.lit(True).alias("other"))
-    q = rows.where(~single & F.col("outside")).select(
-        "*", part[0].alias("i"), F.explode(F.sequence(F.lit(0), blocks[1] - 1)).alias("j"), F.lit(True).alias("query"),
-        F.lit(False).alias("other"))
-    s = rows.where(~single).select(
-        "*", part[1].alias("j"), F.explode(F.sequence(F.lit(0), blocks[0] - 1)).alias("i"), F.lit(False).alias("query"),
-        F.lit(True).alias("other"))
-    cols = ["key", "i", "j", "query", "other", "sid", "label", "sketch", F.col("band_keys").alias("bands"), "body"]
-    return (one.select(cols).unionByName(q.select(cols)).unionByName(s.select(cols))
+
+    def place(i: Column, j: Column, query: Column, other: bool) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), query.alias("query"), F.lit(other).alias("other"))
+
+    def every(n: Column) -> Column:
+        return F.sequence(F.lit(0), n - 1)
+
+    # the blocks that a member is copied to: in one pass over the bands, and the sets are joined once
+    as_query = F.transform(every(blocks[1]), lambda j: place(part[0], j, F.lit(True), False))
+    as_other = F.transform(every(blocks[0]), lambda i: place(i, part[1], F.lit(False), True))
+    places = (F.when(F.col("total") <= BLOCK_BYTES, F.array(place(F.lit(0), F.lit(0), outside, True)))
+              .when(outside, F.concat(as_query, as_other)).otherwise(as_other))
+    rows = left.join(apart(per_key), F.col("key") == F.col("k")).select("key", "sid", "label", F.explode(places).alias("at"))
+    return (rows.join(content, F.col("sid") == F.col("s"))
+            .select("key", "at.i", "at.j", "at.query", "at.other", "sid", "label", "sketch", F.col("band_keys").alias("bands"), "body")
             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             .mapInArrow(_block_links(percent), "a binary, b binary").distinct())
 
@@ -324,7 +325,7 @@ def _grouped(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
                 F.greatest("sid", "m.sid").alias("a"), F.least("sid", "m.sid").alias("b")).distinct()
             more = confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")).where("ok").select("a", "b")
         else:
-            more = _last_links(left.select("key", "sid", "label"), sets, bodies, percent)
+            more = _last_links(written(left.select("key", "sid", "label"), "left"), sets, bodies, percent)
         found = written(joined_up(found, more), "found")
 
     return every, sets.select("sid", "d").join(found, F.col("sid") == F.col("node"), "left").select(
