@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.functions.shipping import by_value
+from sensorlake.llm.bloom import cells_for, filter_of, probe
 from sensorlake.llm.common import (SPACED_WORD, Words, apart, bound_batches, constants, hidden, mix, runs_of_documents, same,
                                    utf8, written)
 from sensorlake.llm.components import connected, joined_up
@@ -281,6 +282,15 @@ def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: in
             .mapInArrow(_block_links(percent), "a binary, b binary").distinct())
 
 
+def _maybe(df: DataFrame, cols: list[str], wanted: DataFrame, out: str) -> DataFrame:
+    """``df`` with a boolean column: the values of ``cols`` may be among the rows of ``wanted`` (by position). So only such rows
+    need be shuffled with their texts."""
+    h = hidden(df, "hash")
+    cells = cells_for(wanted.count())
+    words = written(filter_of(wanted.select(F.xxhash64(*wanted.columns).alias("h")), "h", cells), "filter")
+    return probe(df.withColumn(h, F.xxhash64(*cols)), h, words, cells, out).drop(h)
+
+
 def _grouped(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Sketches of the rows (d, t and others, which pass through), and (sid, root, d) of each set: its component and
     the smallest id of its rows."""
@@ -299,9 +309,9 @@ def _grouped(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     bands = written(members.join(apart(shared), F.col("key") == F.col("k")).select("key", "sid", "least"), "bands")
 
     # full sets of those that share a band with another
-    needed = bands.select("sid").distinct().join(sets.select("sid", "d"), "sid").select(
-        F.col("sid").alias("need"), "d")
-    texts = own.join(needed.select(F.col("d").alias("need_d")).distinct(), same("d", "need_d"), "left_semi")
+    needed = written(bands.select("sid").distinct().join(sets.select("sid", "d"), "sid").select(
+        F.col("d").alias("need_d")).distinct(), "needed")
+    texts = _maybe(own, ["d"], needed, "may").where("may").join(needed, same("d", "need_d"), "left_semi").select("d", "t")
     bodies = written(texts.mapInArrow(_full_sets, "sid binary, body binary").dropDuplicates(["sid"]), "shingles")
     linked = _linked(percent)
 
@@ -375,8 +385,10 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     md, mt, ms = (hidden(told, x) for x in ("mark_d", "mark_th", "mark_stays"))
     marks = marks.select(F.col("mark_d").alias(md), F.col("mark_th").alias(mt), F.col("stays").alias(ms))
     on = same(key, md) & (F.col(th) == F.col(mt))
-    out = told.join(marks, on, "left_anti")
+    may = hidden(told, "near_may")
+    told = _maybe(told, [key, th], marks.select(md, mt), may)
+    out = told.where(~F.col(may)).unionByName(told.where(may).join(marks, on, "left_anti"))
     repeated = marks.where(ms)
     if not repeated.isEmpty():
-        out = out.unionByName(told.join(repeated, on, "left_semi").dropDuplicates([key, th]))
-    return out.drop(key, th)
+        out = out.unionByName(told.where(may).join(repeated, on, "left_semi").dropDuplicates([key, th]))
+    return out.drop(key, th, may)

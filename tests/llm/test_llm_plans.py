@@ -35,3 +35,15 @@ def test_masked_lines(spark):
     for t, m in df.collect():
         words = ([w for w in re.split(r"[ \t\x0B\f\r]+", line) if w] for line in t.split("\n"))
         assert m == [" ".join("<*>" if re.search("[0-9]", w) else w for w in line) for line in words], repr(t)
+
+
+def test_drop_near_shuffles_marked_texts_only(spark):
+    """Only rows that may be near copies go through the joins that carry texts."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(60)) for _ in range(40)]
+    texts += [f"{t} more" for t in texts[:3]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    out = near_dedup.drop_near(df)
+    plan = _plan(out)
+    assert "Union" in plan and plan.index("Union") < plan.index("LeftAnti")
+    assert sorted(r.doc_id for r in out.collect()) == list(range(40))
