@@ -90,6 +90,8 @@ def load_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many recordings: the quantities of every supplier (``dataset_id``)."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("dataset_id"), F.lit("l_quantity").alias("channel"), F.col("l_shipdate").alias("ts"),
-        F.col("l_orderkey").alias("rid"), nan_to_null("l_quantity").cast("double").alias("value"))
+    # a melted column, so that the channel is a value of the row (a constant would be taken out of groupings, not of partitionings)
+    reading = F.struct(F.lit("l_quantity").alias("channel"), nan_to_null("l_quantity").cast("double").alias("value"))
+    melted = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_orderkey", F.explode(F.array(reading)).alias("r"))
+    return melted.select(F.col("l_suppkey").alias("dataset_id"), "r.channel", F.col("l_shipdate").alias("ts"),
+                         F.col("l_orderkey").alias("rid"), "r.value")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorlake.functions.timefns import micros_between, micros_to_ts, ntz_lit, ts_micros
-from sensorlake.plans.ranking import exact_percentiles, small_side
+from sensorlake.plans.ranking import dealt, exact_percentiles, small_side
 
 # Resample rule id -> bin width in micro-seconds ("raw" = no resample).
 RULES = {
@@ -105,22 +105,26 @@ def _resample_frames(readings: DataFrame, width: int, aggs: list[str], *, keys:
     """Many recordings at once: per-recording origin (one row per recording,
     broadcast), bins relative to it, spine per series by ``sequence``."""
     fr = readings.groupBy(*frame_keys).agg(
-        F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("_o"), F.max(ts).alias("_hi"))
+        F.date_trunc("day", F.min(ts)).cast("timestamp_ntz").alias("_o"), F.max(ts).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     fr = small_side(fr.withColumn("_nb", F.floor(micros_between(F.col("_o"), F.col("_hi")) / F.lit(float(width)))
                                   .cast("long") + 1))
+    size = fr.agg(F.sum("_n").alias("n"), F.sum("_nb").alias("bins")).first()
+    n_rows, n_bins = size["n"] or 0, size["bins"] or 0
+    fr = fr.drop("_n")
     valid = readings.where(F.col(value).isNotNull()).join(fr, frame_keys)
     valid = valid.withColumn("bin", F.floor(micros_between(F.col("_o"), F.col(ts)) / F.lit(float(width))).cast("long"))
     plain = [a for a in dict.fromkeys(aggs) if a != "median"]
     res = None
     if plain:
         res = valid.groupBy(*keys, "bin").agg(*[_agg_expr(a, value, order).alias(a) for a in plain])
+        res = dealt(res, max(n_rows, n_bins), keys + ["bin"])
     if "median" in aggs:
-        med = exact_percentiles(valid, keys + ["bin"], value, [0.5], names=["median"])
+        med = exact_percentiles(valid, keys + ["bin"], value, [0.5], names=["median"], n_rows=n_rows)
         res = med if res is None else res.join(med, keys + ["bin"], "left")
     if fill:
         sp = (readings.select(*keys).distinct().join(fr, frame_keys)
               .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))))
-        res = sp.select(*keys, "bin").join(res, keys + ["bin"], "left")
+        res = dealt(sp.select(*keys, "bin"), max(n_rows, n_bins), keys + ["bin"]).join(res, keys + ["bin"], "left")
     res = res.join(fr.select(*frame_keys, "_o"), frame_keys)
     out = res.withColumn(ts, micros_to_ts(ts_micros(F.col("_o")) + F.col("bin") * F.lit(width)))
     return out.select(*keys, ts, *[F.col(a) for a in aggs])

@@ -40,6 +40,8 @@ from sensorlake.session import ensure_checkpoint_dir
 
 #: Rows of a piece, about; a piece of more than four times as many is cut again.
 BUCKET_ROWS = 250_000
+#: Rows, about, of a partition where whole groups are ranked; so the partitions grow in number, not in size.
+PARTITION_ROWS = 500_000
 #: A table of at most so many narrow rows (some MB) is broadcast, a longer one joined by shuffle.
 BROADCAST_ROWS = 50_000
 #: Values over more binary magnitudes than this are cut by magnitude first.
@@ -70,6 +72,12 @@ def small_side(df: DataFrame) -> DataFrame:
     return bounded(made, made.count())
 
 
+def dealt(df: DataFrame, rows: int, keys: Sequence[str]) -> DataFrame:
+    """``df`` dealt out by ``keys``, in as many partitions as ``rows`` rows need; as it is if the session's partitions are enough."""
+    n = -(-rows // PARTITION_ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 # --------------------------------------------------------------------------- pieces
 def _numbers(df: DataFrame, c: str) -> list[Column]:
     """Column ``c`` as numbers in the same order: micro-seconds, days, the number itself, or for text
@@ -307,29 +315,33 @@ def rolling_stats(df: DataFrame, keys: Sequence[str], pos: str, value: str, lo:
 
 # --------------------------------------------------------------------------- percentiles
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *,
-                      names: Sequence[str] | None = None, bucket_rows: int | None = None) -> DataFrame:
+                      names: Sequence[str] | None = None, bucket_rows: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Exact percentiles (linear interpolation, as numpy / SQL quantile_cont), one row per group: ``keys + names``
     (NULL where a group has no valid value). NaN counts as missing.
 
     A group of few rows is collapsed to (value, count) and ranked. For groups of many rows, one mergeable quantile summary a group
     brackets all wanted ranks at once; one more pass keeps the values inside the brackets and collapses what lies between them
     to a count each, so that few places are left to rank. The counts are exact, and so is the result whatever the
-    summary said: a group of which a bracket missed its rank is ranked without brackets."""
+    summary said: a group of which a bracket missed its rank is ranked without brackets.
+
+    ``n_rows``: the number of rows, if known; else they are counted. Groups of few rows are dealt out whole, in
+    more partitions the more rows there are."""
     names = list(names or [f"p{int(round(p * 100))}" for p in probs])
     size, v = bucket_rows or BUCKET_ROWS, F.col(value).cast("double")
     if not keys:
-        one = exact_percentiles(df.select(v.alias("_x"), F.lit(0).alias("_all")), ["_all"], "_x", probs, names=names, bucket_rows=size)
+        one = exact_percentiles(df.select(v.alias("_x"), F.lit(0).alias("_all")), ["_all"], "_x", probs, names=names, bucket_rows=size, n_rows=n_rows)
         return one.agg(*[F.max(n).alias(n) for n in names])
     keys = list(keys)
     rows = df.select(*keys, F.when(~F.isnan(v), v).alias("_v"))
     large = materialize(rows.groupBy(*keys).agg(F.count("_v").alias("_total")).where(F.col("_total") > size))
     n_large = large.count()
     plain = [F.col("_v").alias("_o"), F.col("_v").isNotNull().alias("_kept")]
+    n_rows = df.count() if n_rows is None else n_rows
     if not n_large:
-        return _picked(_running(_collapsed(rows.select(*keys, *plain), keys), keys), keys, probs, names)
+        return _picked(_running(_collapsed(dealt(rows.select(*keys, *plain), n_rows, keys), keys), keys), keys, probs, names)
     few = rows.join(bounded(large, n_large), keys, "left_anti")
     many = rows.where("_v IS NOT NULL").join(bounded(large, n_large), keys)
-    found = _picked(_running(_collapsed(few.select(*keys, *plain), keys), keys), keys, probs, names)
+    found = _picked(_running(_collapsed(dealt(few.select(*keys, *plain), n_rows, keys), keys), keys), keys, probs, names)
     return found.unionByName(_picked(_ranked_places(_bracketed(many, keys, probs, n_large), keys, probs, size), keys, probs, names))
 
 
