@@ -259,7 +259,8 @@ def scan_for_items(docs: DataFrame, items: DataFrame, text_col: str = "text", it
             return _scan(texts, Matcher.of_plain(matcher.value))
 
         name = out if n == 1 else hidden(result or docs, f"{out}_{k}")
-        result = (result if result is not None else docs).withColumn(name, scan(F.col(text_col)))
+        # nondeterministic to the optimizer: a filter on the result is not pushed below it, which would scan the texts twice
+        result = (result if result is not None else docs).withColumn(name, scan.asNondeterministic()(F.col(text_col)))
         names.append(name)
         if n > 1:
             result = written(result, "decontaminate")
@@ -268,7 +269,7 @@ def scan_for_items(docs: DataFrame, items: DataFrame, text_col: str = "text", it
         def join(texts: pa.Array, *parts: pa.Array) -> pa.Array:
             return _combined(texts, parts)
 
-        result = result.withColumn(out, join(F.col(text_col), *[F.col(n) for n in names])).drop(*names)
+        result = result.withColumn(out, join.asNondeterministic()(F.col(text_col), *[F.col(n) for n in names])).drop(*names)
     return result
 
 

@@ -27,7 +27,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -240,6 +240,11 @@ def _ranked(pieces: DataFrame, rows: int) -> DataFrame:
             .select("d", "start", "length", "ids_crc32", "doc_tokens", "marks", "bin", "rank"))
 
 
+def _small(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A few rows as a local relation, by Arrow: rows of Python objects would start Python workers on every executor."""
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(columns, r)) for r in rows], pa.schema(columns.items())))
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
          vocabulary: str = "byte_bpe_50k") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -272,8 +277,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     ranked = written(_ranked(pieces, sum(histogram.values())), "ranked")
     # a few rows for each strategy in use: at most three times the number of bins
-    where = F.broadcast(spark.createDataFrame(
-        places, "of_bin int, lo long, hi long, shift long, slot int, slots int"))
+    where = F.broadcast(_small(spark, places, of_bin=pa.int32(), lo=pa.int64(), hi=pa.int64(), shift=pa.int64(),
+                               slot=pa.int32(), slots=pa.int32()))
     placed = (ranked.drop("marks")
               .join(where, (F.col("bin") == F.col("of_bin")) & (F.col("rank") >= F.col("lo"))
                     & (F.col("rank") < F.col("hi")))
@@ -284,8 +289,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     several = placed.where("slots > 1").withColumn(
         "offset", F.sum("length").over(order) - F.col("length")).select(cols)
 
-    counts = F.broadcast(spark.createDataFrame(
-        [(b, used.get(b, 0), before[b] - used.get(b, 0)) for b in sorted(rest)], "of_bin int, used long, shift long"))
+    counts = F.broadcast(_small(spark, [(b, used.get(b, 0), before[b] - used.get(b, 0)) for b in sorted(rest)],
+                                of_bin=pa.int32(), used=pa.int64(), shift=pa.int64()))
     left = (ranked.join(counts, F.col("bin") == F.col("of_bin")).where("rank >= used")
             .withColumn("group", F.pmod(F.col("rank") + F.col("shift"), F.lit(groups))))
     schema = T.StructType([T.StructField("d", own.schema["d"].dataType)]

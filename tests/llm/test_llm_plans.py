@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sensorlake.llm import near_dedup
+from sensorlake.llm.decontaminate import decontaminate
 from sensorlake.llm.line_templates import _masked
+from sensorlake.llm.packing import pack
 
 
 def _plan(df) -> str:
@@ -47,3 +49,23 @@ def test_drop_near_shuffles_marked_texts_only(spark):
     plan = _plan(out)
     assert "Union" in plan and plan.index("Union") < plan.index("LeftAnti")
     assert sorted(r.doc_id for r in out.collect()) == list(range(40))
+
+
+def test_decontaminate_scans_texts_once(spark):
+    """The filter on the scan's result stands above it: below it would scan again, in a second Python worker of each task."""
+    text = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"before {text} after it come eight more words here"), (2, text), (3, "none"), (4, None)],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([("a", text)], "item_id string, text string")
+    for chars in (1_000_000, 40):
+        out = decontaminate(docs, items.unionByName(spark.createDataFrame([("b", "x " * 10)], items.schema)), item_chars=chars)
+        assert len(re.findall(r"(?m)^[\s:+-]*(?:\*\(\d+\) )?ArrowEvalPython", out._jdf.queryExecution().sparkPlan().toString())) == 1
+        assert sorted((r.doc_id, r.text) for r in out.collect()) == [
+            (1, "before  after it come eight more words here"), (3, "none"), (4, None)]
+
+
+def test_packing_starts_no_workers_for_small_tables(spark):
+    """Strategies and counts are local relations; rows of Python objects would be read by Python workers of another kind."""
+    docs = spark.createDataFrame([(k, "word " * (k * 37 % 1500)) for k in range(60)], "doc_id long, text string")
+    plan = pack(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "ExistingRDD" not in plan and plan.count("LocalTableScan") >= 2
