@@ -4,6 +4,9 @@ Every round links each node's larger neighbours to its smallest one, then each
 node and its smaller neighbours to their smallest. A hub is never gathered in one
 task: minima are aggregated before the shuffle, and the join back has exchanges of its own on
 both sides, so that Spark can split a hub's rows (``apart``).
+
+Each half of a round is a table of its own, and rounds without links are left out: Spark's driver keeps
+the metrics of a plan again for every exchange that it has run, so small plans cost it little.
 """
 
 from __future__ import annotations
@@ -34,10 +37,24 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _done(edges: DataFrame) -> bool:
     """Every node has one parent, and no parent has one itself."""
     nodes = edges.select(F.col("a").alias("x"), F.lit(1).alias("up")).unionByName(
-        edges.select(F.col("b").alias("x"), F.lit(0).alias("up")).distinct())
+        edges.select(F.col("b").alias("x"), F.lit(0).alias("up")))
     open_nodes = nodes.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).where(
         "ups > 1 OR (ups = 1 AND low = 0)")
-    return not open_nodes.limit(1).count()
+    return open_nodes.isEmpty()
+
+
+def _links(edges: DataFrame) -> DataFrame:
+    """Distinct links (a, b) with a > b, written."""
+    return written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                   .where("a != b").distinct(), "links")
+
+
+def _roots(now: DataFrame) -> DataFrame:
+    """(node, root) of written links; roots themselves are listed too."""
+    while not _done(now):
+        now = written(_star(written(_large_star(now), "large-stars")), "stars")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -45,27 +62,29 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Pairs may repeat and come in either order; a pair of equal nodes links nothing.
     """
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                  .where("a != b").distinct(), "links")
-    while not _done(now):
-        now = written(_star(_large_star(now)), "stars")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return _roots(_links(edges))
 
 
-def joined_up(found: DataFrame, links: DataFrame) -> DataFrame:
-    """``found`` (node, root) with more links (a, b) between nodes, of which ``found`` need not know all.
+def joined_up(found: DataFrame, links: DataFrame, of_roots: bool = False) -> DataFrame:
+    """``found`` (node, root) with more links (a, b) between nodes, of which ``found`` need not know all. ``of_roots``:
+    the links are between roots, or nodes that ``found`` does not know.
 
     Only the components that the links touch are worked on, each as one node.
     """
-    root = found.select(F.col("node").alias("n"), "root")
-    ends = (links.join(root.select(F.col("n").alias("na"), F.col("root").alias("ra")), F.col("a") == F.col("na"), "left")
-            .join(root.select(F.col("n").alias("nb"), F.col("root").alias("rb")), F.col("b") == F.col("nb"), "left")
-            .select("a", "b", F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")))
-    ends = written(ends, "ends")
-    moved = written(connected(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(
-        F.col("node").alias("was"), F.col("root").alias("now")), "moved")
-    own = ends.select(F.col("a").alias("node"), F.col("x").alias("root")).unionByName(
-        ends.select(F.col("b").alias("node"), F.col("y").alias("root")))
-    every = found.unionByName(own).distinct()
-    return every.join(moved, F.col("root") == F.col("was"), "left").select("node", F.coalesce("now", "root").alias("root"))
+    if not of_roots:
+        root = found.select(F.col("node").alias("n"), "root")
+        ends = (links.join(root.select(F.col("n").alias("na"), F.col("root").alias("ra")), F.col("a") == F.col("na"), "left")
+                .join(root.select(F.col("n").alias("nb"), F.col("root").alias("rb")), F.col("b") == F.col("nb"), "left")
+                .select("a", "b", F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")))
+        ends = written(ends, "ends")
+        own = ends.select(F.col("a").alias("node"), F.col("x").alias("root")).unionByName(
+            ends.select(F.col("b").alias("node"), F.col("y").alias("root")))
+        found = found.unionByName(own).distinct()
+        links = ends.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = _links(links)
+    if links.isEmpty():
+        return found
+    moved = written(_roots(links), "moved")
+    was = moved.select(F.col("node").alias("was"), F.col("root").alias("now"))
+    return written(found.join(was, F.col("root") == F.col("was"), "left").select(
+        "node", F.coalesce("now", "root").alias("root")).unionByName(moved).distinct(), "found")

@@ -186,7 +186,7 @@ def _block_links(percent: int):
     Pairs of sizes that allow a link and whose sketches agree in nearly ``percent`` of the coordinates (six standard deviations below the
     expected agreement) are confirmed on the full sets, each in the first band that both are in, most alike
     first. Components that a confirmed link has joined need no other link, so at most one link for
-    each component comes out.
+    each component comes out, as the pair of labels.
     """
     share = percent / 100
     least = int(COORDINATES * share - 6 * (COORDINATES * share * (1 - share)) ** 0.5)
@@ -221,7 +221,8 @@ def _block_links(percent: int):
             one, two = find(q[k]["label"]), find(s[x]["label"])
             if one != two and _linked_pair(np.frombuffer(q[k]["body"], np.uint64), np.frombuffer(s[x]["body"], np.uint64), percent):
                 root[max(one, two)] = min(one, two)
-                out.append((max(q[k]["sid"], s[x]["sid"]), min(q[k]["sid"], s[x]["sid"])))
+                labels = q[k]["label"], s[x]["label"]
+                out.append((max(labels), min(labels)))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks come one after the other; most hold a few rows, so none is a call of its own."""
@@ -245,7 +246,7 @@ def _pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """Links between components in bands (key, sid, label) that hold several.
+    """Links between components in bands (key, sid, label) that hold several, as pairs of labels; they may repeat.
 
     A band whose members fit in one block is one group; else a member is copied to each block that
     it meets on the other side.
@@ -279,7 +280,7 @@ def _last_links(left: DataFrame, sets: DataFrame, bodies: DataFrame, percent: in
     return (rows.join(content, F.col("sid") == F.col("s"))
             .select("key", "at.i", "at.j", "at.query", "at.other", "sid", "label", "sketch", F.col("band_keys").alias("bands"), "body")
             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_block_links(percent), "a binary, b binary").distinct())
+            .mapInArrow(_block_links(percent), "a binary, b binary"))
 
 
 def _maybe(df: DataFrame, cols: list[str], wanted: DataFrame, out: str) -> DataFrame:
@@ -319,24 +320,30 @@ def _grouped(own: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         a = bodies.select(F.col("sid").alias("sa"), F.col("body").alias("xa"))
         b = bodies.select(F.col("sid").alias("sb"), F.col("body").alias("xb"))
         return (pairs.join(a, F.col("a") == F.col("sa")).join(b, F.col("b") == F.col("sb"))
-                .select("a", "b", linked("xa", "xb").alias("ok")))
+                .select(*pairs.columns, linked("xa", "xb").alias("ok")))
 
     first = bands.groupBy(F.col("sid").alias("a")).agg(F.min("least").alias("b")).where("a != b")
     tried = written(confirmed(first), "tried")
-    found = connected(tried.where("ok").select("a", "b"))
+    found = written(connected(tried.where("ok").select("a", "b")), "found")
     for wave in ("star", "blocks"):
         label = written(bands.join(found, F.col("sid") == F.col("node"), "left").select(
             "key", "sid", F.coalesce("root", "sid").alias("label")), "labels")
         several = label.groupBy(F.col("key").alias("k")).agg(
             F.min(F.struct("label", "sid")).alias("m"), F.max("label").alias("top")).where("m.label != top")
         left = label.join(apart(several), F.col("key") == F.col("k"))
+        # the links are pairs of labels, which are roots or sets without a link so far
         if wave == "star":
             pairs = left.where("label != m.label").select(
-                F.greatest("sid", "m.sid").alias("a"), F.least("sid", "m.sid").alias("b")).distinct()
-            more = confirmed(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")).where("ok").select("a", "b")
+                F.greatest("sid", "m.sid").alias("a"), F.least("sid", "m.sid").alias("b"),
+                F.greatest("label", "m.label").alias("one"), F.least("label", "m.label").alias("two")).distinct()
+            pairs = written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            more = confirmed(pairs).where("ok").select(F.col("one").alias("a"), F.col("two").alias("b"))
         else:
-            more = _last_links(written(left.select("key", "sid", "label"), "left"), sets, bodies, percent)
-        found = written(joined_up(found, more), "found")
+            left = written(left.select("key", "sid", "label"), "left")
+            if left.isEmpty():
+                break
+            more = _last_links(left, sets, bodies, percent)
+        found = joined_up(found, more, of_roots=True)
 
     return every, sets.select("sid", "d").join(found, F.col("sid") == F.col("node"), "left").select(
         "sid", F.coalesce("root", "sid").alias("root"), "d")

@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from sensorlake.llm import near_dedup
+from sensorlake.llm import components, near_dedup
 from sensorlake.llm.decontaminate import decontaminate
 from sensorlake.llm.line_templates import _masked
 from sensorlake.llm.packing import pack
@@ -69,3 +69,49 @@ def test_packing_starts_no_workers_for_small_tables(spark):
     docs = spark.createDataFrame([(k, "word " * (k * 37 % 1500)) for k in range(60)], "doc_id long, text string")
     plan = pack(docs)._jdf.queryExecution().sparkPlan().toString()
     assert "ExistingRDD" not in plan and plan.count("LocalTableScan") >= 2
+
+
+def _tables(monkeypatch, docs, run) -> list[tuple[str, int]]:
+    """The tables that near-duplicates write, with the exchanges of each one's plan."""
+    seen = []
+
+    def spied(df, name, write=components.written):
+        seen.append((name, len(re.findall(r"Exchange ", df._jdf.queryExecution().executedPlan().toString()))))
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "written", spied)
+    monkeypatch.setattr(components, "written", spied)
+    run(docs)
+    return seen
+
+
+def test_near_copies_in_small_plans(spark, monkeypatch):
+    """The driver keeps a plan's metrics for each of its exchanges: links are pairs of labels without joins back to the
+    components, and a round's halves are two tables."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(6)
+        texts = []
+        for _ in range(12):
+            words = [f"{rng.choice('abcdefgh')}{rng.randrange(99)}" for _ in range(120)]
+            texts.append(" ".join(words))
+            for _ in range(4):                                  # each differs in one more word from the one before
+                words[rng.randrange(120)] = "changed"
+                texts.append(" ".join(words))
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        seen = _tables(monkeypatch, docs, lambda d: near_dedup.near_duplicates(d, percent=80).collect())
+        assert "ends" not in {name for name, _ in seen}
+        assert max(n for _, n in seen) <= 8, seen
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_joined_up_without_links(spark, monkeypatch):
+    """No new link: the components stay as they are, and no round is run."""
+    found = components.connected(spark.createDataFrame([(1, 2), (2, 3)], "a int, b int"))
+    none = spark.createDataFrame([], "a int, b int")
+    seen = _tables(monkeypatch, none, lambda d: components.joined_up(found, d, of_roots=True).collect())
+    assert [name for name, _ in seen] == ["links"]
+    links = spark.createDataFrame([(1, 9), (9, 7)], "a int, b int")
+    got = components.joined_up(found, links, of_roots=True).collect()
+    assert sorted(tuple(r) for r in got) == [(x, 1) for x in (1, 2, 3, 7, 9)]
