@@ -19,17 +19,24 @@ from sensorlake.session import ensure_checkpoint_dir
 by_value(__name__)
 
 BLOCK_BYTES = 1 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # --------------------------------------------------------------------------- Spark side
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the folder named by ``spark.checkpoint.dir``.
 
-    Cuts the lineage: later jobs read the files, also after executors are lost.
+    Cuts the lineage: later jobs read the files, also after executors are lost. So the shuffle files of the write go
+    with its end, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sensorlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from sensorlake.llm import components, near_dedup
+from sensorlake.llm.common import CLEANUP, written
 from sensorlake.llm.decontaminate import decontaminate
 from sensorlake.llm.line_templates import _masked
 from sensorlake.llm.packing import pack
@@ -115,3 +118,19 @@ def test_joined_up_without_links(spark, monkeypatch):
     links = spark.createDataFrame([(1, 9), (9, 7)], "a int, b int")
     got = components.joined_up(found, links, of_roots=True).collect()
     assert sorted(tuple(r) for r in got) == [(x, 1) for x in (1, 2, 3, 7, 9)]
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """Shuffle files of a written table are gone with the write; the session's setting stays as it was."""
+    tops = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files() -> set[str]:
+        return {f for top in tops for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    was, before = spark.conf.get(CLEANUP, None), files()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("g")).agg(F.count("*").alias("n")), "groups")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(CLEANUP, None) == was
+    assert sorted(r.n for r in table.collect()) == [142, 143, 143, 143, 143, 143, 143]
